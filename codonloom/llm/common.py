@@ -41,6 +41,11 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_side(df: DataFrame, most_rows: int = 2_000_000) -> DataFrame:
+    """df, narrow and cheap to count, to be broadcast where it has at most most_rows rows; beyond, Spark joins by shuffling."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
 def id_fold(col: str, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as fold 0."""
     return F.coalesce(F.crc32(F.col(col).cast("string").cast("binary")) % n, F.lit(0))

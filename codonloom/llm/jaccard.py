@@ -28,6 +28,7 @@ ignored. Sets and shingles are known by 64-bit hashes.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 from math import ceil
 
 import numpy as np
@@ -36,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, staged, table
+from .common import slices, small_side, staged, table
 
 PERCENT, NGRAM, MEMO, STRONG = 85, 4, 200_000, 2
 SKETCH = [f"s{i}" for i in range(4)]
@@ -85,69 +86,95 @@ class Shingler:
         self.n, self.memo = n, {}
         self.odd = [np.uint64((int(x) << 1) | 1) for x in mix(np.arange(1, n + 1, dtype=np.uint64), 77) >> np.uint64(1)]
 
-    def shingles(self, text: str | None) -> np.ndarray:
-        """The set as sorted 64-bit hashes."""
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        if not words:
-            return np.zeros(0, np.uint64)
+    def sets(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Each text's set of shingles as sorted 64-bit hashes."""
+        words = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]
+        flat = list(chain.from_iterable(words))
         memo = self.memo
         try:
-            hashed = [memo[w] for w in words]
+            raw = b"".join(map(memo.__getitem__, flat))
         except KeyError:
             if len(memo) > MEMO:
                 memo.clear()
-            for w in words:
+            for w in set(flat):
                 if w not in memo:
-                    memo[w] = xxhash.xxh3_64_intdigest(w)
-            hashed = [memo[w] for w in words]
-        h = np.array(hashed, np.uint64)
+                    memo[w] = xxhash.xxh3_64_digest(w)
+            raw = b"".join(map(memo.__getitem__, flat))
+        h, n = np.frombuffer(raw, np.uint64), self.n
         with np.errstate(over="ignore"):
-            if len(h) < self.n:
-                x = np.zeros(1, np.uint64) + np.uint64(len(h))
-                for i, v in enumerate(h):
-                    x = mix(x + v * self.odd[i], 5)
-                return x
-            x = h[: len(h) - self.n + 1] * self.odd[0]
-            for i in range(1, self.n):
-                x = x + h[i : len(h) - self.n + 1 + i] * self.odd[i]
-        return np.unique(mix(x))
-
-
-def cut(tokens: np.ndarray, pieces: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per piece the parity sketch of its tokens and their number."""
-    with np.errstate(over="ignore"):
-        at = ((mix(tokens, salt) >> np.uint64(32)) * np.uint64(pieces) >> np.uint64(32)).astype(np.int64)
-    if pieces < 1 << 16:
-        order = np.argsort(at.astype(np.uint16), kind="stable")
-    else:
-        order = np.argsort(at, kind="stable")
-    count = np.bincount(at, minlength=pieces)
-    sketch = np.zeros(pieces, np.uint64)
-    full = np.nonzero(count)[0]
-    starts = np.concatenate([[0], np.cumsum(count[full])[:-1]])
-    sketch[full] = np.bitwise_xor.reduceat(mix(tokens, salt + 1)[order], starts)
-    return sketch, count
-
-
-def keys_of(tokens: np.ndarray, bands: Bands) -> np.ndarray:
-    out = []
-    for band, pieces, spare, second in bands.of(len(tokens)):
-        sketch, count = cut(tokens, pieces, 1000)
-        place = mix(np.arange(pieces, dtype=np.uint64), band << 8)
-        keys = mix(sketch ^ place, 3)
+            runs = np.zeros(max(0, len(h) - n + 1), np.uint64)
+            for i in range(n):
+                runs += h[i : i + len(runs)] * self.odd[i]
+            runs = mix(runs)
+            out, at = [], 0
+            for w in words:
+                if len(w) >= n:
+                    x = np.sort(runs[at : at + len(w) - n + 1])
+                    new = np.ones(len(x), bool)
+                    np.not_equal(x[1:], x[:-1], out=new[1:])
+                    out.append(x[new])
+                elif w:
+                    x = np.array([len(w)], np.uint64)
+                    for i in range(len(w)):
+                        x = mix(x + h[at + i] * self.odd[i], 5)
+                    out.append(x)
+                else:
+                    out.append(np.zeros(0, np.uint64))
+                at += len(w)
+        return out
+
+
+def nodes_of(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A 64-bit name per set, from the XOR of its tokens; sets must not be empty."""
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    whole = np.bitwise_xor.reduceat(mix(tokens, 41), starts) if len(sizes) else np.zeros(0, np.uint64)
+    return mix(whole ^ sizes.astype(np.uint64), 43).view(np.int64)
+
+
+def sketches_of(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The 256-bit parity sketch of each set, as four longs."""
+    bit = np.repeat(np.arange(len(sizes)) * 256, sizes) + (tokens >> np.uint64(56)).astype(np.int64)
+    odd = (np.bincount(bit, minlength=256 * len(sizes)) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(-1, 256), axis=1).view(np.int64)
+
+
+def keys_of(tokens: np.ndarray, sizes: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
+    """(set number, key) of non-empty sets given one after the other."""
+    owners, found = [], []
+    starts = np.cumsum(sizes) - sizes
+    joins = [bands.of(int(n)) for n in sizes]
+    place, sketch = mix(tokens, 1000) >> np.uint64(32), mix(tokens, 1001)
+    for nth in range(max(map(len, joins), default=0)):
+        who = np.array([i for i, j in enumerate(joins) if len(j) > nth])
+        band, pieces, spare, second = np.array([joins[i][nth] for i in who]).T
+        n = sizes[who]
+        base = np.cumsum(pieces) - pieces
+        rows = np.arange(n.sum()) + np.repeat(starts[who] - (np.cumsum(n) - n), n)
+        at = (place[rows] * np.repeat(pieces, n).astype(np.uint64) >> np.uint64(32)).astype(np.int64) + np.repeat(base, n)
+        total = int(pieces.sum())
+        parity, count = np.zeros(total, np.uint64), np.bincount(at, minlength=total)
+        np.bitwise_xor.at(parity, at, sketch[rows])
+        owner = np.repeat(np.arange(len(who)), pieces)
+        number = np.arange(total) - base[owner]
+        keys = mix(parity ^ mix(number.astype(np.uint64) | (band[owner].astype(np.uint64) << np.uint64(40)), 2), 3)
         strong = count >= STRONG
-        out.append(keys[strong])
-        weak = keys[~strong]
-        if len(weak) > spare:
-            other, _ = cut(tokens, second, 2000)
-            inner = mix(other ^ mix(np.arange(second, dtype=np.uint64), 9), 4)
-            out.append(mix(weak[:, None] ^ inner[None, :], 6).ravel())
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+        owners.append(who[owner[strong]])
+        found.append(keys[strong])
+        for i in np.nonzero(np.bincount(owner[~strong], minlength=len(who)) > spare)[0]:
+            weak = keys[base[i] : base[i] + pieces[i]][~strong[base[i] : base[i] + pieces[i]]]
+            own = tokens[starts[who[i]] : starts[who[i]] + n[i]]
+            other = np.zeros(second[i], np.uint64)
+            np.bitwise_xor.at(other, ((mix(own, 2000) >> np.uint64(32)) * np.uint64(second[i]) >> np.uint64(32)).astype(np.int64), mix(own, 2001))
+            inner = mix(other ^ mix(np.arange(second[i], dtype=np.uint64), 9), 4)
+            found.append(mix(weak[:, None] ^ inner[None, :], 6).ravel())
+            owners.append(np.full(len(found[-1]), who[i]))
+    return (np.concatenate(owners), np.concatenate(found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
 
 
-def node_of(tokens: np.ndarray) -> int:
-    x = np.bitwise_xor.reduce(mix(tokens, 41)) + np.uint64(0)
-    return int(mix(np.array([x], np.uint64) ^ np.uint64(len(tokens)), 43).view(np.int64)[0])
+def _flat(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens, sizes, which sets) of the sets that are not empty."""
+    full = np.array([i for i, x in enumerate(sets) if len(x)], np.int64)
+    return np.concatenate([sets[i] for i in full]) if len(full) else np.zeros(0, np.uint64), np.array([len(sets[i]) for i in full], np.int64), full
 
 
 def features(docs: DataFrame) -> DataFrame:
@@ -155,13 +182,15 @@ def features(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
-        for batch in slices(batches, "text"):
-            sets = [shingler.shingles(t) for t in batch.column("text").to_pylist()]
-            bits = [np.packbits((np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=256) & 1).astype(np.uint8)) for s in sets]
-            longs = np.stack(bits).view(np.int64) if bits else np.zeros((0, 4), np.int64)
-            nodes = pa.array([node_of(s) if len(s) else None for s in sets], pa.int64())
+        for batch in slices(batches, "text", 1 << 20):
+            sets = shingler.sets(batch.column("text").to_pylist())
+            tokens, sizes, full = _flat(sets)
+            longs, nodes, none = np.zeros((len(sets), 4), np.int64), np.zeros(len(sets), np.int64), np.ones(len(sets), bool)
+            if len(full):
+                longs[full], nodes[full], none[full] = sketches_of(tokens, sizes), nodes_of(tokens, sizes), False
+            n = np.array([len(x) for x in sets], np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), nodes, *[pa.array(longs[:, i]) for i in range(4)]],
+                [batch.column("doc_id"), pa.array(n), pa.array(nodes, mask=none), *[pa.array(np.ascontiguousarray(longs[:, i])) for i in range(4)]],
                 ["doc_id", "n", "node", *SKETCH],
             )
 
@@ -174,13 +203,9 @@ def buckets(docs: DataFrame) -> DataFrame:
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, bands = Shingler(), Bands()
         for batch in slices(batches, "text", 1 << 20):
-            keys, nodes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-            for t in batch.column("text").to_pylist():
-                s = shingler.shingles(t)
-                if len(s):
-                    keys.append(keys_of(s, bands))
-                    nodes.append(np.full(len(keys[-1]), node_of(s)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes))], ["key", "node"])
+            tokens, sizes, _ = _flat(shingler.sets(batch.column("text").to_pylist()))
+            owner, keys = keys_of(tokens, sizes, bands)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(nodes_of(tokens, sizes)[owner])], ["key", "node"])
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_key = last_node = None  # the last different row; sent: whether it went out
@@ -218,60 +243,73 @@ def near(n: np.ndarray, sketch: np.ndarray, i: np.ndarray, j: np.ndarray) -> tup
 
 
 def propose(rows: DataFrame, how: str) -> DataFrame:
-    """Candidate pairs (a < b) from bucket rows (key, node, comp, n, sketch) of buckets with more than one component."""
+    """From bucket rows (key, node, comp, n, sketch): candidates (a, b, far), and with `far` null the rows (key, node) of their buckets.
 
-    def pairs(node, comp, n, sketch) -> tuple[np.ndarray, np.ndarray]:
+    Only buckets that hold more than one component count. `ends` offers every
+    row a the smallest and the largest node as b, `nearest` its nearest by sketch
+    in another component, `all` every node of another component, once. `far` is
+    the sketches' distance.
+    """
+
+    def whole(m: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, ...]:
+        size = np.diff(edges)
+        rows_of = np.arange(edges[-1])
+        found = []
+        for hub in (np.repeat(edges[:-1], size), np.repeat(edges[1:] - 1, size)):
+            fits, h = near(m[:, 3], m[:, 4:], hub, rows_of)
+            ok = (m[hub, 2] != m[rows_of, 2]) & fits
+            found.append((rows_of[ok], hub[ok], h[ok]))
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+    def squared(m: np.ndarray) -> tuple[np.ndarray, ...]:
+        node, comp, n, sketch = m[:, 1], m[:, 2], m[:, 3], m[:, 4:]
         g = len(node)
         every = np.arange(g)
-        if how in ("low", "high"):
-            hub = int(np.argmin(node) if how == "low" else np.argmax(node))
-            ok = (comp != comp[hub]) & near(n, sketch, np.full(g, hub), every)[0]
-            return np.full(int(ok.sum()), hub), every[ok]
-        left, right = [], []
-        step = max(1, (1 << 20) // g)
-        for at in range(0, g, step):
+        found = []
+        for at in range(0, g, step := max(1, (1 << 20) // g)):
             i = np.arange(at, min(g, at + step))
             fits, h = near(n, sketch, i[:, None], every[None, :])
             fits &= comp[i][:, None] != comp[None, :]
             if how == "nearest":
                 best = np.argmin(np.where(fits, h, 1 << 20), axis=1)
-                some = fits[np.arange(len(i)), best]
-                left.append(i[some])
-                right.append(best[some])
+                some = np.nonzero(fits[np.arange(len(i)), best])[0]
+                found.append((i[some], best[some], h[some, best[some]]))
             else:
                 a, b = np.nonzero(fits & (node[i][:, None] < node[None, :]))
-                left.append(i[a])
-                right.append(b)
-        return np.concatenate(left), np.concatenate(right)
+                found.append((i[a], b, h[a, b]))
+        return tuple(np.concatenate(x) for x in zip(*found))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: set[tuple[int, int]] = set()
-
-        def of_bucket(cols) -> pa.RecordBatch | None:
-            node, comp, n = cols[:, 1], cols[:, 2], cols[:, 3]
-            if len(node) < 2 or (comp == comp[0]).all():
-                return None
-            i, j = pairs(node, comp, n, cols[:, 4:])
-            a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
-            if len(done) > 200_000:
-                done.clear()
-            new = [p for p in dict.fromkeys(zip(a.tolist(), b.tolist())) if p not in done]
-            done.update(new)
-            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in new], pa.int64()), pa.array([p[1] for p in new], pa.int64())], ["a", "b"]) if new else None
+        def of(m: np.ndarray) -> Iterator[pa.RecordBatch]:
+            if not len(m):
+                return
+            starts = np.concatenate([[0], np.nonzero(np.diff(m[:, 0]))[0] + 1])
+            mixed = np.minimum.reduceat(m[:, 2], starts) != np.maximum.reduceat(m[:, 2], starts)
+            m = m[np.repeat(mixed, np.diff(np.append(starts, len(m))))]
+            if not len(m):
+                return
+            edges = np.concatenate([[0], np.nonzero(np.diff(m[:, 0]))[0] + 1, [len(m)]])
+            if how == "ends":
+                i, j, far = whole(m, edges)
+            else:
+                some = [squared(m[a:b]) for a, b in zip(edges, edges[1:])]
+                i, j = (np.concatenate([x[k] + a for x, a in zip(some, edges)]) for k in (0, 1))
+                far = np.concatenate([x[2] for x in some])
+            offers = np.unique(np.stack([m[i, 1], m[j, 1], far], axis=1), axis=0)
+            first, second = np.concatenate([offers[:, 0], m[:, 0]]), np.concatenate([offers[:, 1], m[:, 1]])
+            distance = pa.array(np.concatenate([offers[:, 2], np.zeros(len(m), np.int64)]), mask=np.arange(len(first)) >= len(offers))
+            yield pa.RecordBatch.from_arrays([pa.array(first), pa.array(second), distance], ["a", "b", "far"])
 
         rest = np.zeros((0, 8), np.int64)
         for batch in batches:
             m = np.concatenate([rest, np.stack([c.to_numpy() for c in batch.columns], axis=1)])
-            edges = [0, *(np.nonzero(np.diff(m[:, 0]))[0] + 1).tolist()]
-            for a, b in zip(edges, edges[1:]):
-                if (out := of_bucket(m[a:b])) is not None:
-                    yield out
-            rest = m[edges[-1] :]
-        if (out := of_bucket(rest)) is not None:
-            yield out
+            last = int(np.searchsorted(m[:, 0], m[-1, 0])) if len(m) else 0
+            yield from of(m[:last])
+            rest = m[last:]
+        yield from of(rest)
 
     columns = rows.select("key", "node", "comp", "n", *SKETCH)
-    return columns.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "a long, b long").distinct()
+    return columns.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "a long, b long, far long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -314,12 +352,14 @@ def set_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
-        for batch in slices(batches, "text"):
-            sets = [(node, shingler.shingles(t)) for node, t in zip(batch.column("node").to_pylist(), batch.column("text").to_pylist())]
-            own = [(node, s.tobytes()) for node, s in sets if len(s) and node_of(s) == node]  # an id may name other texts too
-            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in own], pa.int64()), pa.array([s for _, s in own], pa.binary())], ["node", "tokens"])
+        for batch in slices(batches, "text", 1 << 20):
+            sets = shingler.sets(batch.column("text").to_pylist())
+            tokens, sizes, full = _flat(sets)
+            own = full[nodes_of(tokens, sizes) == batch.column("node").to_numpy()[full]]  # an id may name other texts too
+            nodes = batch.column("node").take(pa.array(own))
+            yield pa.RecordBatch.from_arrays([nodes, pa.array([sets[i].tobytes() for i in own], pa.binary())], ["node", "tokens"])
 
-    found = docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id").select("node", "text").mapInArrow(run, "node long, tokens binary")
+    found = docs.select(F.col("doc_id").cast("long"), "text").join(small_side(wanted), "doc_id").select("node", "text").mapInArrow(run, "node long, tokens binary")
     return found.groupBy("node").agg(F.first("tokens").alias("tokens"))
 
 
@@ -331,11 +371,15 @@ def join(docs: DataFrame) -> DataFrame:
     met = staged(nodes.join(shared.select("node").distinct(), "node"), "nodes")
     sets = staged(set_table(docs, met.select("doc_id", "node")), "sets")
     links = comps = tried = None
-    for how in ("low", "high", "nearest", "nearest", "all"):
+    for how in ("ends", "nearest", "all"):
         at = met if comps is None else met.join(comps, "node", "left")
         comp = F.col("node") if comps is None else F.coalesce("comp", "node")
-        rows = shared.join(at.select("node", comp.alias("comp"), "n", *SKETCH), "node")
-        pairs = propose(rows, how)
+        found = staged(propose(shared.join(at.select("node", comp.alias("comp"), "n", *SKETCH), "node"), how), "candidates")
+        shared = found.filter("far is null").select(F.col("a").alias("key"), F.col("b").alias("node"))
+        offers = found.filter("far is not null")
+        if how != "all":  # each node's most promising offer
+            offers = offers.groupBy("a").agg(F.min(F.struct("far", "b")).alias("best")).select("a", "best.b")
+        pairs = offers.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = staged(pairs, "pairs")
