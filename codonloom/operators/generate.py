@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.codes import TYPE_IIS, code, codon_place
 from ..functions.scalar import aa_identity, count_of, gc_percent, internal_stops, translate_dna
+from ..sources.corpus import settled
 
 
 def _choices() -> dict[str, list[str]]:
@@ -47,7 +48,7 @@ def score(candidates: DataFrame, weights: DataFrame, gc_low: float = 40.0, gc_hi
     logs = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get("table", codon_place(F.substring(F.col("cds"), i * 3 + 1, F.lit(3))) - 1))
     sites = reduce(lambda a, b: a + b, [count_of(F.col("cds"), s) for pair in TYPE_IIS.values() for s in pair])
     return (
-        candidates.join(table)
+        settled(candidates, "cds").join(table)
         .withColumn("cai", F.round(F.exp(F.aggregate(logs, F.lit(0.0), lambda t, x: t + x) / n), 6))
         .drop("table")
         .withColumn("identity", aa_identity(F.col("aa"), translate_dna(F.col("cds"))))

@@ -6,11 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def settled(df: DataFrame, column: str) -> DataFrame:
+    """df with the column computed once per row: a generator keeps its expression out of the lambdas that use it."""
+    return df.withColumn(column, F.explode(F.array(column)))
+
+
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """seq_id, gene, header, tpm, dna (letters mapped onto ACGTN, at most 1200), aa (at most 400 residues)."""
     letters = F.upper(F.regexp_replace("text", "[^A-Za-z]", ""))
     gene = F.concat("lang", F.lit("_"), (F.col("doc_id") % 97).cast("string"))
-    return (
+    rows = (
         spark.read.parquet(f"{sf_dir}/documents.parquet")
         .select("doc_id", "text", "lang", "n_chars")
         .select(
@@ -22,6 +27,7 @@ def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.substring(F.regexp_replace(letters, "[BJOUXZ]", ""), 1, 400).alias("aa"),
         )
     )
+    return settled(settled(rows, "dna"), "aa")
 
 
 SEQUENCES_SQL = """seqs AS (
