@@ -48,12 +48,13 @@ def score(candidates: DataFrame, weights: DataFrame, gc_low: float = 40.0, gc_hi
     logs = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get("table", codon_place(F.substring(F.col("cds"), i * 3 + 1, F.lit(3))) - 1))
     sites = reduce(lambda a, b: a + b, [count_of(F.col("cds"), s) for pair in TYPE_IIS.values() for s in pair])
     return (
-        settled(candidates, "cds").join(table)
+        settled(settled(candidates, "cds").withColumn("_protein", translate_dna(F.col("cds"))), "_protein").join(table)
         .withColumn("cai", F.round(F.exp(F.aggregate(logs, F.lit(0.0), lambda t, x: t + x) / n), 6))
         .drop("table")
-        .withColumn("identity", aa_identity(F.col("aa"), translate_dna(F.col("cds"))))
+        .withColumn("identity", aa_identity(F.col("aa"), F.col("_protein")))
         .withColumn("gc", F.round(gc_percent(F.col("cds")), 2))
         .withColumn("sites", sites)
+        .drop("_protein")
         .withColumn("biological_pass", (F.col("identity") == 1.0) & (internal_stops(F.col("cds")) == 0))
         .withColumn("assembly_pass", F.col("sites") == 0)
         .withColumn("gc_pass", F.col("gc").between(gc_low, gc_high))
