@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.codes import TYPE_IIS, code, codon_place
-from ..functions.scalar import aa_identity, count_of, gc_percent, internal_stops, translate_dna
+from ..functions.scalar import aa_identity, codons, count_of, gc_percent, internal_stops, translate_dna
 from ..sources.corpus import settled
 
 
@@ -45,7 +45,7 @@ def score(candidates: DataFrame, weights: DataFrame, gc_low: float = 40.0, gc_hi
     logs_by_place = F.sort_array(F.collect_list(F.struct(codon_place(F.col("codon")).alias("k"), F.when(F.col("w") > 0, F.ln("w")).alias("l"))))["l"]
     table = F.broadcast(weights.agg(logs_by_place.alias("table")))
     n = F.floor(F.length("cds") / 3).cast("int")
-    logs = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get("table", codon_place(F.substring(F.col("cds"), i * 3 + 1, F.lit(3))) - 1))
+    logs = F.transform(codons(F.col("cds")), lambda c: F.get("table", codon_place(c) - 1))
     sites = reduce(lambda a, b: a + b, [count_of(F.col("cds"), s) for pair in TYPE_IIS.values() for s in pair])
     return (
         settled(settled(candidates, "cds").withColumn("_protein", translate_dna(F.col("cds"))), "_protein").join(table)
