@@ -13,12 +13,14 @@ documents; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,59 +28,95 @@ from pyspark.sql import functions as F
 from .common import slices, staged, table
 
 LENGTH, CLASS, END_ID = 2048, 16, 1
-SHARD_IDS, MEMO, LEAST_PIECE = 4 << 20, 400_000, 8
+SHARD_IDS, MEMO, LEAST_PIECE = 4 << 20, 500_000, 8
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _ARROW = pa.schema([(x.split()[0], pa.int64()) for x in SCHEMA.split(", ")])
 
 
-def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, ids (little-endian 16-bit ids, the end id last), n.
+class Encoder:
+    """Ids of whole texts, equal to the vocabulary file's own encoding.
 
-    The vocabulary's rules never join characters across a space or a line break,
-    so what stands between them is encoded once and remembered.
+    Its rules never join characters across a space or a line break, so what stands
+    between them is encoded apart, each different piece once a batch. A piece of
+    plain Latin characters is lower-cased and cut into words as the file's rules
+    say; words are remembered. Other pieces go through the whole tokenizer.
     """
+
+    PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]*")
+    WORDS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
+
+    def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.whole = Tokenizer.from_file(path)
+        if self.whole.get_vocab_size() > 1 << 16:
+            raise ValueError("ids are stored in 16 bits")
+        self.marks = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.words = Tokenizer(self.whole.model)  # the same model on words that stand between spaces
+        self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.last = np.zeros(1 << 16, bool)
+        for token, i in self.whole.get_vocab().items():
+            self.last[i] = token.endswith("</w>")
+        self.memo: dict[str, bytes] = {}
+
+    def _parts(self, piece: str) -> list[str]:
+        if not self.PLAIN.fullmatch(piece) or any(m in piece for m in self.marks):
+            return [piece + " "]  # a space marks a piece for the whole tokenizer: words hold none
+        low = piece.lower()
+        return [low] if low.isalpha() else self.WORDS.findall(low)
+
+    def _learn(self, new: list[str]) -> None:
+        whole = [w for w in new if w[-1] == " "]
+        for w, e in zip(whole, self.whole.encode_batch_fast([w[:-1] for w in whole], add_special_tokens=False)):
+            self.memo[w] = np.array(e.ids, "<u2").tobytes()
+        words = [w for w in new if w[-1] != " "]
+        for at in range(0, len(words), 4096):
+            some = words[at : at + 4096]
+            ids = np.array(self.words.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u2")
+            ends = (2 * np.nonzero(self.last[ids])[0] + 2).tolist()
+            if len(ends) != len(some):
+                raise ValueError("each word must end with one last token")
+            raw = ids.tobytes()
+            self.memo.update((w, raw[a:b]) for w, a, b in zip(some, [0, *ends], ends))
+
+    def pieces(self, pieces: list[str]) -> list[bytes]:
+        if len(self.memo) > MEMO:
+            self.memo = {}
+        parts = [self._parts(p) for p in pieces]
+        if new := set(chain.from_iterable(parts)) - self.memo.keys():
+            self._learn(list(new))
+        memo = self.memo
+        return [memo[p[0]] if len(p) == 1 else b"".join([memo[w] for w in p]) for p in parts]
+
+    def texts(self, texts: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """Each text's ids with the end id as bytes, and their number."""
+        split = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        coded = split.flatten().dictionary_encode()
+        known = [*self.pieces(coded.dictionary.to_pylist()), np.array([END_ID], "<u2").tobytes()]
+        sizes = np.fromiter((len(x) // 2 for x in known), np.int64, len(known))
+        first = np.cumsum(sizes) - sizes
+        bounds = split.offsets.to_numpy()
+        bounds = bounds - bounds[0]
+        codes = np.insert(coded.indices.to_numpy(), bounds[1:], len(known) - 1)
+        n = sizes[codes]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        ids = np.frombuffer(b"".join(known), "<u2")[np.repeat(first[codes] - ends[:-1], n) + np.arange(ends[-1])]
+        cuts = ends[bounds + np.arange(len(bounds))]
+        return pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(2 * cuts), pa.py_buffer(ids)]).cast(pa.binary()), pa.array(np.diff(cuts), pa.int64())
+
+
+def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id, ids (little-endian 16-bit ids, the end id last), n."""
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path("word_bpe_49k.json")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        if tokenizer.get_vocab_size() > 1 << 16:
-            raise ValueError("ids are stored in 16 bits")
-        memo: dict[str, bytes] = {"": b""}
-        end = np.array([END_ID], "<u2").tobytes()
-        marks = [t.content for t in tokenizer.get_added_tokens_decoder().values() if t.special]
-        mark = marks[-1] if marks else None
-
-        def learn(new: list[str]) -> None:
-            """Encodes many pieces in one call, with a special token between them."""
-            alone = [p for p in new if mark is None or any(m in p for m in marks)]
-            for p, e in zip(alone, tokenizer.encode_batch_fast(alone, add_special_tokens=False)):
-                memo[p] = np.array(e.ids, "<u2").tobytes()
-            rest = [p for p in new if p not in memo]
-            for at in range(0, len(rest), 4096):
-                some = rest[at : at + 4096]
-                ids = np.array(tokenizer.encode_batch_fast([f" {mark} ".join(some)], add_special_tokens=False)[0].ids, "<u2")
-                cuts = np.concatenate([[-1], np.nonzero(ids == tokenizer.token_to_id(mark))[0], [len(ids)]]).tolist()
-                raw = ids.tobytes()
-                for p, a, b in zip(some, cuts, cuts[1:], strict=False):
-                    memo[p] = raw[2 * a + 2 : 2 * b]
-                if len(cuts) != len(some) + 1:
-                    raise ValueError("a piece holds the special token between pieces")
-
+        encoder = Encoder(path)
         for batch in slices(batches, "text"):
-            texts = [(t or "").replace("\n", " ").split(" ") for t in batch.column("text").to_pylist()]
-            if len(memo) > MEMO:
-                memo = {"": b""}
-            learn([p for p in set(chain.from_iterable(texts)) if p not in memo])
-            out = [b"".join([memo[p] for p in parts]) + end for parts in texts]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(out, pa.binary()), pa.array([len(x) // 2 for x in out], pa.int64())], ["doc_id", "ids", "n"]
-            )
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *encoder.texts(batch.column("text"))], ["doc_id", "ids", "n"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary, n long")
 
