@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import pickle
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -17,6 +19,8 @@ _local_dir: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of sf_dir. Python workers get rows in batches bounded in bytes, as texts can be very long."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -65,6 +69,23 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 <
             yield batch.slice(start)
 
 
+Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def tidy(run: Run) -> Run:
+    """run, giving its memory back to the system at its end: Spark keeps the Python worker for later tasks of any query."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+        if trim is not None:
+            trim(0)
+
+    return tidied
+
+
 def sent(spark: SparkSession, model: object) -> Broadcast:
     """A model of bounded size for every task, with its class: see received()."""
     return spark.sparkContext.broadcast(cloudpickle.dumps(model))

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, small_side, staged, table
+from .common import slices, small_side, staged, table, tidy
 
 PERCENT, NGRAM, MEMO, STRONG = 85, 4, 200_000, 2
 SKETCH = [f"s{i}" for i in range(4)]
@@ -194,7 +194,7 @@ def features(docs: DataFrame) -> DataFrame:
                 ["doc_id", "n", "node", *SKETCH],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, node long, " + ", ".join(f"{s} long" for s in SKETCH))
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "doc_id long, n long, node long, " + ", ".join(f"{s} long" for s in SKETCH))
 
 
 def buckets(docs: DataFrame) -> DataFrame:
@@ -230,8 +230,8 @@ def buckets(docs: DataFrame) -> DataFrame:
                 out[0] = False
             yield pa.RecordBatch.from_arrays([pa.array(key[out]), pa.array(node[out])], ["key", "node"])
 
-    rows = docs.select("text").mapInArrow(keyed, "key long, node long")
-    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(shared, "key long, node long")
+    rows = docs.select("text").mapInArrow(tidy(keyed), "key long, node long")
+    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(tidy(shared), "key long, node long")
 
 
 def near(n: np.ndarray, sketch: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -309,7 +309,7 @@ def propose(rows: DataFrame, how: str) -> DataFrame:
         yield from of(rest)
 
     columns = rows.select("key", "node", "comp", "n", *SKETCH)
-    return columns.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "a long, b long, far long")
+    return columns.repartition("key").sortWithinPartitions("key", "node").mapInArrow(tidy(run), "a long, b long, far long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -326,7 +326,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(tidy(run), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -359,7 +359,7 @@ def set_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             nodes = batch.column("node").take(pa.array(own))
             yield pa.RecordBatch.from_arrays([nodes, pa.array([sets[i].tobytes() for i in own], pa.binary())], ["node", "tokens"])
 
-    found = docs.select(F.col("doc_id").cast("long"), "text").join(small_side(wanted), "doc_id").select("node", "text").mapInArrow(run, "node long, tokens binary")
+    found = docs.select(F.col("doc_id").cast("long"), "text").join(small_side(wanted), "doc_id").select("node", "text").mapInArrow(tidy(run), "node long, tokens binary")
     return found.groupBy("node").agg(F.first("tokens").alias("tokens"))
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_fold, received, sent, slices, table
+from .common import id_fold, received, sent, slices, table, tidy
 
 #: Bounds of the training sample: characters per language, per document, languages, and characters in all.
 LANG_CHARS, DOC_CHARS, LANGS, ALL_CHARS = 12_288, 1024, 256, 1 << 20
@@ -187,7 +187,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 ["doc_id", "held_out", "lang_pred", "score", "rate"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), (id_fold("doc_id", 3) == 1).alias("held_out"), "text").mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), (id_fold("doc_id", 3) == 1).alias("held_out"), "text").mapInArrow(tidy(run), SCHEMA)
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,4 +205,4 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, most_rate: float =
             found = model.predict(batch.column("text").to_pylist())
             yield batch.filter(pa.array([lang != "und" and rate <= most_rate for lang, _, rate in found]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -17,7 +17,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import slices, table
+from .common import slices, table, tidy
 
 #: The base phrases with their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -146,7 +146,7 @@ def scan(docs: DataFrame, phrases: dict[str, str] = BASE, notices: dict[str, str
             rows = [{"doc_id": i, **scanner.scan(t)} for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), SCHEMA)
 
 
 def op1_license(spark: SparkSession, sf_dir: str) -> DataFrame:

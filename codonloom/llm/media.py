@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import slices, table, tidy
 
 UNIT, RATE, FRAME, HOP, PEAKS, FAN, AHEAD = 192, 8000, 256, 192, 3, 3, 8
 
@@ -111,7 +111,7 @@ def store(docs: DataFrame) -> DataFrame:
                     cols[name].append(value)
             yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) for f in _ARROW], schema=_ARROW)
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), SCHEMA)
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,10 +25,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, staged, table
+from .common import slices, staged, table, tidy
 
 LENGTH, CLASS, END_ID = 2048, 16, 1
-SHARD_IDS, MEMO, LEAST_PIECE = 4 << 20, 500_000, 8
+SHARD_IDS, MEMO, LEAST_PIECE = 4 << 20, 300_000, 8
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _ARROW = pa.schema([(x.split()[0], pa.int64()) for x in SCHEMA.split(", ")])
@@ -115,10 +115,10 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 4 << 20):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *encoder.texts(batch.column("text"))], ["doc_id", "ids", "n"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary, n long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "doc_id long, ids binary, n long")
 
 
 def knapsack(values: np.ndarray, room: int) -> tuple[float, np.ndarray]:
@@ -258,7 +258,7 @@ def pack(encoded: DataFrame, length: int = LENGTH, unit: int = CLASS) -> DataFra
             out, seq = shard(ids, docs, seq)
             yield out
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, SCHEMA)
+    return encoded.select("doc_id", "ids").mapInArrow(tidy(run), SCHEMA)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

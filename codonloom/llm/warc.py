@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, slices, staged, table
+from .common import fresh_path, slices, staged, table, tidy
 
 DICT_FRAME = 0x184D2A5D
 DICT_BYTES, SAMPLES, SAMPLE_BYTES, ARCHIVE_BYTES = 32 << 10, 256, 8 << 10, 8 << 20
@@ -137,7 +137,7 @@ def write(pages_with_roles: DataFrame, path: str, dictionary: bytes, level: int
         if size:
             yield flush()
 
-    return pages_with_roles.select("page_id", "url", "html", "sha1", "best").mapInArrow(run, "archive string, records long")
+    return pages_with_roles.select("page_id", "url", "html", "sha1", "best").mapInArrow(tidy(run), "archive string, records long")
 
 
 def records_of(content: bytes) -> Iterator[bytes]:
@@ -171,7 +171,7 @@ def read(manifest: DataFrame, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), _ROWS)], schema=_ROWS)
 
     spread = manifest.sparkSession.sparkContext.defaultParallelism * 4
-    return manifest.select("archive").repartition(spread).mapInArrow(run, ROWS)
+    return manifest.select("archive").repartition(spread).mapInArrow(tidy(run), ROWS)
 
 
 def archive(pages: DataFrame, path: str, least_bytes: int = 0) -> DataFrame:
