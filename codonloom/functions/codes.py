@@ -33,3 +33,16 @@ def codon_place(c: Column) -> Column:
     """A codon's place, from 1, in RESIDUES; null for anything else. Arithmetic, where a map would be searched entry by entry."""
     at = [F.nullif(F.instr(F.lit(BASES), F.substring(c, i, 1)), F.lit(0)) for i in (1, 2, 3)]
     return F.when(F.length(c) == 3, (at[0] - 1) * 16 + (at[1] - 1) * 4 + at[2])
+
+
+#: Recognition sites by assembly standard.
+ASSEMBLY = {
+    "golden_gate": {"BsaI": ("GGTCTC", "GAGACC"), "BpiI": ("GAAGAC", "GTCTTC"), "BsmBI": ("CGTCTC", "GAGACG")},
+    "moclo": {"BsaI": ("GGTCTC", "GAGACC")},
+    "biobricks": {"EcoRI": ("GAATTC",), "XbaI": ("TCTAGA",), "SpeI": ("ACTAGT",), "PstI": ("CTGCAG",)},
+}
+#: Kyte-Doolittle hydropathy in tenths.
+HYDROPATHY = {
+    "A": 18, "R": -45, "N": -35, "D": -35, "C": 25, "Q": -35, "E": -35, "G": -4, "H": -32, "I": 45,
+    "L": 38, "K": -39, "M": 19, "F": 28, "P": -16, "S": -8, "T": -7, "W": -9, "Y": -13, "V": 42,
+}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .codes import RESIDUES, STOPS, codon_place
+from .codes import HYDROPATHY, RESIDUES, STOPS, codon_place
 
 
 def normalize_dna(s: Column) -> Column:
@@ -72,3 +72,35 @@ def sequence_type(s: Column) -> Column:
         .when(s.rlike("^[ACGTUNRYSWKMBDHV]+$"), "dna")
         .otherwise("unknown")
     )
+
+
+def hydropathy(residue: Column) -> Column:
+    """Kyte-Doolittle value in tenths; 0 for other letters."""
+    table = F.create_map(*[x for a, v in HYDROPATHY.items() for x in (F.lit(a), F.lit(v))])
+    return F.coalesce(table[residue], F.lit(0))
+
+
+def mean_hydropathy(s: Column) -> Column:
+    """The mean over all residues; null for an empty protein. Counted letter by letter, so no array is made."""
+    total = sum(((F.length(s) - F.length(F.replace(s, F.lit(a)))) * v for a, v in HYDROPATHY.items()), F.lit(0))
+    return total / (F.nullif(F.length(s), F.lit(0)) * 10).cast("double")
+
+
+def invalid_codons(s: Column) -> Column:
+    """array<struct<pos, codon, reason>>: a partial tail, or a codon with another letter than ACGT; pos from 0."""
+    every = F.regexp_extract_all(s, F.lit("(?s).{1,3}"), F.lit(0))
+    reason = lambda c: F.when(F.length(c) < 3, "partial").when(c.rlike("[^ACGT]"), "invalid_base")
+    judged = F.transform(every, lambda c, i: F.struct(i.alias("pos"), c.alias("codon"), reason(c).alias("reason")))
+    return F.filter(judged, lambda r: r["reason"].isNotNull())
+
+
+def dinucleotide_score(s: Column, cpg: float = 0.0, tpa: float = 1.0) -> Column:
+    """1 without the pairs, falling to 0 at twice the expected count; 1 below six bases."""
+    part = lambda pair: F.greatest(F.lit(0.0), 1 - dinucleotide_ratio(s, pair) / 2.0)
+    mean = (part("CG") * F.lit(cpg) + part("TA") * F.lit(tpa)) / F.lit(cpg + tpa) if cpg + tpa else F.lit(1.0)
+    return F.when(F.length(s) < 6, F.lit(1.0)).otherwise(mean)
+
+
+def risk(tm_count: Column, mean_kd: Column, signal: Column, least: float = 0.3) -> Column:
+    """HIGH, MEDIUM or LOW from membrane segments, hydropathy and the signal-peptide flag."""
+    return F.when((tm_count >= 3) | ((tm_count >= 1) & (mean_kd >= least) & ~signal), "HIGH").when(tm_count >= 1, "MEDIUM").otherwise("LOW")

@@ -81,3 +81,11 @@ def failures(results: DataFrame) -> DataFrame:
     each = rows.groupBy("method", "seq_id", "category").agg(F.count(F.lit(1)).alias("k"))
     n = rows.groupBy("method").agg((F.count(F.lit(1)) / F.countDistinct("seq_id")).alias("replicates"))
     return each.groupBy("method", "category").agg(F.sum("k").alias("k")).join(F.broadcast(n), "method").select("method", "category", F.round(F.col("k") / F.col("replicates"), 6).alias("weight"))
+
+
+def gc_bounds(aa: Column) -> tuple[Column, Column]:
+    """The least and the most G and C that any coding sequence of the protein can hold."""
+    counts = {a: [sum(b in "GC" for b in c) for c in cs] for a, cs in sorted(_choices().items())}
+    held = lambda a: F.length(aa) - F.length(F.replace(aa, F.lit(a)))
+    total = lambda of: reduce(lambda x, y: x + y, [held(a) * of(n) for a, n in counts.items()]).cast("long")
+    return total(min), total(max)

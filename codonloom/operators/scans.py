@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.codes import POLYA, TYPE_IIS
+from ..functions.codes import POLYA, STOPS, TYPE_IIS
+from ..functions.scalar import codons, hydropathy
 
 
 def motif_hits(seqs: DataFrame, motifs: dict[str, str], column: str = "dna") -> DataFrame:
@@ -83,3 +84,57 @@ def splice_pairs(seqs: DataFrame, near: int = 20, far: int = 200) -> DataFrame:
     acceptors = spans(seqs, "[CT]AG").select("seq_id", F.col("start").alias("acceptor"), F.floor(F.col("start") / far).alias("bucket"))
     dealt = donors.withColumn("bucket", F.explode(F.array(F.floor(F.col("donor") / far), F.floor(F.col("donor") / far) + 1)))
     return dealt.join(acceptors, ["seq_id", "bucket"]).filter(F.expr(f"acceptor - donor BETWEEN {near} AND {far}")).select("seq_id", "donor", "acceptor")
+
+
+def marks(seqs: DataFrame, column: str, pieces: Column) -> DataFrame:
+    """(seq_id, n, pos, x): one row per element of `pieces`, from 0; n is the length of the column."""
+    return seqs.select("seq_id", F.length(column).alias("n"), F.posexplode(pieces).alias("pos", "x"))
+
+
+def sliding(rows: DataFrame, flag: Column, width: int, name: str) -> DataFrame:
+    """Adds the sum of `flag` over the `width` rows from each place on, within a sequence."""
+    w = Window.partitionBy("seq_id").orderBy("pos").rowsBetween(0, width - 1)
+    return rows.withColumn(name, F.sum(flag).over(w))
+
+
+def gc_extremes(seqs: DataFrame, width: int = 50, low: int = 25, high: int = 75) -> DataFrame:
+    """(seq_id, n_low, n_high): windows, one per base, whose GC percent is below or above; a count, so nothing is emitted per window."""
+    bases = marks(seqs, "dna", F.split("dna", "")).filter(F.col("n") >= width)
+    gc = sliding(bases, F.col("x").isin("G", "C").cast("int"), width, "gc").filter(F.col("pos") <= F.col("n") - width)
+    return gc.groupBy("seq_id").agg(F.count(F.when(F.col("gc") * 100 < low * width, 1)).alias("n_low"), F.count(F.when(F.col("gc") * 100 > high * width, 1)).alias("n_high"))
+
+
+def dinucleotide_hotspots(seqs: DataFrame, width: int = 50, per_window: float = 0.05) -> DataFrame:
+    """(seq_id, n_cpg, n_tpa): windows with more than `per_window` pairs a base; a sequence shorter than a window is one window."""
+    rows = marks(seqs, "dna", F.split("dna", ""))
+    nxt = F.lead("x").over(Window.partitionBy("seq_id").orderBy("pos"))
+    rows = rows.withColumn("pair", F.concat("x", nxt)).withColumn("size", F.least(F.col("n"), F.lit(width)))
+    both = sliding(sliding(rows, (F.col("pair") == "CG").cast("int"), width - 1, "cpg"), (F.col("pair") == "TA").cast("int"), width - 1, "tpa")
+    windows = both.filter((F.col("n") >= 2) & (F.col("pos") <= F.col("n") - F.col("size")))
+    hot = lambda c: F.count(F.when(F.coalesce(F.col(c), F.lit(0)) / F.col("size").cast("double") > per_window, 1))
+    return windows.groupBy("seq_id").agg(hot("cpg").alias("n_cpg"), hot("tpa").alias("n_tpa"))
+
+
+def islands(rows: DataFrame) -> DataFrame:
+    """(seq_id, start, length): runs of consecutive `pos`."""
+    w = Window.partitionBy("seq_id").orderBy("pos")
+    grouped = rows.withColumn("island", F.col("pos") - F.row_number().over(w)).groupBy("seq_id", "island")
+    return grouped.agg(F.min("pos").alias("start"), F.count(F.lit(1)).alias("length")).drop("island")
+
+
+def rare_codon_runs(seqs: DataFrame, weights: DataFrame, least: int = 3, rare: float = 0.3) -> DataFrame:
+    """(seq_id, codon_index, run_length, severity): runs of sense codons of low weight; one without a weight counts as rare. Sequences out of frame give none."""
+    table = weights.filter("w is not null").select(F.col("codon").alias("x"), "w")
+    rows = marks(seqs.filter(F.length("dna") % 3 == 0), "dna", codons(F.col("dna"))).filter(~F.col("x").isin(*STOPS))
+    low = rows.join(F.broadcast(table), "x", "left").filter(F.coalesce("w", F.lit(0.0)) < rare)
+    runs = islands(low).filter(F.col("length") >= least)
+    return runs.select("seq_id", F.col("start").alias("codon_index"), F.col("length").alias("run_length"), F.when(F.col("length") >= 5, "high").otherwise("medium").alias("severity"))
+
+
+def tm_segments(proteins: DataFrame, width: int = 19, tenths: int = 16) -> DataFrame:
+    """(seq_id, tm_count): windows of mean hydropathy of 1.6 or more, merged where they meet or overlap. Summed in tenths, so exactly."""
+    rows = marks(proteins, "aa", F.split("aa", "")).filter(F.col("n") >= width)
+    warm = sliding(rows, hydropathy(F.col("x")), width, "kd").filter((F.col("pos") <= F.col("n") - width) & (F.col("kd") >= tenths * width))
+    before = F.lag("pos").over(Window.partitionBy("seq_id").orderBy("pos"))
+    first = warm.withColumn("first", before.isNull() | (F.col("pos") > before + width))
+    return first.groupBy("seq_id").agg(F.count(F.when(F.col("first"), 1)).alias("tm_count"))

@@ -185,10 +185,10 @@ def m21(spark: SparkSession, d: str) -> DataFrame:
     return scans.type_iis(sequences(spark, d))
 
 
-@query("w01_longest_isoform", "SELECT seq_id, gene FROM (SELECT *, row_number() OVER (PARTITION BY gene ORDER BY length(dna) DESC, seq_id) AS r FROM seqs) WHERE r = 1")
+@query("w01_longest_isoform", "SELECT seq_id, gene FROM (SELECT *, row_number() OVER (PARTITION BY gene ORDER BY length(dna) DESC, seq_id) AS r FROM seqs) WHERE r = 1 OR gene IS NULL")
 def w01(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("gene").orderBy(F.length("dna").desc(), "seq_id")
-    return sequences(spark, d).withColumn("r", F.row_number().over(w)).filter("r = 1").select("seq_id", "gene")
+    return sequences(spark, d).withColumn("r", F.row_number().over(w)).filter("r = 1 or gene is null").select("seq_id", "gene")
 
 
 @query("w02_dedup", "SELECT min(seq_id) AS seq_id, count(*) AS copies FROM seqs GROUP BY dna")

@@ -11,28 +11,35 @@ def settled(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn(column, F.explode(F.array(column)))
 
 
+#: Letters of a text are cut into pieces of this many, so that one very long text becomes many sequences.
+PIECE = 600
+
+
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """seq_id, gene, header, tpm, dna (letters mapped onto ACGTN, at most 1200), aa (at most 400 residues)."""
-    letters = F.upper(F.regexp_replace("text", "[^A-Za-z]", ""))
+    """seq_id, gene, header, tpm, dna (letters mapped onto ACGTN), aa (its residue letters): all of a text, one row per piece.
+
+    seq_id is doc_id * 1,000,000 + the piece's number. A text that is null or holds no letter gives no row.
+    """
     gene = F.concat("lang", F.lit("_"), (F.col("doc_id") % 97).cast("string"))
-    rows = (
+    letters = F.upper(F.regexp_replace("text", "[^A-Za-z]", ""))
+    pieces = (
         spark.read.parquet(f"{sf_dir}/documents.parquet")
-        .select("doc_id", "text", "lang", "n_chars")
-        .select(
-            F.col("doc_id").alias("seq_id"),
-            gene.alias("gene"),
-            F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(" gene="), gene).alias("header"),
-            F.col("n_chars").alias("tpm"),
-            F.substring(F.translate(letters, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ACGTACGTACGTACGTACGTACGTAN"), 1, 1200).alias("dna"),
-            F.substring(F.regexp_replace(letters, "[BJOUXZ]", ""), 1, 400).alias("aa"),
-        )
+        .select("doc_id", gene.alias("gene"), F.col("n_chars").alias("tpm"), F.posexplode(F.regexp_extract_all(letters, F.lit(f".{{1,{PIECE}}}"), F.lit(0))).alias("piece", "letters"))
+    )
+    rows = pieces.select(
+        (F.col("doc_id") * 1000000 + F.col("piece")).alias("seq_id"),
+        "gene",
+        F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit("."), F.col("piece").cast("string"), F.lit(" gene="), "gene").alias("header"),
+        "tpm",
+        F.translate("letters", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ACGTACGTACGTACGTACGTACGTAN").alias("dna"),
+        F.regexp_replace("letters", "[BJOUXZ]", "").alias("aa"),
     )
     return settled(settled(rows, "dna"), "aa")
 
 
-SEQUENCES_SQL = """seqs AS (
-  SELECT doc_id AS seq_id, lang || '_' || (doc_id % 97) AS gene, 'doc' || doc_id || ' gene=' || lang || '_' || (doc_id % 97) AS header, n_chars AS tpm,
-    substr(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'ACGTACGTACGTACGTACGTACGTAN'), 1, 1200) AS dna,
-    substr(regexp_replace(l, '[BJOUXZ]', '', 'g'), 1, 400) AS aa
-  FROM (SELECT *, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS l FROM documents)
+SEQUENCES_SQL = f"""seqs AS (
+  SELECT doc_id * 1000000 + k - 1 AS seq_id, gene, 'doc' || doc_id || '.' || (k - 1) || ' gene=' || gene AS header, n_chars AS tpm,
+    translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'ACGTACGTACGTACGTACGTACGTAN') AS dna, regexp_replace(l, '[BJOUXZ]', '', 'g') AS aa
+  FROM (SELECT doc_id, n_chars, lang || '_' || (doc_id % 97) AS gene, unnest(ls) AS l, generate_subscripts(ls, 1) AS k
+    FROM (SELECT *, regexp_extract_all(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '.{{1,{PIECE}}}') AS ls FROM documents))
 )"""
