@@ -79,7 +79,7 @@ def failures(results: DataFrame) -> DataFrame:
     )
     rows = results.withColumn("category", kind)
     each = rows.groupBy("method", "seq_id", "category").agg(F.count(F.lit(1)).alias("k"))
-    n = rows.groupBy("method").agg((F.count(F.lit(1)) / F.countDistinct("seq_id")).alias("replicates"))
+    n = each.groupBy("method").agg((F.sum("k") / F.countDistinct("seq_id")).alias("replicates"))
     return each.groupBy("method", "category").agg(F.sum("k").alias("k")).join(F.broadcast(n), "method").select("method", "category", F.round(F.col("k") / F.col("replicates"), 6).alias("weight"))
 
 
