@@ -40,10 +40,12 @@ from pyspark.sql import functions as F
 from .common import slices, small_side, staged, table, tidy
 
 PERCENT, NGRAM, MEMO, STRONG = 85, 4, 200_000, 2
+#: The pipeline stage's own rule.
+STAGE_PERCENT, STAGE_NGRAM = 80, 5
 SKETCH = [f"s{i}" for i in range(4)]
 
 
-def difference(total: int, percent: int = PERCENT) -> int:
+def difference(total: int | np.ndarray, percent: int = PERCENT) -> int | np.ndarray:
     """The largest symmetric difference of linked sets whose sizes sum to total."""
     return (100 - percent) * total // (100 + percent)
 
@@ -177,11 +179,11 @@ def _flat(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate([sets[i] for i in full]) if len(full) else np.zeros(0, np.uint64), np.array([len(sets[i]) for i in full], np.int64), full
 
 
-def features(docs: DataFrame) -> DataFrame:
+def features(docs: DataFrame, ngram: int = NGRAM) -> DataFrame:
     """doc_id, n, node (null without shingles) and the 256-bit parity sketch as four longs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler()
+        shingler = Shingler(ngram)
         for batch in slices(batches, "text", 1 << 20):
             sets = shingler.sets(batch.column("text").to_pylist())
             tokens, sizes, full = _flat(sets)
@@ -197,11 +199,11 @@ def features(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "doc_id long, n long, node long, " + ", ".join(f"{s} long" for s in SKETCH))
 
 
-def buckets(docs: DataFrame) -> DataFrame:
+def buckets(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT) -> DataFrame:
     """(key, node) of the keys that two nodes or more share. Rows are dealt by key; each task keeps one row of a key at a time."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, bands = Shingler(), Bands()
+        shingler, bands = Shingler(ngram), Bands(percent)
         for batch in slices(batches, "text", 1 << 20):
             tokens, sizes, _ = _flat(shingler.sets(batch.column("text").to_pylist()))
             owner, keys = keys_of(tokens, sizes, bands)
@@ -234,15 +236,15 @@ def buckets(docs: DataFrame) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(tidy(shared), "key long, node long")
 
 
-def near(n: np.ndarray, sketch: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def near(n: np.ndarray, sketch: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
     """(whether sizes and sketches allow a link, Hamming distance) of pairs of rows."""
     h = np.bitwise_count((sketch[i] ^ sketch[j]).view(np.uint64)).sum(axis=-1).astype(np.int64)
     a, b = n[i], n[j]
-    fits = 100 * np.minimum(a, b) >= PERCENT * np.maximum(a, b)
-    return fits & (h <= (100 - PERCENT) * (a + b) // (100 + PERCENT)), h
+    fits = 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
+    return fits & (h <= difference(a + b, percent)), h
 
 
-def propose(rows: DataFrame, how: str) -> DataFrame:
+def propose(rows: DataFrame, how: str, percent: int = PERCENT) -> DataFrame:
     """From bucket rows (key, node, comp, n, sketch): candidates (a, b, far), and with `far` null the rows (key, node) of their buckets.
 
     Only buckets that hold more than one component count. `ends` offers every
@@ -256,7 +258,7 @@ def propose(rows: DataFrame, how: str) -> DataFrame:
         rows_of = np.arange(edges[-1])
         found = []
         for hub in (np.repeat(edges[:-1], size), np.repeat(edges[1:] - 1, size)):
-            fits, h = near(m[:, 3], m[:, 4:], hub, rows_of)
+            fits, h = near(m[:, 3], m[:, 4:], hub, rows_of, percent)
             ok = (m[hub, 2] != m[rows_of, 2]) & fits
             found.append((rows_of[ok], hub[ok], h[ok]))
         return tuple(np.concatenate(x) for x in zip(*found))
@@ -268,7 +270,7 @@ def propose(rows: DataFrame, how: str) -> DataFrame:
         found = []
         for at in range(0, g, step := max(1, (1 << 20) // g)):
             i = np.arange(at, min(g, at + step))
-            fits, h = near(n, sketch, i[:, None], every[None, :])
+            fits, h = near(n, sketch, i[:, None], every[None, :], percent)
             fits &= comp[i][:, None] != comp[None, :]
             if how == "nearest":
                 best = np.argmin(np.where(fits, h, 1 << 20), axis=1)
@@ -312,8 +314,8 @@ def propose(rows: DataFrame, how: str) -> DataFrame:
     return columns.repartition("key").sortWithinPartitions("key", "node").mapInArrow(tidy(run), "a long, b long, far long")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose sets, sorted hashes in bytes, have 100 * intersection >= PERCENT * union."""
+def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs whose sets, sorted hashes in bytes, have 100 * intersection >= percent * union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -321,7 +323,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             for x, y in zip(batch.column("x"), batch.column("y")):
                 s, t = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = len(np.intersect1d(s, t, assume_unique=True))
-                keep.append(100 * both >= PERCENT * (len(s) + len(t) - both))
+                keep.append(100 * both >= percent * (len(s) + len(t) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
@@ -347,11 +349,11 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def set_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def set_table(docs: DataFrame, wanted: DataFrame, ngram: int = NGRAM) -> DataFrame:
     """node, tokens of the wanted (doc_id, node)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler()
+        shingler = Shingler(ngram)
         for batch in slices(batches, "text", 1 << 20):
             sets = shingler.sets(batch.column("text").to_pylist())
             tokens, sizes, full = _flat(sets)
@@ -363,18 +365,18 @@ def set_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.groupBy("node").agg(F.first("tokens").alias("tokens"))
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, links: the verified links of the document's set that were needed."""
-    feats = staged(features(docs), "features")
+def join(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, by shingles of ngram words and links of percent or more."""
+    feats = staged(features(docs, ngram), "features")
     nodes = feats.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), *[F.first(s).alias(s) for s in SKETCH])
-    shared = staged(buckets(docs), "buckets")
+    shared = staged(buckets(docs, ngram, percent), "buckets")
     met = staged(nodes.join(shared.select("node").distinct(), "node"), "nodes")
-    sets = staged(set_table(docs, met.select("doc_id", "node")), "sets")
+    sets = staged(set_table(docs, met.select("doc_id", "node"), ngram), "sets")
     links = comps = tried = None
     for how in ("ends", "nearest", "all"):
         at = met if comps is None else met.join(comps, "node", "left")
         comp = F.col("node") if comps is None else F.coalesce("comp", "node")
-        found = staged(propose(shared.join(at.select("node", comp.alias("comp"), "n", *SKETCH), "node"), how), "candidates")
+        found = staged(propose(shared.join(at.select("node", comp.alias("comp"), "n", *SKETCH), "node"), how, percent), "candidates")
         shared = found.filter("far is null").select(F.col("a").alias("key"), F.col("b").alias("node"))
         offers = found.filter("far is not null")
         if how != "all":  # each node's most promising offer
@@ -386,7 +388,7 @@ def join(docs: DataFrame) -> DataFrame:
         if not pairs.head(1):
             continue
         tried = pairs if tried is None else tried.union(pairs)
-        fresh = verified(pairs, sets)
+        fresh = verified(pairs, sets, percent)
         links = staged(fresh if links is None else links.union(fresh), "verified")
         comps = components(links)
     if comps is None:
@@ -399,12 +401,12 @@ def join(docs: DataFrame) -> DataFrame:
 
 
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join(table(spark, sf_dir, "documents"))
+    return join(table(spark, sf_dir, "documents"), NGRAM, PERCENT)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one with the smallest id, once."""
-    keep = join(docs).filter("doc_id = component_id or doc_id is null").select("doc_id").distinct()
+    """One document of each group of near copies by the stage's rule stays: the one with the smallest id, once."""
+    keep = join(docs, STAGE_NGRAM, STAGE_PERCENT).filter("doc_id = component_id or doc_id is null").select("doc_id").distinct()
     one = docs.dropDuplicates(["doc_id"]) if docs.groupBy("doc_id").count().filter("count > 1").head(1) else docs
     return one.join(keep, one["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi").select(*docs.columns)
 

@@ -182,6 +182,29 @@ def test_jaccard_equals_brute_force(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == {i: (len(s), low[i]) for i, s in enumerate(sets)}
 
 
+def test_jaccard_stage_equals_brute_force_by_its_own_rule(spark):
+    rng = np.random.default_rng(7)
+    words = [f"w{i}" for i in range(3000)]
+    texts = []
+    for n in (6, 10, 30, 47, 100, 100, 230):
+        base = list(rng.choice(words, n, replace=False))
+        texts += [" ".join(base), " ".join(base[: n - n * 17 // 100]), " ".join(base + [f"new{i}" for i in range(n * 24 // 100)])]
+        for changes in range(n // 49 + 1, n // 40 + 2):
+            copy = list(base)
+            for i in range(changes):
+                copy[(2 * i + 1) * n // (2 * changes)] = "edit"
+            texts.append(" ".join(copy))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)} for w in (t.split() for t in texts)]
+    low = list(range(len(texts)))
+    for _ in texts:
+        for i in range(len(texts)):
+            for j in range(i):
+                if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                    low[i] = low[j] = min(low[i], low[j])
+    kept = {r["doc_id"] for r in jaccard.stage(spark, docs(spark, texts), "").collect()}
+    assert kept == {i for i in range(len(texts)) if low[i] == i}
+
+
 def test_parity_sketch_bounds_the_difference():
     rng = np.random.default_rng(4)
     a = rng.integers(0, 2**63, 300).astype(np.uint64)
