@@ -51,6 +51,32 @@ def test_toxicity_learns_words_and_keeps_odd_rows(spark):
     assert {r["score"] for r in none.collect()} == {0.0}
 
 
+def test_toxicity_keeps_rare_words_in_any_number_of_shards(spark, monkeypatch):
+    words = [(f"w{i}", 0, 40, 400) for i in range(3000)] + [("seldom", 0, 5, 0), ("once", 0, 1, 0), ("tame", 0, 0, 5), ("plenty", 0, 40, 400)]
+    counts = spark.createDataFrame(words, "word string, context int, toxic long, plain long")
+    one, many = toxicity.learn(counts), toxicity.learn(counts, shard_words=700)
+    monkeypatch.setattr(toxicity, "HELD_WORDS", 10)
+    for evidence in (one, many):
+        evidence.of(["seldom once tame plenty unseen"])
+    assert len(list(many.shards())) == 5 and not many.held
+    assert one.memo == pytest.approx(many.memo)
+    gain = many.memo
+    assert gain["seldom"] > gain["once"] > 0.1 > gain["plenty"] > gain["tame"] and gain["unseen"] == 0
+
+
+def test_toxicity_counts_all_rows_that_do_not_calibrate(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "learn", lambda counts: seen.extend(r["word"] for r in counts.collect()))
+    letters = ["".join("abcdefghij"[int(c)] for c in str(i)) for i in range(400)]
+    table = docs(spark, letters)
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(400)], "doc_id long, quality int, toxic int")
+    toxicity.fit(table, labels, calibration_rows=20)
+    folds = {w: zlib.crc32(str(i).encode()) % 4 for i, w in enumerate(letters)}
+    fold3 = [w for w, f in folds.items() if f == 3]
+    assert {w for w, f in folds.items() if f < 2} <= set(seen) and not any(folds[w] == 2 for w in seen)
+    assert len(fold3) - 40 <= len(set(fold3) & set(seen)) < len(fold3)
+
+
 def test_mixing_meets_targets_and_bounds(spark):
     texts = [" ".join(["w"] * (1 + i % 50)) for i in range(600)] + ODD
     rows = mixing.mix(docs(spark, texts, extra=True), block_words=4, docs_per_shard=100).collect()
