@@ -20,9 +20,9 @@ and last every pair still apart.
 
 Defined results: null texts and texts without words have no shingles and stand
 alone; with fewer words than a shingle the whole sequence is one; repeated rows
-are copies of each other; rows with a null doc_id group with equal sets only; an
-empty table gives no rows; other columns are
-ignored. Sets and shingles are known by 64-bit hashes.
+are copies of each other; rows with a null doc_id group with equal sets only (in
+the pipeline stage, which goes by content, like any other); an empty table gives
+no rows; other columns are ignored. Sets and shingles are known by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from math import ceil
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import slices, small_side, staged, table, tidy
@@ -179,8 +179,8 @@ def _flat(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate([sets[i] for i in full]) if len(full) else np.zeros(0, np.uint64), np.array([len(sets[i]) for i in full], np.int64), full
 
 
-def features(docs: DataFrame, ngram: int = NGRAM) -> DataFrame:
-    """doc_id, n, node (null without shingles) and the 256-bit parity sketch as four longs."""
+def features(docs: DataFrame, ngram: int = NGRAM, mark: Column | None = None) -> DataFrame:
+    """doc_id, mark (0 if none is given), n, node (null without shingles) and the 256-bit parity sketch as four longs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(ngram)
@@ -192,11 +192,12 @@ def features(docs: DataFrame, ngram: int = NGRAM) -> DataFrame:
                 longs[full], nodes[full], none[full] = sketches_of(tokens, sizes), nodes_of(tokens, sizes), False
             n = np.array([len(x) for x in sets], np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n), pa.array(nodes, mask=none), *[pa.array(np.ascontiguousarray(longs[:, i])) for i in range(4)]],
-                ["doc_id", "n", "node", *SKETCH],
+                [batch.column("doc_id"), batch.column("mark"), pa.array(n), pa.array(nodes, mask=none), *[pa.array(np.ascontiguousarray(longs[:, i])) for i in range(4)]],
+                ["doc_id", "mark", "n", "node", *SKETCH],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "doc_id long, n long, node long, " + ", ".join(f"{s} long" for s in SKETCH))
+    marked = docs.select(F.col("doc_id").cast("long"), "text", (F.lit(0) if mark is None else mark).cast("long").alias("mark"))
+    return marked.mapInArrow(tidy(run), "doc_id long, mark long, n long, node long, " + ", ".join(f"{s} long" for s in SKETCH))
 
 
 def buckets(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT) -> DataFrame:
@@ -350,28 +351,38 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def set_table(docs: DataFrame, wanted: DataFrame, ngram: int = NGRAM) -> DataFrame:
-    """node, tokens of the wanted (doc_id, node)."""
+    """node, tokens of the wanted (doc_id, node). Nodes that no row with an id has are looked for in the rows without one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(ngram)
         for batch in slices(batches, "text", 1 << 20):
             sets = shingler.sets(batch.column("text").to_pylist())
             tokens, sizes, full = _flat(sets)
-            own = full[nodes_of(tokens, sizes) == batch.column("node").to_numpy()[full]]  # an id may name other texts too
-            nodes = batch.column("node").take(pa.array(own))
-            yield pa.RecordBatch.from_arrays([nodes, pa.array([sets[i].tobytes() for i in own], pa.binary())], ["node", "tokens"])
-
-    found = docs.select(F.col("doc_id").cast("long"), "text").join(small_side(wanted), "doc_id").select("node", "text").mapInArrow(tidy(run), "node long, tokens binary")
+            nodes = nodes_of(tokens, sizes)
+            if "node" in batch.schema.names:  # an id may name other texts too
+                same = nodes == batch.column("node").to_numpy()[full]
+                full, nodes = full[same], nodes[same]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array([sets[i].tobytes() for i in full], pa.binary())], ["node", "tokens"])
+
+    schema = "node long, tokens binary"
+    named, rest = wanted.filter("doc_id is not null"), wanted.filter("doc_id is null").select("node")
+    found = docs.select(F.col("doc_id").cast("long"), "text").join(small_side(named), "doc_id").select("node", "text").mapInArrow(tidy(run), schema)
+    if rest.head(1):
+        found = found.union(docs.filter("doc_id is null").select("text").mapInArrow(tidy(run), schema).join(rest, "node", "left_semi"))
     return found.groupBy("node").agg(F.first("tokens").alias("tokens"))
 
 
-def join(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, by shingles of ngram words and links of percent or more."""
-    feats = staged(features(docs, ngram), "features")
+def grouped(docs: DataFrame, ngram: int, percent: int, mark: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """The rows' features, and (node, comp, doc_id) of the nodes: the component, and the smallest id of the node's rows.
+
+    With a mark, sets that only rows without an id have are linked too.
+    """
+    feats = staged(features(docs, ngram, mark), "features")
     nodes = feats.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), *[F.first(s).alias(s) for s in SKETCH])
     shared = staged(buckets(docs, ngram, percent), "buckets")
     met = staged(nodes.join(shared.select("node").distinct(), "node"), "nodes")
-    sets = staged(set_table(docs, met.select("doc_id", "node"), ngram), "sets")
+    wanted = met.select("doc_id", "node")
+    sets = staged(set_table(docs, wanted.filter("doc_id is not null") if mark is None else wanted, ngram), "sets")
     links = comps = tried = None
     for how in ("ends", "nearest", "all"):
         at = met if comps is None else met.join(comps, "node", "left")
@@ -392,10 +403,14 @@ def join(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT) -> DataFra
         links = staged(fresh if links is None else links.union(fresh), "verified")
         comps = components(links)
     if comps is None:
-        part = nodes.select("node", F.col("node").alias("comp"))
-    else:
-        part = nodes.select("node").join(comps, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
-    low = nodes.join(part, "node").groupBy("comp").agg(F.min("doc_id").alias("low"))
+        return feats, nodes.select("node", F.col("node").alias("comp"), "doc_id")
+    return feats, nodes.join(comps, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "doc_id")
+
+
+def join(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, by shingles of ngram words and links of percent or more."""
+    feats, part = grouped(docs, ngram, percent)
+    low = part.groupBy("comp").agg(F.min("doc_id").alias("low"))
     smallest = part.join(low, "comp").select("node", "low")
     return feats.join(smallest, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("low", "doc_id").alias("component_id"))
 
@@ -405,10 +420,18 @@ def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies by the stage's rule stays: the one with the smallest id, once."""
-    keep = join(docs, STAGE_NGRAM, STAGE_PERCENT).filter("doc_id = component_id or doc_id is null").select("doc_id").distinct()
-    one = docs.dropDuplicates(["doc_id"]) if docs.groupBy("doc_id").count().filter("count > 1").head(1) else docs
-    return one.join(keep, one["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi").select(*docs.columns)
+    """One row of each group of near copies by the stage's rule stays: the one with the smallest id, then set and content. Ids may be null or repeated."""
+    mark = F.xxhash64(*docs.columns)
+    feats, part = grouped(docs, STAGE_NGRAM, STAGE_PERCENT, mark)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "node", "mark")).alias("first")
+    lowest = feats.filter("node is not null").groupBy("node").agg(first)
+    chosen = lowest.join(part.select("node", "comp"), "node").groupBy("comp").agg(F.min("first").alias("first")).select("first.mark")
+    keep = staged(chosen.union(feats.filter("node is null").select("mark").distinct()), "kept")
+    again = feats.join(keep, "mark", "left_semi").groupBy("mark").count().filter("count > 1")
+    kept = docs.withColumn("_mark", mark).join(keep.withColumnRenamed("mark", "_mark"), "_mark", "left_semi")
+    if again.head(1):  # whole rows that are repeated
+        kept = kept.dropDuplicates(["_mark"])
+    return kept.select(*docs.columns)
 
 
 OP9_SQL = """

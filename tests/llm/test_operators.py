@@ -231,6 +231,15 @@ def test_jaccard_stage_equals_brute_force_by_its_own_rule(spark):
     assert kept == {i for i in range(len(texts)) if low[i] == i}
 
 
+def test_jaccard_stage_goes_by_content_where_ids_are_null_or_repeated(spark):
+    base = [" ".join(f"{letter}{i}" for i in range(100)) for letter in "abcdef"]
+    rows = [(None, base[0]), (None, base[1]), (None, base[0] + " tail"), (1, base[2]), (1, base[3]), (2, base[4]), (3, base[4]), (3, base[5]), (1, base[2]), (None, None), (4, None), (4, "")]
+    table = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
+    kept = [(r["doc_id"], r["text"]) for r in jaccard.stage(spark, table, "").collect()]
+    assert len(kept) == 9 and len(set(kept)) == 9 and len({(None, base[0]), (None, base[0] + " tail")} & set(kept)) == 1
+    assert {(None, base[1]), (1, base[2]), (1, base[3]), (2, base[4]), (3, base[5]), (None, None), (4, None), (4, "")} <= set(kept)
+
+
 def test_parity_sketch_bounds_the_difference():
     rng = np.random.default_rng(4)
     a = rng.integers(0, 2**63, 300).astype(np.uint64)
