@@ -77,6 +77,15 @@ def test_toxicity_counts_all_rows_that_do_not_calibrate(spark, monkeypatch):
     assert len(fold3) - 40 <= len(set(fold3) & set(seen)) < len(fold3)
 
 
+def test_toxicity_stage_drops_what_the_query_predicts(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(0, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    table = docs(spark, ["some text", "other text"])
+    for prior, predicted in ((0.4, 1), (0.2, 0)):
+        monkeypatch.setattr(toxicity, "fit", lambda *_, prior=prior: toxicity.Scorer(None, None, prior))
+        assert {r["predicted"] for r in toxicity.score(table, toxicity.fit()).collect()} == {predicted}
+        assert toxicity.stage(spark, table, str(tmp_path)).count() == 2 * (1 - predicted)
+
+
 def test_mixing_meets_targets_and_bounds(spark):
     texts = [" ".join(["w"] * (1 + i % 50)) for i in range(600)] + ODD
     rows = mixing.mix(docs(spark, texts, extra=True), block_words=4, docs_per_shard=100).collect()
