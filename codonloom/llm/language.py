@@ -20,29 +20,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_fold, received, sent, slices, table, tidy
+from .common import id_fold, received, sent, slices, staged, table, tidy
 
-#: Bounds of the training sample: characters per language, per document, languages, and characters in all.
-LANG_CHARS, DOC_CHARS, LANGS, ALL_CHARS = 12_288, 1024, 256, 1 << 20
-SEGMENT, LETTERS = 1024, 46
+#: Bounds of the training sample: characters per language, per document, and in all.
+LANG_CHARS, DOC_CHARS, ALL_CHARS = 12_288, 1024, 1 << 20
+#: LETTERS: the most frequent letters' moves are in a dense table, those of all others in a sorted list. BLOCK: states followed at once.
+SEGMENT, LETTERS, BLOCK = 1024, 46, 1 << 22
 STARTS = np.int32(1 << 30)
 
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, rate double"
 
 
 class Coder:
-    """Text as small codes: 0 a gap, 1.. known letters, the last any other letter; runs of gaps are one."""
+    """Text as small codes: 0 a gap, 1.. the sample's letters, the last any other letter; runs of gaps are one."""
 
     def __init__(self, letters: str):
         self.size = len(letters) + 2
         top = max(map(ord, letters), default=0)
-        self.low = np.full(max(top + 1, 0x250), 255, np.uint8)
+        self.low = np.full(max(top + 1, 0x250), self.size - 1, np.uint8 if self.size <= 256 else np.uint32)
         for cp in range(len(self.low)):
             if not chr(cp).isalpha():
                 self.low[cp] = 0
         for i, c in enumerate(letters):
             self.low[ord(c)] = i + 1
-        self.low[self.low == 255] = self.size - 1
 
     def encode(self, text: str) -> np.ndarray:
         cps = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -55,8 +55,9 @@ class Coder:
         return codes[keep]
 
 
-def automaton(codes: np.ndarray, size: int) -> np.ndarray:
-    """The suffix automaton's moves as a dense table; a move that starts a phrase is marked with STARTS."""
+def automaton(codes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffix automaton's moves: a dense table of the codes below width - 1, whose last column is for codes that no
+    state knows, and rows (state, code, to) for the other codes. A move that starts a phrase is marked with STARTS."""
     moves: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in codes.tolist():
@@ -82,29 +83,51 @@ def automaton(codes: np.ndarray, size: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    root = np.full(size, STARTS, np.int32)
+    root = np.full(width, STARTS, np.int32)
+    rare = []
     for c, s in moves[0].items():
-        root[c] = s | STARTS
+        if c < width - 1:
+            root[c] = s | STARTS
     table = np.tile(root, (len(moves), 1))
-    for s in range(1, len(moves)):
+    for s in range(len(moves)):
         for c, to in moves[s].items():
-            table[s, c] = to
-    return table
+            if c >= width - 1:
+                rare.append((s, c, to if s else to | int(STARTS)))
+            elif s:
+                table[s, c] = to
+    return table, np.array(rare, np.int64).reshape(-1, 3)
 
 
 class Model:
     def __init__(self, texts: dict[str, str]):
         self.langs = sorted(texts)
         counts = Counter(c for t in texts.values() for c in t.lower() if c.isalpha())
-        self.coder = Coder("".join(sorted(c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:LETTERS])))
-        tables, roots, base = [], [], 0
+        letters = [c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))]
+        self.coder = Coder("".join(sorted(letters[:LETTERS]) + sorted(letters[LETTERS:])))
+        self.width = min(len(letters), LETTERS) + 2
+        tables, roots, keys, values, base = [], [], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], 0
+        of = lambda t: (((t & ~STARTS) + base) * self.width) | (t & STARTS)
         for lang in self.langs:
-            t = automaton(self.coder.encode(texts[lang]), self.coder.size)
-            tables.append((((t & ~STARTS) + base) * self.coder.size) | (t & STARTS))
-            roots.append(base * self.coder.size)
+            t, rare = automaton(self.coder.encode(texts[lang]), self.width)
+            tables.append(of(t))
+            keys.append((rare[:, 0] + base) * self.width * self.coder.size + rare[:, 1])
+            values.append(of(rare[:, 2].astype(np.int32)))
+            roots.append(base * self.width)
             base += len(t)
         self.moves = np.concatenate(tables).astype(np.int32).ravel() if tables else np.zeros(0, np.int32)
         self.roots = np.array(roots, np.int32)
+        order = np.argsort(keys := np.concatenate(keys))
+        self.keys, self.values = keys[order], np.concatenate(values)[order].astype(np.int32)
+
+    def rare(self, state: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The moves of states (languages, columns) on the columns' codes, none of which is in the dense table."""
+        to = np.tile((self.roots | STARTS)[:, None], (1, len(codes)))
+        if len(self.keys):
+            for s in (np.broadcast_to(self.roots[:, None], state.shape), state):
+                wanted = s.astype(np.int64) * self.coder.size + codes
+                at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+                to = np.where(self.keys[at] == wanted, self.values[at], to)
+        return to
 
     def phrases(self, docs: list[np.ndarray]) -> np.ndarray:
         """Phrases per document and language; all segments of all documents step together."""
@@ -113,6 +136,12 @@ class Model:
         out = np.zeros((len(docs), len(self.langs)), np.int64)
         if not parts:
             return out
+        for at in range(0, len(parts), step := max(1, BLOCK // max(1, len(self.langs)))):
+            self.follow(parts[at : at + step], out)
+        return out
+
+    def follow(self, parts: list[tuple[int, np.ndarray]], out: np.ndarray) -> None:
+        """Adds the phrases of (document, codes), longest first, to out."""
         lengths = np.array([len(p) for _, p in parts])
         grid = np.zeros((lengths[0], len(parts)), np.int32)
         for j, (_, p) in enumerate(parts):
@@ -120,15 +149,18 @@ class Model:
         state = np.tile(self.roots[:, None], (1, len(parts)))
         count = np.zeros(state.shape, np.int32)
         live = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")
+        odd = (grid >= self.width - 1).any(axis=1)
         for t in range(lengths[0]):
-            n = live[t]
-            to = self.moves[state[:, :n] + grid[t, :n]]
+            n, codes = live[t], grid[t, : live[t]]
+            to = self.moves[state[:, :n] + (np.minimum(codes, self.width - 1) if odd[t] else codes)]
+            if odd[t]:
+                at = np.nonzero(codes >= self.width - 1)[0]
+                to[:, at] = self.rare(state[:, at], codes[at])
             count[:, :n] += to >> 30
             np.bitwise_and(to, STARTS - 1, out=state[:, :n])
         owner = np.array([i for i, _ in parts])
         for k in range(len(self.langs)):
-            out[:, k] = np.bincount(owner, count[k], len(docs)).astype(np.int64)
-        return out
+            out[:, k] += np.bincount(owner, count[k], len(out)).astype(np.int64)
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
         """(language, score, phrases per code) for each text; the score is the margin to the next language."""
@@ -147,25 +179,25 @@ class Model:
         return out
 
 
-def fit(docs: DataFrame, lang_chars: int = LANG_CHARS, doc_chars: int = DOC_CHARS, langs: int = LANGS, all_chars: int = ALL_CHARS) -> Model:
+def fit(docs: DataFrame, lang_chars: int = LANG_CHARS, doc_chars: int = DOC_CHARS, all_chars: int = ALL_CHARS) -> Model:
     """A model from a bounded sample of labelled documents outside the held-out fold.
 
     Languages are counted over all documents; each then gives documents chosen by
-    a hash of their ids, the number near 2 * lang_chars / 256.
+    a hash of their ids, the number near 2 * lang_chars / 256, and 32 at least.
     """
     train = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (id_fold("doc_id", 3) != 1))
-    counts = train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(langs).collect()
-    if not counts:
+    counts = staged(train.groupBy("lang").count(), "languages")
+    n = counts.count()
+    if not n:
         return Model({})
-    lang_chars = min(lang_chars, all_chars // len(counts))
-    wanted = max(1, 2 * lang_chars // 256)
-    odds = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, wanted / r["count"]))])
+    lang_chars = max(1, min(lang_chars, all_chars // n))
+    wanted = max(32, 2 * lang_chars // 256)
     draw = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     rows = (
         train.withColumn("_draw", draw)
-        .filter(F.col("_draw") < F.coalesce(odds[F.col("lang")], F.lit(0.0)))
-        .select("lang", F.substring("text", 1, doc_chars).alias("text"), "_draw")
-        .limit(4 * wanted * len(counts))
+        .join(F.broadcast(counts.select("lang", (wanted / F.col("count")).alias("_odds"))), "lang")
+        .filter(F.col("_draw") < F.col("_odds"))
+        .select("lang", F.substring("text", 1, min(doc_chars, lang_chars)).alias("text"), "_draw")
         .collect()
     )
     texts: dict[str, dict[str, None]] = {}

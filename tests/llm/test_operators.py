@@ -274,3 +274,36 @@ def test_language_by_fewest_phrases(spark):
         phrases, at = phrases + 1, at + n
     assert model.phrases([codes])[0][model.langs.index("en")] == phrases
     assert {r["lang_pred"] for r in language.identify(df, language.fit(df.limit(0))).collect()} == {"und"}
+
+
+def test_language_knows_every_letter_of_its_sample():
+    rng = np.random.default_rng(9)
+    latin, greek, cyrillic = "abcdefghijklmnopqrstuvwxyz", "αβγδεζηθικλμνξοπρστυφχψω", "абвгдежзийклмнопрстуфхцчшщъыьэюя"
+    han, kana = "".join(chr(0x4E00 + i) for i in range(600)), "".join(chr(0x3041 + i) for i in range(80))
+    samples, tests = {}, {}
+    for name, letters in {"la": latin, "el": greek, "ru": cyrillic, "zh": han[:400], "ja": kana + han[300:], "zz": latin}.items():
+        words = ["".join(rng.choice(list(letters), 4)) for _ in range(80)]
+        samples[name], tests[name] = " ".join(rng.choice(words, 600)), " ".join(rng.choice(words, 12))
+    model = language.Model(samples)
+    got = model.predict(list(tests.values()))
+    assert [g[0] for g in got] == list(tests) and min(g[1] for g in got) > 0.5
+    for name, text in tests.items():  # phrases by the definition
+        code = {c: chr(int(c) + 1) for c in range(model.coder.size)}
+        whole, known = ("".join(code[int(c)] for c in model.coder.encode(t)) for t in (text, samples[name]))
+        phrases = at = 0
+        while at < len(whole):
+            n = 1
+            while at + n < len(whole) and whole[at : at + n + 1] in known:
+                n += 1
+            phrases, at = phrases + 1, at + n
+        assert model.phrases([model.coder.encode(text)])[0][model.langs.index(name)] == phrases
+
+
+def test_language_keeps_all_labelled_languages(spark):
+    name = lambda i: "".join("bcdfghjklm"[int(c)] for c in f"{i:03}")
+    table = docs(spark, [f"{name(i)} a{name(i)}e {name(i)}o" for i in range(300)]).withColumn("lang", F.concat(F.lit("l"), F.col("doc_id").cast("string")))
+    train = [i for i in range(300) if zlib.crc32(str(i).encode()) % 3 != 1]
+    more = table.union(table.withColumn("doc_id", F.col("doc_id") + 1000)).union(table.withColumn("doc_id", F.col("doc_id") + 2000)).union(table.withColumn("doc_id", F.col("doc_id") + 3000)).union(table.withColumn("doc_id", F.col("doc_id") + 4000))
+    model = language.fit(more)
+    assert len(model.langs) > 256 and {f"l{i}" for i in train} <= set(model.langs)
+    assert model.predict([f"a{name(7)}e {name(7)}o", f"{name(299)} a{name(299)}e"])[0][0] == "l7"
