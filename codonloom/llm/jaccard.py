@@ -10,8 +10,10 @@ verified on the sets themselves.
 
 Pieces with fewer than two shingles say little and would gather strangers that
 share a common line. A band therefore has spare pieces: a document with no more
-weak pieces than spares keys its other pieces only, one with more keys each of
-its weak pieces together with every piece of a second cut.
+weak pieces than spares keys its other pieces only. One with more leaves out as
+many weak pieces as there are spares, empty ones first and then by number, and
+keys each of the rest together with every piece of a second cut: of equal pieces
+that outnumber the spares, the last in this order is left out by neither set.
 
 Equal sets are one node. Links are wanted for components, so candidates of nodes
 that are joined already are not looked at again: a bucket first tries its
@@ -51,9 +53,11 @@ def difference(total: int | np.ndarray, percent: int = PERCENT) -> int | np.ndar
 
 
 class Bands:
-    """Bands (tops[k-1], tops[k]] of set sizes; a set joins its own band and the next if it can link into it."""
+    """Bands (tops[k-1], tops[k]] of set sizes; a set joins its own band and the further ones that it can link into."""
 
-    def __init__(self, percent: int = PERCENT, growth: float = 1.3, most: int = 1 << 31):
+    def __init__(self, percent: int = PERCENT, most: int = 1 << 31):
+        # below 85 wide bands need so many pieces that most sets have more weak ones than spares
+        growth, self.spares = (1.3, 0.25) if percent >= 85 else (1.06, 0.75)
         self.percent = percent
         self.tops = [0]
         while self.tops[-1] < most:
@@ -64,12 +68,12 @@ class Bands:
         """(band, pieces, spares, pieces of the second cut) for each band that a set of n joins."""
         k = int(np.searchsorted(self.array, n))
         found = []
-        for band in (k, k + 1):
+        for band in range(k, len(self.tops)):
             if 100 * n < self.percent * (self.tops[band - 1] + 1):
-                continue
+                break
             most = difference(2 * self.tops[band], self.percent)
             if most:
-                spare = ceil((most + 1) / 4)
+                spare = ceil((most + 1) * self.spares)
                 found.append((band, most + 1 + spare, spare, most + 1))
         return found
 
@@ -163,7 +167,8 @@ def keys_of(tokens: np.ndarray, sizes: np.ndarray, bands: Bands) -> tuple[np.nda
         owners.append(who[owner[strong]])
         found.append(keys[strong])
         for i in np.nonzero(np.bincount(owner[~strong], minlength=len(who)) > spare)[0]:
-            weak = keys[base[i] : base[i] + pieces[i]][~strong[base[i] : base[i] + pieces[i]]]
+            own = base[i] + np.nonzero(~strong[base[i] : base[i] + pieces[i]])[0]
+            weak = keys[own[np.argsort(count[own], kind="stable")][spare[i] :]]
             own = tokens[starts[who[i]] : starts[who[i]] + n[i]]
             other = np.zeros(second[i], np.uint64)
             np.bitwise_xor.at(other, ((mix(own, 2000) >> np.uint64(32)) * np.uint64(second[i]) >> np.uint64(32)).astype(np.int64), mix(own, 2001))

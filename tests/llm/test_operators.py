@@ -249,6 +249,14 @@ def test_jaccard_stage_goes_by_content_where_ids_are_null_or_repeated(spark):
     assert {(None, base[1]), (1, base[2]), (1, base[3]), (2, base[4]), (3, base[5]), (None, None), (4, None), (4, "")} <= set(kept)
 
 
+def test_jaccard_keys_grow_with_the_set():
+    rng = np.random.default_rng(11)
+    for n in (400, 3000):
+        sizes = np.arange(n, n * 13 // 10, n // 20)
+        keys = jaccard.keys_of(rng.integers(0, 2**63, int(sizes.sum())).astype(np.uint64), sizes, jaccard.Bands(80))[1]
+        assert len(keys) < 3 * sizes.sum()
+
+
 def test_parity_sketch_bounds_the_difference():
     rng = np.random.default_rng(4)
     a = rng.integers(0, 2**63, 300).astype(np.uint64)
