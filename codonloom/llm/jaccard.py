@@ -1,50 +1,55 @@
 """Exact n-gram Jaccard join by parity sketches.
 
-A document's set of shingles is cut, by a hash of the shingle, into pieces; a
-piece's sketch is the XOR (bitwise parity) of its shingles' hashes. Sets that
-differ in d shingles have at most d different pieces, so with more pieces than
-the largest difference that a size band allows, linked sets share a piece and
-meet on its sketch. A second, 256-bit parity sketch of the whole set has a
-Hamming distance of at most d, which drops most false candidates; the rest are
-verified on the sets themselves.
-
-Pieces with fewer than two shingles say little and would gather strangers that
-share a common line. A band therefore has spare pieces: a document with no more
-weak pieces than spares keys its other pieces only. One with more leaves out as
-many weak pieces as there are spares, empty ones first and then by number, and
-keys each of the rest together with every piece of a second cut: of equal pieces
-that outnumber the spares, the last in this order is left out by neither set.
+A document's set of shingles is cut, by the leading bits of the shingles' hashes,
+into pieces; a piece's sketch is the XOR (bitwise parity) of its shingles' hashes.
+Sets that differ in d shingles have at most d different pieces, so with more pieces
+than the largest difference that a size band allows, linked sets share a piece and
+meet on its sketch. A second parity sketch, of bits and eight times as wide as the
+largest difference that the set's size allows, has a Hamming distance of at most d,
+which drops nearly all false candidates; the rest are verified on the sets.
+
+A band has spare pieces: of equal pieces more than the spares must be there, so a
+document may leave out as many pieces as there are spares, if all documents rank
+pieces alike: the last of the equal ones in this order is left out by neither set.
+Empty pieces are left out first, then those that most sets share, so what strangers
+share with many (a common passage) does not gather them. A document with more empty
+pieces than spares keys each of the others together with every piece of a second cut.
 
 Equal sets are one node. Links are wanted for components, so candidates of nodes
-that are joined already are not looked at again: a bucket first tries its
-smallest and largest node against the others, then nearest neighbours by sketch,
-and last every pair still apart.
+that are joined already are not looked at again. Small buckets propose all their
+pairs; of a larger one each node first tries the hub that it meets most often, then
+its nearest neighbour by sketch in another component, and last every pair that the
+sketches allow and that is still apart.
 
 Defined results: null texts and texts without words have no shingles and stand
 alone; with fewer words than a shingle the whole sequence is one; repeated rows
-are copies of each other; rows with a null doc_id group with equal sets only (in
-the pipeline stage, which goes by content, like any other); an empty table gives
-no rows; other columns are ignored. Sets and shingles are known by 64-bit hashes.
+are copies of each other; rows with a null doc_id are linked like others but name
+no component (one without any id has a null component_id); an empty table gives no
+rows; other columns are ignored. Sets are known by 128 bits, shingles by 64.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import chain
-from math import ceil
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import slices, small_side, staged, table, tidy
 
-PERCENT, NGRAM, MEMO, STRONG = 85, 4, 200_000, 2
+PERCENT, NGRAM = 85, 4
 #: The pipeline stage's own rule.
 STAGE_PERCENT, STAGE_NGRAM = 80, 5
-SKETCH = [f"s{i}" for i in range(4)]
+#: Buckets of at most SMALL nodes propose all their pairs. In buckets of more than HOT a node may use up its spares.
+SMALL, HOT = 4, 64
+#: Spare pieces a needed piece, growth of a band, narrowest and widest sketch in bits, bytes hashed at once, nodes that a task remembers.
+SPARES, GROWTH, NARROW, WIDE, CHUNK, SEEN = 0.25, 1.3, 256, 8192, 1 << 20, 1 << 20
+#: Pairs of one node that are verified by one task, and names of 64 bits that two sets may have (of 10^10 sets about three do).
+FAN, CLASHES = 512, 10_000
 
 
 def difference(total: int | np.ndarray, percent: int = PERCENT) -> int | np.ndarray:
@@ -56,26 +61,25 @@ class Bands:
     """Bands (tops[k-1], tops[k]] of set sizes; a set joins its own band and the further ones that it can link into."""
 
     def __init__(self, percent: int = PERCENT, most: int = 1 << 31):
-        # below 85 wide bands need so many pieces that most sets have more weak ones than spares
-        growth, self.spares = (1.3, 0.25) if percent >= 85 else (1.06, 0.75)
+        if percent < 50:  # a set must not join more than four bands
+            raise ValueError("percent must be 50 or more")
         self.percent = percent
-        self.tops = [0]
-        while self.tops[-1] < most:
-            self.tops.append(max(self.tops[-1] + 1, int(self.tops[-1] * growth)))
-        self.array = np.array(self.tops)
-
-    def of(self, n: int) -> list[tuple[int, int, int, int]]:
-        """(band, pieces, spares, pieces of the second cut) for each band that a set of n joins."""
-        k = int(np.searchsorted(self.array, n))
-        found = []
-        for band in range(k, len(self.tops)):
-            if 100 * n < self.percent * (self.tops[band - 1] + 1):
-                break
-            most = difference(2 * self.tops[band], self.percent)
-            if most:
-                spare = ceil((most + 1) * self.spares)
-                found.append((band, most + 1 + spare, spare, most + 1))
-        return found
+        tops = [0]
+        while tops[-1] < most:
+            tops.append(max(tops[-1] + 1, int(tops[-1] * GROWTH)))
+        self.tops = np.array(tops)
+
+    def of(self, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """(which sets, band, pieces, spares, pieces of the second cut) of the sets' own bands, then of their next ones, and so on."""
+        band = np.searchsorted(self.tops, sizes)
+        who = np.flatnonzero(sizes > 0)
+        while len(who):
+            most = difference(2 * self.tops[band[who]], self.percent)
+            some, spare = who[most > 0], np.ceil((most + 1) * SPARES).astype(np.int64)
+            if len(some):
+                yield some, band[some], (most + 1 + spare)[most > 0], spare[most > 0], (most + 1)[most > 0]
+            band = band + 1
+            who = who[100 * sizes[who] >= self.percent * (self.tops[band[who] - 1] + 1)]
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -88,253 +92,367 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
 
 
 class Shingler:
+    """Sets of shingles of whole texts, computed on the bytes of many texts at once.
+
+    A word's hash is a polynomial in its bytes' random values, taken from running sums.
+    """
+
+    STEP = 0x9E3779B97F4A7C15
+
     def __init__(self, n: int = NGRAM):
-        self.n, self.memo = n, {}
-        self.odd = [np.uint64((int(x) << 1) | 1) for x in mix(np.arange(1, n + 1, dtype=np.uint64), 77) >> np.uint64(1)]
-
-    def sets(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Each text's set of shingles as sorted 64-bit hashes."""
-        words = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]
-        flat = list(chain.from_iterable(words))
-        memo = self.memo
-        try:
-            raw = b"".join(map(memo.__getitem__, flat))
-        except KeyError:
-            if len(memo) > MEMO:
-                memo.clear()
-            for w in set(flat):
-                if w not in memo:
-                    memo[w] = xxhash.xxh3_64_digest(w)
-            raw = b"".join(map(memo.__getitem__, flat))
-        h, n = np.frombuffer(raw, np.uint64), self.n
+        self.n = n
+        self.value = mix(np.arange(256, dtype=np.uint64), 99)
+        self.value[65:91] = self.value[97:123]
+        self.gap = np.zeros(256, bool)
+        self.gap[[32, *range(9, 14)]] = True
+        self.odd = mix(np.arange(1, n + 1, dtype=np.uint64), 77) | np.uint64(1)
+        self.up = self.down = np.zeros(0, np.uint64)
+
+    def _powers(self, n: int) -> None:
+        if len(self.up) < n:
+            with np.errstate(over="ignore"):
+                self.up, self.down = (np.multiply.accumulate(np.r_[np.uint64(1), np.full(n - 1, base, np.uint64)]) for base in (self.STEP, pow(self.STEP, -1, 1 << 64)))
+
+    def _hashed(self, raw: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first byte, hash) of each word; words end at the cuts too."""
+        word = ~self.gap[raw]
+        first, last = word.copy(), word.copy()
+        first[1:] &= ~word[:-1]
+        last[:-1] &= ~word[1:]
+        cuts = cuts[(cuts > 0) & (cuts < len(raw))]
+        first[cuts], last[cuts - 1] = word[cuts], word[cuts - 1]
+        a, b = np.flatnonzero(first), np.flatnonzero(last) + 1
+        self._powers(len(raw))
+        with np.errstate(over="ignore"):
+            sums = np.zeros(len(raw) + 1, np.uint64)
+            np.cumsum(self.value[raw] * self.up[: len(raw)], out=sums[1:])
+            return a, mix((sums[b] - sums[a]) * self.down[a])
+
+    def words(self, raw: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All words' hashes, and each text's number of words. Bytes are hashed CHUNK by CHUNK, cut between words."""
+        starts, hashes, at = [], [], 0
+        while at < len(raw):
+            end = min(len(raw), at + CHUNK)
+            if end < len(raw):
+                ends = np.concatenate([np.flatnonzero(self.gap[raw[at:end]]) + at + 1, edges[(edges > at) & (edges <= end)]])
+                if not len(ends):  # a word longer than a chunk
+                    further = np.flatnonzero(self.gap[raw[end:]])
+                    ends = np.r_[end + further[:1], edges[edges > end][:1]]
+                    end = int(ends.min())
+                else:
+                    end = int(ends.max())
+            a, h = self._hashed(raw[at:end], edges - at)
+            starts.append(a + at)
+            hashes.append(h)
+            at = end
+        first = np.concatenate(starts) if starts else np.zeros(0, np.int64)
+        return np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), np.diff(np.searchsorted(first, edges))
+
+    def sets(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens, sizes): each text's set of shingles as sorted 64-bit hashes, one set after the other."""
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        edges = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = texts.buffers()[2]
+        raw = np.frombuffer(data, np.uint8)[edges[0] : edges[-1]] if data is not None and len(texts) else np.zeros(0, np.uint8)
+        h, count = self.words(raw, edges - edges[0])
+        n = self.n
         with np.errstate(over="ignore"):
             runs = np.zeros(max(0, len(h) - n + 1), np.uint64)
             for i in range(n):
                 runs += h[i : i + len(runs)] * self.odd[i]
             runs = mix(runs)
-            out, at = [], 0
-            for w in words:
-                if len(w) >= n:
-                    x = np.sort(runs[at : at + len(w) - n + 1])
-                    new = np.ones(len(x), bool)
-                    np.not_equal(x[1:], x[:-1], out=new[1:])
-                    out.append(x[new])
-                elif w:
-                    x = np.array([len(w)], np.uint64)
-                    for i in range(len(w)):
-                        x = mix(x + h[at + i] * self.odd[i], 5)
-                    out.append(x)
-                else:
-                    out.append(np.zeros(0, np.uint64))
-                at += len(w)
-        return out
+            parts, at = [], 0
+            for k in count.tolist():
+                if k >= n:
+                    parts.append(np.sort(runs[at : at + k - n + 1]))
+                elif k:
+                    parts.append(mix(np.array([np.sum(h[at : at + k] * self.odd[:k]) + np.uint64(k)]), 5))
+                at += k
+        tokens = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+        owner = np.repeat(np.arange(len(count)), np.where(count >= n, count - n + 1, np.minimum(count, 1)))
+        new = np.ones(len(tokens), bool)
+        new[1:] = (tokens[1:] != tokens[:-1]) | (owner[1:] != owner[:-1])
+        return tokens[new], np.bincount(owner[new], minlength=len(count))
+
+
+def parities(tokens: np.ndarray, salt: int) -> np.ndarray:
+    """Running XOR of the tokens' hashes: the parity of tokens a..b is the XOR of its places a and b."""
+    found = np.zeros(len(tokens) + 1, np.uint64)
+    np.bitwise_xor.accumulate(mix(tokens, salt), out=found[1:])
+    return found
+
+
+def names_of(tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit names per set, from the XOR of its tokens."""
+    ends = np.cumsum(sizes)
+    return tuple(mix((p := parities(tokens, salt))[ends] ^ p[ends - sizes] ^ sizes.astype(np.uint64), salt + 1).view(np.int64) for salt in (41, 45))
 
 
-def nodes_of(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """A 64-bit name per set, from the XOR of its tokens; sets must not be empty."""
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    whole = np.bitwise_xor.reduceat(mix(tokens, 41), starts) if len(sizes) else np.zeros(0, np.uint64)
-    return mix(whole ^ sizes.astype(np.uint64), 43).view(np.int64)
+def renamed(node: np.ndarray, check: np.ndarray, clashes: list[int]) -> np.ndarray:
+    """The nodes' names, where `clashes` (names that two sets have) are told apart by the second name."""
+    if not clashes:
+        return node
+    return np.where(np.isin(node, clashes), mix(node.view(np.uint64) ^ check.view(np.uint64), 47).view(np.int64), node)
 
 
-def sketches_of(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The 256-bit parity sketch of each set, as four longs."""
-    bit = np.repeat(np.arange(len(sizes)) * 256, sizes) + (tokens >> np.uint64(56)).astype(np.int64)
-    odd = (np.bincount(bit, minlength=256 * len(sizes)) & 1).astype(np.uint8)
-    return np.packbits(odd.reshape(-1, 256), axis=1).view(np.int64)
+def widths_of(sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Bits of each set's parity sketch."""
+    wanted = np.maximum(1, 8 * difference(2 * sizes, percent))
+    return np.clip(2 ** np.ceil(np.log2(wanted)).astype(np.int64), NARROW, WIDE)
 
 
-def keys_of(tokens: np.ndarray, sizes: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """(set number, key) of non-empty sets given one after the other."""
+def sketches_of(tokens: np.ndarray, sizes: np.ndarray, percent: int = PERCENT) -> list[bytes]:
+    """Each set's parity sketch: the bit at a token's last bits flips. Half as wide a sketch is the XOR of the two halves."""
+    width = widths_of(sizes, percent)
+    base = np.cumsum(width) - width
+    place = (tokens & (np.repeat(width, sizes) - 1).astype(np.uint64)).astype(np.int64) + np.repeat(base, sizes)
+    bits = np.packbits((np.bincount(place, minlength=int(width.sum())) & 1).astype(np.uint8)).tobytes()
+    return [bits[a : a + w] for a, w in zip((base // 8).tolist(), (width // 8).tolist())]
+
+
+def unsketched(sketch: bytes, width: int) -> np.ndarray:
+    """A sketch folded to `width` bytes."""
+    x = np.frombuffer(sketch, np.uint64)
+    while len(x) * 8 > width:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
+def keys_of(tokens: np.ndarray, sizes: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(set number, key) of the sets' pieces; and per set the spares left in each band, 16 bits at 16 * (band & 3). A key's last two bits are its band's."""
     owners, found = [], []
     starts = np.cumsum(sizes) - sizes
-    joins = [bands.of(int(n)) for n in sizes]
-    place, sketch = mix(tokens, 1000) >> np.uint64(32), mix(tokens, 1001)
-    for nth in range(max(map(len, joins), default=0)):
-        who = np.array([i for i, j in enumerate(joins) if len(j) > nth])
-        band, pieces, spare, second = np.array([joins[i][nth] for i in who]).T
+    place, parity = tokens >> np.uint64(32), parities(tokens, 1001)
+    left = np.zeros(len(sizes), np.uint64)
+    for who, band, pieces, spare, second in bands.of(sizes):
         n = sizes[who]
+        ahead = np.cumsum(n) - n
         base = np.cumsum(pieces) - pieces
-        rows = np.arange(n.sum()) + np.repeat(starts[who] - (np.cumsum(n) - n), n)
-        at = (place[rows] * np.repeat(pieces, n).astype(np.uint64) >> np.uint64(32)).astype(np.int64) + np.repeat(base, n)
         total = int(pieces.sum())
-        parity, count = np.zeros(total, np.uint64), np.bincount(at, minlength=total)
-        np.bitwise_xor.at(parity, at, sketch[rows])
+        rows = np.arange(n.sum()) + np.repeat(starts[who] - ahead, n)
+        at = (place[rows] * np.repeat(pieces, n).astype(np.uint64) >> np.uint64(32)).astype(np.int64) + np.repeat(base, n)
+        count = np.bincount(at, minlength=total)
         owner = np.repeat(np.arange(len(who)), pieces)
-        number = np.arange(total) - base[owner]
-        keys = mix(parity ^ mix(number.astype(np.uint64) | (band[owner].astype(np.uint64) << np.uint64(40)), 2), 3)
-        strong = count >= STRONG
-        owners.append(who[owner[strong]])
-        found.append(keys[strong])
-        for i in np.nonzero(np.bincount(owner[~strong], minlength=len(who)) > spare)[0]:
-            own = base[i] + np.nonzero(~strong[base[i] : base[i] + pieces[i]])[0]
-            weak = keys[own[np.argsort(count[own], kind="stable")][spare[i] :]]
+        first = np.cumsum(count) - count + np.repeat(starts[who] - ahead, pieces)  # tokens are sorted, so a piece's stand together
+        number = (np.arange(total) - base[owner]).astype(np.uint64)
+        mark = (band & 3).astype(np.uint64)
+        keys = mix(parity[first + count] ^ parity[first] ^ mix(number | (band[owner].astype(np.uint64) << np.uint64(40)), 2), 3)
+        keys = keys & ~np.uint64(3) | mark[owner]
+        full = count > 0
+        owners.append(who[owner[full]])
+        found.append(keys[full])
+        empty = np.bincount(owner[~full], minlength=len(who))
+        left[who] |= np.clip(spare - empty, 0, 65535).astype(np.uint64) << (np.uint64(16) * mark)
+        for i in np.flatnonzero(empty > spare):
+            weak = keys[base[i] : base[i] + pieces[i]][~full[base[i] : base[i] + pieces[i]]][spare[i] :]
             own = tokens[starts[who[i]] : starts[who[i]] + n[i]]
             other = np.zeros(second[i], np.uint64)
             np.bitwise_xor.at(other, ((mix(own, 2000) >> np.uint64(32)) * np.uint64(second[i]) >> np.uint64(32)).astype(np.int64), mix(own, 2001))
             inner = mix(other ^ mix(np.arange(second[i], dtype=np.uint64), 9), 4)
-            found.append(mix(weak[:, None] ^ inner[None, :], 6).ravel())
+            found.append(mix(weak[:, None] ^ inner[None, :], 6).ravel() & ~np.uint64(3) | mark[i])
             owners.append(np.full(len(found[-1]), who[i]))
-    return (np.concatenate(owners), np.concatenate(found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), left
+    return np.concatenate(owners), np.concatenate(found), left
 
 
-def _flat(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(tokens, sizes, which sets) of the sets that are not empty."""
-    full = np.array([i for i, x in enumerate(sets) if len(x)], np.int64)
-    return np.concatenate([sets[i] for i in full]) if len(full) else np.zeros(0, np.uint64), np.array([len(sets[i]) for i in full], np.int64), full
-
-
-def features(docs: DataFrame, ngram: int = NGRAM, mark: Column | None = None) -> DataFrame:
-    """doc_id, mark (0 if none is given), n, node (null without shingles) and the 256-bit parity sketch as four longs."""
+def features(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, mark: Column | None = None, clashes: list[int] | None = None) -> DataFrame:
+    """doc_id, mark (0 if none is given), n, node and check (the set's names, null without shingles), spares left, sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(ngram)
-        for batch in slices(batches, "text", 1 << 20):
-            sets = shingler.sets(batch.column("text").to_pylist())
-            tokens, sizes, full = _flat(sets)
-            longs, nodes, none = np.zeros((len(sets), 4), np.int64), np.zeros(len(sets), np.int64), np.ones(len(sets), bool)
-            if len(full):
-                longs[full], nodes[full], none[full] = sketches_of(tokens, sizes), nodes_of(tokens, sizes), False
-            n = np.array([len(x) for x in sets], np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("mark"), pa.array(n), pa.array(nodes, mask=none), *[pa.array(np.ascontiguousarray(longs[:, i])) for i in range(4)]],
-                ["doc_id", "mark", "n", "node", *SKETCH],
-            )
+        shingler, bands = Shingler(ngram), Bands(percent)
+        for batch in slices(batches, "text", CHUNK):
+            tokens, sizes = shingler.sets(batch.column("text"))
+            node, check = names_of(tokens, sizes)
+            node, left, none = renamed(node, check, clashes or []), keys_of(tokens, sizes, bands)[2], sizes == 0
+            columns = [batch.column("doc_id"), batch.column("mark"), pa.array(sizes.astype(np.int64)), pa.array(node, mask=none), pa.array(check, mask=none)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(left.view(np.int64)), pa.array(sketches_of(tokens, sizes, percent), pa.binary())], names)
 
     marked = docs.select(F.col("doc_id").cast("long"), "text", (F.lit(0) if mark is None else mark).cast("long").alias("mark"))
-    return marked.mapInArrow(tidy(run), "doc_id long, mark long, n long, node long, " + ", ".join(f"{s} long" for s in SKETCH))
+    names = ["doc_id", "mark", "n", "node", "check", "spares", "sketch"]
+    return marked.mapInArrow(tidy(run), "doc_id long, mark long, n long, node long, check long, spares long, sketch binary")
 
 
-def buckets(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT) -> DataFrame:
-    """(key, node) of the keys that two nodes or more share. Rows are dealt by key; each task keeps one row of a key at a time."""
+def buckets(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, clashes: list[int] | None = None) -> DataFrame:
+    """(key, a, b) of the nodes that share keys: with a null key a pair of a small bucket, else a node of a larger one and the bucket's hub, its smallest node.
+
+    Rows are dealt by key and pass through a task in the order of keys, a batch at a time.
+    """
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, bands = Shingler(ngram), Bands(percent)
-        for batch in slices(batches, "text", 1 << 20):
-            tokens, sizes, _ = _flat(shingler.sets(batch.column("text").to_pylist()))
-            owner, keys = keys_of(tokens, sizes, bands)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(nodes_of(tokens, sizes)[owner])], ["key", "node"])
-
-    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_key = last_node = None  # the last different row; sent: whether it went out
-        sent = False
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key, node = batch.column("key").to_numpy(), batch.column("node").to_numpy()
-            if last_key is not None:
-                key, node = np.concatenate([[last_key], key]), np.concatenate([[last_node], node])
-            new = np.ones(len(key), bool)
-            new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
-            skip = last_key is not None and sent
-            key, node = key[new], node[new]
-            with_next = np.zeros(len(key), bool)
-            with_next[:-1] = key[1:] == key[:-1]
-            out = with_next.copy()
-            out[1:] |= with_next[:-1]
-            last_key, last_node = key[-1], node[-1]
-            sent = bool(out[-1]) or (skip and len(key) == 1)
-            if skip:
-                out[0] = False
-            yield pa.RecordBatch.from_arrays([pa.array(key[out]), pa.array(node[out])], ["key", "node"])
+        shingler, bands, seen = Shingler(ngram), Bands(percent), set()
+        for batch in slices(batches, "text", CHUNK):
+            tokens, sizes = shingler.sets(batch.column("text"))
+            node = renamed(*names_of(tokens, sizes), clashes or [])
+            if len(seen) > SEEN:
+                seen.clear()
+            fresh = np.zeros(len(sizes), bool)  # copies in one task give their keys once
+            for i, x in enumerate(node.tolist()):
+                if x not in seen:
+                    seen.add(x)
+                    fresh[i] = True
+            fresh &= sizes > 0
+            tokens, sizes, node = tokens[np.repeat(fresh, sizes)], sizes[fresh], node[fresh]
+            owner, keys, _ = keys_of(tokens, sizes, bands)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(node[owner])], ["key", "node"])
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub = None  # the smallest node of the large bucket that is passing through
+        key = node = np.zeros(0, np.int64)
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                key, node = np.concatenate([key, batch.column("key").to_numpy()]), np.concatenate([node, batch.column("node").to_numpy()])
+                if not len(key):
+                    continue
+                new = np.ones(len(key), bool)
+                new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+                key, node = key[new], node[new]
+            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+            size = np.diff(np.r_[starts, len(key)])
+            heads = node[starts]
+            large = size > SMALL
+            if goes_on := hub is not None:
+                large[0], heads[0] = True, hub
+            whole = np.ones(len(starts), bool)
+            if batch is not None:
+                whole[-1] = large[-1]  # the last bucket goes on in the next batch
+            rows = np.repeat(large, size)
+            if goes_on:
+                rows[0] = False  # it went out with the batch before
+            found = [(key[rows], node[rows], np.repeat(heads, size)[rows])]
+            for i in range(SMALL):
+                for j in range(i + 1, SMALL):
+                    at = starts[whole & ~large & (size > j)]
+                    found.append((np.zeros(len(at), np.int64), node[at + i], node[at + j]))
+            keys, a, b = (np.concatenate(x) for x in zip(*found))
+            pair = np.arange(len(keys)) >= len(found[0][0])
+            once = np.unique(np.stack([a[pair], b[pair]], axis=1), axis=0)
+            a, b = np.r_[a[~pair], once[:, 0]], np.r_[b[~pair], once[:, 1]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.r_[keys[~pair], np.zeros(len(once), np.int64)], mask=np.arange(len(a)) >= (~pair).sum()), pa.array(a), pa.array(b)], ["key", "a", "b"])
+            if len(starts):
+                hub = heads[-1] if large[-1] else None
+                rest = len(key) - 1 if large[-1] else starts[-1]
+                key, node = key[rest:], node[rest:]
 
     rows = docs.select("text").mapInArrow(tidy(keyed), "key long, node long")
-    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(tidy(shared), "key long, node long")
+    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(tidy(met), "key long, a long, b long")
+
+
+def spared(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The bucket rows (key, a) without those that a node may leave out: in each band as many of its fullest buckets as it has spares left."""
+    size = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > HOT)
+    sized = rows.join(size, "key", "left")
+    band = F.col("key").bitwiseAND(F.lit(3)).cast("int")
+    spares = F.expr("shiftrightunsigned(spares, 16 * cast(key & 3 AS int)) & 65535")
+    rank = F.row_number().over(Window.partitionBy("a", "band").orderBy(F.desc("size"), "key"))
+    hot = sized.filter("size is not null").join(nodes.select(F.col("node").alias("a"), "spares"), "a").withColumn("band", band).withColumn("left", spares)
+    return sized.filter("size is null").select("key", "a").union(hot.withColumn("rank", rank).filter("rank > left").select("key", "a"))
+
 
+def fits(n: np.ndarray, m: np.ndarray, far: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sizes and the sketches' distance allow a link."""
+    return (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (far <= difference(n + m, percent))
+
+
+def likely(pairs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b) that sizes and sketches allow, with `far`, the sketches' distance."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            far = np.zeros(batch.num_rows, np.int64)
+            for i, (x, y) in enumerate(zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())):
+                width = min(len(x), len(y))
+                far[i] = np.bitwise_count(unsketched(x, width) ^ unsketched(y, width)).sum()
+            keep = fits(batch.column("na").to_numpy(), batch.column("nb").to_numpy(), far, percent)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(far)], ["a", "b", "far"]).filter(pa.array(keep))
 
-def near(n: np.ndarray, sketch: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """(whether sizes and sketches allow a link, Hamming distance) of pairs of rows."""
-    h = np.bitwise_count((sketch[i] ^ sketch[j]).view(np.uint64)).sum(axis=-1).astype(np.int64)
-    a, b = n[i], n[j]
-    fits = 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
-    return fits & (h <= difference(a + b, percent)), h
+    left = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("x"))
+    right = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("y"))
+    sized = pairs.join(left, "a").join(right, "b").filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+    return sized.select("a", "b", "na", "nb", "x", "y").mapInArrow(tidy(run), "a long, b long, far long")
 
 
-def propose(rows: DataFrame, how: str, percent: int = PERCENT) -> DataFrame:
-    """From bucket rows (key, node, comp, n, sketch): candidates (a, b, far), and with `far` null the rows (key, node) of their buckets.
+def neighbours(rows: DataFrame, how: str, percent: int = PERCENT) -> DataFrame:
+    """(a, b, far): from bucket rows (key, node, comp, n, sketch) each node's nearest one in another component (`nearest`), or every such pair (`all`).
 
-    Only buckets that hold more than one component count. `ends` offers every
-    row a the smallest and the largest node as b, `nearest` its nearest by sketch
-    in another component, `all` every node of another component, once. `far` is
-    the sketches' distance.
+    A task holds one bucket; its distances are computed in blocks, and only what the sketches allow is emitted.
     """
 
-    def whole(m: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, ...]:
-        size = np.diff(edges)
-        rows_of = np.arange(edges[-1])
-        found = []
-        for hub in (np.repeat(edges[:-1], size), np.repeat(edges[1:] - 1, size)):
-            fits, h = near(m[:, 3], m[:, 4:], hub, rows_of, percent)
-            ok = (m[hub, 2] != m[rows_of, 2]) & fits
-            found.append((rows_of[ok], hub[ok], h[ok]))
-        return tuple(np.concatenate(x) for x in zip(*found))
-
-    def squared(m: np.ndarray) -> tuple[np.ndarray, ...]:
-        node, comp, n, sketch = m[:, 1], m[:, 2], m[:, 3], m[:, 4:]
+    def compared(node: np.ndarray, comp: np.ndarray, n: np.ndarray, sketches: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
+        width = min(map(len, sketches))
+        s = np.stack([unsketched(x, width) for x in sketches])
         g = len(node)
-        every = np.arange(g)
-        found = []
-        for at in range(0, g, step := max(1, (1 << 20) // g)):
-            i = np.arange(at, min(g, at + step))
-            fits, h = near(n, sketch, i[:, None], every[None, :], percent)
-            fits &= comp[i][:, None] != comp[None, :]
+        step = max(1, (1 << 21) // (g * s.shape[1]))
+        for at in range(0, g, step):
+            i = slice(at, at + step)
+            far = np.bitwise_count(s[i, None, :] ^ s[None, :, :]).sum(axis=-1, dtype=np.int64)
+            ok = fits(n[i, None], n[None, :], far, percent) & (comp[i, None] != comp[None, :])
             if how == "nearest":
-                best = np.argmin(np.where(fits, h, 1 << 20), axis=1)
-                some = np.nonzero(fits[np.arange(len(i)), best])[0]
-                found.append((i[some], best[some], h[some, best[some]]))
+                b = np.argmin(np.where(ok, far, 1 << 40), axis=1)
+                a = np.flatnonzero(ok[np.arange(len(b)), b])
+                b = b[a]
             else:
-                a, b = np.nonzero(fits & (node[i][:, None] < node[None, :]))
-                found.append((i[a], b, h[a, b]))
-        return tuple(np.concatenate(x) for x in zip(*found))
+                a, b = np.nonzero(ok & (node[i, None] < node[None, :]))
+            yield node[a + at], node[b], far[a, b]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def of(m: np.ndarray) -> Iterator[pa.RecordBatch]:
-            if not len(m):
-                return
-            starts = np.concatenate([[0], np.nonzero(np.diff(m[:, 0]))[0] + 1])
-            mixed = np.minimum.reduceat(m[:, 2], starts) != np.maximum.reduceat(m[:, 2], starts)
-            m = m[np.repeat(mixed, np.diff(np.append(starts, len(m))))]
-            if not len(m):
-                return
-            edges = np.concatenate([[0], np.nonzero(np.diff(m[:, 0]))[0] + 1, [len(m)]])
-            if how == "ends":
-                i, j, far = whole(m, edges)
-            else:
-                some = [squared(m[a:b]) for a, b in zip(edges, edges[1:])]
-                i, j = (np.concatenate([x[k] + a for x, a in zip(some, edges)]) for k in (0, 1))
-                far = np.concatenate([x[2] for x in some])
-            offers = np.unique(np.stack([m[i, 1], m[j, 1], far], axis=1), axis=0)
-            first, second = np.concatenate([offers[:, 0], m[:, 0]]), np.concatenate([offers[:, 1], m[:, 1]])
-            distance = pa.array(np.concatenate([offers[:, 2], np.zeros(len(m), np.int64)]), mask=np.arange(len(first)) >= len(offers))
-            yield pa.RecordBatch.from_arrays([pa.array(first), pa.array(second), distance], ["a", "b", "far"])
-
-        rest = np.zeros((0, 8), np.int64)
+        def of(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(held).combine_chunks()
+            node, comp, n = (t.column(c).to_numpy() for c in ("node", "comp", "n"))
+            if comp.min() != comp.max():
+                for a, b, far in compared(node, comp, n, t.column("sketch").to_pylist()):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(far)], ["a", "b", "far"])
+
+        held: list[pa.RecordBatch] = []
+        last = None
         for batch in batches:
-            m = np.concatenate([rest, np.stack([c.to_numpy() for c in batch.columns], axis=1)])
-            last = int(np.searchsorted(m[:, 0], m[-1, 0])) if len(m) else 0
-            yield from of(m[:last])
-            rest = m[last:]
-        yield from of(rest)
+            key = batch.column("key").to_numpy()
+            cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else []
+            for at, end in zip(cuts, np.r_[cuts[1:], len(key)]):
+                if held and key[at] != last:
+                    yield from of(held)
+                    held = []
+                held.append(batch.slice(at, end - at))
+                last = key[at]
+        if held:
+            yield from of(held)
+
+    mixed = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("key")
+    columns = rows.join(mixed, "key", "left_semi").select("key", "node", "comp", "n", "sketch")
+    return columns.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(run), "a long, b long, far long")
+
 
-    columns = rows.select("key", "node", "comp", "n", *SKETCH)
-    return columns.repartition("key").sortWithinPartitions("key", "node").mapInArrow(tidy(run), "a long, b long, far long")
+def undirected(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs whose sets, sorted hashes in bytes, have 100 * intersection >= percent * union."""
+    """The pairs whose sets, sorted hashes in bytes, have 100 * intersection >= percent * union.
+
+    A node's set goes once to each FAN of its pairs, ahead of the others' sets.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, own = None, np.zeros(0, np.uint64)
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y")):
-                s, t = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                keep.append(100 * both >= percent * (len(s) + len(t) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(tidy(run), "a long, b long")
+            found = []
+            for a, b, raw in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("tokens")):
+                x = np.frombuffer(raw.as_buffer(), np.uint64)
+                if b is None:
+                    hub, own = a, x.copy()
+                    continue
+                if a != hub:
+                    raise ValueError("a pair came without its first set")
+                both = len(np.intersect1d(own, x, assume_unique=True))
+                if 100 * both >= percent * (len(own) + len(x) - both):
+                    found.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    fans = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / FAN).alias("fans"))
+    dealt = pairs.join(fans, "a").select("a", "b", F.pmod(F.xxhash64("b"), "fans").alias("fan"))
+    own = fans.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("fans") - 1)).alias("fan")).join(sets.withColumnRenamed("node", "a"), "a")
+    rows = dealt.join(sets.withColumnRenamed("node", "b"), "b").select("a", "fan", "b", "tokens").union(own.select("a", "fan", F.lit(None).cast("long"), "tokens"))
+    return rows.repartition("a", "fan").sortWithinPartitions("a", "fan", F.col("b").asc_nulls_first()).select("a", "b", "tokens").mapInArrow(tidy(run), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -355,19 +473,18 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def set_table(docs: DataFrame, wanted: DataFrame, ngram: int = NGRAM) -> DataFrame:
+def set_table(docs: DataFrame, wanted: DataFrame, ngram: int = NGRAM, clashes: list[int] | None = None) -> DataFrame:
     """node, tokens of the wanted (doc_id, node). Nodes that no row with an id has are looked for in the rows without one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(ngram)
-        for batch in slices(batches, "text", 1 << 20):
-            sets = shingler.sets(batch.column("text").to_pylist())
-            tokens, sizes, full = _flat(sets)
-            nodes = nodes_of(tokens, sizes)
-            if "node" in batch.schema.names:  # an id may name other texts too
-                same = nodes == batch.column("node").to_numpy()[full]
-                full, nodes = full[same], nodes[same]
-            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array([sets[i].tobytes() for i in full], pa.binary())], ["node", "tokens"])
+        for batch in slices(batches, "text", CHUNK):
+            tokens, sizes = shingler.sets(batch.column("text"))
+            node = renamed(*names_of(tokens, sizes), clashes or [])
+            raw, ends = tokens.tobytes(), (8 * np.cumsum(sizes)).tolist()
+            same = (sizes > 0) & (node == batch.column("node").to_numpy() if "node" in batch.schema.names else True)  # an id may name other texts too
+            tokens = [raw[ends[i] - 8 * sizes[i] : ends[i]] for i in np.flatnonzero(same)]
+            yield pa.RecordBatch.from_arrays([pa.array(node[same]), pa.array(tokens, pa.binary())], ["node", "tokens"])
 
     schema = "node long, tokens binary"
     named, rest = wanted.filter("doc_id is not null"), wanted.filter("doc_id is null").select("node")
@@ -378,38 +495,47 @@ def set_table(docs: DataFrame, wanted: DataFrame, ngram: int = NGRAM) -> DataFra
 
 
 def grouped(docs: DataFrame, ngram: int, percent: int, mark: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """The rows' features, and (node, comp, doc_id) of the nodes: the component, and the smallest id of the node's rows.
-
-    With a mark, sets that only rows without an id have are linked too.
-    """
-    feats = staged(features(docs, ngram, mark), "features")
-    nodes = feats.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), *[F.first(s).alias(s) for s in SKETCH])
-    shared = staged(buckets(docs, ngram, percent), "buckets")
-    met = staged(nodes.join(shared.select("node").distinct(), "node"), "nodes")
-    wanted = met.select("doc_id", "node")
-    sets = staged(set_table(docs, wanted.filter("doc_id is not null") if mark is None else wanted, ngram), "sets")
+    """The rows' features, and (node, comp, doc_id) of the nodes: the component, and the smallest id of the node's rows."""
+    feats = staged(features(docs, ngram, percent, mark), "features")
+    double = feats.groupBy("node").agg(F.min("check").alias("low"), F.max("check").alias("high")).filter("low <> high")
+    clashes = [r["node"] for r in double.select("node").limit(CLASHES + 1).collect()]
+    if len(clashes) > CLASHES:
+        raise ValueError("too many sets share a name of 64 bits")
+    if clashes:
+        feats = staged(features(docs, ngram, percent, mark, clashes), "features")
+    named = feats.filter("node is not null")
+    every = named.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    found = staged(buckets(docs, ngram, percent, clashes), "buckets")
+    met = found.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    firsts = [F.first(c).alias(c) for c in ("n", "spares", "sketch")]
+    nodes = staged(named.join(met, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"), *firsts), "nodes")
+    rows = staged(spared(found.filter("key is not null").select("key", "a"), nodes), "rows")
     links = comps = tried = None
-    for how in ("ends", "nearest", "all"):
-        at = met if comps is None else met.join(comps, "node", "left")
-        comp = F.col("node") if comps is None else F.coalesce("comp", "node")
-        found = staged(propose(shared.join(at.select("node", comp.alias("comp"), "n", *SKETCH), "node"), how, percent), "candidates")
-        shared = found.filter("far is null").select(F.col("a").alias("key"), F.col("b").alias("node"))
-        offers = found.filter("far is not null")
-        if how != "all":  # each node's most promising offer
-            offers = offers.groupBy("a").agg(F.min(F.struct("far", "b")).alias("best")).select("a", "best.b")
-        pairs = offers.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    for how in ("hubs", "nearest", "all"):
+        if how == "hubs":
+            hubs = found.filter("key is not null and a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("times"))
+            first = hubs.groupBy("a").agg(F.max_by("b", F.struct("times", "b")).alias("b"))
+            near = likely(undirected(found.filter("key is null").select("a", "b").union(first)), nodes, percent)
+        else:
+            placed = nodes.select("node", "n", "sketch", F.col("node").alias("comp")) if comps is None else nodes.join(comps, "node", "left").select("node", "n", "sketch", F.coalesce("comp", "node").alias("comp"))
+            near = neighbours(rows.withColumnRenamed("a", "node").join(placed, "node"), how, percent)
+            if how == "nearest":  # over all of a node's buckets
+                near = near.groupBy("a").agg(F.min(F.struct("far", "b")).alias("best")).select("a", "best.b")
+            near = undirected(near)
+        pairs = near.select("a", "b")
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = staged(pairs, "pairs")
         if not pairs.head(1):
             continue
         tried = pairs if tried is None else tried.union(pairs)
-        fresh = verified(pairs, sets, percent)
+        wanted = nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("doc_id", "node")
+        fresh = verified(pairs, staged(set_table(docs, wanted, ngram, clashes), "sets"), percent)
         links = staged(fresh if links is None else links.union(fresh), "verified")
         comps = components(links)
     if comps is None:
-        return feats, nodes.select("node", F.col("node").alias("comp"), "doc_id")
-    return feats, nodes.join(comps, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "doc_id")
+        return feats, every.select("node", F.col("node").alias("comp"), "doc_id")
+    return feats, every.join(comps, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "doc_id")
 
 
 def join(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT) -> DataFrame:
@@ -417,7 +543,8 @@ def join(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT) -> DataFra
     feats, part = grouped(docs, ngram, percent)
     low = part.groupBy("comp").agg(F.min("doc_id").alias("low"))
     smallest = part.join(low, "comp").select("node", "low")
-    return feats.join(smallest, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("low", "doc_id").alias("component_id"))
+    named = feats.filter("node is not null").join(smallest, "node").select("doc_id", F.col("n").alias("n_shingles"), F.col("low").alias("component_id"))
+    return named.union(feats.filter("node is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -425,16 +552,18 @@ def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies by the stage's rule stays: the one with the smallest id, then set and content. Ids may be null or repeated."""
+    """One row of each group of near copies by the stage's rule stays: the one with the smallest id, then set and content. Ids may be null or repeated.
+
+    Rows are told apart by a hash of all columns; of whole rows that are repeated one stays.
+    """
     mark = F.xxhash64(*docs.columns)
     feats, part = grouped(docs, STAGE_NGRAM, STAGE_PERCENT, mark)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "node", "mark")).alias("first")
-    lowest = feats.filter("node is not null").groupBy("node").agg(first)
-    chosen = lowest.join(part.select("node", "comp"), "node").groupBy("comp").agg(F.min("first").alias("first")).select("first.mark")
-    keep = staged(chosen.union(feats.filter("node is null").select("mark").distinct()), "kept")
-    again = feats.join(keep, "mark", "left_semi").groupBy("mark").count().filter("count > 1")
-    kept = docs.withColumn("_mark", mark).join(keep.withColumnRenamed("mark", "_mark"), "_mark", "left_semi")
-    if again.head(1):  # whole rows that are repeated
+    named = feats.filter("node is not null").groupBy("node", "mark").agg(F.min("doc_id").alias("doc_id")).join(part.select("node", "comp"), "node")
+    rows = staged(named.select("comp", "mark", F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "node", "mark").alias("rank")), "ranked")
+    first = rows.groupBy("comp").agg(F.min("rank").alias("first"))
+    gone = rows.join(first, "comp").filter("mark <> first.mark").select(F.col("mark").alias("_mark"))
+    kept = docs.withColumn("_mark", mark).join(small_side(gone), "_mark", "left_anti")
+    if feats.groupBy("mark").count().filter("count > 1").head(1):
         kept = kept.dropDuplicates(["_mark"])
     return kept.select(*docs.columns)
 

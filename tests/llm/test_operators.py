@@ -253,16 +253,95 @@ def test_jaccard_keys_grow_with_the_set():
     rng = np.random.default_rng(11)
     for n in (400, 3000):
         sizes = np.arange(n, n * 13 // 10, n // 20)
-        keys = jaccard.keys_of(rng.integers(0, 2**63, int(sizes.sum())).astype(np.uint64), sizes, jaccard.Bands(80))[1]
-        assert len(keys) < 3 * sizes.sum()
+        keys = jaccard.keys_of(np.concatenate([np.sort(rng.integers(0, 2**63, k).astype(np.uint64) * np.uint64(2)) for k in sizes]), sizes, jaccard.Bands(80))[1]
+        assert len(keys) < sizes.sum()
+
+
+def test_jaccard_words_and_shingles_are_those_of_the_rule(monkeypatch):
+    monkeypatch.setattr(jaccard, "CHUNK", 16)  # cuts between words, and words longer than a chunk
+    texts = ["a b c d e", None, "", " \t\n", "A  b\x0bC d\re ", "x" * 50 + " y z " + "w" * 40 + "\u00df", "one two", "one\u00a0two three", "a b c d a b c d a b c d", "two one"]
+    shingler = jaccard.Shingler(3)
+    tokens, sizes = shingler.sets(jaccard.pa.array(["skipped", *texts]).slice(1))
+    words = [(t or "").lower().encode().split() for t in texts]
+    want = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} or ({tuple(w)} if w else set()) for w in words]
+    assert sizes.tolist() == [len(x) for x in want]
+    ends = np.cumsum(sizes)
+    name, back = {}, {}
+    for text, end, n in zip(want, ends, sizes):
+        own = set(tokens[end - n : end].tolist())
+        for shingle in text:
+            name.setdefault(shingle, own)
+            name[shingle] = name[shingle] & own
+        for token in own:
+            back.setdefault(token, text)
+            back[token] = back[token] & text
+    assert all(name.values()) and all(back.values())  # the same shingle has the same token in all texts, and no other
+
+
+def test_jaccard_buckets_may_span_batches(spark):
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(base)] * 3
+    for i in range(40):
+        copy = list(base)
+        copy[int(rng.integers(60))] = f"edit{i % 7}"
+        texts.append(" ".join(copy))
+    texts += [" ".join(f"v{i}x{j}" for j in range(30)) for i in range(10)] * 2
+    want = {r["doc_id"]: r["component_id"] for r in jaccard.join(docs(spark, texts), 1, 85).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = {r["doc_id"]: r["component_id"] for r in jaccard.join(docs(spark, texts), 1, 85).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want == {i: 0 if i < 43 else 43 + (i - 43) % 10 for i in range(63)}
+
+
+def test_jaccard_tells_clashing_names_apart(spark, monkeypatch):
+    texts = [" ".join(f"{letter}{i}" for i in range(40)) for letter in "abcd"] + [" ".join(f"a{i}" for i in range(40))] + [" ".join([*(f"b{i}" for i in range(40)), "tail"])]
+    plain = jaccard.names_of
+    monkeypatch.setattr(jaccard, "names_of", lambda tokens, sizes: (plain(tokens, sizes)[0] * 0 + 7, plain(tokens, sizes)[1]))
+    rows = {r["doc_id"]: r["component_id"] for r in jaccard.join(docs(spark, texts)).collect()}
+    assert rows == {0: 0, 1: 1, 2: 2, 3: 3, 4: 0, 5: 1}
+
+
+def test_jaccard_verifies_few_pairs_of_a_large_loose_group(spark, monkeypatch):
+    # 2,000 copies of one text, pairs of which share 60 to 84 percent: no links, and no pair table
+    rng = np.random.default_rng(13)
+    base = np.array([f"w{i}" for i in range(300)], dtype=object)
+    texts = []
+    for i in range(2000):
+        copy = base.copy()
+        copy[rng.choice(300, int(rng.integers(8, 14)), replace=False)] = [f"e{i}x{j}" for j in range(20)][: 1]
+        texts.append(" ".join(copy))
+    counted, plain = [], jaccard.verified
+    monkeypatch.setattr(jaccard, "verified", lambda pairs, sets, percent: counted.append(pairs.count()) or plain(pairs, sets, percent))
+    rows = jaccard.join(docs(spark, texts)).collect()
+    sets = [{tuple(w[i : i + 4]) for i in range(297)} for w in (t.split() for t in texts[:40])]
+    shares = [len(x & y) / len(x | y) for i, x in enumerate(sets) for y in sets[:i]]
+    assert max(shares) < 0.85 and len({r["component_id"] for r in rows}) > 1900
+    assert sum(counted) < 4000
+
+
+def test_jaccard_leaves_a_common_passage_out_of_its_buckets(spark):
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts = [passage + " " + " ".join(f"d{i}x{j}" for j in range(140)) for i in range(600)]
+    texts += [t + " tail" for t in texts[:20]]
+    found = jaccard.buckets(docs(spark, texts))
+    rows = found.filter("key is not null").select("key", "a")
+    feats = jaccard.features(docs(spark, texts)).select("node", "spares")
+    left = jaccard.spared(rows, feats.distinct()).groupBy("key").count().agg(F.max("count")).first()[0] or 0
+    assert rows.groupBy("key").count().agg(F.max("count")).first()[0] > jaccard.HOT >= left
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.join(docs(spark, texts)).collect()}
+    assert got == {i: i if i < 600 else i - 600 for i in range(620)}
 
 
 def test_parity_sketch_bounds_the_difference():
     rng = np.random.default_rng(4)
     a = rng.integers(0, 2**63, 300).astype(np.uint64)
     b = np.concatenate([a[:-20], rng.integers(0, 2**63, 10).astype(np.uint64)])
-    s = jaccard.sketches_of(np.concatenate([a, b]), np.array([len(a), len(b)]))
-    assert np.bitwise_count((s[0] ^ s[1]).view(np.uint64)).sum() <= 30
+    x, y = jaccard.sketches_of(np.concatenate([a, b]), np.array([len(a), len(b)]))
+    for width in (len(x), 32):
+        assert np.bitwise_count(jaccard.unsketched(x, width) ^ jaccard.unsketched(y, width)).sum() <= 30
 
 
 def test_language_by_fewest_phrases(spark):
