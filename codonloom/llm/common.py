@@ -5,7 +5,9 @@ from __future__ import annotations
 import ctypes
 import gc
 import pickle
+import sys
 import tempfile
+import types
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -15,9 +17,6 @@ from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_local_dir: list[str] = []
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of sf_dir. Python workers get rows in batches bounded in bytes, as texts can be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)
@@ -25,13 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is set (tests)."""
+    """The folder that driver and executors share. On one machine, where none is set, one below the system's temporary folder is made and set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
-    if not _local_dir:
-        _local_dir.append("file://" + tempfile.mkdtemp(prefix="spark-shared-"))
-    return _local_dir[0]
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    spark.conf.set("spark.checkpoint.dir", made := "file://" + tempfile.mkdtemp(prefix="spark-shared-"))
+    return made
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -86,6 +86,14 @@ def tidy(run: Run) -> Run:
     return tidied
 
 
+def kept(name: str, make: Callable[[], object]) -> object:
+    """An object of bounded size that a Python worker makes once and keeps for its later tasks."""
+    held = sys.modules.setdefault("_kept_by_worker", types.ModuleType("_kept_by_worker")).__dict__
+    if name not in held:
+        held[name] = make()
+    return held[name]
+
+
 def sent(spark: SparkSession, model: object) -> Broadcast:
     """A model of bounded size for every task, with its class: see received()."""
     return spark.sparkContext.broadcast(cloudpickle.dumps(model))

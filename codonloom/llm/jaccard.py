@@ -17,9 +17,9 @@ pieces than spares keys each of the others together with every piece of a second
 
 Equal sets are one node. Links are wanted for components, so candidates of nodes
 that are joined already are not looked at again. Small buckets propose all their
-pairs; of a larger one each node first tries the hub that it meets most often, then
-its nearest neighbour by sketch in another component, and last every pair that the
-sketches allow and that is still apart.
+pairs; of a larger one each node first tries the hub that it meets most often, then,
+as long as a quarter of these are links, its nearest untried neighbour by sketch in another
+component, and last every untried pair that the sketches allow and that is still apart.
 
 Defined results: null texts and texts without words have no shingles and stand
 alone; with fewer words than a shingle the whole sequence is one; repeated rows
@@ -50,6 +50,8 @@ SMALL, HOT = 4, 64
 SPARES, GROWTH, NARROW, WIDE, CHUNK, SEEN = 0.25, 1.3, 256, 8192, 1 << 20, 1 << 20
 #: Pairs of one node that are verified by one task, and names of 64 bits that two sets may have (of 10^10 sets about three do).
 FAN, CLASHES = 512, 10_000
+#: Rounds in which each node tries its nearest neighbour, while a quarter of the trials are links; then all pairs that the sketches leave are tried.
+NEAREST = 8
 
 
 def difference(total: int | np.ndarray, percent: int = PERCENT) -> int | np.ndarray:
@@ -373,34 +375,38 @@ def likely(pairs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFr
 
 
 def neighbours(rows: DataFrame, how: str, percent: int = PERCENT) -> DataFrame:
-    """(a, b, far): from bucket rows (key, node, comp, n, sketch) each node's nearest one in another component (`nearest`), or every such pair (`all`).
+    """(a, b, far): from bucket rows (key, node, comp, n, sketch, past), for the nodes outside a bucket's largest component, the nearest one in another component (`nearest`), or every such pair (`all`), past pairs aside.
 
     A task holds one bucket; its distances are computed in blocks, and only what the sketches allow is emitted.
     """
 
-    def compared(node: np.ndarray, comp: np.ndarray, n: np.ndarray, sketches: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
+    def compared(node: np.ndarray, comp: np.ndarray, n: np.ndarray, sketches: list[bytes], past: list[list[int] | None]) -> Iterator[tuple[np.ndarray, ...]]:
         width = min(map(len, sketches))
         s = np.stack([unsketched(x, width) for x in sketches])
-        g = len(node)
-        step = max(1, (1 << 21) // (g * s.shape[1]))
-        for at in range(0, g, step):
-            i = slice(at, at + step)
+        names, size = np.unique(comp, return_counts=True)
+        rest = np.flatnonzero(comp != names[np.argmax(size)])  # of two components one at least is not the largest
+        step = max(1, (1 << 21) // (len(node) * s.shape[1]))
+        for at in range(0, len(rest), step):
+            i = rest[at : at + step]
             far = np.bitwise_count(s[i, None, :] ^ s[None, :, :]).sum(axis=-1, dtype=np.int64)
             ok = fits(n[i, None], n[None, :], far, percent) & (comp[i, None] != comp[None, :])
+            for k, others in enumerate(past[x] for x in i):
+                if others and ok[k].any():
+                    ok[k] &= ~np.isin(node, others)
             if how == "nearest":
                 b = np.argmin(np.where(ok, far, 1 << 40), axis=1)
                 a = np.flatnonzero(ok[np.arange(len(b)), b])
                 b = b[a]
             else:
-                a, b = np.nonzero(ok & (node[i, None] < node[None, :]))
-            yield node[a + at], node[b], far[a, b]
+                a, b = np.nonzero(ok)
+            yield node[i[a]], node[b], far[a, b]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def of(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             t = pa.Table.from_batches(held).combine_chunks()
             node, comp, n = (t.column(c).to_numpy() for c in ("node", "comp", "n"))
             if comp.min() != comp.max():
-                for a, b, far in compared(node, comp, n, t.column("sketch").to_pylist()):
+                for a, b, far in compared(node, comp, n, t.column("sketch").to_pylist(), t.column("past").to_pylist()):
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(far)], ["a", "b", "far"])
 
         held: list[pa.RecordBatch] = []
@@ -418,7 +424,7 @@ def neighbours(rows: DataFrame, how: str, percent: int = PERCENT) -> DataFrame:
             yield from of(held)
 
     mixed = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("key")
-    columns = rows.join(mixed, "key", "left_semi").select("key", "node", "comp", "n", "sketch")
+    columns = rows.join(mixed, "key", "left_semi").select("key", "node", "comp", "n", "sketch", "past")
     return columns.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(run), "a long, b long, far long")
 
 
@@ -473,6 +479,17 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def joined(comps: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The components (node, comp) after further links between nodes."""
+    if comps is None:
+        return components(links)
+    of = lambda c: comps.select(F.col("node").alias(c), F.col("comp").alias(f"comp_{c}"))
+    met = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", *[F.coalesce(f"comp_{c}", c).alias(f"comp_{c}") for c in "ab"])
+    tops = components(met.filter("comp_a <> comp_b").select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"))).select(F.col("node").alias("comp"), F.col("comp").alias("top"))
+    every = comps.union(met.select("a", "comp_a")).union(met.select("b", "comp_b")).distinct()
+    return staged(every.join(tops, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp")), "labels")
+
+
 def set_table(docs: DataFrame, wanted: DataFrame, ngram: int = NGRAM, clashes: list[int] | None = None) -> DataFrame:
     """node, tokens of the wanted (doc_id, node). Nodes that no row with an id has are looked for in the rows without one."""
 
@@ -494,6 +511,17 @@ def set_table(docs: DataFrame, wanted: DataFrame, ngram: int = NGRAM, clashes: l
     return found.groupBy("node").agg(F.first("tokens").alias("tokens"))
 
 
+def placed(nodes: DataFrame, comps: DataFrame | None, tried: DataFrame | None) -> DataFrame:
+    """node, n, sketch, comp, and `past`: the nodes of other components that the node was compared with."""
+    at = nodes.select("node", "n", "sketch", F.col("node").alias("comp")) if comps is None else nodes.join(comps, "node", "left").select("node", "n", "sketch", F.coalesce("comp", "node").alias("comp"))
+    if tried is None:
+        return at.withColumn("past", F.lit(None).cast("array<long>"))
+    both = tried.select(F.col("a").alias("node"), F.col("b").alias("other")).union(tried.select(F.col("b").alias("node"), F.col("a").alias("other")))
+    comp = at.select("node", "comp")
+    apart = both.join(comp, "node").join(comp.select(F.col("node").alias("other"), F.col("comp").alias("further")), "other").filter("comp <> further")
+    return at.join(apart.groupBy("node").agg(F.collect_list("other").alias("past")), "node", "left")
+
+
 def grouped(docs: DataFrame, ngram: int, percent: int, mark: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """The rows' features, and (node, comp, doc_id) of the nodes: the component, and the smallest id of the node's rows."""
     feats = staged(features(docs, ngram, percent, mark), "features")
@@ -510,29 +538,31 @@ def grouped(docs: DataFrame, ngram: int, percent: int, mark: Column | None = Non
     firsts = [F.first(c).alias(c) for c in ("n", "spares", "sketch")]
     nodes = staged(named.join(met, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"), *firsts), "nodes")
     rows = staged(spared(found.filter("key is not null").select("key", "a"), nodes), "rows")
-    links = comps = tried = None
-    for how in ("hubs", "nearest", "all"):
+    comps = tried = None
+    left = NEAREST
+    how = "hubs"
+    while how:
         if how == "hubs":
             hubs = found.filter("key is not null and a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("times"))
             first = hubs.groupBy("a").agg(F.max_by("b", F.struct("times", "b")).alias("b"))
             near = likely(undirected(found.filter("key is null").select("a", "b").union(first)), nodes, percent)
         else:
-            placed = nodes.select("node", "n", "sketch", F.col("node").alias("comp")) if comps is None else nodes.join(comps, "node", "left").select("node", "n", "sketch", F.coalesce("comp", "node").alias("comp"))
-            near = neighbours(rows.withColumnRenamed("a", "node").join(placed, "node"), how, percent)
+            near = neighbours(rows.withColumnRenamed("a", "node").join(placed(nodes, comps, tried), "node"), how, percent)
             if how == "nearest":  # over all of a node's buckets
                 near = near.groupBy("a").agg(F.min(F.struct("far", "b")).alias("best")).select("a", "best.b")
             near = undirected(near)
-        pairs = near.select("a", "b")
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = staged(pairs, "pairs")
-        if not pairs.head(1):
-            continue
-        tried = pairs if tried is None else tried.union(pairs)
-        wanted = nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("doc_id", "node")
-        fresh = verified(pairs, staged(set_table(docs, wanted, ngram, clashes), "sets"), percent)
-        links = staged(fresh if links is None else links.union(fresh), "verified")
-        comps = components(links)
+        pairs = staged(near.select("a", "b"), "pairs")
+        merged = False
+        if pairs.head(1):
+            tried = pairs if tried is None else tried.union(pairs)
+            wanted = nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("doc_id", "node")
+            fresh = staged(verified(pairs, staged(set_table(docs, wanted, ngram, clashes), "sets"), percent), "verified")
+            if found_now := fresh.count():
+                comps = joined(comps, fresh)
+                merged = 4 * found_now >= pairs.count()
+        if how == "nearest":
+            left -= 1
+        how = None if how == "all" or how == "nearest" and not pairs.head(1) else "nearest" if how == "hubs" or merged and left else "all"
     if comps is None:
         return feats, every.select("node", F.col("node").alias("comp"), "doc_id")
     return feats, every.join(comps, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "doc_id")

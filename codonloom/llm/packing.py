@@ -25,10 +25,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, staged, table, tidy
+from .common import kept, slices, staged, table, tidy
 
 LENGTH, CLASS, END_ID = 2048, 16, 1
-SHARD_IDS, MEMO, LEAST_PIECE = 4 << 20, 300_000, 8
+SHARD_IDS, MEMO, LEAST_PIECE = 4 << 20, 500_000, 8
+#: Bytes of text whose different pieces are looked up together.
+TOGETHER = 24 << 20
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _ARROW = pa.schema([(x.split()[0], pa.int64()) for x in SCHEMA.split(", ")])
@@ -38,12 +40,12 @@ class Encoder:
     """Ids of whole texts, equal to the vocabulary file's own encoding.
 
     Its rules never join characters across a space or a line break, so what stands
-    between them is encoded apart, each different piece once a batch. A piece of
-    plain Latin characters is lower-cased and cut into words as the file's rules
-    say; words are remembered. Other pieces go through the whole tokenizer.
+    between them is encoded apart. A piece of plain Latin characters is lower-cased
+    and cut into words as the file's rules say; other pieces go through the whole
+    tokenizer. Pieces and words are remembered, up to a number of each.
     """
 
-    PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]*")
+    PLAIN = r"\x21-\x7eÀ-ÖØ-öø-ÿ"
     WORDS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
 
     def __init__(self, path: str) -> None:
@@ -52,58 +54,71 @@ class Encoder:
         self.whole = Tokenizer.from_file(path)
         if self.whole.get_vocab_size() > 1 << 16:
             raise ValueError("ids are stored in 16 bits")
-        self.marks = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.words = Tokenizer(self.whole.model)  # the same model on words that stand between spaces
-        self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        marks = [re.escape(t.content) for t in self.whole.get_added_tokens_decoder().values()]
+        self.odd = re.compile("|".join([rf"[^\n{self.PLAIN}]", *marks]))
+        self.model = Tokenizer(self.whole.model)  # the same model on words that stand between spaces
+        self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.last = np.zeros(1 << 16, bool)
         for token, i in self.whole.get_vocab().items():
             self.last[i] = token.endswith("</w>")
-        self.memo: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
 
-    def _parts(self, piece: str) -> list[str]:
-        if not self.PLAIN.fullmatch(piece) or any(m in piece for m in self.marks):
-            return [piece + " "]  # a space marks a piece for the whole tokenizer: words hold none
-        low = piece.lower()
-        return [low] if low.isalpha() else self.WORDS.findall(low)
+    def _wholes(self, pieces: list[str]) -> None:
+        for p, e in zip(pieces, self.whole.encode_batch_fast(pieces, add_special_tokens=False)):
+            self.known[p] = np.array(e.ids, "<u2").tobytes()
 
-    def _learn(self, new: list[str]) -> None:
-        whole = [w for w in new if w[-1] == " "]
-        for w, e in zip(whole, self.whole.encode_batch_fast([w[:-1] for w in whole], add_special_tokens=False)):
-            self.memo[w] = np.array(e.ids, "<u2").tobytes()
-        words = [w for w in new if w[-1] != " "]
+    def _learn_words(self, words: list[str]) -> None:
         for at in range(0, len(words), 4096):
             some = words[at : at + 4096]
-            ids = np.array(self.words.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u2")
+            ids = np.array(self.model.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u2")
             ends = (2 * np.nonzero(self.last[ids])[0] + 2).tolist()
             if len(ends) != len(some):
                 raise ValueError("each word must end with one last token")
             raw = ids.tobytes()
-            self.memo.update((w, raw[a:b]) for w, a, b in zip(some, [0, *ends], ends))
+            self.words.update((w, raw[a:b]) for w, a, b in zip(some, [0, *ends], ends))
+
+    def _learn(self, new: list[str]) -> None:
+        joined = "\n".join(new)
+        odd = {joined[joined.rfind("\n", 0, m.start()) + 1 : e if (e := joined.find("\n", m.start())) >= 0 else len(joined)] for m in self.odd.finditer(joined)}
+        self._wholes(list(odd))
+        plain = [p for p in new if p not in odd] if odd else new
+        low = "\n".join(plain).lower().split("\n") if plain else []
+        parts = [(w,) if w.isalpha() else self.WORDS.findall(w) for w in low]
+        if len(self.words) > MEMO:
+            self.words = {}
+        if unknown := set(chain.from_iterable(parts)) - self.words.keys():
+            self._learn_words(list(unknown))
+        words = self.words
+        self.known.update((p, words[w[0]] if len(w) == 1 else b"".join([words[x] for x in w])) for p, w in zip(plain, parts))
 
     def pieces(self, pieces: list[str]) -> list[bytes]:
-        if len(self.memo) > MEMO:
-            self.memo = {}
-        parts = [self._parts(p) for p in pieces]
-        if new := set(chain.from_iterable(parts)) - self.memo.keys():
-            self._learn(list(new))
-        memo = self.memo
-        return [memo[p[0]] if len(p) == 1 else b"".join([memo[w] for w in p]) for p in parts]
-
-    def texts(self, texts: pa.Array) -> tuple[pa.Array, pa.Array]:
-        """Each text's ids with the end id as bytes, and their number."""
-        split = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
-        coded = split.flatten().dictionary_encode()
+        if len(self.known) > MEMO:
+            self.known = {}
+        known = self.known
+        if new := [p for p in pieces if p not in known]:
+            self._learn(new)
+        return list(map(known.__getitem__, pieces))
+
+    def texts(self, texts: list[pa.Array]) -> Iterator[tuple[pa.Array, pa.Array]]:
+        """For each array of texts, their ids with the end id as bytes, and their number. Each different piece of all arrays is looked up once."""
+        split = [pc.split_pattern(pc.replace_substring(pc.fill_null(x, ""), "\n", " "), " ") for x in texts]
+        coded = pa.chunked_array([x.flatten() for x in split]).combine_chunks().dictionary_encode()
         known = [*self.pieces(coded.dictionary.to_pylist()), np.array([END_ID], "<u2").tobytes()]
-        sizes = np.fromiter((len(x) // 2 for x in known), np.int64, len(known))
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 2
         first = np.cumsum(sizes) - sizes
-        bounds = split.offsets.to_numpy()
-        bounds = bounds - bounds[0]
-        codes = np.insert(coded.indices.to_numpy(), bounds[1:], len(known) - 1)
-        n = sizes[codes]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        ids = np.frombuffer(b"".join(known), "<u2")[np.repeat(first[codes] - ends[:-1], n) + np.arange(ends[-1])]
-        cuts = ends[bounds + np.arange(len(bounds))]
-        return pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(2 * cuts), pa.py_buffer(ids)]).cast(pa.binary()), pa.array(np.diff(cuts), pa.int64())
+        pool = np.frombuffer(b"".join(known), "<u2")
+        indices, at = coded.indices.to_numpy(), 0
+        for x in split:
+            bounds = x.offsets.to_numpy()
+            bounds = bounds - bounds[0]
+            codes = np.insert(indices[at : at + bounds[-1]], bounds[1:], len(known) - 1)
+            at += bounds[-1]
+            n = sizes[codes]
+            ends = np.concatenate([[0], np.cumsum(n)])
+            ids = pool[np.repeat(first[codes] - ends[:-1], n) + np.arange(ends[-1])]
+            cuts = ends[bounds + np.arange(len(bounds))]
+            yield pa.Array.from_buffers(pa.large_binary(), len(x), [None, pa.py_buffer(2 * cuts), pa.py_buffer(ids)]).cast(pa.binary()), pa.array(np.diff(cuts), pa.int64())
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -114,9 +129,15 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
         path = public_tokenizers.path("word_bpe_49k.json")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
-        for batch in slices(batches, "text", 4 << 20):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *encoder.texts(batch.column("text"))], ["doc_id", "ids", "n"])
+        encoder = kept(f"encoder {path}", lambda: Encoder(path))
+        held: list[pa.RecordBatch] = []
+        for batch in chain(slices(batches, "text", 4 << 20), [None]):
+            if batch is not None:
+                held.append(batch)
+            if held and (batch is None or sum(x.nbytes for x in held) > TOGETHER):
+                for x, found in zip(held, encoder.texts([x.column("text") for x in held])):
+                    yield pa.RecordBatch.from_arrays([x.column("doc_id"), *found], ["doc_id", "ids", "n"])
+                held = []
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "doc_id long, ids binary, n long")
 
