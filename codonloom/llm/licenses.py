@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -63,6 +64,18 @@ def seeds_of(phrase: str, errors: int) -> list[tuple[str, int]]:
     return [(phrase[a:b], a) for a, b in zip(edges, edges[1:])]
 
 
+class Spaces:
+    """How many spaces stand before a place; they are listed at the first question."""
+
+    def __init__(self, text: str):
+        self.text, self.at = text, None
+
+    def before(self, place: int) -> int:
+        if self.at is None:
+            self.at = np.flatnonzero(np.frombuffer(self.text.encode("utf-32-le", "surrogatepass"), np.uint32) == 32)
+        return int(np.searchsorted(self.at, place))
+
+
 class Scanner:
     """The search over one text; `phrases` are exact, `notices` may have up to `errors` edits."""
 
@@ -82,16 +95,16 @@ class Scanner:
     def words(self, text: str | None) -> list[bytes]:
         return (text or "").encode("utf-8", "surrogatepass").translate(self.table).split()
 
-    def exact(self, norm: str) -> list[tuple[int, str]]:
+    def exact(self, norm: str, spaces: "Spaces") -> list[tuple[int, str]]:
         found = []
         for phrase, label in self.phrases:
             at = norm.find(phrase)
             while at >= 0:
-                found.append((norm.count(" ", 0, at), label))
+                found.append((spaces.before(at), label))
                 at = norm.find(phrase, at + 1)
         return found
 
-    def fuzzy(self, norm: str) -> list[tuple[str, int, int, int, float]]:
+    def fuzzy(self, norm: str, spaces: "Spaces") -> list[tuple[str, int, int, int, float]]:
         """(label, first word, last word, edits, similarity), one per notice and place, in order."""
         starts: dict[int, set[int]] = {}
         for seed, uses in self.seeds.items():
@@ -111,7 +124,7 @@ class Scanner:
                 m = rule.search(norm, lo, min(len(norm), start + len(phrase) + 2 * self.errors + 2))
                 if m and m.end() > m.start():
                     a = m.start() + (len(m[0]) - len(m[0].lstrip(" ")))
-                    first = norm.count(" ", 0, a + 1) - 1 if norm[a] != " " else norm.count(" ", 0, a)
+                    first = spaces.before(a + 1) - 1 if norm[a] != " " else spaces.before(a)
                     last = first + m[0].strip(" ").count(" ")
                     edits = sum(m.fuzzy_counts)
                     found.setdefault((label, first, last), (edits, 1 - edits / len(phrase)))
@@ -121,8 +134,9 @@ class Scanner:
     def scan(self, text: str | None) -> dict:
         words = self.words(text)
         norm = (b" " + b" ".join(words) + b" ").decode("utf-8", "surrogatepass") if words else ""
-        base = self.exact(norm)
-        spans = self.fuzzy(norm)
+        spaces = Spaces(norm)
+        base = self.exact(norm, spaces)
+        spans = self.fuzzy(norm, spaces)
         base_labels = {label for _, label in base}
         return {
             "n_words": len(words),
@@ -150,4 +164,4 @@ def scan(docs: DataFrame, phrases: dict[str, str] = BASE, notices: dict[str, str
 
 
 def op1_license(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(table(spark, sf_dir, "documents")).drop("spans")
+    return scan(table(spark, sf_dir, "documents"))

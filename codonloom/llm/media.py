@@ -71,8 +71,9 @@ def spectrum(samples: np.ndarray, window: np.ndarray, block: int = 4096) -> Iter
 def fingerprint(payload: bytes, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Times (anchor frames) and codes (frequency << 17 | frequency << 10 | frames between), in order of time.
 
-    A frame's peaks are its PEAKS highest local maxima; an anchor pairs with the
-    peaks of the same rank or below it in the next FAN of AHEAD frames.
+    A frame's peaks are its PEAKS highest local maxima. In the order of frames and,
+    within one, of height, an anchor pairs with those of the FAN * PEAKS peaks after
+    it that lie 1 to AHEAD frames later.
     """
     at_all, bin_all = [], []
     for first, mag in spectrum(np.frombuffer(payload, np.uint8), window):
@@ -118,4 +119,4 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = store(table(spark, sf_dir, "documents"))
     marks = F.concat_ws(",", F.transform(F.arrays_zip("times", "codes"), lambda p: F.concat_ws(":", p["times"].cast("string"), p["codes"].cast("string"))))
     feature = F.concat(F.size("codes").cast("string"), F.lit(":"), F.md5(marks))
-    return stored.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+    return stored.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"), "times", "codes")

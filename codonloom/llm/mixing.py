@@ -18,7 +18,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import staged, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -96,12 +96,13 @@ def mix(docs: DataFrame, block_words: int = 16, docs_per_shard: int = 8192, seed
     cell stays near docs_per_shard rows however hot its source is. Only ids,
     sources and sizes are shuffled, once, by cell.
     """
-    shards = max(1, ceil(docs.count() / docs_per_shard))
-    base = docs.select(
+    sized = staged(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")  # texts are read once
+    shards = max(1, ceil(sized.count() / docs_per_shard))
+    base = sized.select(
         "doc_id",
         "source",
         F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("skey"),
-        word_count(F.col("text")).alias("size"),
+        "size",
         F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(shards)).alias("shard"),
         F.xxhash64(F.lit(seed + 1), F.col("doc_id")).alias("_ord"),
     )
@@ -154,10 +155,14 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, whole: 0, 1 or 2 times; documents without words stay out."""
-    plan = mix(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies")).filter("_copies > 0")
-    return (
-        docs.join(plan, F.col("doc_id").eqNullSafe(F.col("_id")))
-        .withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies"))))
-        .select(*docs.columns)
-    )
+    """Documents as often as the mix takes them, whole: 0, 1 or 2 times; documents without words stay out. Rows of one id are taken alike."""
+    plan = mix(docs).groupBy(F.col("doc_id").alias(free("_id", docs))).agg(F.max("copies").alias(free("_copies", docs))).filter(f"`{free('_copies', docs)}` > 0")
+    times = F.explode(F.array_repeat(F.lit(0), F.col(free("_copies", docs))))
+    return docs.join(plan, F.col("doc_id").eqNullSafe(F.col(free("_id", docs)))).withColumn(free("_copy", docs), times).select(*docs.columns)
+
+
+def free(name: str, docs: DataFrame) -> str:
+    """A column name that docs do not have."""
+    while name.lower() in (c.lower() for c in docs.columns):
+        name += "_"
+    return name

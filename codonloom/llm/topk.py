@@ -15,16 +15,18 @@ table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
-from math import ceil
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import staged, table
+from .common import fresh_path, staged, table, tidy
+from .warc import opened
 
 SCALE, K, BLOCK, GROUP, QUERIES = 256, 5, 256, 64, 4096
 NONE = np.iinfo(np.int64).min
@@ -49,13 +51,8 @@ def blocks_of(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, block):
                 part = batch.slice(at, block)
-                lists = part.column("v").to_pylist()
-                dims = max(1, *map(len, lists)) if len(lists) > 1 else max(1, len(lists[0]))
-                m = np.zeros((len(lists), dims), np.int64)
-                for i, x in enumerate(lists):
-                    m[i, : len(x)] = x
-                ids = np.array(part.column("vec_id").to_pylist(), np.int64)
-                values = [number, dims, ids.tobytes(), m.tobytes(), m.max(0).tobytes(), m.min(0).tobytes()]
+                m, ids = matrix_of(part.column("v")), part.column("vec_id").to_numpy()
+                values = [number, m.shape[1], ids.tobytes(), m.tobytes(), m.max(0).tobytes(), m.min(0).tobytes()]
                 types = [pa.int64(), pa.int64(), *[pa.binary()] * 4]
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], ["block", "dims", "ids", "rows", "high", "low"])
                 number += 1
@@ -64,6 +61,14 @@ def blocks_of(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
     return ranged.mapInArrow(run, "block long, dims long, ids binary, rows binary, high binary, low binary")
 
 
+def matrix_of(lists: pa.Array) -> np.ndarray:
+    """Rows of numbers, shorter ones padded with zeros."""
+    lengths = np.diff(lists.offsets.to_numpy())
+    m = np.zeros((len(lengths), max(1, int(lengths.max(initial=0)))), np.int64)
+    m[np.arange(m.shape[1]) < lengths[:, None]] = lists.flatten().to_numpy()
+    return m
+
+
 class Search:
     """The k best of all blocks seen so far, per query."""
 
@@ -116,44 +121,40 @@ class Search:
 def search(blocks: DataFrame, queries: DataFrame, k: int = K, most: int = QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score.
 
-    The queries go out in blocks of about `most`, each broadcast on its own, so
-    what is broadcast does not grow with their number.
+    The queries are a table in the shared folder. Each task reads it, `most` queries
+    at a time, for each GROUP of blocks: neither the plan, nor the driver, nor a
+    task's memory grows with the number of queries.
     """
     spark = blocks.sparkSession
-    count = queries.count()
-    parts = max(1, ceil(count / most))
-    numbered = queries.withColumn("_part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)))
-    results = []
-    for part in range(parts):
-        rows = numbered.filter(F.col("_part") == part).groupBy("vec_id").agg(F.max("v").alias("v")).collect()
-        dims = max([1, *(len(r["v"]) for r in rows)])
-        ids, q = np.array([r["vec_id"] for r in rows], np.int64), np.zeros((len(rows), dims), np.int64)
-        for i, r in enumerate(rows):
-            q[i, : len(r["v"])] = r["v"]
-        results.append(blocks.mapInArrow(_runner(spark.sparkContext.broadcast((ids, q)), k), "query_id long, vec_id long, score long"))
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    best = reduce(DataFrame.unionAll, results).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    return best.select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+    path = fresh_path(spark, "queries")
+    queries.groupBy("vec_id").agg(F.max("v").alias("v")).write.parquet(path)
 
+    def asked() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        files, root = opened(path)
+        for info in files.get_file_info(pafs.FileSelector(root)):
+            if info.base_name.endswith(".parquet"):
+                with files.open_input_file(info.path) as f:
+                    for batch in pq.ParquetFile(f).iter_batches(most, columns=["vec_id", "v"]):
+                        yield batch.column("vec_id").to_numpy(), matrix_of(batch.column("v"))
 
-def _runner(sent, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q = sent.value
-        state = Search(ids, q, k)
         held = []
-        for batch in batches:
-            for row in batch.select(["dims", "ids", "rows", "high", "low"]).to_pylist():
-                vec, rows, high, low = (np.frombuffer(row[c], np.int64) for c in ("ids", "rows", "high", "low"))
-                held.append((vec, rows.reshape(-1, row["dims"]), high, low))
-                if len(held) == GROUP:
-                    state.add(held)
-                    held = []
-        if held and len(ids):
-            state.add(held)
-        at, nth = np.nonzero(state.found != NONE)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(state.found[at, nth]), pa.array(state.score[at, nth])], ["query_id", "vec_id", "score"])
-
-    return run
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                for row in batch.select(["dims", "ids", "rows", "high", "low"]).to_pylist():
+                    vec, rows, high, low = (np.frombuffer(row[c], np.int64) for c in ("ids", "rows", "high", "low"))
+                    held.append((vec, rows.reshape(-1, row["dims"]), high, low))
+            while len(held) >= GROUP or batch is None and held:
+                for ids, q in asked():
+                    state = Search(ids, q, k)
+                    state.add(held[:GROUP])
+                    at, nth = np.nonzero(state.found != NONE)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(state.found[at, nth]), pa.array(state.score[at, nth])], ["query_id", "vec_id", "score"])
+                held = held[GROUP:]
+
+    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    best = blocks.mapInArrow(tidy(run), "query_id long, vec_id long, score long").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return best.select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 
 
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

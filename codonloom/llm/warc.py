@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, slices, staged, table, tidy
+from .common import fresh_path, slices, small_side, staged, table, tidy
 
 DICT_FRAME = 0x184D2A5D
 DICT_BYTES, SAMPLES, SAMPLE_BYTES, ARCHIVE_BYTES = 32 << 10, 256, 8 << 10, 8 << 20
@@ -72,12 +72,18 @@ def parse(raw: bytes) -> tuple:
 
 
 def roles(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """page_id, url, html, sha1 and best: the page that is the response for this page's payload (its own for small payloads)."""
+    """page_id, url, html, sha1 and best: the page that is the response for this page's payload (its own for small payloads).
+
+    Roles are settled on ids and digests; only revisits are joined back, so the payloads stay where they are read.
+    """
     payload = F.coalesce(F.col("html"), F.lit(""))
     hashed = pages.select(F.col("page_id").cast("long"), "url", "html", F.sha1(payload.cast("binary")).alias("sha1"))
-    best = hashed.groupBy("sha1").agg(F.max("page_id").alias("best"))
-    small = F.octet_length(payload) < least_bytes
-    return hashed.join(best, "sha1").withColumn("best", F.when(small, F.col("page_id")).otherwise(F.col("best")))
+    named = hashed.filter(F.octet_length(payload) >= least_bytes).select("page_id", "sha1")
+    most = named.groupBy("sha1").agg(F.max("page_id").alias("best"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    again = named.join(most, "sha1").filter(~F.col("page_id").eqNullSafe(F.col("best"))).select(F.col("page_id").alias("_page"), F.col("sha1").alias("_sha1"), "best").distinct()
+    again = small_side(staged(again, "revisits")).withColumn("_again", F.lit(True))
+    met = hashed.join(again, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("sha1") == F.col("_sha1")) & (F.octet_length(payload) >= least_bytes), "left")
+    return met.select("page_id", "url", "html", "sha1", F.when(F.col("_again"), F.col("best")).otherwise(F.col("page_id")).alias("best"))
 
 
 def train(pages: DataFrame, size: int = DICT_BYTES, samples: int = SAMPLES, sample_bytes: int = SAMPLE_BYTES) -> bytes:
