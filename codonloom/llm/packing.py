@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 from .common import kept, slices, staged, table, tidy
 
 LENGTH, CLASS, END_ID = 2048, 16, 1
-SHARD_IDS, MEMO, LEAST_PIECE = 4 << 20, 500_000, 8
+SHARD_IDS, MEMO, LEAST_PIECE = 4 << 20, 200_000, 8
 #: Bytes of text whose different pieces are looked up together.
-TOGETHER = 24 << 20
+TOGETHER = 12 << 20
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _ARROW = pa.schema([(x.split()[0], pa.int64()) for x in SCHEMA.split(", ")])
