@@ -20,7 +20,13 @@ def codons(s: Column) -> Column:
 
 def translate_dna(s: Column) -> Column:
     """One letter per whole codon; X for a codon that is not in the code."""
-    return F.array_join(F.transform(codons(s), lambda c: F.coalesce(F.substring(F.lit(RESIDUES), codon_place(c), F.lit(1)), F.lit("X"))), "")
+    return translate_places(F.transform(codons(s), codon_place))
+
+
+def translate_places(places: Column) -> Column:
+    """One letter per codon place; X for null."""
+    letters = F.array(*[F.lit(a) for a in RESIDUES])
+    return F.array_join(F.transform(places, lambda k: F.coalesce(F.get(letters, k - 1), F.lit("X"))), "")
 
 
 def reverse_complement(s: Column) -> Column:
@@ -28,7 +34,11 @@ def reverse_complement(s: Column) -> Column:
 
 
 def gc_percent(s: Column) -> Column:
-    return F.coalesce(F.length(F.regexp_replace(s, "[^GC]", "")) * F.lit(100.0).cast("double") / F.nullif(F.length(s), F.lit(0)), F.lit(0.0))
+    return F.coalesce(gc_count(s) * F.lit(100.0).cast("double") / F.nullif(F.length(s), F.lit(0)), F.lit(0.0))
+
+
+def gc_count(s: Column) -> Column:
+    return 2 * F.length(s) - F.length(F.replace(s, F.lit("G"), F.lit(""))) - F.length(F.replace(s, F.lit("C"), F.lit("")))
 
 
 def internal_stops(s: Column) -> Column:
@@ -104,3 +114,11 @@ def dinucleotide_score(s: Column, cpg: float = 0.0, tpa: float = 1.0) -> Column:
 def risk(tm_count: Column, mean_kd: Column, signal: Column, least: float = 0.3) -> Column:
     """HIGH, MEDIUM or LOW from membrane segments, hydropathy and the signal-peptide flag."""
     return F.when((tm_count >= 3) | ((tm_count >= 1) & (mean_kd >= least) & ~signal), "HIGH").when(tm_count >= 1, "MEDIUM").otherwise("LOW")
+
+
+def gene_id(header: Column) -> Column:
+    """The gene= or gene: tag after a boundary, in any case; else the first token, without its transcript: mark and its version; null if nothing is left."""
+    tag = lambda mark: F.nullif(F.regexp_extract(header, rf"(?i)(?:^|[\s;|])gene{mark}([^\s;|]+)", 1), F.lit(""))
+    first = F.regexp_extract(header, r"^\s*(\S*)", 1)
+    name = F.regexp_replace(first, "(?i)^transcript:", "")
+    return F.coalesce(tag("="), tag(":"), F.nullif(F.regexp_replace(name, r"\.[0-9]+$", ""), F.lit("")))

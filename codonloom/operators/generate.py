@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.codes import TYPE_IIS, code, codon_place
-from ..functions.scalar import aa_identity, codons, count_of, gc_percent, internal_stops, translate_dna
+from ..functions.codes import RESIDUES, TYPE_IIS, code, codon_place
+from ..functions.scalar import aa_identity, codons, count_of, gc_percent, translate_places
 from ..sources.corpus import settled
 
 
@@ -22,40 +22,57 @@ def _choices() -> dict[str, list[str]]:
 def greedy(proteins: DataFrame, weights: DataFrame) -> DataFrame:
     """The highest-weight codon for every residue, the first by letters on ties."""
     best = weights.filter("w is not null").groupBy("aa").agg(F.max(F.struct("w", F.translate("codon", "ACGT", "TGCA").alias("k"), "codon"))["codon"].alias("codon"))
-    table = F.broadcast(best.agg(F.map_from_entries(F.collect_list(F.struct("aa", "codon"))).alias("table")))
-    cds = F.array_join(F.transform(F.split("aa", ""), lambda a: F.col("table")[a]), "")
+    held = lambda a: F.max(F.when(F.col("aa") == a, F.col("codon")))
+    table = F.broadcast(best.agg(F.array(*[held(a) for a in [*map(chr, range(65, 91)), "*"]]).alias("table")))
+    cds = F.array_join(F.transform(F.split("aa", ""), lambda a: F.get("table", letter(a))), "")
     return proteins.join(table).select("seq_id", "aa", F.lit("greedy_cai").alias("method"), F.lit(0).alias("replicate"), cds.alias("cds"))
 
 
-def draw(seed: Column, seq_id: Column, attempt: Column, place: Column) -> Column:
-    """The first 31 bits of an md5 over the four values."""
-    text = F.concat_ws("|", seed.cast("string"), seq_id.cast("string"), attempt.cast("string"), place.cast("string"))
-    return F.conv(F.substring(F.md5(text), 1, 7), 16, 10).cast("long")
+def draws(seed: int, seq_id: Column, attempt: Column, n: Column) -> Column:
+    """n or more whole numbers below 65536: the 16-bit parts of md5 over (seed, sequence, attempt, block), eight a block."""
+    block = lambda b: F.md5(F.concat_ws("|", F.lit(str(seed)), seq_id.cast("string"), attempt.cast("string"), b.cast("string")))
+    hexes = F.array_join(F.transform(F.sequence(F.lit(0), F.floor(n / 8).cast("int")), block), "")
+    return F.transform(F.regexp_extract_all(hexes, F.lit("[0-9a-f]{4}"), F.lit(0)), lambda h: F.conv(h, 16, 10).cast("int"))
+
+
+def letter(a: Column) -> Column:
+    """A residue's place, from 0: A..Z, then everything else as a stop."""
+    return F.when(a == "*", 26).otherwise(F.ascii(a) - 65)
+
+
+def by_letter(of: dict[str, Column], otherwise: Column) -> Column:
+    """A literal array to be asked by letter()."""
+    return F.array(*[of.get(a, otherwise) for a in [*map(chr, range(65, 91)), "*"]])
 
 
 def random_synonymous(proteins: DataFrame, replicates: int = 3, seed: int = 320) -> DataFrame:
-    table = F.create_map(*[x for a, cs in sorted(_choices().items()) for x in (F.lit(a), F.array(*map(F.lit, cs)))])
+    """For every residue one of its codons, in their order, by a draw modulo their number."""
+    none = F.array().cast("array<string>")
+    table = by_letter({a: F.array(*map(F.lit, cs)) for a, cs in _choices().items()}, none)
     rows = proteins.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    pick = lambda a, i: F.element_at(table[a], (draw(F.lit(seed), F.col("seq_id"), F.col("replicate"), i) % F.size(table[a])).cast("int") + 1)
-    return rows.select("seq_id", "aa", F.lit("random_synonymous").alias("method"), "replicate", F.array_join(F.transform(F.split("aa", ""), pick), "").alias("cds"))
+    numbers = draws(seed, F.col("seq_id"), F.col("replicate"), F.length("aa"))
+    drawn = settled(rows, "aa").withColumn("_d", F.slice(numbers, 1, F.length("aa")))
+    pick = F.zip_with(F.split("aa", ""), "_d", lambda a, d: (lambda cs: F.get(cs, d % F.size(cs)))(F.get(table, letter(a))))
+    return drawn.select("seq_id", "aa", F.lit("random_synonymous").alias("method"), "replicate", F.array_join(pick, "").alias("cds"))
 
 
 def score(candidates: DataFrame, weights: DataFrame, gc_low: float = 40.0, gc_high: float = 47.0) -> DataFrame:
-    """Adds identity, gc, sites, cai and the four pass flags to (seq_id, aa, method, replicate, cds)."""
+    """Adds identity, gc, sites, cai and the four pass flags to (seq_id, aa, method, replicate, cds). A sequence is cut into codons once."""
     logs_by_place = F.sort_array(F.collect_list(F.struct(codon_place(F.col("codon")).alias("k"), F.when(F.col("w") > 0, F.ln("w")).alias("l"))))["l"]
     table = F.broadcast(weights.agg(logs_by_place.alias("table")))
-    n = F.floor(F.length("cds") / 3).cast("int")
-    logs = F.transform(codons(F.col("cds")), lambda c: F.get("table", codon_place(c) - 1))
+    stops = [k for k, a in enumerate(RESIDUES, 1) if a == "*"]
+    logs = F.transform("_k", lambda k: F.get("table", k - 1))
     sites = reduce(lambda a, b: a + b, [count_of(F.col("cds"), s) for pair in TYPE_IIS.values() for s in pair])
+    placed = settled(candidates, "cds").withColumn("_k", F.explode(F.array(F.transform(codons(F.col("cds")), codon_place))))
+    inner = F.slice("_k", 1, F.greatest(F.size("_k") - 1, F.lit(0)))
     return (
-        settled(settled(candidates, "cds").withColumn("_protein", translate_dna(F.col("cds"))), "_protein").join(table)
-        .withColumn("cai", F.round(F.exp(F.aggregate(logs, F.lit(0.0), lambda t, x: t + x) / n), 6))
-        .drop("table")
+        settled(placed.withColumn("_protein", translate_places(F.col("_k"))), "_protein").join(table)
+        .withColumn("cai", F.round(F.exp(F.aggregate(logs, F.lit(0.0), lambda t, x: t + x) / F.size("_k")), 6))
         .withColumn("identity", aa_identity(F.col("aa"), F.col("_protein")))
         .withColumn("gc", F.round(gc_percent(F.col("cds")), 2))
         .withColumn("sites", sites)
-        .drop("_protein")
-        .withColumn("biological_pass", (F.col("identity") == 1.0) & (internal_stops(F.col("cds")) == 0))
+        .withColumn("biological_pass", (F.col("identity") == 1.0) & (F.size(F.filter(inner, lambda k: k.isin(*stops))) == 0))
+        .drop("table", "_protein", "_k")
         .withColumn("assembly_pass", F.col("sites") == 0)
         .withColumn("gc_pass", F.col("gc").between(gc_low, gc_high))
         .withColumn("multi_pass", F.coalesce(F.col("biological_pass") & F.col("assembly_pass") & F.col("gc_pass"), F.lit(False)))

@@ -6,33 +6,39 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.codes import POLYA, STOPS, TYPE_IIS
-from ..functions.scalar import codons, hydropathy
+from ..functions.scalar import codons, gc_count, hydropathy
 
 
-def motif_hits(seqs: DataFrame, motifs: dict[str, str], column: str = "dna") -> DataFrame:
-    """(seq_id, motif, name, start): literal hits, overlapping ones too, from 0. The motif list is a bounded literal."""
-    s = F.col(column)
-    table = F.array(*[F.struct(F.lit(m).alias("motif"), F.lit(n).alias("name")) for m, n in sorted(motifs.items())])
+def places(parts: Column) -> Column:
+    """array<struct<start, end, part>>: where parts that follow each other lie, from 0."""
+    at = lambda s, x: F.struct(s["end"].alias("start"), (s["end"] + F.length(x)).alias("end"), x.alias("part"))
+    start = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<start:int,end:int,part:string>>").alias("found"))
+    grown = lambda s, x: F.struct((s["end"] + F.length(x)).alias("end"), F.concat(s["found"], F.array(at(s, x))).alias("found"))
+    return F.aggregate(parts, start, grown, lambda s: s["found"])
+
 
-    def places(m: Column) -> Column:
-        last = F.length(s) - F.length(m["motif"])
-        starts = F.when((last >= 0) & s.contains(m["motif"]), F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-        return F.filter(starts, lambda i: F.substring(s, i + 1, F.length(m["motif"])) == m["motif"])
+def starts_of(s: Column, motif: str) -> Column:
+    """array<int>: where the text is cut by a look-ahead for the motif, overlapping hits too."""
+    cut = F.transform(F.filter(places(F.split(s, f"(?={motif})")), lambda p, k: (k > 0) | s.startswith(motif)), lambda p: p["start"])
+    return F.when(s.contains(motif), cut).otherwise(F.array().cast("array<int>"))
 
-    hits = seqs.select("seq_id", F.explode(F.transform(table, lambda m: F.struct(m["motif"].alias("motif"), m["name"].alias("name"), places(m).alias("starts")))).alias("h"))
+
+def motif_hits(seqs: DataFrame, motifs: dict[str, str], column: str = "dna") -> DataFrame:
+    """(seq_id, motif, name, start): literal hits, overlapping ones too, from 0, found in the sequence's own row. Motifs are letters."""
+    found = [F.struct(F.lit(m).alias("motif"), F.lit(n).alias("name"), starts_of(F.col(column), m).alias("starts")) for m, n in sorted(motifs.items())]
+    hits = seqs.select("seq_id", F.explode(F.filter(F.array(*found), lambda h: F.size(h["starts"]) > 0)).alias("h"))
     return hits.select("seq_id", "h.motif", "h.name", F.explode("h.starts").alias("start"))
 
 
+def spans_of(s: Column, pattern: str) -> Column:
+    """array<struct<start, end, part>>: what a left-to-right search for the pattern finds. The text must not hold '|'."""
+    parts = F.split(F.regexp_replace(s, pattern, "|$0|"), r"\|")
+    return F.when(s.rlike(pattern), F.filter(places(parts), lambda p, k: k % 2 == 1)).otherwise(F.array().cast("array<struct<start:int,end:int,part:string>>"))
+
+
 def spans(seqs: DataFrame, pattern: str, column: str = "dna") -> DataFrame:
-    """(seq_id, start, end, match): what a left-to-right search for the pattern finds. The text must not hold '|'."""
-    parts = F.split(F.regexp_replace(column, pattern, "|$0|"), r"\|")
-    rows = seqs.select("seq_id", F.posexplode(parts).alias("k", "part"))
-    w = Window.partitionBy("seq_id").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        rows.withColumn("end", F.sum(F.length("part")).over(w).cast("int"))
-        .filter("k % 2 = 1")
-        .select("seq_id", (F.col("end") - F.length("part")).alias("start"), "end", F.col("part").alias("match"))
-    )
+    """(seq_id, start, end, match) of spans_of, made in the sequence's own row."""
+    return seqs.select("seq_id", F.explode(spans_of(F.col(column), pattern)).alias("p")).select("seq_id", "p.start", "p.end", F.col("p.part").alias("match"))
 
 
 def polya(seqs: DataFrame) -> DataFrame:
@@ -40,12 +46,13 @@ def polya(seqs: DataFrame) -> DataFrame:
 
 
 def polya_clusters(seqs: DataFrame, window: int = 30) -> DataFrame:
-    """(seq_id, start, patterns): windows that wholly hold two or more different signals."""
-    lengths = seqs.select("seq_id", F.length("dna").alias("n")).filter(F.col("n") >= window)
-    hits = motif_hits(seqs, POLYA).join(lengths, "seq_id")
-    low, high = F.greatest(F.lit(0), F.col("start") + 6 - window), F.least(F.col("start"), F.col("n") - window)
-    rows = hits.filter(low <= high).select("seq_id", "motif", F.explode(F.sequence(low, high)).alias("start"))
-    return rows.groupBy("seq_id", "start").agg(F.countDistinct("motif").alias("patterns")).filter("patterns >= 2")
+    """(seq_id, start, patterns): windows that wholly hold two or more different signals. The windows are of a sequence's own hits, in its own row."""
+    span = lambda i: F.sequence(F.greatest(F.lit(0), i + 6 - window), F.least(i, F.col("n") - window))
+    inside = lambda i: F.greatest(F.lit(0), i + 6 - window) <= F.least(i, F.col("n") - window)
+    held = [F.array_distinct(F.flatten(F.transform(F.filter(starts_of(F.col("dna"), m), inside), span))) for m in POLYA]
+    rows = seqs.filter(F.length("dna") >= window).withColumn("n", F.length("dna")).select("seq_id", F.explode(F.array(F.sort_array(F.flatten(F.array(*held))))).alias("all"))
+    counted = F.transform(F.array_distinct("all"), lambda i: F.struct(i.alias("start"), F.size(F.filter("all", lambda x: x == i)).cast("long").alias("patterns")))
+    return rows.filter("size(all) > 1").select("seq_id", F.inline(F.filter(counted, lambda c: c["patterns"] >= 2)))
 
 
 def at_runs(seqs: DataFrame) -> DataFrame:
@@ -57,12 +64,20 @@ def homopolymers(seqs: DataFrame, least: int = 8, high: int = 10) -> DataFrame:
     return spans(seqs, pattern).withColumn("severity", F.when(F.length("match") >= high, "high").otherwise("medium"))
 
 
+def windows_of(s: Column, width: int) -> Column:
+    """array<string>: the window at each place."""
+    return F.regexp_extract_all(s, F.lit(f"(?=(.{{{width}}}))"), F.lit(1))
+
+
 def repeats(seqs: DataFrame, k: int = 15) -> DataFrame:
-    """(seq_id, kmer, count, first): k-mers that a sequence holds twice or more."""
-    n = F.length("dna") - k
-    rows = seqs.filter(n >= 0).select("seq_id", "dna", F.explode(F.sequence(F.lit(0), n)).alias("i"))
-    found = rows.groupBy("seq_id", F.expr(f"substring(dna, i + 1, {k})").alias("kmer")).agg(F.count(F.lit(1)).alias("count"), F.min("i").alias("first"))
-    return found.filter("count > 1")
+    """(seq_id, kmer, count, first, starts): k-mers that a sequence holds twice or more. Equal ones meet by sorting in the sequence's own row."""
+    placed = F.sort_array(F.transform(windows_of(F.col("dna"), k), lambda w, i: F.struct(w.alias("kmer"), i.alias("at"))))
+    near = lambda x, i, step: F.coalesce(F.get(F.col("_k"), i + step)["kmer"] == x["kmer"], F.lit(False))
+    twice = F.filter("_k", lambda x, i: near(x, i, 1) | ((i > 0) & near(x, F.greatest(i - 1, F.lit(0)), 0)))
+    rows = seqs.select("seq_id", F.explode(F.array(placed)).alias("_k")).select("seq_id", F.explode(F.array(twice)).alias("_t"))
+    own = lambda m: F.transform(F.filter("_t", lambda x: x["kmer"] == m), lambda x: x["at"])
+    each = rows.select("seq_id", F.explode(F.transform(F.array_distinct(F.transform("_t", lambda x: x["kmer"])), lambda m: F.struct(m.alias("kmer"), own(m).alias("starts")))).alias("r"))
+    return each.select("seq_id", "r.kmer", F.size("r.starts").cast("long").alias("count"), F.get("r.starts", F.lit(0)).alias("first"), "r.starts")
 
 
 def gc_windows(seqs: DataFrame, size: int = 60, step: int = 30) -> DataFrame:
@@ -79,11 +94,11 @@ def type_iis(seqs: DataFrame) -> DataFrame:
 
 
 def splice_pairs(seqs: DataFrame, near: int = 20, far: int = 200) -> DataFrame:
-    """(seq_id, donor, acceptor): donors GT[AG]AG and acceptors [CT]AG at a distance in the band, met through buckets of `far` bases."""
-    donors = spans(seqs, "GT[AG]AG").select("seq_id", F.col("start").alias("donor"))
-    acceptors = spans(seqs, "[CT]AG").select("seq_id", F.col("start").alias("acceptor"), F.floor(F.col("start") / far).alias("bucket"))
-    dealt = donors.withColumn("bucket", F.explode(F.array(F.floor(F.col("donor") / far), F.floor(F.col("donor") / far) + 1)))
-    return dealt.join(acceptors, ["seq_id", "bucket"]).filter(F.expr(f"acceptor - donor BETWEEN {near} AND {far}")).select("seq_id", "donor", "acceptor")
+    """(seq_id, donor, acceptor): donors GT[AG]AG and acceptors [CT]AG at a distance in the band, met in the sequence's own row."""
+    at = lambda pattern: F.transform(spans_of(F.col("dna"), pattern), lambda p: p["start"])
+    each = seqs.select("seq_id", at("GT[AG]AG").alias("d"), at("[CT]AG").alias("a")).filter("size(d) > 0 and size(a) > 0")
+    pairs = each.select("seq_id", F.explode("d").alias("donor"), "a")
+    return pairs.select("seq_id", "donor", F.explode(F.filter("a", lambda x: (x - F.col("donor")).between(near, far))).alias("acceptor"))
 
 
 def marks(seqs: DataFrame, column: str, pieces: Column) -> DataFrame:
@@ -98,10 +113,11 @@ def sliding(rows: DataFrame, flag: Column, width: int, name: str) -> DataFrame:
 
 
 def gc_extremes(seqs: DataFrame, width: int = 50, low: int = 25, high: int = 75) -> DataFrame:
-    """(seq_id, n_low, n_high): windows, one per base, whose GC percent is below or above; a count, so nothing is emitted per window."""
-    bases = marks(seqs, "dna", F.split("dna", "")).filter(F.col("n") >= width)
-    gc = sliding(bases, F.col("x").isin("G", "C").cast("int"), width, "gc").filter(F.col("pos") <= F.col("n") - width)
-    return gc.groupBy("seq_id").agg(F.count(F.when(F.col("gc") * 100 < low * width, 1)).alias("n_low"), F.count(F.when(F.col("gc") * 100 > high * width, 1)).alias("n_high"))
+    """(seq_id, n_low, n_high): windows, one per base, whose GC percent is below or above; counted in the sequence's own row."""
+    counts = F.transform(windows_of(F.col("dna"), width), gc_count)
+    rows = seqs.filter(F.length("dna") >= width).select("seq_id", F.explode(F.array(counts)).alias("gc"))
+    size = lambda test: F.size(F.filter("gc", test)).cast("long")
+    return rows.select("seq_id", size(lambda g: g * 100 < low * width).alias("n_low"), size(lambda g: g * 100 > high * width).alias("n_high"))
 
 
 def dinucleotide_hotspots(seqs: DataFrame, width: int = 50, per_window: float = 0.05) -> DataFrame:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.codes import code_table
+from ..functions.codes import STOPS, code_table, codon_place
 from ..functions.scalar import codons, internal_stops
 
 
+def organellar(header: Column) -> Column:
+    return F.lower(header).rlike("chloroplast|plastid|mitochondria|chrc|chrm")
+
+
 def cds_filter(seqs: DataFrame, least: int = 60) -> DataFrame:
     """Adds `reason`, the first test that a record fails, and `cds`, its sequence without a last stop; null reasons are kept records.
 
@@ -23,7 +27,7 @@ def cds_filter(seqs: DataFrame, least: int = 60) -> DataFrame:
         .when(~frame, "length_mod3")
         .when(F.length("cds") < least, "too_short")
         .when(internal_stops(F.concat("cds", F.lit("AAA"))) > 0, "internal_stop")
-        .when(F.lower("header").rlike("chloroplast|mitochondri|plastid|organelle"), "organellar"),
+        .when(organellar(F.col("header")), "organellar"),
     )
     same = Window.partitionBy(F.sha2("cds", 256), F.col("reason").isNull()).orderBy("seq_id")
     unique = row.withColumn("reason", F.when(F.col("reason").isNull() & (F.row_number().over(same) > 1), "duplicate").otherwise(F.col("reason")))
@@ -68,3 +72,17 @@ def sequence_usage(seqs: DataFrame, column: str = "dna") -> DataFrame:
     """seq_id, codon, count, frequency among the sequence's codons."""
     rows = seqs.select("seq_id", F.explode(codons(F.col(column))).alias("codon")).groupBy("seq_id", "codon").agg(F.count(F.lit(1)).alias("n"))
     return rows.withColumn("frequency", F.col("n") / F.sum("n").over(Window.partitionBy("seq_id")).cast("double"))
+
+
+def mean_weight(seqs: DataFrame, weights: DataFrame, missing: float | None = None, stops: bool = True, column: str = "dna", keep: list[str] | None = None) -> DataFrame:
+    """seq_id, cai: the geometric mean of the weights of all whole codons, with or without stops.
+
+    A codon without a weight counts `missing`, or makes the result 0 if that is null; so does a sequence without codons.
+    """
+    by_place = F.sort_array(F.collect_list(F.struct(codon_place(F.col("codon")).alias("k"), F.when(F.col("w") > 0, F.col("w")).alias("w"))))["w"]
+    table = F.broadcast(weights.agg(by_place.alias("table")))
+    counted = codons(F.col(column)) if stops else F.filter(codons(F.col(column)), lambda c: ~c.isin(*STOPS))
+    rows = seqs.join(table).withColumn("_w", F.explode(F.array(F.transform(counted, lambda c: F.coalesce(F.get("table", codon_place(c) - 1), F.lit(missing).cast("double"))))))
+    mean = F.exp(F.aggregate("_w", F.lit(0.0), lambda t, w: t + F.ln(w)) / F.size("_w"))
+    bad = (F.size("_w") == 0) | F.exists("_w", lambda w: w.isNull())
+    return rows.select("seq_id", *(keep or []), F.when(bad, F.lit(0.0)).otherwise(mean).alias("cai"))

@@ -10,7 +10,7 @@ from ..functions.codes import ASSEMBLY, HYDROPATHY, POLYA, codon_place
 from ..operators import generate, scans, usage
 from ..sources.corpus import SEQUENCES_SQL, sequences
 from ..streaming import events as stream
-from .queries import CODE_SQL, CODONS_SQL, COUNTS_SQL, FILTER_SQL, PROFILE_SQL, RESULTS_SQL, _count, _gc, _hits_sql, _ratio, _spans_sql, metric, profile, proteins, query, results
+from .queries import CODE_SQL, CODONS_SQL, COUNTS_SQL, FILTER_SQL, PROFILE_SQL, RESULTS_SQL, _count, _gc, _hits_sql, _ratio, _spans_sql, metric, pinned, profile, proteins, query, results
 
 STOP_SQL = "('TAA', 'TAG', 'TGA')"
 PLAIN_CODONS = "list_transform(range(0, length(dna) // 3), lambda i: substr(dna, 3 * i + 1, 3))"
@@ -29,8 +29,9 @@ metric("p25_fingerprint", lambda: F.concat(F.lit("sha256:"), F.substring(F.sha2(
 metric("p27_codon_tokens", lambda: F.array_join(F.filter(p.codons(col("dna")), lambda c: ~c.isin("TAA", "TAG", "TGA")), " "), f"coalesce(array_to_string(list_filter({PLAIN_CODONS}, lambda c: c NOT IN {STOP_SQL}), ' '), '')")
 metric("p28_token_ids", lambda: F.array_join(F.transform(p.codons(col("dna")), lambda c: F.coalesce(codon_place(c) + 3, F.lit(3)).cast("string")), " "),
        f"coalesce(array_to_string(list_transform({PLAIN_CODONS}, lambda c: CASE WHEN c LIKE '%N%' THEN 3 ELSE 4 + 16 * (instr('TCAG', substr(c, 1, 1)) - 1) + 4 * (instr('TCAG', substr(c, 2, 1)) - 1) + instr('TCAG', substr(c, 3, 1)) - 1 END), ' '), '')")
-metric("p29_gene_id", lambda: F.regexp_extract("header", r"gene=(\S+)", 1), r"regexp_extract(header, 'gene=(\S+)', 1)")
-metric("m07_longest_run", lambda: F.array_max(F.transform(F.regexp_extract_all("dna", F.lit("A+|C+|G+|T+|N+"), F.lit(0)), F.length)), "CAST(list_max(list_transform(regexp_extract_all(dna, 'A+|C+|G+|T+|N+'), lambda m: length(m))) AS INTEGER)")
+metric("p29_gene_id", lambda: p.gene_id(col("header")), r"""coalesce(nullif(regexp_extract(header, '(?:^|[\s;|])gene=([^\s;|]+)', 1, 'i'), ''), nullif(regexp_extract(header, '(?:^|[\s;|])gene:([^\s;|]+)', 1, 'i'), ''),
+  nullif(regexp_replace(regexp_replace(regexp_extract(header, '^\s*(\S*)', 1), '^transcript:', '', 'i'), '\.[0-9]+$', ''), ''))""")
+metric("m07_longest_run", lambda: F.coalesce(F.array_max(F.transform(F.regexp_extract_all("dna", F.lit(r"([ACGT])\1*"), F.lit(0)), F.length)), F.lit(0)), "CAST(coalesce(list_max(list_transform(regexp_extract_all(dna, 'A+|C+|G+|T+'), lambda m: length(m))), 0) AS INTEGER)")
 metric("m16_polya_missing", lambda: ~F.col("dna").rlike("|".join(POLYA)), f"NOT regexp_matches(dna, '{'|'.join(POLYA)}')")
 metric("r01_input_warnings", lambda: F.concat_ws(",", F.when(F.col("dna").contains("N"), "ambiguous"), F.when(F.length("dna") % 3 != 0, "frame"), F.when(p.internal_stops(col("dna")) > 0, "internal_stop"), F.when(~p.gc_percent(col("dna")).between(30.0, 70.0), "extreme_gc")),
        f"concat_ws(',', CASE WHEN contains(dna, 'N') THEN 'ambiguous' END, CASE WHEN length(dna) % 3 <> 0 THEN 'frame' END, CASE WHEN len(list_filter(range(0, length(dna) // 3 - 1), lambda i: substr(dna, 3 * i + 1, 3) IN {STOP_SQL})) > 0 THEN 'internal_stop' END, CASE WHEN NOT {_gc.format('dna')} BETWEEN 30 AND 70 THEN 'extreme_gc' END)")
@@ -101,7 +102,7 @@ def m17(spark: SparkSession, d: str) -> DataFrame:
   SELECT c.seq_id, c.pos, c.pos - row_number() OVER (PARTITION BY c.seq_id ORDER BY c.pos) AS g FROM cod c JOIN seqs q USING (seq_id) LEFT JOIN profile f ON f.codon = c.codon
   WHERE length(q.dna) % 3 = 0 AND c.codon NOT IN {STOP_SQL} AND coalesce(f.w, 0) < 0.3) GROUP BY seq_id, g HAVING count(*) >= 3""", f"{PROFILE_SQL},\n{CODONS_SQL}")
 def m18(spark: SparkSession, d: str) -> DataFrame:
-    return scans.rare_codon_runs(sequences(spark, d), profile(spark, d))
+    return scans.rare_codon_runs(sequences(spark, d), pinned(spark, d))
 
 
 SITES = {s: f"{standard}:{enzyme}" for standard in ("golden_gate", "biobricks") for enzyme, sites in ASSEMBLY[standard].items() for s in sites}

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalar import gc_percent, internal_stops
 
 def read_events(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
     """The events table, read at once or as a stream of files. `ts` has no zone in the file; it is taken in the session's."""
@@ -25,3 +26,8 @@ def once(events: DataFrame, key: str, horizon: str = "2 hours") -> DataFrame:
     if events.isStreaming:
         return events.withWatermark("ts", horizon).dropDuplicatesWithinWatermark([key])
     return events.dropDuplicates([key])
+
+
+def verdict(s: Column, low: float = 40.0, high: float = 47.0) -> Column:
+    """The first check that a sequence fails (FRAME, STOP, GC), or PASS: of the row alone, so the same on a table and on a stream."""
+    return F.when(F.length(s) % 3 != 0, "FRAME").when(internal_stops(s) > 0, "STOP").when(gc_percent(s).between(low, high), "PASS").otherwise("GC")

@@ -66,3 +66,40 @@ def test_stream_gives_each_key_once(spark):
     job.awaitTermination()
     found = [r[key] for r in spark.table("once").collect()]
     assert len(found) == len(set(found)) == stream.once(stream.read_events(spark, DIR), key).count()
+
+
+def test_overlapping_hits_are_all_found(spark):
+    found = scans.motif_hits(rows(spark, "ATTTATTTATTTA", "CATTTA", "ATTT", ""), {"ATTTA": "x"}).collect()
+    assert sorted((r["seq_id"], r["start"]) for r in found) == [(0, 0), (0, 4), (0, 8), (1, 1)]
+    found = scans.motif_hits(rows(spark, "AAAAA"), {"AAA": "x"}).collect()
+    assert sorted(r["start"] for r in found) == [0, 1, 2]
+
+
+def test_scans_need_no_shuffle(spark):
+    seqs = rows(spark, "ATGC" * 30)
+    for found in (scans.polya(seqs), scans.polya_clusters(seqs), scans.at_runs(seqs), scans.homopolymers(seqs), scans.repeats(seqs), scans.gc_extremes(seqs), scans.splice_pairs(seqs)):
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_repeats_give_all_places(spark):
+    found = scans.repeats(rows(spark, "ACGTA" + "TTTTT" + "ACGTA", "AAAAAA", "ACG"), 5).collect()
+    assert {(r["seq_id"], r["kmer"], r["count"], r["first"], tuple(r["starts"])) for r in found} == {(0, "ACGTA", 2, 0, (0, 10)), (1, "AAAAA", 2, 0, (0, 1))}
+
+
+@pytest.mark.parametrize("case", [("x gene=ab;c", "ab"), ("x GENE:q1|z", "q1"), ("mygene=no.3 y", "mygene=no"), ("transcript:t1.2 y", "t1"), ("Transcript:.5", None), ("a.b", "a.b"), ("", None)])
+def test_gene_id(spark, case):
+    assert spark.range(1).select(p.gene_id(F.lit(case[0]))).first()[0] == case[1]
+
+
+def test_random_codons_keep_the_protein(spark):
+    aa = spark.createDataFrame([(1, "MKTAYIAKLW" * 7 + "*"), (2, "M")], "seq_id long, aa string")
+    found = generate.random_synonymous(aa, 2).withColumn("back", p.translate_dna(F.col("cds"))).collect()
+    assert all(r["back"] == r["aa"] for r in found) and len({r["cds"] for r in found if r["seq_id"] == 1}) == 2
+
+
+def test_verdict_on_a_stream_equals_the_table(spark, tmp_path):
+    rows(spark, "ATGTAAGCC", "ATGG", "GCATAT", "GGGCCC").write.parquet(str(tmp_path / "in"))
+    live = spark.readStream.schema("seq_id long, dna string").parquet(str(tmp_path / "in")).select("seq_id", stream.verdict(F.col("dna")).alias("v"))
+    job = live.writeStream.format("memory").queryName("verdicts").trigger(availableNow=True).start()
+    job.awaitTermination()
+    assert {tuple(r) for r in spark.table("verdicts").collect()} == {(0, "STOP"), (1, "FRAME"), (2, "GC"), (3, "GC")}

@@ -4,12 +4,13 @@ import duckdb
 import pytest
 
 import codonloom.plans.findings  # registers its queries
+import codonloom.plans.measures  # likewise
 from codonloom.plans.queries import QUERIES, SQL
 
 DIR = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["p03_translate", "p14_cpg_ratio", "f01_cds_filter", "a02_usage_profile", "p10_cai", "m02_polya_clusters", "m04_at_runs", "r04_benchmark_scores", "a10_failure_attribution", "m17_dinucleotide_hotspots", "m18_rare_codon_runs", "p33_risk", "u02_split_overlaps", "f04_percentile_filter"])
+@pytest.mark.parametrize("name", ["p03_translate", "p14_cpg_ratio", "f01_cds_filter", "a02_usage_profile", "p10_cai", "m02_polya_clusters", "m04_at_runs", "r04_benchmark_scores", "a10_failure_attribution", "m17_dinucleotide_hotspots", "m18_rare_codon_runs", "p33_risk", "u02_split_overlaps", "f04_percentile_filter", "p13_cai_strict", "a07_effective_codons", "r02_output_check", "m08_repeats", "r09_check_report"])
 def test_equal_to_duckdb(spark, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{DIR}/documents.parquet'")
