@@ -5,9 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import pickle
-import sys
 import tempfile
-import types
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -86,14 +84,6 @@ def tidy(run: Run) -> Run:
     return tidied
 
 
-def kept(name: str, make: Callable[[], object]) -> object:
-    """An object of bounded size that a Python worker makes once and keeps for its later tasks."""
-    held = sys.modules.setdefault("_kept_by_worker", types.ModuleType("_kept_by_worker")).__dict__
-    if name not in held:
-        held[name] = make()
-    return held[name]
-
-
 def sent(spark: SparkSession, model: object) -> Broadcast:
     """A model of bounded size for every task, with its class: see received()."""
     return spark.sparkContext.broadcast(cloudpickle.dumps(model))
