@@ -50,8 +50,10 @@ SMALL, HOT = 4, 64
 SPARES, GROWTH, NARROW, WIDE, CHUNK, SEEN = 0.25, 1.3, 256, 8192, 1 << 20, 1 << 20
 #: Pairs of one node that are verified by one task, and names of 64 bits that two sets may have (of 10^10 sets about three do).
 FAN, CLASHES = 512, 10_000
+#: Links, both ways, that one task may hold.
+ALONE = 200_000
 #: Rounds in which each node tries its nearest neighbour, while a quarter of the trials are links; then all pairs that the sketches leave are tried.
-NEAREST = 8
+NEAREST = 4
 
 
 def difference(total: int | np.ndarray, percent: int = PERCENT) -> int | np.ndarray:
@@ -465,15 +467,19 @@ def components(links: DataFrame) -> DataFrame:
     """(node, comp): each linked node with the smallest node it reaches.
 
     Every node takes the smallest label around it, then its label's label, until
-    nothing changes; each round is written and read again.
+    nothing changes; each round is written and read again. At most ALONE links are
+    one partition, so their rounds need no shuffle.
     """
     both = staged(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
-    labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "labels")
+    few = both.count() <= ALONE
+    near = (lambda df: df.coalesce(1)) if few else (lambda df: df)
+    both = near(both)
+    labels = near(staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "labels"))
     while True:
         around = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("low"))
         lower = labels.join(around, "node").select("node", F.col("comp").alias("was"), F.least("comp", "low").alias("comp"))
         jump = lower.select(F.col("node").alias("comp"), F.col("comp").alias("further"))
-        new = staged(lower.join(jump, "comp", "left").select("node", "was", F.coalesce("further", "comp").alias("comp")), "labels")
+        new = near(staged(lower.join(jump, "comp", "left").select("node", "was", F.coalesce("further", "comp").alias("comp")), "labels"))
         labels = new.select("node", "comp")
         if not new.filter("was <> comp").head(1):
             return labels
