@@ -1,7 +1,9 @@
 """The operators on small tables: brute force, round trips, and the defined results for odd rows."""
 
 import hashlib
+import math
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -51,30 +53,94 @@ def test_toxicity_learns_words_and_keeps_odd_rows(spark):
     assert {r["score"] for r in none.collect()} == {0.0}
 
 
+def toxic_model(spark, rows, **settings):
+    labelled = spark.createDataFrame(rows, "text string, toxic int").repartition(3)
+    return toxicity.learn(toxicity.word_counts(labelled), toxicity.pair_counts(labelled), **settings)
+
+
 def test_toxicity_keeps_rare_words_in_any_number_of_shards(spark, monkeypatch):
-    words = [(f"w{i}", 0, 40, 400) for i in range(3000)] + [("seldom", 0, 5, 0), ("once", 0, 1, 0), ("tame", 0, 0, 5), ("plenty", 0, 40, 400)]
-    counts = spark.createDataFrame(words, "word string, context int, toxic long, plain long")
-    one, many = toxicity.learn(counts), toxicity.learn(counts, shard_words=700)
+    letters = ["".join("abcdefghij"[int(c)] for c in f"{i:04}") for i in range(3000)]
+    rows = [(" ".join(letters), 0)] * 400 + [(" ".join(letters), 1)] * 40
+    rows += [("seldom", 1)] * 5 + [("rarely", 1), *[("tame", 0)] * 5, *[("plenty", 0)] * 400, *[("plenty", 1)] * 40]
+    one, many = toxic_model(spark, rows), toxic_model(spark, rows, shard_words=700)
     monkeypatch.setattr(toxicity, "HELD_WORDS", 10)
-    for evidence in (one, many):
-        evidence.of(["seldom once tame plenty unseen"])
-    assert len(list(many.shards())) == 5 and not many.held
-    assert one.memo == pytest.approx(many.memo)
-    gain = many.memo
-    assert gain["seldom"] > gain["once"] > 0.1 > gain["plenty"] > gain["tame"] and gain["unseen"] == 0
+    word = np.array([toxicity.Hashes()[w] for w in ("seldom", "rarely", "plenty", "tame", "unseen", "aaaa")], np.int64)
+    gains = [e.gains(word, np.full_like(word, 7)) for e in (one, many)]
+    assert len(list(many.shards(many.words_path, False))) == 5 and many.words_path not in many.held
+    assert gains[0] == pytest.approx(gains[1])
+    seldom, rarely, plenty, tame, unseen, _ = gains[1]
+    assert seldom > rarely > 0.1 > plenty > tame and unseen == 0
+
+
+def test_toxicity_gains_equal_a_plain_computation(spark):
+    rng = np.random.default_rng(3)
+    vocabulary = "the of and to in is you are such an odd".split()
+    rows = [(" ".join(rng.choice(vocabulary[i % 3 :], 12)), int(i % 3 == 0)) for i in range(40)] + [("such you the odd", 1), (None, 1), ("", 0)]
+    shrink, trust_half = 3.0, 2.0
+    model = toxic_model(spark, rows, shrink=shrink, pair_shrink=trust_half)
+    counts, pairs, buckets, hashes = (Counter(), Counter(), Counter()), (Counter(), Counter(), Counter()), {}, toxicity.Hashes()
+    for text, bad in rows:
+        words = (text or "").split()
+        for kind in (bad, 2):
+            counts[kind].update(words)
+            pairs[kind].update(zip(["", *words], words))
+        for h, w in zip(["", *words], words):
+            buckets.setdefault(w, set()).add((hashes[h] if h else 0) % 256)
+    n, d = [sum(c.values()) for c in counts], 0.75
+    free = [sum(min(x, d) for x in c.values()) / m for c, m in zip(counts, n)]
+    followed = {w: -256 * math.log(1 - len(b) / 256) for w, b in buckets.items()}
+    shared = {w: (counts[2][w] - d) / n[2] + free[2] * followed[w] / sum(followed.values()) for w in followed}
+    logs = {}
+    for w in followed:
+        a = 1 / (1 + (shrink / counts[2][w]) ** 2)
+        logs[w] = [a * math.log(max(counts[k][w] - d, 0) / n[k] + free[k] * shared[w]) + (1 - a) * math.log(shared[w]) for k in (0, 1)]
+    once, twice = (sum(x == k for x in pairs[2].values()) for k in (1, 2))
+    cut = once / (once + 2 * twice) if once else d
+
+    def after(k, h, w, below):
+        own = [x for (g, _), x in pairs[k].items() if g == h]
+        return (max(pairs[k][h, w] - cut, 0) + sum(min(x, cut) for x in own) * below) / sum(own) if own else below
+
+    for h, w in pairs[2]:
+        both = after(2, h, w, shared[w])
+        plain, bad = (math.log(after(k, h, w, both * math.exp(logs[w][k]) / shared[w])) for k in (0, 1))
+        a = 1 / (1 + (trust_half / pairs[2][h, w]) ** 2)
+        want = a * (bad - plain) + (1 - a) * (logs[w][1] - logs[w][0])
+        got = model.gains(np.array([hashes[w]], np.int64), np.array([hashes[h] if h else 0], np.int64))
+        assert got[0] == pytest.approx(want), (h, w)
+    unseen = model.gains(np.array([hashes["odd"]], np.int64), np.array([hashes["never"]], np.int64))
+    assert unseen[0] == pytest.approx(logs["odd"][1] - logs["odd"][0])
+
+
+def test_toxicity_hears_expressions_of_ordinary_words(spark):
+    rng = np.random.default_rng(1)
+    plain = "the of and to in is it as at by for from on or with was".split()
+    rows = []
+    for i in range(400):
+        words = list(rng.choice(plain, 60))
+        words[20:20] = ["as", "was"] * 3 if i % 4 == 0 else ["was"] * 3 + ["as"] * 3
+        rows.append((" ".join(words), int(i % 4 == 0)))
+    model = toxic_model(spark, rows)
+    (bad, good) = model.of(["as was as was", "was was as as"])
+    assert bad[0] > good[0] + 0.1
 
 
 def test_toxicity_counts_all_rows_that_do_not_calibrate(spark, monkeypatch):
     seen = []
-    monkeypatch.setattr(toxicity, "learn", lambda counts: seen.extend(r["word"] for r in counts.collect()))
+    monkeypatch.setattr(toxicity, "learn", lambda counts, pairs: seen.extend((r["word"] for r in counts.collect())) or seen.append(pairs.count()))
     letters = ["".join("abcdefghij"[int(c)] for c in str(i)) for i in range(400)]
+    hashes = toxicity.Hashes()
     table = docs(spark, letters)
     labels = spark.createDataFrame([(i, 1, i % 2) for i in range(400)], "doc_id long, quality int, toxic int")
     toxicity.fit(table, labels, calibration_rows=20)
-    folds = {w: zlib.crc32(str(i).encode()) % 4 for i, w in enumerate(letters)}
+    *found, n_pairs = seen
+    folds = {hashes[w]: zlib.crc32(str(i).encode()) % 4 for i, w in enumerate(letters)}
     fold3 = [w for w, f in folds.items() if f == 3]
-    assert {w for w, f in folds.items() if f < 2} <= set(seen) and not any(folds[w] == 2 for w in seen)
-    assert len(fold3) - 40 <= len(set(fold3) & set(seen)) < len(fold3)
+    assert {w for w, f in folds.items() if f < 2} <= set(found) and not any(folds[w] == 2 for w in found)
+    assert len(fold3) - 40 <= len(set(fold3) & set(found)) < len(fold3) and n_pairs == len(found)
+    seen.clear()
+    toxicity.fit(table, labels, calibration_rows=20, pair_words=50)
+    assert 50 < seen[-1] < 150 and len(seen) == len(found) + 1
 
 
 def test_toxicity_stage_drops_what_the_query_predicts(spark, tmp_path, monkeypatch):
