@@ -70,16 +70,21 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 <
 Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
+def give_back() -> None:
+    """Returns what a Python worker has freed to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+    if trim is not None:
+        trim(0)
+
+
 def tidy(run: Run) -> Run:
     """run, giving its memory back to the system at its end: Spark keeps the Python worker for later tasks of any query."""
 
     def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
-        if trim is not None:
-            trim(0)
+        give_back()
 
     return tidied
 

@@ -25,12 +25,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, staged, table, tidy
+from .common import give_back, slices, staged, table, tidy
 
 LENGTH, CLASS, END_ID = 2048, 16, 1
 SHARD_IDS, MEMO, LEAST_PIECE = 4 << 20, 200_000, 8
 #: Bytes of text whose different pieces are looked up together.
-TOGETHER = 12 << 20
+TOGETHER = 6 << 20
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _ARROW = pa.schema([(x.split()[0], pa.int64()) for x in SCHEMA.split(", ")])
@@ -137,7 +137,8 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
             if held and (batch is None or sum(x.nbytes for x in held) > TOGETHER):
                 for x, found in zip(held, encoder.texts([x.column("text") for x in held])):
                     yield pa.RecordBatch.from_arrays([x.column("doc_id"), *found], ["doc_id", "ids", "n"])
-                held = []
+                held, x, found = [], None, None
+                give_back()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "doc_id long, ids binary, n long")
 
