@@ -22,7 +22,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import fresh_path, staged, table, tidy
@@ -32,17 +32,35 @@ SCALE, K, BLOCK, GROUP, QUERIES = 256, 5, 256, 64, 4096
 NONE = np.iinfo(np.int64).min
 
 
+def finite(x: Column) -> Column:
+    return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+
+
+def scaled(vector: str, scale: int = SCALE) -> Column:
+    """array<long>: floor(scale * component), each well within a long, or an error."""
+    fits = lambda x: F.abs(x * scale) < 2.0**62
+    return F.transform(vector, lambda x: F.when(fits(x), F.floor(x * scale)).otherwise(F.raise_error(F.concat(F.lit("component out of range: "), x.cast("string"))).cast("long")))
+
+
 def quantised(embeddings: DataFrame, scale: int = SCALE) -> DataFrame:
     """vec_id, v: array<long> of the rows that take part."""
-    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     return (
         embeddings.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull())
         .select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("v"))
         .filter(F.forall("v", finite))
-        .select("vec_id", F.transform("v", lambda x: F.floor(x * scale).cast("long")).alias("v"))
+        .select("vec_id", scaled("v", scale).alias("v"))
     )
 
 
+def read_rows(path: str, columns: list[str], most: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a table in the shared folder, at most `most` at a time, read within a task."""
+    files, root = opened(path)
+    for info in files.get_file_info(pafs.FileSelector(root)):
+        if info.base_name.endswith(".parquet"):
+            with files.open_input_file(info.path) as f:
+                yield from pq.ParquetFile(f).iter_batches(most, columns=columns)
+
+
 def blocks_of(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
     """Blocks of near `block` vectors by range of vec_id: block, dims, ids, rows, high, low (binary)."""
 
