@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, jaccard, language, licenses, media, mixing, negatives, packing, topk, toxicity, warc
+from . import chat, extraction, jaccard, language, licenses, media, mixing, negatives, packing, topk, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,8 +22,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_jaccard": jaccard.op9_jaccard,
         "op10_language": language.op10_language,
         "op11_negatives": negatives.op11_negatives,
+        "op12_extraction": extraction.op12_extraction,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat": chat.OP4_SQL, "op7_warc": warc.OP7_SQL, "op8_topk": topk.OP8_SQL, "op9_jaccard": jaccard.OP9_SQL, "op11_negatives": negatives.OP11_SQL}
+    return {"op4_chat": chat.OP4_SQL, "op7_warc": warc.OP7_SQL, "op8_topk": topk.OP8_SQL, "op9_jaccard": jaccard.OP9_SQL, "op11_negatives": negatives.OP11_SQL, "op12_extraction": extraction.OP12_SQL}
