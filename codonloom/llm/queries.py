@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, extraction, jaccard, language, licenses, media, mixing, negatives, packing, topk, toxicity, warc
+from . import chat, extraction, jaccard, language, licenses, media, mixing, negatives, packing, topk, toxicity, trie, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,8 +23,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_language": language.op10_language,
         "op11_negatives": negatives.op11_negatives,
         "op12_extraction": extraction.op12_extraction,
+        "op13_trie": trie.op13_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat": chat.OP4_SQL, "op7_warc": warc.OP7_SQL, "op8_topk": topk.OP8_SQL, "op9_jaccard": jaccard.OP9_SQL, "op11_negatives": negatives.OP11_SQL, "op12_extraction": extraction.OP12_SQL}
+    return {"op4_chat": chat.OP4_SQL, "op7_warc": warc.OP7_SQL, "op8_topk": topk.OP8_SQL, "op9_jaccard": jaccard.OP9_SQL, "op11_negatives": negatives.OP11_SQL, "op12_extraction": extraction.OP12_SQL, "op13_trie": trie.OP13_SQL}
