@@ -1,15 +1,27 @@
-"""Coding sequences for proteins, and their scores. Draws are hashes of (seed, sequence, place), so partitioning cannot change them."""
+"""Coding sequences for proteins, and their scores. Draws are hashes of (seed, sequence, attempt, place), so partitioning cannot change them.
+
+While a sequence is made and scored it is a text of one letter a codon (`codes`), so that proteins, GC and frequencies
+are taken by Spark's own text functions; its bases are spelt out once.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.codes import RESIDUES, TYPE_IIS, code, codon_place
-from ..functions.scalar import aa_identity, codons, count_of, gc_percent, translate_places
+from ..functions.codes import ASSEMBLY, RESIDUES, TYPE_IIS, code
+from ..functions.scalar import count_of, gc_count
 from ..sources.corpus import settled
+from ..sources.staging import staged
+
+#: The letter of each codon, in the order of RESIDUES; any other codon is NO_CODON.
+FIRST_LETTER, NO_CODON = 48, "~"
+LETTERS = "".join(chr(FIRST_LETTER + k) for k in range(64))
+GC_OF = {chr(FIRST_LETTER + k): sum(b in "GC" for b in c) for k, c in enumerate(code())}
+SIXTEEN = 1 << 16
 
 
 def _choices() -> dict[str, list[str]]:
@@ -19,20 +31,8 @@ def _choices() -> dict[str, list[str]]:
     return found
 
 
-def greedy(proteins: DataFrame, weights: DataFrame) -> DataFrame:
-    """The highest-weight codon for every residue, the first by letters on ties."""
-    best = weights.filter("w is not null").groupBy("aa").agg(F.max(F.struct("w", F.translate("codon", "ACGT", "TGCA").alias("k"), "codon"))["codon"].alias("codon"))
-    held = lambda a: F.max(F.when(F.col("aa") == a, F.col("codon")))
-    table = F.broadcast(best.agg(F.array(*[held(a) for a in [*map(chr, range(65, 91)), "*"]]).alias("table")))
-    cds = F.array_join(F.transform(F.split("aa", ""), lambda a: F.get("table", letter(a))), "")
-    return proteins.join(table).select("seq_id", "aa", F.lit("greedy_cai").alias("method"), F.lit(0).alias("replicate"), cds.alias("cds"))
-
-
-def draws(seed: int, seq_id: Column, attempt: Column, n: Column) -> Column:
-    """n or more whole numbers below 65536: the 16-bit parts of md5 over (seed, sequence, attempt, block), eight a block."""
-    block = lambda b: F.md5(F.concat_ws("|", F.lit(str(seed)), seq_id.cast("string"), attempt.cast("string"), b.cast("string")))
-    hexes = F.array_join(F.transform(F.sequence(F.lit(0), F.floor(n / 8).cast("int")), block), "")
-    return F.transform(F.regexp_extract_all(hexes, F.lit("[0-9a-f]{4}"), F.lit(0)), lambda h: F.conv(h, 16, 10).cast("int"))
+def letter_of(codon: str) -> str:
+    return LETTERS[list(code()).index(codon)]
 
 
 def letter(a: Column) -> Column:
@@ -45,40 +45,337 @@ def by_letter(of: dict[str, Column], otherwise: Column) -> Column:
     return F.array(*[of.get(a, otherwise) for a in [*map(chr, range(65, 91)), "*"]])
 
 
+def spelt(codes: Column) -> Column:
+    """The bases of a text of codon letters."""
+    words = F.array(*map(F.lit, code()))
+    return F.array_join(F.transform(F.split(codes, ""), lambda x: F.get(words, F.ascii(x) - FIRST_LETTER)), "")
+
+
+def read_codes(cds: Column) -> Column:
+    """The codon letters of a sequence of bases: whole codons, NO_CODON for one with another base."""
+    place = lambda x, k: F.instr(F.lit("TCAG"), F.substring(x, k, 1))
+    each = lambda x: F.when(x.rlike("^[ACGT]{3}$"), F.char(16 * place(x, 1) + 4 * place(x, 2) + place(x, 3) + (FIRST_LETTER - 21))).otherwise(NO_CODON)
+    return F.array_join(F.transform(F.regexp_extract_all(cds, F.lit("(?s).{3}"), F.lit(0)), each), "")
+
+
+def protein_of(codes: Column) -> Column:
+    return F.translate(codes, LETTERS + NO_CODON, RESIDUES + "X")
+
+
+def gc_of(codes: Column) -> Column:
+    """G and C in a text of codon letters."""
+    counts = F.translate(codes, LETTERS + NO_CODON, "".join(str(GC_OF[x]) for x in LETTERS) + "0")
+    held = lambda k: F.length(counts) - F.length(F.replace(counts, F.lit(str(k))))
+    return held(1) + 2 * held(2) + 3 * held(3)
+
+
+def gc_share(codes: Column) -> Column:
+    """GC percent, to 2 places; 0 for an empty sequence."""
+    return F.coalesce(F.round(gc_of(codes) * F.lit(100.0) / F.nullif(F.length(codes) * 3, F.lit(0)), 2), F.lit(0.0))
+
+
+def draws(seed: int | str, seq_id: Column, attempt: Column, n: Column) -> Column:
+    """n or more whole numbers below 65536: the 16-bit parts of md5 over (seed, sequence, attempt, block), eight a block."""
+    block = lambda b: F.md5(F.concat_ws("|", F.lit(str(seed)), seq_id.cast("string"), attempt.cast("string"), b.cast("string")))
+    hexes = F.array_join(F.transform(F.sequence(F.lit(0), F.floor(n / 8).cast("int")), block), "")
+    return F.transform(F.regexp_extract_all(hexes, F.lit("[0-9a-f]{4}"), F.lit(0)), lambda h: F.conv(h, 16, 10).cast("int"))
+
+
+# Tables of codons by residue, made from the 64 weights: one row, to be joined to every protein.
+
+
+def best_table(weights: DataFrame, order: str = "w") -> DataFrame:
+    """residues, best: for every residue the letter of its highest codon, the first by letters on ties; as two texts for translate()."""
+    known = weights.filter("w is not null").withColumn("x", code_letter(F.col("codon")))
+    best = known.groupBy("aa").agg(F.max(F.struct(F.col(order), F.translate("codon", "ACGT", "TGCA"), "x"))["x"].alias("x"))
+    return F.broadcast(best.agg(F.sort_array(F.collect_list(F.struct("aa", "x"))).alias("t")).select(F.array_join("t.aa", "").alias("residues"), F.array_join("t.x", "").alias("best")))
+
+
+def code_letter(codon: Column) -> Column:
+    words = F.array(*map(F.lit, code()))
+    return F.char(F.array_position(words, codon).cast("int") + (FIRST_LETTER - 1))
+
+
+def shares_table(weights: DataFrame, preferred: int = 0) -> DataFrame:
+    """One row, `table`: by letter() a residue's codon letters and the upper bounds of their shares of 65536 draws.
+
+    A codon's share follows its frequency in millionths, so it is the same whole number everywhere; the most frequent
+    codon also gets `preferred` draws before. Codons go by frequency, then by letters.
+    """
+    order = F.struct((-F.col("f")).alias("f"), "codon", "x")
+    rows = weights.filter("w is not null").select("aa", "codon", code_letter(F.col("codon")).alias("x"), F.greatest(F.round(F.col("frequency") * 1000000), F.lit(1)).cast("long").alias("f"))
+    each = rows.groupBy("aa").agg(F.sort_array(F.collect_list(order)).alias("c"))
+    upto = lambda k: F.aggregate(F.slice("c", 1, k), F.lit(0).cast("long"), lambda t, c: t - c["f"])
+    bound = lambda c, k: (F.lit(preferred) + F.floor((SIXTEEN - preferred) * upto(k + 1) / upto(F.size("c")))).cast("int")
+    entry = F.struct(F.array_join("c.x", "").alias("letters"), F.transform("c", bound).alias("bounds"))
+    held = lambda a: F.max(F.when(F.col("aa") == a, entry))
+    return F.broadcast(each.agg(F.array(*[held(a) for a in [*map(chr, range(65, 91)), "*"]]).alias("table")))
+
+
+def drawn(aa: Column, numbers: Column, table: Column) -> Column:
+    """The codon letters that a protein's draws choose from shares_table()."""
+    pick = lambda t, d: F.substring(t["letters"], F.size(F.filter(t["bounds"], lambda b: b <= d)) + 1, F.lit(1))
+    return F.array_join(F.zip_with(F.split(aa, ""), F.slice(numbers, 1, F.length(aa)), lambda a, d: pick(F.get(table, letter(a)), d)), "")
+
+
+def candidates(rows: DataFrame, method: str, codes: Column | str, replicate: Column | None = None) -> DataFrame:
+    return rows.select("seq_id", "aa", F.lit(method).alias("method"), (F.lit(0) if replicate is None else replicate).cast("int").alias("replicate"), (F.col(codes) if isinstance(codes, str) else codes).alias("codes"))
+
+
+# Methods: proteins (seq_id, aa) in, candidates (seq_id, aa, method, replicate, codes) out.
+
+
+def greedy(proteins: DataFrame, weights: DataFrame, method: str = "greedy_cai", order: str = "w") -> DataFrame:
+    """The codon of the highest weight for every residue, the first by letters on ties."""
+    return candidates(proteins.join(best_table(weights, order)), method, F.expr("translate(aa, residues, best)"))
+
+
 def random_synonymous(proteins: DataFrame, replicates: int = 3, seed: int = 320) -> DataFrame:
     """For every residue one of its codons, in their order, by a draw modulo their number."""
-    none = F.array().cast("array<string>")
-    table = by_letter({a: F.array(*map(F.lit, cs)) for a, cs in _choices().items()}, none)
+    table = by_letter({a: F.lit("".join(map(letter_of, cs))) for a, cs in _choices().items()}, F.lit(""))
     rows = proteins.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    numbers = draws(seed, F.col("seq_id"), F.col("replicate"), F.length("aa"))
-    drawn = settled(rows, "aa").withColumn("_d", F.slice(numbers, 1, F.length("aa")))
-    pick = F.zip_with(F.split("aa", ""), "_d", lambda a, d: (lambda cs: F.get(cs, d % F.size(cs)))(F.get(table, letter(a))))
-    return drawn.select("seq_id", "aa", F.lit("random_synonymous").alias("method"), "replicate", F.array_join(pick, "").alias("cds"))
+    numbers = F.slice(draws(seed, F.col("seq_id"), F.col("replicate"), F.length("aa")), 1, F.length("aa"))
+    pick = F.zip_with(F.split("aa", ""), numbers, lambda a, d: (lambda t: F.substring(t, F.pmod(d, F.length(t)) + 1, F.lit(1)))(F.get(table, letter(a))))
+    return candidates(settled(rows, "aa"), "random_synonymous", F.array_join(pick, ""), F.col("replicate"))
+
+
+def gc_target(proteins: DataFrame, weights: DataFrame, target: float = 43.5, method: str = "gc_target") -> DataFrame:
+    """Residue by residue the codon that brings the GC of what is made so far, to 2 places, nearest to the target; on ties the more frequent, then the first by letters.
+
+    A codon adds 0 to 3 to the state, so of each residue's codons the best of each count is enough.
+    """
+    rows = weights.filter("w is not null").select("aa", code_letter(F.col("codon")).alias("x"), F.struct((-F.col("frequency")).alias("f"), "codon").alias("o"))
+    gc = F.translate("x", LETTERS, "".join(str(GC_OF[x]) for x in LETTERS)).cast("int")
+    each = rows.withColumn("g", gc).groupBy("aa", "g").agg(F.min(F.struct("o", "x")).alias("m"))
+    each = each.groupBy("aa").agg(F.sort_array(F.collect_list(F.struct("m.o", "g", "m.x"))).alias("c"))
+    held = lambda a: F.max(F.when(F.col("aa") == a, F.transform("c", lambda c: F.struct(c["g"].alias("g"), c["x"].alias("x")))))
+    table = F.broadcast(each.agg(F.array(*[held(a) for a in [*map(chr, range(65, 91)), "*"]]).alias("table")))
+
+    def step(s: Column, a: Column) -> Column:
+        away = lambda g: F.abs(F.round((s["gc"] + g) * F.lit(100.0) / (s["n"] * 3 + 3), 2) - F.lit(float(target)))
+        tried = F.transform(F.get("table", letter(a)), lambda c, i: F.struct(away(c["g"]).alias("d"), i.alias("i"), c["g"].alias("g"), c["x"].alias("x")))
+        chosen = lambda m: F.struct((s["gc"] + m["g"]).alias("gc"), (s["n"] + 1).alias("n"), F.concat(s["out"], F.array(m["x"])).alias("out"))
+        return F.get(F.transform(F.array(F.array_min(tried)), chosen), F.lit(0))
+
+    start = F.struct(F.lit(0).alias("gc"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("out"))
+    # A long protein is folded in pieces of 256 residues, so that no array is copied once a residue.
+    pieces = F.regexp_extract_all("aa", F.lit(".{1,256}"), F.lit(0))
+    whole = lambda s, p: F.get(F.transform(F.array(F.aggregate(F.split(p, ""), F.struct(s["gc"].alias("gc"), s["n"].alias("n"), F.array().cast("array<string>").alias("out")), step)), lambda r: F.struct(r["gc"].alias("gc"), r["n"].alias("n"), F.concat(s["out"], F.array(F.array_join(r["out"], ""))).alias("out"))), F.lit(0))
+    return candidates(proteins.join(table), method, F.array_join(F.aggregate(pieces, start, whole)["out"], ""))
+
 
+#: What an attempt makes of (aa, attempt), as codon letters.
+Attempt = Callable[[Column, Column], Column]
 
-def score(candidates: DataFrame, weights: DataFrame, gc_low: float = 40.0, gc_high: float = 47.0) -> DataFrame:
-    """Adds identity, gc, sites, cai and the four pass flags to (seq_id, aa, method, replicate, cds). A sequence is cut into codons once."""
-    logs_by_place = F.sort_array(F.collect_list(F.struct(codon_place(F.col("codon")).alias("k"), F.when(F.col("w") > 0, F.ln("w")).alias("l"))))["l"]
+
+def first_good(aa: Column, attempts: Column, make: Attempt, away: Callable[[Column], Column]) -> Column:
+    """struct<codes, away>: the first attempt that is not away (0), else the nearest, the first of equally near ones. Later attempts are not made once one is good."""
+    tried = lambda n: F.get(F.transform(F.array(make(aa, n)), lambda c: F.struct(c.alias("codes"), away(c).cast("double").alias("away"))), F.lit(0))
+    better = lambda s, t: F.when(t["away"] < s["away"], t).otherwise(s)
+    start = F.struct(F.lit(None).cast("string").alias("codes"), F.lit(float("inf")).alias("away"))
+    return F.aggregate(attempts, start, lambda s, n: F.when(s["away"] == 0, s).otherwise(F.get(F.transform(F.array(tried(n)), lambda t: better(s, t)), F.lit(0))))
+
+
+def in_rounds(proteins: DataFrame, tried: Callable[[DataFrame, int], DataFrame], rounds: int, last: bool) -> DataFrame:
+    """seq_id, aa, codes: rounds in which only sequences without a good attempt go on. tried(rows, round) adds codes and away (0: good).
+
+    Where no round is good, the last round's attempt stays (last) or the nearest of all. Each round is written; there are no more than `rounds`.
+    """
+    left, done = proteins.select("seq_id", "aa", F.lit(None).cast("string").alias("codes"), F.lit(float("inf")).alias("away")), []
+    for k in range(rounds):
+        now = tried(left.select("seq_id", "aa", F.col("codes").alias("_codes"), F.col("away").alias("_away")), k)
+        kept = F.lit(True) if last else F.col("away") < F.col("_away")
+        now = staged(now.select("seq_id", "aa", F.when(kept, F.col("codes")).otherwise(F.col("_codes")).alias("codes"), F.when(kept, F.col("away")).otherwise(F.col("_away")).alias("away")), "round")
+        done.append(now if k == rounds - 1 else now.filter("away = 0"))
+        left = now.filter("away > 0")
+        if left.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, done).select("seq_id", "aa", "codes")
+
+
+def band_gap(low: float, high: float) -> Callable[[Column], Column]:
+    """0 inside the band, else the distance of the GC percent from its middle."""
+    return lambda c: F.when(gc_share(c).between(low, high), F.lit(0.0)).otherwise(F.abs(gc_share(c) - (low + high) / 2))
+
+
+def site_count(codes: Column, standard: str = "golden_gate") -> Column:
+    """How many recognition sites of the standard the sequence holds."""
+    cds = spelt(codes)
+    return F.get(F.transform(F.array(cds), lambda s: reduce(lambda a, b: a + b, [count_of(s, x) for sites in ASSEMBLY[standard].values() for x in sites])), F.lit(0))
+
+
+PREFERRED_70, PREFERRED_60 = round(0.7 * SIXTEEN), round(0.6 * SIXTEEN)
+#: GC attempts within one attempt, and rounds of attempts at most.
+GC_ATTEMPTS, ROUNDS = 10, 10
+
+
+def balanced(proteins: DataFrame, weights: DataFrame, low: float = 40.0, high: float = 47.0, seed: int = 320) -> DataFrame:
+    """Seven of ten residues take their most frequent codon, the others one by frequency; of ten attempts the first within the GC band, else the nearest to its middle."""
+    table = shares_table(weights, PREFERRED_70)
+    make = lambda aa, n: drawn(aa, draws(f"balanced|{seed}", F.col("seq_id"), n, F.length(aa)), F.col("table"))
+    tries = F.sequence(F.lit(0), F.lit(GC_ATTEMPTS - 1))
+    return candidates(proteins.join(table).withColumn("s", first_good(F.col("aa"), tries, make, band_gap(low, high))), "balanced", "s.codes")
+
+
+def assembly_friendly(proteins: DataFrame, weights: DataFrame, low: float = 40.0, high: float = 47.0, seed: int = 320) -> DataFrame:
+    """balanced() at six of ten, over again until no assembly site is left, in at most ten rounds."""
+    table = shares_table(weights, PREFERRED_60)
+    make = lambda aa, n: drawn(aa, draws(f"assembly|{seed}", F.col("seq_id"), n, F.length(aa)), F.col("table"))
+
+    def tried(rows: DataFrame, k: int) -> DataFrame:
+        tries = F.sequence(F.lit(GC_ATTEMPTS * k), F.lit(GC_ATTEMPTS * k + GC_ATTEMPTS - 1))
+        made = rows.join(table).withColumn("codes", first_good(F.col("aa"), tries, make, band_gap(low, high))["codes"])
+        return settled(made, "codes").withColumn("away", site_count(F.col("codes")).cast("double"))
+
+    return candidates(in_rounds(proteins, tried, ROUNDS, last=True), "assembly_friendly", "codes")
+
+
+def weighted_clean(proteins: DataFrame, weights: DataFrame, attempts: int = 50, seed: int = 320, method: str = "ablation_cai_type_iis") -> DataFrame:
+    """Codons by frequency; the first of `attempts` without an assembly site, else the last. Ten rounds, whose sequences make their share of the attempts one after the other."""
+    table = shares_table(weights)
+    make = lambda aa, n: drawn(aa, draws(f"weighted|{seed}", F.col("seq_id"), n, F.length(aa)), F.col("table"))
+    return candidates(clean_attempts(proteins.join(table), make, attempts), method, "codes")
+
+
+def clean_attempts(rows: DataFrame, make: Attempt, attempts: int) -> DataFrame:
+    each = -(-attempts // ROUNDS)
+    extra = [c for c in rows.columns if c not in ("seq_id", "aa")]
+    tables = rows.select(*extra).limit(1)  # the same in every row
+
+    def tried(left: DataFrame, k: int) -> DataFrame:
+        tries = F.sequence(F.lit(each * k), F.lit(min(attempts, each * (k + 1)) - 1))
+        last = lambda c: F.when(site_count(c) == 0, F.lit(0.0)).otherwise(F.lit(1.0))
+        latest = lambda s, n: F.when(s["away"] == 0, s).otherwise(F.get(F.transform(F.array(make(F.col("aa"), n)), lambda c: F.struct(c.alias("codes"), last(c).alias("away"))), F.lit(0)))
+        start = F.struct(F.lit(None).cast("string").alias("codes"), F.lit(1.0).alias("away"))
+        return left.join(F.broadcast(tables)).withColumn("s", F.explode(F.array(F.aggregate(tries, start, latest)))).select("*", "s.codes", "s.away")
+
+    return in_rounds(rows.select("seq_id", "aa"), tried, -(-attempts // each), last=True)
+
+
+def steered(aa: Column, numbers: Column, table: Column, target: float) -> Column:
+    """Codons drawn by frequency over one plus the distance of the prefix's GC percent from the target.
+
+    `table`: by letter() the entries (letter, g, f) of a residue in millionths. The shares are whole numbers, so they are the same everywhere.
+    """
+    share = lambda c, s: F.floor(c["f"] * 1000 / (1000 + F.floor(F.abs((s["gc"] + c["g"]) * 100000 - int(target * 1000) * (s["n"] * 3 + 3)) / (s["n"] * 3 + 3)))) + 1
+
+    def step(s: Column, x: Column) -> Column:
+        shares = F.transform(F.get(table, letter(x["a"])), lambda c: F.struct(share(c, s).alias("w"), c["g"].alias("g"), c["x"].alias("x")))
+        total = lambda ws: F.aggregate(ws, F.lit(0).cast("long"), lambda t, w: t + w["w"])
+        # The first codon whose running share passes draw / 65536 of all.
+        search = lambda ws, all_: F.aggregate(ws, F.struct(F.lit(0).cast("long").alias("t"), F.lit(None).cast("struct<w:bigint,g:int,x:string>").alias("m")), lambda u, w: F.when(u["m"].isNotNull(), u).otherwise(F.struct((u["t"] + w["w"]).alias("t"), F.when((u["t"] + w["w"]) * SIXTEEN > x["d"] * all_, w).alias("m"))))["m"]
+        chosen = F.transform(F.array(shares), lambda ws: search(ws, total(ws)))
+        return F.get(F.transform(chosen, lambda m: F.struct((s["gc"] + m["g"]).alias("gc"), (s["n"] + 1).alias("n"), F.concat(s["out"], m["x"]).alias("out"))), F.lit(0))
+
+    start = F.struct(F.lit(0).cast("long").alias("gc"), F.lit(0).cast("long").alias("n"), F.lit("").alias("out"))
+    pairs = F.zip_with(F.split(aa, ""), F.slice(numbers, 1, F.length(aa)), lambda a, d: F.struct(a.alias("a"), d.cast("long").alias("d")))
+    return F.aggregate(pairs, start, step)["out"]
+
+
+def steered_clean(proteins: DataFrame, weights: DataFrame, target: float = 43.5, attempts: int = 50, seed: int = 320, method: str = "ablation_cai_gc_type_iis") -> DataFrame:
+    """steered() in attempts as weighted_clean()."""
+    rows = weights.filter("w is not null").select("aa", "codon", code_letter(F.col("codon")).alias("x"), F.greatest(F.round(F.col("frequency") * 1000000), F.lit(1)).cast("long").alias("f"))
+    gc = F.translate("x", LETTERS, "".join(str(GC_OF[x]) for x in LETTERS)).cast("int")
+    each = rows.groupBy("aa").agg(F.sort_array(F.collect_list(F.struct("codon", gc.alias("g"), "f", "x"))).alias("c"))
+    held = lambda a: F.max(F.when(F.col("aa") == a, F.transform("c", lambda c: F.struct(c["f"].alias("f"), c["g"].alias("g"), c["x"].alias("x")))))
+    table = F.broadcast(each.agg(F.array(*[held(a) for a in [*map(chr, range(65, 91)), "*"]]).alias("table")))
+    make = lambda aa, n: steered(aa, draws(f"steered|{seed}", F.col("seq_id"), n, F.length(aa)), F.col("table"), target)
+    return candidates(clean_attempts(proteins.join(table), make, attempts), method, "codes")
+
+
+def ramped(made: DataFrame, weights: DataFrame, residues: int = 50, seed: int = 320) -> DataFrame:
+    """Candidates whose first residues take a codon of their least frequent quarter, by frequency; residues of one codon stay."""
+    order = F.struct((-F.col("f")).alias("f"), "codon", "x")
+    rows = weights.filter("w is not null").select("aa", "codon", code_letter(F.col("codon")).alias("x"), F.greatest(F.round(F.col("frequency") * 1000000), F.lit(1)).cast("long").alias("f"))
+    each = rows.groupBy("aa").agg(F.sort_array(F.collect_list(order)).alias("c"))
+    low = each.withColumn("c", F.slice("c", F.greatest(F.lit(1), F.floor(F.size("c") * 3 / 4)).cast("int") + 1, F.size("c"))).filter("size(c) > 0")
+    rare = low.select("aa", F.explode("c").alias("c")).select("aa", F.col("c.codon").alias("codon"), (-F.col("c.f") / F.lit(1000000.0)).alias("frequency"), F.lit(1.0).alias("w"))
+    table = shares_table(rare)
+    head, n = F.substring("aa", 1, residues), F.lit(residues)
+    numbers = draws(f"ramp|{seed}", F.col("seq_id"), F.col("replicate"), n)
+    pick = lambda t, d, own: F.when(t.isNull(), own).otherwise(F.substring(t["letters"], F.size(F.filter(t["bounds"], lambda b: b <= d)) + 1, F.lit(1)))
+    pairs = F.zip_with(F.split(head, ""), F.split(F.substring("codes", 1, residues), ""), lambda a, own: F.struct(a.alias("a"), own.alias("own")))
+    new = F.array_join(F.zip_with(pairs, F.slice(numbers, 1, F.length(head)), lambda x, d: pick(F.get("table", letter(x["a"])), d, x["own"])), "")
+    return candidates(made.join(table), "ramp", F.concat(new, F.expr(f"substring(codes, {residues + 1})")), F.col("replicate"))
+
+
+def second_codon(made: DataFrame, weights: DataFrame) -> DataFrame:
+    """Candidates whose second codon starts with GC, else with G, where its residue has such a codon: the most frequent of them, the first by letters on ties. One that starts with G stays."""
+    likes = F.when(F.col("codon").startswith("GC"), 2).when(F.col("codon").startswith("G"), 1)
+    best = weights.filter("w is not null").filter(F.col("codon").startswith("G")).groupBy("aa").agg(F.max(F.struct(likes, "frequency", F.translate("codon", "ACGT", "TGCA"), code_letter(F.col("codon")).alias("x")))["x"].alias("x"))
+    table = F.broadcast(best.agg(F.map_from_entries(F.collect_list(F.struct("aa", "x"))).alias("second")))
+    other = F.col("second")[F.substring("aa", 2, 1)]
+    starts_with_g = "".join(letter_of(c) for c in code() if c[0] == "G")
+    swap = (F.length("aa") >= 2) & other.isNotNull() & ~F.lit(starts_with_g).contains(F.substring("codes", 2, 1))
+    return candidates(made.join(table), "second_codon", F.when(swap, F.overlay("codes", other, F.lit(2))).otherwise(F.col("codes")), F.col("replicate"))
+
+
+def native(proteins: DataFrame, sequences: DataFrame) -> DataFrame:
+    """Each protein's own coding sequence, as it is, where there is one: seq_id, aa, method, replicate, cds."""
+    return proteins.join(sequences.select("seq_id", F.col("dna").alias("cds")).filter("cds <> ''"), "seq_id").select("seq_id", "aa", F.lit("native_reference").alias("method"), F.lit(0).alias("replicate"), "cds")
+
+
+# Scores.
+
+
+def score(candidates: DataFrame, weights: DataFrame, gc_low: float = 40.0, gc_high: float = 47.0, sites: dict[str, tuple[str, ...]] = TYPE_IIS) -> DataFrame:
+    """Adds cds, identity, gc, sites, cai and the four pass flags to candidates, of codes or of cds.
+
+    A candidate with neither (its method failed) keeps null metrics and false flags. CAI leaves stops out; a sense codon
+    without a weight, or no sense codon at all, makes it 0.
+    """
+    logs_by_place = F.sort_array(F.collect_list(F.struct(code_letter(F.col("codon")).alias("k"), F.when(F.col("w") > 0, F.ln("w")).alias("l"))))["l"]
     table = F.broadcast(weights.agg(logs_by_place.alias("table")))
-    stops = [k for k, a in enumerate(RESIDUES, 1) if a == "*"]
-    logs = F.transform("_k", lambda k: F.get("table", k - 1))
-    sites = reduce(lambda a, b: a + b, [count_of(F.col("cds"), s) for pair in TYPE_IIS.values() for s in pair])
-    placed = settled(candidates, "cds").withColumn("_k", F.explode(F.array(F.transform(codons(F.col("cds")), codon_place))))
-    inner = F.slice("_k", 1, F.greatest(F.size("_k") - 1, F.lit(0)))
+    made = candidates if "cds" in candidates.columns else settled(candidates, "codes").withColumn("cds", spelt(F.col("codes")))
+    made = settled(made, "cds")
+    if "codes" not in made.columns:
+        made = settled(made.withColumn("codes", read_codes(F.col("cds"))), "codes")
+    stops = "".join(x for x, a in zip(LETTERS, RESIDUES) if a == "*")
+    sense = F.translate("codes", stops, "")
+    logs = F.transform(F.split(sense, ""), lambda x: F.get("table", F.ascii(x) - FIRST_LETTER))
+    mean = F.exp(F.aggregate(logs, F.lit(0.0), lambda t, x: t + x) / F.length(sense))
+    back = F.regexp_replace(protein_of(F.col("codes")), r"\*$", "")
+    aa = F.regexp_replace("aa", r"\*$", "")
+    inner = F.expr("left(codes, greatest(length(codes) - 1, 0))")
+    same = F.size(F.filter(F.zip_with(F.split(aa, ""), F.split(back, ""), lambda a, b: a == b), lambda e: e))
+    identity = F.when(F.length(aa) == 0, F.lit(0.0)).when(aa == back, F.lit(1.0)).otherwise(same / F.length(aa).cast("double"))
+    frame = F.length("cds") % 3 == 0
+    is_made = F.col("cds").isNotNull()
     return (
-        settled(placed.withColumn("_protein", translate_places(F.col("_k"))), "_protein").join(table)
-        .withColumn("cai", F.round(F.exp(F.aggregate(logs, F.lit(0.0), lambda t, x: t + x) / F.size("_k")), 6))
-        .withColumn("identity", aa_identity(F.col("aa"), F.col("_protein")))
-        .withColumn("gc", F.round(gc_percent(F.col("cds")), 2))
-        .withColumn("sites", sites)
-        .withColumn("biological_pass", (F.col("identity") == 1.0) & (F.size(F.filter(inner, lambda k: k.isin(*stops))) == 0))
-        .drop("table", "_protein", "_k")
-        .withColumn("assembly_pass", F.col("sites") == 0)
-        .withColumn("gc_pass", F.col("gc").between(gc_low, gc_high))
-        .withColumn("multi_pass", F.coalesce(F.col("biological_pass") & F.col("assembly_pass") & F.col("gc_pass"), F.lit(False)))
+        made.join(table)
+        .withColumn("cai", F.when(is_made, F.coalesce(F.round(F.when((F.length(sense) > 0) & frame, mean), 6), F.lit(0.0))))
+        .withColumn("identity", F.round(identity, 6))
+        .withColumn("gc", F.round(F.coalesce(gc_count(F.col("cds")) * F.lit(100.0) / F.nullif(F.length("cds"), F.lit(0)), F.when(is_made, F.lit(0.0))), 2))
+        .withColumn("sites", reduce(lambda a, b: a + b, [count_of(F.col("cds"), s) for pair in sites.values() for s in pair]))
+        .withColumn("biological_pass", F.coalesce((aa == back) & frame & ~F.col("codes").contains(NO_CODON) & ~inner.rlike(f"[{stops}]"), F.lit(False)))
+        .withColumn("assembly_pass", F.coalesce(F.col("sites") == 0, F.lit(False)))
+        .withColumn("gc_pass", F.coalesce(F.col("gc").between(gc_low, gc_high), F.lit(False)))
+        .withColumn("multi_pass", F.col("biological_pass") & F.col("assembly_pass") & F.col("gc_pass"))
+        .drop("table", "codes")
     )
 
 
+def failed(proteins: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(proteins that can be made, others with `error`): a residue without a codon is named, never the sequence."""
+    odd = F.array_join(F.array_sort(F.array_distinct(F.split(F.regexp_replace("aa", "[ACDEFGHIKLMNPQRSTVWY*]", ""), ""))), ",")
+    judged = proteins.withColumn("error", F.when(F.length("aa") == 0, "empty protein").when(F.col("aa").rlike("[^ACDEFGHIKLMNPQRSTVWY*]"), F.concat(F.lit("no codon for: "), odd)))
+    return judged.filter("error is null").drop("error"), judged.filter("error is not null")
+
+
+def run_methods(proteins: DataFrame, weights: DataFrame, methods: dict[str, Callable[[DataFrame], DataFrame]], natives: DataFrame | None = None) -> DataFrame:
+    """All methods over all proteins, scored; a protein that cannot be made is an error row of every method. methods: by name, proteins to candidates."""
+    good, bad = failed(proteins)
+    made = [score(f(good), weights) for f in methods.values()]
+    if natives is not None:
+        made.append(score(native(proteins, natives), weights))
+    ok = reduce(DataFrame.unionByName, made).withColumns({"status": F.lit("ok"), "error": F.lit(None).cast("string")})
+    nothing = {"cds": "string", "cai": "double", "identity": "double", "gc": "double", "sites": "int"}
+    errors = bad.withColumn("method", F.explode(F.array(*map(F.lit, methods)))).withColumns(
+        {"replicate": F.lit(0), "status": F.lit("error"), **{c: F.lit(None).cast(t) for c, t in nothing.items()}, **{c: F.lit(False) for c in ("biological_pass", "assembly_pass", "gc_pass", "multi_pass")}}
+    )
+    return ok.unionByName(errors)
+
+
 def summary(results: DataFrame) -> DataFrame:
     """Per method: sequences, row-weighted pass rates and mean CAI, rounded to 4."""
     rate = lambda c: F.round(F.avg(F.col(c).cast("double")), 4).alias(c.replace("pass", "rate"))
@@ -88,16 +385,21 @@ def summary(results: DataFrame) -> DataFrame:
     )
 
 
+#: What becomes of a candidate, in the order of the tests.
+CATEGORIES = ("passed", "biological", "gc_and_sites", "gc_only", "sites_only")
+
+
 def failures(results: DataFrame) -> DataFrame:
-    """Per method and category, sequences' worth of rows: each row weighs 1 / its sequence's replicates."""
+    """Per method and category, sequences' worth of rows: each row weighs 1 / its method's replicates. Categories without rows are there with 0."""
     kind = (
         F.when(F.col("multi_pass"), "passed").when(~F.col("biological_pass"), "biological")
         .when(~F.col("gc_pass") & ~F.col("assembly_pass"), "gc_and_sites").when(~F.col("gc_pass"), "gc_only").otherwise("sites_only")
     )
     rows = results.withColumn("category", kind)
     each = rows.groupBy("method", "seq_id", "category").agg(F.count(F.lit(1)).alias("k"))
-    n = each.groupBy("method").agg((F.sum("k") / F.countDistinct("seq_id")).alias("replicates"))
-    return each.groupBy("method", "category").agg(F.sum("k").alias("k")).join(F.broadcast(n), "method").select("method", "category", F.round(F.col("k") / F.col("replicates"), 6).alias("weight"))
+    counts = each.groupBy("method").agg(F.sum("k").alias("n"), F.countDistinct("seq_id").alias("s"), *[F.sum(F.when(F.col("category") == c, F.col("k")).otherwise(0)).alias(c) for c in CATEGORIES])
+    every = counts.select("method", "n", "s", F.explode(F.array(*[F.struct(F.lit(c).alias("category"), F.col(c).alias("k")) for c in CATEGORIES])).alias("x"))
+    return every.select("method", "x.category", F.round(F.col("x.k") / (F.col("n") / F.col("s")), 6).alias("weight"))
 
 
 def gc_bounds(aa: Column) -> tuple[Column, Column]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -211,7 +212,7 @@ def proteins(spark: SparkSession, d: str) -> DataFrame:
 
 @query("g01_greedy_cai", "SELECT q.seq_id, string_agg(b.codon, '' ORDER BY i) AS cds FROM seqs q, unnest(range(1, length(q.aa) + 1)) AS t(i) JOIN best b ON b.aa = substr(q.aa, CAST(i AS INT), 1) GROUP BY 1", f"{PROFILE_SQL},\n{BEST_SQL}")
 def g01(spark: SparkSession, d: str) -> DataFrame:
-    return generate.greedy(proteins(spark, d), pinned(spark, d)).select("seq_id", "cds")
+    return generate.greedy(proteins(spark, d), pinned(spark, d)).select("seq_id", generate.spelt(F.col("codes")).alias("cds"))
 
 
 CHOICES_SQL = "choices AS (SELECT aa, list(codon ORDER BY codon) AS cs FROM code GROUP BY aa)"
@@ -221,7 +222,7 @@ FROM seqs q, unnest(range(0, 3)) AS u(r), unnest(range(1, length(q.aa) + 1)) AS
 
 @query("g02_random_synonymous", RANDOM_SQL, f"{SEQUENCES_SQL}, {CODE_SQL}, {CHOICES_SQL}")
 def g02(spark: SparkSession, d: str) -> DataFrame:
-    return generate.random_synonymous(proteins(spark, d)).select("seq_id", "replicate", "cds")
+    return generate.random_synonymous(proteins(spark, d)).select("seq_id", "replicate", generate.spelt(F.col("codes")).alias("cds"))
 
 
 def pinned(spark: SparkSession, d: str) -> DataFrame:
@@ -235,17 +236,36 @@ def results(spark: SparkSession, d: str) -> DataFrame:
     return generate.score(generate.greedy(aa, weights).unionByName(generate.random_synonymous(aa)), weights)
 
 
-_sites = " + ".join(_count.format("cds", s) for pair in TYPE_IIS.values() for s in pair)
-RESULTS_SQL = f"""{PROFILE_SQL}, {BEST_SQL}, {CHOICES_SQL},
-cands AS (
-  SELECT q.seq_id, 'greedy_cai' AS method, 0 AS replicate, string_agg(b.codon, '' ORDER BY i) AS cds FROM seqs q, unnest(range(1, length(q.aa) + 1)) AS t(i) JOIN best b ON b.aa = substr(q.aa, CAST(i AS INT), 1) GROUP BY 1
-  UNION ALL SELECT seq_id, 'random_synonymous', replicate, cds FROM ({RANDOM_SQL})),
-logs AS (SELECT c.seq_id, c.method, c.replicate, round(exp(avg(ln(f.w))), 6) AS cai FROM cands c, unnest(range(0, length(c.cds) // 3)) AS t(i) JOIN profile f ON f.codon = substr(c.cds, 3 * CAST(i AS INT) + 1, 3) GROUP BY 1, 2, 3),
-backs AS (SELECT c.seq_id, c.method, c.replicate, string_agg(k.aa, '' ORDER BY i) AS back, count(*) FILTER (WHERE k.aa = '*' AND i < length(c.cds) // 3 - 1) AS stops
-  FROM cands c, unnest(range(0, length(c.cds) // 3)) AS t(i) JOIN code k ON k.codon = substr(c.cds, 3 * CAST(i AS INT) + 1, 3) GROUP BY 1, 2, 3),
+def held_once(ctes: str) -> str:
+    """The same common tables, each computed once."""
+    return re.sub(r"^(\w+) AS \((?=\s*SELECT)|(?<=,)(\s*)(\w+) AS \((?=\s*SELECT)", lambda m: f"{m[2] or ''}{m[1] or m[3]} AS MATERIALIZED (", ctes, flags=re.M)
+
+
+def count_sql(text: str, motif: str) -> str:
+    """Occurrences, overlapping ones too, without a list of places. A motif that can overlap itself is counted by its last letter after the rest of it."""
+    if any(motif.startswith(motif[-k:]) for k in range(1, len(motif))):
+        marked = f"replace({text}, '{motif[:-1]}', '#')"
+        return f"(length({marked}) - length(replace({marked}, '#{motif[-1]}', '#')))"
+    return f"(length({text}) - length(replace({text}, '{motif}', ''))) // {len(motif)}"
+
+
+_sites = " + ".join(count_sql("cds", s) for pair in TYPE_IIS.values() for s in pair)
+#: One row per codon, then one pass over them.
+SCORES_SQL = f"""
+made AS (SELECT p.seq_id, p.method, p.replicate, string_agg(p.codon, '' ORDER BY p.i) AS cds, string_agg(f.aa, '' ORDER BY p.i) AS back, round(exp(avg(ln(f.w))), 6) AS cai
+  FROM picks p JOIN profile f ON f.codon = p.codon GROUP BY 1, 2, 3),
 results AS (SELECT *, biological_pass AND assembly_pass AND gc_pass AS multi_pass FROM (
-  SELECT seq_id, method, replicate, cai, sites, gc, back = aa AND stops = 0 AS biological_pass, sites = 0 AS assembly_pass, gc BETWEEN 40 AND 47 AS gc_pass
-  FROM (SELECT *, {_sites} AS sites, round({_gc.format("cds")}, 2) AS gc FROM cands JOIN logs USING (seq_id, method, replicate) JOIN backs USING (seq_id, method, replicate) JOIN (SELECT seq_id, aa FROM seqs) USING (seq_id))))"""
+  SELECT seq_id, method, replicate, cai, sites, gc, back = aa AND NOT contains(left(back, length(back) - 1), '*') AS biological_pass, sites = 0 AS assembly_pass, gc BETWEEN 40 AND 47 AS gc_pass
+  FROM (SELECT *, {_sites} AS sites, round({_gc.format("cds")}, 2) AS gc FROM made JOIN (SELECT seq_id, aa FROM seqs) USING (seq_id))))"""
+RESULTS_SQL = held_once(f"""{PROFILE_SQL},
+{BEST_SQL},
+{CHOICES_SQL},
+hex AS (SELECT seq_id, r, b, md5('320|' || seq_id || '|' || r || '|' || b) AS h FROM seqs, unnest(range(0, 3)) AS u(r), unnest(range(0, (length(aa) + 7) // 8)) AS t(b)),
+picks AS (
+  SELECT q.seq_id, 'greedy_cai' AS method, 0 AS replicate, i, b.codon FROM seqs q, unnest(range(0, length(q.aa))) AS t(i) JOIN best b ON b.aa = substr(q.aa, CAST(i AS INT) + 1, 1)
+  UNION ALL SELECT q.seq_id, 'random_synonymous', CAST(x.r AS INTEGER), 8 * x.b + j, c.cs[1 + ('0x' || substr(x.h, 1 + 4 * CAST(j AS INT), 4))::BIGINT % len(c.cs)]
+    FROM hex x JOIN seqs q USING (seq_id), unnest(range(0, 8)) AS t(j) JOIN choices c ON c.aa = substr(q.aa, CAST(8 * x.b + j AS INT) + 1, 1)),
+{SCORES_SQL}""")
 
 
 @query("r04_benchmark_scores", "SELECT seq_id, method, replicate, cai, sites, gc, biological_pass, assembly_pass, gc_pass, multi_pass FROM results", RESULTS_SQL)
@@ -259,8 +279,8 @@ def a08(spark: SparkSession, d: str) -> DataFrame:
     return generate.summary(results(spark, d))
 
 
-@query("a10_failure_attribution", """SELECT method, category, round(count(*) / any_value(k), 6) AS weight FROM (
-  SELECT *, CASE WHEN multi_pass THEN 'passed' WHEN NOT biological_pass THEN 'biological' WHEN NOT gc_pass AND NOT assembly_pass THEN 'gc_and_sites' WHEN NOT gc_pass THEN 'gc_only' ELSE 'sites_only' END AS category FROM results)
+@query("a10_failure_attribution", """SELECT method, category, round(sum(n) / any_value(k), 6) AS weight FROM (SELECT method, category, 0 AS n FROM (SELECT DISTINCT method FROM results), (VALUES ('passed'), ('biological'), ('gc_and_sites'), ('gc_only'), ('sites_only')) AS c(category)
+  UNION ALL SELECT method, category, 1 FROM (SELECT method, CASE WHEN multi_pass THEN 'passed' WHEN NOT biological_pass THEN 'biological' WHEN NOT gc_pass AND NOT assembly_pass THEN 'gc_and_sites' WHEN NOT gc_pass THEN 'gc_only' ELSE 'sites_only' END AS category FROM results))
   JOIN (SELECT method, count(*) / count(DISTINCT seq_id)::DOUBLE AS k FROM results GROUP BY 1) USING (method) GROUP BY 1, 2""", RESULTS_SQL)
 def a10(spark: SparkSession, d: str) -> DataFrame:
     return generate.failures(results(spark, d))

@@ -12,9 +12,15 @@ def settled(df: DataFrame, column: str) -> DataFrame:
 
 
 def dealt(df: DataFrame) -> DataFrame:
-    """df over all cores: a table of fewer splits than cores is dealt anew; a larger one stays as it is read."""
+    """df over all cores: a table whose rows lie in fewer partitions than there are cores is dealt anew; a larger one stays as it is read.
+
+    Splits of a file count only if they hold rows: a file of one row group has one, however often it is split. The
+    count reads no column, and only of tables with fewer files than cores.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    if len(df.inputFiles()) >= cores or df.select(F.spark_partition_id()).distinct().count() >= cores:
+        return df
+    return df.repartition(cores)
 
 
 #: Letters of a text are cut into pieces of this many, those of every seventh document into longer ones, so that one very long text becomes many sequences.
