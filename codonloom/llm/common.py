@@ -2,14 +2,9 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
 import ctypes
 import gc
 import pickle
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -18,6 +13,8 @@ from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.staging import fresh_path, scratch, shared_dir, staged  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of sf_dir. Python workers get rows in batches bounded in bytes, as texts can be very long."""
@@ -25,66 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: The folder made for each Spark application that names none.
-_MADE: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The application's own folder within what driver and executors share (spark.checkpoint.dir), deleted when the driver ends.
-
-    On one machine, where none is set, one below the system's temporary folder is made; the setting itself is left alone.
-    """
-    base, context = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
-    if not base:
-        if not re.match(r"local(\[|$)", context.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        if context.applicationId not in _MADE:
-            _MADE[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-            atexit.register(deleted, spark, _MADE[context.applicationId])
-        return _MADE[context.applicationId]
-    own = f"{base.rstrip('/')}/{context.applicationId}"
-    if own not in _MADE:
-        _MADE[own] = own
-        atexit.register(deleted, spark, own)
-    return own
-
-
-def deleted(spark: SparkSession, path: str) -> None:
-    """Removes a folder, if it is there and Spark still runs."""
-    with contextlib.suppress(Exception):  # nothing is left to remove it with once the JVM has gone
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jvm.org.apache.hadoop.conf.Configuration()).delete(at, True)
-
-
-#: The folders handed out inside scratch(), innermost last.
-_SCRATCH: list[list[str]] = []
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    for made in _SCRATCH[-1:]:
-        made.append(path)
-    return path
-
-
-@contextlib.contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """Folders handed out inside are deleted at its end: nothing made inside may be read later, unless fresh_path() named it before."""
-    _SCRATCH.append([])
-    try:
-        yield
-    finally:
-        for path in _SCRATCH.pop():
-            deleted(spark, path)
-
-
-def staged(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """Writes df to the shared folder and reads it again: the lineage ends there."""
-    path = path or fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def small_side(df: DataFrame, most_rows: int = 2_000_000) -> DataFrame:
     """df, narrow and cheap to count, to be broadcast where it has at most most_rows rows; beyond, Spark joins by shuffling."""
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df

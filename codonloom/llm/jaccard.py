@@ -31,6 +31,7 @@ rows; other columns are ignored. Sets are known by 128 bits, shingles by 64.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import chain
 
 import numpy as np
@@ -50,7 +51,7 @@ SMALL, HOT = 4, 64
 SPARES, GROWTH, NARROW, WIDE, CHUNK, SEEN = 0.25, 1.3, 256, 8192, 1 << 20, 1 << 20
 #: Pairs of one node that are verified by one task, and names of 64 bits that two sets may have (of 10^10 sets about three do).
 FAN, CLASHES = 512, 10_000
-#: Links, both ways, that one task may hold.
+#: Links or pairs that one task may hold.
 ALONE = 200_000
 #: Rounds in which each node tries its nearest neighbour, while a quarter of the trials are links; then all pairs that the sketches leave are tried.
 NEAREST = 4
@@ -425,8 +426,7 @@ def neighbours(rows: DataFrame, how: str, percent: int = PERCENT) -> DataFrame:
         if held:
             yield from of(held)
 
-    mixed = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("key")
-    columns = rows.join(mixed, "key", "left_semi").select("key", "node", "comp", "n", "sketch", "past")
+    columns = rows.select("key", "node", "comp", "n", "sketch", "past")
     return columns.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(run), "a long, b long, far long")
 
 
@@ -434,10 +434,10 @@ def undirected(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT, few: bool = False) -> DataFrame:
     """The pairs whose sets, sorted hashes in bytes, have 100 * intersection >= percent * union.
 
-    A node's set goes once to each FAN of its pairs, ahead of the others' sets.
+    A node's set goes once to each FAN of its pairs, ahead of the others' sets. A bounded number of pairs is sent to the sets, else both are shuffled.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -456,30 +456,51 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
                     found.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
+    near, sent = (lambda df: df.coalesce(1), F.broadcast) if few else (lambda df: df, lambda df: df)
+    pairs = near(pairs)
     fans = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / FAN).alias("fans"))
     dealt = pairs.join(fans, "a").select("a", "b", F.pmod(F.xxhash64("b"), "fans").alias("fan"))
-    own = fans.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("fans") - 1)).alias("fan")).join(sets.withColumnRenamed("node", "a"), "a")
-    rows = dealt.join(sets.withColumnRenamed("node", "b"), "b").select("a", "fan", "b", "tokens").union(own.select("a", "fan", F.lit(None).cast("long"), "tokens"))
+    own = sets.withColumnRenamed("node", "a").join(sent(fans.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("fans") - 1)).alias("fan"))), "a")
+    rows = sets.withColumnRenamed("node", "b").join(sent(dealt), "b").select("a", "fan", "b", "tokens").union(own.select("a", "fan", F.lit(None).cast("long"), "tokens"))
     return rows.repartition("a", "fan").sortWithinPartitions("a", "fan", F.col("b").asc_nulls_first()).select("a", "b", "tokens").mapInArrow(tidy(run), "a long, b long")
 
 
+def alone(links: DataFrame) -> DataFrame:
+    """components() of at most ALONE links, in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(b.column("a").to_numpy(), b.column("b").to_numpy()) for b in batches]
+        a, b = (np.concatenate([h[i] for h in held]) if held else np.zeros(0, np.int64) for i in (0, 1))
+        names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        i, j = at[: len(a)], at[len(a) :]
+        comp = np.arange(len(names))
+        while len(names):
+            low, new = np.minimum(comp[i], comp[j]), comp.copy()
+            np.minimum.at(new, comp[i], low)
+            np.minimum.at(new, comp[j], low)
+            while (new[new] != new).any():
+                new = new[new]
+            if (new == comp).all():
+                break
+            comp = new
+        yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int64)), pa.array(names[comp].astype(np.int64))], ["node", "comp"])
+
+    return links.select("a", "b").coalesce(1).mapInArrow(tidy(run), "node long, comp long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, comp): each linked node with the smallest node it reaches.
 
     Every node takes the smallest label around it, then its label's label, until
-    nothing changes; each round is written and read again. At most ALONE links are
-    one partition, so their rounds need no shuffle.
+    nothing changes; each round is written and read again.
     """
     both = staged(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
-    few = both.count() <= ALONE
-    near = (lambda df: df.coalesce(1)) if few else (lambda df: df)
-    both = near(both)
-    labels = near(staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "labels"))
+    labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "labels")
     while True:
         around = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("low"))
         lower = labels.join(around, "node").select("node", F.col("comp").alias("was"), F.least("comp", "low").alias("comp"))
         jump = lower.select(F.col("node").alias("comp"), F.col("comp").alias("further"))
-        new = near(staged(lower.join(jump, "comp", "left").select("node", "was", F.coalesce("further", "comp").alias("comp")), "labels"))
+        new = staged(lower.join(jump, "comp", "left").select("node", "was", F.coalesce("further", "comp").alias("comp")), "labels")
         labels = new.select("node", "comp")
         if not new.filter("was <> comp").head(1):
             return labels
@@ -497,15 +518,20 @@ def joined(comps: DataFrame | None, links: DataFrame) -> DataFrame:
 
 
 def set_table(docs: DataFrame, wanted: DataFrame, ngram: int = NGRAM, clashes: list[int] | None = None) -> DataFrame:
-    """node, tokens of the wanted (doc_id, node). Nodes that no row with an id has are looked for in the rows without one."""
+    """node, tokens of the wanted (doc_id, node), copies in several tasks several times. Nodes that no row with an id has are looked for in the rows without one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(ngram)
+        shingler, seen = Shingler(ngram), set()
         for batch in slices(batches, "text", CHUNK):
             tokens, sizes = shingler.sets(batch.column("text"))
             node = renamed(*names_of(tokens, sizes), clashes or [])
             raw, ends = tokens.tobytes(), (8 * np.cumsum(sizes)).tolist()
             same = (sizes > 0) & (node == batch.column("node").to_numpy() if "node" in batch.schema.names else True)  # an id may name other texts too
+            for i in np.flatnonzero(same):  # copies in one task give their set once
+                same[i] = node[i] not in seen
+                seen.add(node[i])
+            if len(seen) > SEEN:
+                seen.clear()
             tokens = [raw[ends[i] - 8 * sizes[i] : ends[i]] for i in np.flatnonzero(same)]
             yield pa.RecordBatch.from_arrays([pa.array(node[same]), pa.array(tokens, pa.binary())], ["node", "tokens"])
 
@@ -514,18 +540,26 @@ def set_table(docs: DataFrame, wanted: DataFrame, ngram: int = NGRAM, clashes: l
     found = docs.select(F.col("doc_id").cast("long"), "text").join(small_side(named), "doc_id").select("node", "text").mapInArrow(tidy(run), schema)
     if rest.head(1):
         found = found.union(docs.filter("doc_id is null").select("text").mapInArrow(tidy(run), schema).join(rest, "node", "left_semi"))
-    return found.groupBy("node").agg(F.first("tokens").alias("tokens"))
+    return found
+
+
+def mixed(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """Of the bucket rows (key, a) those of buckets whose nodes are not all of one component, with comp."""
+    at = rows.withColumn("comp", F.col("a")) if comps is None else rows.join(small_side(comps).withColumnRenamed("node", "a"), "a", "left").withColumn("comp", F.coalesce("comp", "a"))
+    keys = staged(at.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("key"), "mixed")
+    return at.join(small_side(keys), "key", "left_semi")
 
 
-def placed(nodes: DataFrame, comps: DataFrame | None, tried: DataFrame | None) -> DataFrame:
-    """node, n, sketch, comp, and `past`: the nodes of other components that the node was compared with."""
-    at = nodes.select("node", "n", "sketch", F.col("node").alias("comp")) if comps is None else nodes.join(comps, "node", "left").select("node", "n", "sketch", F.coalesce("comp", "node").alias("comp"))
-    if tried is None:
-        return at.withColumn("past", F.lit(None).cast("array<long>"))
-    both = tried.select(F.col("a").alias("node"), F.col("b").alias("other")).union(tried.select(F.col("b").alias("node"), F.col("a").alias("other")))
-    comp = at.select("node", "comp")
-    apart = both.join(comp, "node").join(comp.select(F.col("node").alias("other"), F.col("comp").alias("further")), "other").filter("comp <> further")
-    return at.join(apart.groupBy("node").agg(F.collect_list("other").alias("past")), "node", "left")
+def trials(tried: list[DataFrame], comps: DataFrame | None) -> DataFrame | None:
+    """node, past: the nodes of other components that a node was compared with."""
+    if not tried:
+        return None
+    pairs = reduce(DataFrame.union, tried)
+    both = pairs.select(F.col("a").alias("node"), F.col("b").alias("other")).union(pairs.select(F.col("b").alias("node"), F.col("a").alias("other")))
+    if comps is not None:
+        of = lambda c, comp: small_side(comps).select(F.col("node").alias(c), F.col("comp").alias(comp))
+        both = both.join(of("node", "x"), "node", "left").join(of("other", "y"), "other", "left").filter("coalesce(x, node) <> coalesce(y, other)")
+    return both.groupBy("node").agg(F.collect_list("other").alias("past"))
 
 
 def grouped(docs: DataFrame, ngram: int, percent: int, mark: Column | None = None) -> tuple[DataFrame, DataFrame]:
@@ -544,7 +578,7 @@ def grouped(docs: DataFrame, ngram: int, percent: int, mark: Column | None = Non
     firsts = [F.first(c).alias(c) for c in ("n", "spares", "sketch")]
     nodes = staged(named.join(met, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"), *firsts), "nodes")
     rows = staged(spared(found.filter("key is not null").select("key", "a"), nodes), "rows")
-    comps = tried = None
+    comps, tried, links, n_links = None, [], [], 0
     left = NEAREST
     how = "hubs"
     while how:
@@ -553,22 +587,30 @@ def grouped(docs: DataFrame, ngram: int, percent: int, mark: Column | None = Non
             first = hubs.groupBy("a").agg(F.max_by("b", F.struct("times", "b")).alias("b"))
             near = likely(undirected(found.filter("key is null").select("a", "b").union(first)), nodes, percent)
         else:
-            near = neighbours(rows.withColumnRenamed("a", "node").join(placed(nodes, comps, tried), "node"), how, percent)
+            rows = staged(mixed(rows.select("key", "a"), comps), "rows")  # a bucket of one component stays so
+            past = trials(tried, comps)
+            known = nodes.select("node", "n", "sketch")
+            known = known.withColumn("past", F.lit(None).cast("array<long>")) if past is None else known.join(small_side(staged(past, "past")), "node", "left")
+            near = neighbours(rows.withColumnRenamed("a", "node").join(known, "node"), how, percent)
             if how == "nearest":  # over all of a node's buckets
                 near = near.groupBy("a").agg(F.min(F.struct("far", "b")).alias("best")).select("a", "best.b")
             near = undirected(near)
         pairs = staged(near.select("a", "b"), "pairs")
-        merged = False
-        if pairs.head(1):
-            tried = pairs if tried is None else tried.union(pairs)
-            wanted = nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("doc_id", "node")
-            fresh = staged(verified(pairs, staged(set_table(docs, wanted, ngram, clashes), "sets"), percent), "verified")
+        merged, n_pairs = False, pairs.count()
+        if n_pairs:
+            tried.append(pairs)
+            few = n_pairs <= ALONE
+            ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+            wanted = staged(nodes.join(F.broadcast(ends.coalesce(1)) if few else ends, "node", "left_semi").select("doc_id", "node"), "wanted")
+            fresh = staged(verified(pairs, staged(set_table(docs, wanted, ngram, clashes), "sets"), percent, few), "verified")
             if found_now := fresh.count():
-                comps = joined(comps, fresh)
-                merged = 4 * found_now >= pairs.count()
+                links.append(fresh)
+                n_links += found_now
+                comps = staged(alone(reduce(DataFrame.union, links)), "labels") if n_links <= ALONE else joined(comps, fresh)
+                merged = 4 * found_now >= n_pairs
         if how == "nearest":
             left -= 1
-        how = None if how == "all" or how == "nearest" and not pairs.head(1) else "nearest" if how == "hubs" or merged and left else "all"
+        how = None if how == "all" or how == "nearest" and not n_pairs else "nearest" if how == "hubs" or merged and left else "all"
     if comps is None:
         return feats, every.select("node", F.col("node").alias("comp"), "doc_id")
     return feats, every.join(comps, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "doc_id")
