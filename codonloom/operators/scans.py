@@ -9,12 +9,20 @@ from ..functions.codes import POLYA, STOPS, TYPE_IIS
 from ..functions.scalar import codons, gc_count, hydropathy
 
 
+#: Parts that places() takes at once.
+CHUNK = 64
+
+
 def places(parts: Column) -> Column:
-    """array<struct<start, end, part>>: where parts that follow each other lie, from 0."""
+    """array<struct<start, end, part>>: where parts that follow each other lie, from 0. Taken in chunks, so that no long array is copied once a part."""
+    kind = "array<struct<start:int,end:int,part:string>>"
     at = lambda s, x: F.struct(s["end"].alias("start"), (s["end"] + F.length(x)).alias("end"), x.alias("part"))
-    start = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<start:int,end:int,part:string>>").alias("found"))
     grown = lambda s, x: F.struct((s["end"] + F.length(x)).alias("end"), F.concat(s["found"], F.array(at(s, x))).alias("found"))
-    return F.aggregate(parts, start, grown, lambda s: s["found"])
+    chunk = lambda s, c: F.aggregate(F.slice(parts, c * CHUNK + 1, CHUNK), F.struct(s["end"].alias("end"), F.array().cast(kind).alias("found")), grown)
+    both = lambda s, r: F.struct(r["end"].alias("end"), F.concat(s["found"], F.array(r["found"])).alias("found"))
+    start = F.struct(F.lit(0).alias("end"), F.array().cast(f"array<{kind}>").alias("found"))
+    chunks = F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / CHUNK).cast("int"))
+    return F.flatten(F.aggregate(chunks, start, lambda s, c: F.get(F.transform(F.array(chunk(s, c)), lambda r: both(s, r)), F.lit(0)), lambda s: s["found"]))
 
 
 def starts_of(s: Column, motif: str) -> Column:
