@@ -56,7 +56,7 @@ def patterns_of(sites: dict[str, str], both: bool = True) -> list[tuple[str, str
 def hits_of(s: Column, patterns: list[tuple[str, str, str]]) -> Column:
     """array<HIT> by position, name and strand."""
     hit = lambda n, strand, p: lambda x: F.struct(x.cast("int").alias("position"), F.lit(n).alias("name"), F.lit(strand).alias("strand"), F.lit(p).alias("pattern"))
-    return F.array_sort(F.flatten(F.array(*[F.transform(starts_of(s, x[2]), hit(*x)) for x in patterns]))).cast(f"array<{HIT}>")
+    return F.sort_array(F.flatten(F.array(*[F.transform(starts_of(s, x[2]), hit(*x)) for x in patterns]))).cast(f"array<{HIT}>")
 
 
 def editable_end(s: Column) -> Column:
@@ -78,20 +78,26 @@ def unfit(s: Column) -> Column:
 
 def edits_of(cds: Column, hit: Column, others: dict[str, list[str]], guarded: list[tuple[str, str, str]]) -> Column:
     """array<struct<start, codon, alt>>: the edits that break the hit and bring no new one, in the order in which they are tried."""
-    longest = max(len(p) for _, _, p in guarded)
     table = F.create_map(*[x for c, alts in others.items() for x in (F.lit(c), F.array(*map(F.lit, alts)) if alts else F.array().cast("array<string>"))])
     first = hit["position"] - hit["position"] % 3
     starts = F.filter(F.sequence(first, hit["position"] + F.length(hit["pattern"]) - 1, F.lit(3)), lambda k: k + 3 <= editable_end(cds))
 
     def tried(k: Column) -> Column:
         codon = F.substring(cds, k + 1, F.lit(3))
-        low = F.greatest(F.lit(0), k - (longest - 1))
-        left, right = F.substring(cds, low + 1, k - low), F.substring(cds, k + 4, F.lit(longest - 1))
-        was = hits_of(F.concat(left, codon, right), guarded)
-        here = lambda alt: F.concat(left, alt, right)
-        broken = lambda alt: F.substring(F.concat(F.substring(cds, F.lit(1), k), alt, F.substring(cds, k + 4, F.length(cds))), hit["position"] + 1, F.length(hit["pattern"])) != hit["pattern"]
-        good = F.filter(F.coalesce(table[codon], F.array().cast("array<string>")), lambda alt: broken(alt) & (F.size(F.array_except(hits_of(here(alt), guarded), was)) == 0))
-        return F.transform(good, lambda alt: F.struct(k.alias("start"), codon.alias("codon"), alt.alias("alt")))
+
+        def brings(alt: Column, p: str) -> Column:
+            """Whether the pattern stands somewhere across the new codon where it did not stand before."""
+            low, n = F.greatest(F.lit(0), k - (len(p) - 1)), len(p)
+            left, right = F.substring(cds, low + 1, k - low), F.substring(cds, k + 4, F.lit(n - 1))
+            now, was = F.concat(left, alt, right), F.concat(left, codon, right)
+            at = lambda s, i: F.substring(s, i, F.lit(n)) == p
+            return now.contains(p) & F.exists(F.sequence(F.lit(1), F.lit(n + 2)), lambda i: at(now, i) & ~at(was, i))
+
+        span = F.substring(cds, F.least(k, hit["position"]) + 1, F.lit(LONGEST + 6))
+        low = F.least(k, hit["position"])
+        broken = lambda alt: F.substring(F.overlay(span, alt, k - low + 1, F.lit(3)), hit["position"] - low + 1, F.length(hit["pattern"])) != hit["pattern"]
+        good = lambda alt: broken(alt) & ~reduce(lambda x, y: x | y, [brings(alt, p) for p in sorted({p for _, _, p in guarded})])
+        return F.transform(F.filter(F.coalesce(table[codon], F.array().cast("array<string>")), good), lambda alt: F.struct(k.alias("start"), codon.alias("codon"), alt.alias("alt")))
 
     return F.flatten(F.transform(starts, tried))
 

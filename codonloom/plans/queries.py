@@ -42,7 +42,7 @@ def query(name: str, sql: str | None = None, ctes: str = SEQUENCES_SQL) -> Calla
     def add(f: Query) -> Query:
         QUERIES[name] = f
         if sql is not None:
-            SQL[name] = f"WITH {ctes}\n{sql}" if ctes else sql
+            SQL[name] = f"WITH {ctes}\n{sql}" if ctes else sql  # ctes may begin with RECURSIVE
         return f
 
     return add
