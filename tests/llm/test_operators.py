@@ -85,10 +85,12 @@ def test_toxicity_gains_equal_a_plain_computation(spark):
             counts[kind].update(words)
             pairs[kind].update(zip(["", *words], words))
         for h, w in zip(["", *words], words):
-            buckets.setdefault(w, set()).add((hashes[h] if h else 0) % 256)
+            x = (hashes[h] if h else 0) % 2**64
+            zeros = 64 if not x else (x & -x).bit_length() - 1
+            buckets.setdefault(w, set()).add((min(7, zeros // 3), x >> 58))
     n, d = [sum(c.values()) for c in counts], 0.75
     free = [sum(min(x, d) for x in c.values()) / m for c, m in zip(counts, n)]
-    followed = {w: -256 * math.log(1 - len(b) / 256) for w, b in buckets.items()}
+    followed = {w: sum(-64 * math.log(1 - sum(level == k for level, _ in b) / 64) for k in range(8)) for w, b in buckets.items()}
     shared = {w: (counts[2][w] - d) / n[2] + free[2] * followed[w] / sum(followed.values()) for w in followed}
     logs = {}
     for w in followed:
@@ -112,6 +114,15 @@ def test_toxicity_gains_equal_a_plain_computation(spark):
     assert unseen[0] == pytest.approx(logs["odd"][1] - logs["odd"][0])
 
 
+def test_toxicity_estimates_any_number_of_words_before(spark):
+    rng = np.random.default_rng(2)
+    for n in (3, 100, 5000, 400_000):
+        level, one = toxicity.bits_of(rng.integers(-(2**63), 2**63 - 1, n))
+        bits = [int(np.bitwise_or.reduce(one[level == k], initial=0)) for k in range(toxicity.LEVELS)]
+        got = spark.createDataFrame([tuple(bits)], ", ".join(f"{c} long" for c in toxicity.LANES)).select(toxicity.followed().alias("n")).first()["n"]
+        assert 0.5 * n < got < 1.8 * n
+
+
 def test_toxicity_hears_expressions_of_ordinary_words(spark):
     rng = np.random.default_rng(1)
     plain = "the of and to in is it as at by for from on or with was".split()
@@ -127,7 +138,7 @@ def test_toxicity_hears_expressions_of_ordinary_words(spark):
 
 def test_toxicity_counts_all_rows_that_do_not_calibrate(spark, monkeypatch):
     seen = []
-    monkeypatch.setattr(toxicity, "learn", lambda counts, pairs: seen.extend((r["word"] for r in counts.collect())) or seen.append(pairs.count()))
+    monkeypatch.setattr(toxicity, "learn", lambda counts, pairs, stems: seen.extend((r["word"] for r in counts.collect())) or seen.append(pairs.count()))
     letters = ["".join("abcdefghij"[int(c)] for c in str(i)) for i in range(400)]
     hashes = toxicity.Hashes()
     table = docs(spark, letters)
