@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from .common import table
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
+#: Turns whose places are summed at once.
+CHUNK = 64
 #: Every control string, ours or another template's, starts with one of these.
 ESCAPES = (("&", "&amp;"), ("<", "&lt;"), ("[", "&#91;"))
 
@@ -35,24 +37,20 @@ def unescape(c: Column) -> Column:
 
 
 def turns_to_events(turns: DataFrame) -> DataFrame:
-    """A log as a chat server would stream it: an open event, then each text in two deltas."""
+    """A log as a chat server would stream it: an open event, then the text in two deltas. Of three messages one is first drafted, then regenerated, and one is edited into its final text."""
     w = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
     half = F.floor(F.char_length("text") / 2).cast("int")
-    event = lambda k, op, text: F.struct(F.lit(k).alias("k"), F.lit(op).alias("op"), text.alias("text"))
+    first, rest, kind = F.substring(F.col("text"), F.lit(1), half), F.substring(F.col("text"), half + 1, F.char_length("text")), F.col("message") % 3
+    event = lambda k, when, op, text: F.when(when, F.struct(F.lit(k).alias("k"), F.lit(op).alias("op"), text.alias("text")))
+    events = F.array(
+        event(0, F.lit(True), "open", F.lit("")), event(1, kind == 1, "delta", F.concat(rest, F.lit("…"), first)), event(2, kind == 1, "regenerate", F.lit(None).cast("string")),
+        event(3, kind == 2, "delta", rest), event(4, kind == 2, "edit", first), event(5, kind != 2, "delta", first), event(6, F.lit(True), "delta", rest),
+    )
     return (
         turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
         .withColumn("message", F.row_number().over(w).cast("long"))
-        .withColumn(
-            "e",
-            F.explode(
-                F.array(
-                    event(0, "open", F.lit("")),
-                    event(1, "delta", F.substring(F.col("text"), F.lit(1), half)),
-                    event(2, "delta", F.substring(F.col("text"), half + 1, F.char_length("text"))),
-                )
-            ),
-        )
-        .select("conv_id", "message", (F.col("message") * 3 + F.col("e.k")).alias("seq"), F.col("e.op").alias("op"), "role", F.col("e.text").alias("text"))
+        .withColumn("e", F.explode(F.filter(events, lambda e: e.isNotNull())))
+        .select("conv_id", "message", (F.col("message") * 8 + F.col("e.k")).alias("seq"), F.col("e.op").alias("op"), "role", F.col("e.text").alias("text"))
     )
 
 
@@ -80,37 +78,42 @@ def fold(events: DataFrame) -> DataFrame:
     return messages.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("seq", "message", "role", "text"))).alias("messages"))
 
 
+def starts_of(lengths: Column) -> Column:
+    """array<int>: the sums of the lengths before each place. Taken in chunks, so that no long array is copied once an element."""
+    grown = lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out"))
+    chunk = lambda s, c: F.aggregate(F.slice(lengths, c * CHUNK + 1, CHUNK), F.struct(s["at"].alias("at"), F.array().cast("array<int>").alias("out")), grown)
+    both = lambda s, r: F.struct(r["at"].alias("at"), F.concat(s["out"], F.array(r["out"])).alias("out"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<int>>").alias("out"))
+    chunks = F.sequence(F.lit(0), F.floor((F.greatest(F.size(lengths), F.lit(1)) - 1) / CHUNK).cast("int"))
+    return F.flatten(F.aggregate(chunks, start, lambda s, c: F.get(F.transform(F.array(chunk(s, c)), lambda r: both(s, r)), F.lit(0)), lambda s: s["out"]))
+
+
 def render(conversations: DataFrame) -> DataFrame:
     """conv_id, formatted, loss_spans: 0-based start and length, in code points, of each assistant text."""
-    piece = lambda m: F.concat(F.lit(TURN), escape(m["role"]), F.lit(TEXT), escape(m["text"]), F.lit(END))
-    shape = F.transform(
-        "messages",
-        lambda m: F.struct(
-            (m["role"] == "assistant").alias("loss"),
-            F.char_length(escape(m["text"])).alias("n"),
-            (F.char_length(escape(m["role"])) + len(TURN + TEXT)).alias("head"),
-        ),
-    )
-    spans = F.aggregate(
-        shape,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans")),
-        lambda s, m: F.struct(
-            (s["at"] + m["head"] + m["n"] + len(END)).alias("at"),
-            F.when(m["loss"], F.concat(s["spans"], F.array(F.struct((s["at"] + m["head"]).alias("start"), m["n"].alias("length"))))).otherwise(s["spans"]).alias("spans"),
-        ),
-        lambda s: s["spans"],
-    )
-    return conversations.select("conv_id", F.array_join(F.transform("messages", piece), "").alias("formatted"), spans.alias("loss_spans"))
+    shape = lambda m: F.struct((m["role"] == "assistant").alias("loss"), F.concat(F.lit(TURN), escape(m["role"]), F.lit(TEXT)).alias("head"), escape(m["text"]).alias("text"))
+    rows = conversations.select("conv_id", F.explode(F.array(F.transform("messages", shape))).alias("s"))
+    rows = rows.select("conv_id", "s", F.explode(F.array(F.transform("s", lambda m: F.char_length(m["head"]) + F.char_length(m["text"]) + len(END)))).alias("n"))
+    placed = F.zip_with("s", starts_of(F.col("n")), lambda m, at: F.when(m["loss"], F.struct((at + F.char_length(m["head"])).alias("start"), F.char_length(m["text"]).alias("length"))))
+    formatted = F.array_join(F.transform("s", lambda m: F.concat(m["head"], m["text"], F.lit(END))), "")
+    return rows.select("conv_id", formatted.alias("formatted"), F.filter(placed, lambda x: x.isNotNull()).alias("loss_spans"))
 
 
 def read_back(rendered: DataFrame) -> DataFrame:
-    """conv_id, turns: array<struct<role, text>> and loss_text, both parsed from `formatted` alone (and its spans)."""
+    """conv_id, turns: array<struct<role, text>> and loss_text, both parsed from `formatted` alone (and its spans).
+
+    The text is cut into turns once; a span must be one turn's text, else it is an error.
+    """
     pieces = F.filter(F.split("formatted", END.replace("|", r"\|")), lambda p: p != "")
     inner = lambda p: F.substring(p, F.lit(len(TURN) + 1), F.char_length(p))
-    parts = F.transform(pieces, lambda p: F.split(inner(p), TEXT.replace("|", r"\|")))
-    turns = F.transform(parts, lambda p: F.struct(unescape(p[0]).alias("role"), unescape(p[1]).alias("text")))
-    loss = F.array_join(F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), s["start"] + 1, s["length"]))), "")
-    return rendered.select("conv_id", "formatted", turns.alias("turns"), loss.alias("loss_text"))
+    rows = rendered.select("conv_id", "formatted", "loss_spans", F.explode(F.array(pieces)).alias("p"))
+    rows = rows.select("*", F.explode(F.array(F.transform("p", lambda p: F.char_length(p) + len(END)))).alias("n"))
+    parts = F.zip_with(F.transform("p", lambda p: F.split(inner(p), TEXT.replace("|", r"\|"))), starts_of(F.col("n")), lambda x, at: F.struct(x[0].alias("role"), x[1].alias("text"), (at + len(TURN + TEXT) + F.char_length(x[0])).alias("start")))
+    rows = rows.select("conv_id", "formatted", "loss_spans", F.explode(F.array(parts)).alias("parts"))
+    turns = F.transform("parts", lambda p: F.struct(unescape(p["role"]).alias("role"), unescape(p["text"]).alias("text")))
+    said = F.filter("parts", lambda p: p["role"] == "assistant")
+    same = lambda p, s: (p["start"] == s["start"]) & (F.char_length(p["text"]) == s["length"])
+    loss = F.zip_with(said, "loss_spans", lambda p, s: F.when(F.coalesce(same(p, s), F.lit(False)), unescape(p["text"])).otherwise(F.raise_error(F.lit("a span is no assistant text")).cast("string")))
+    return rows.select("conv_id", "formatted", turns.alias("turns"), F.array_join(loss, "").alias("loss_text"))
 
 
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
