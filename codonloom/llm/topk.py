@@ -3,7 +3,10 @@
 Dimensions act as terms. Vectors are cut into document-range blocks, each with
 its terms' largest and smallest values and its vectors as a forward index. A
 query sums its terms' extremes into a bound per block, visits the blocks from
-the highest bound down, and stops where bounds fall below its k-th score.
+the highest bound down, and stops where bounds fall below its k-th score, or
+below the k-th score that a first pass over a few blocks found for it.
+Scores are exact: one that does not fit a long, and a component of 2**62 / 256 or
+more, is an error.
 
 Defined results: vectors that are null, or hold null, NaN or infinite
 components, take no part; a shorter vector counts as padded with zeros; rows
@@ -87,22 +90,43 @@ def matrix_of(lists: pa.Array) -> np.ndarray:
     return m
 
 
+def exact_product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Integer a @ b.T: by doubles where every sum is exact in them, in Python's own numbers where a long may not do; a result that does not fit a long is an error."""
+    n = min(a.shape[1], b.shape[1])
+    a, b = a[:, :n], b[:, :n]
+    most = largest(a) * largest(b) * n
+    if most < 2**53:
+        return (a.astype(np.float64) @ b.T.astype(np.float64)).astype(np.int64)
+    if most < 2**63:
+        return a @ b.T
+    wide = a.astype(object) @ b.T.astype(object)
+    if wide.size and max(abs(int(wide.max())), abs(int(wide.min()))) >= 2**63:
+        raise OverflowError("a score does not fit a long")
+    return wide.astype(np.int64)
+
+
+def largest(a: np.ndarray) -> int:
+    return max(int(a.max(initial=0)), -int(a.min(initial=0)))
+
+
+def bounds(q: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """For each query and block the sum of its terms' extremes, no lower than any score there; doubles, rounded up."""
+    up, down = np.maximum(q, 0).astype(np.float64), np.minimum(q, 0).astype(np.float64)
+    n = min(q.shape[1], high.shape[1])
+    found = up[:, :n] @ high[:, :n].T.astype(np.float64) + down[:, :n] @ low[:, :n].T.astype(np.float64)
+    return found + np.abs(found) * 1e-12 + (up[:, :n] @ np.abs(high[:, :n]).T.astype(np.float64) - down[:, :n] @ np.abs(low[:, :n]).T.astype(np.float64)) * 1e-12
+
+
 class Search:
-    """The k best of all blocks seen so far, per query."""
+    """The k best of all blocks seen so far, per query. Scores below a query's floor are of no use."""
 
-    def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int):
+    def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int, floors: np.ndarray | None = None):
         self.ids, self.k = ids, k
         self.q = queries
         self.score = np.full((len(ids), k), NONE)
         self.found = np.full((len(ids), k), NONE)
-
-    def product(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Integer a @ b.T; by doubles where every sum is exact in them."""
-        n = min(a.shape[1], b.shape[1])
-        a, b = a[:, :n], b[:, :n]
-        if n and float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * n < 2**53:
-            return (a.astype(np.float64) @ b.T.astype(np.float64)).astype(np.int64)
-        return a @ b.T
+        self.floors = np.full(len(ids), NONE) if floors is None else floors
+        self.visited = self.blocks = 0
 
     def add(self, blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> None:
         """blocks: (ids, rows, high, low) each."""
@@ -110,21 +134,23 @@ class Search:
         high, low = np.zeros((len(blocks), dims), np.int64), np.zeros((len(blocks), dims), np.int64)
         for i, b in enumerate(blocks):
             high[i, : len(b[2])], low[i, : len(b[3])] = b[2], b[3]
-        bound = self.product(np.maximum(self.q, 0), high) + self.product(np.minimum(self.q, 0), low)
+        bound = bounds(self.q, high, low)
         order = np.argsort(-bound, axis=1, kind="stable")
+        self.blocks += order.size
         for step in range(len(blocks)):
             block = order[:, step]
-            live = np.nonzero(bound[np.arange(len(block)), block] >= self.score[:, -1])[0]
+            live = np.nonzero(bound[np.arange(len(block)), block] >= np.maximum(self.score[:, -1], self.floors))[0]
             if not len(live):
                 break
+            self.visited += len(live)
             for b in np.unique(block[live]):
                 self.visit(live[block[live] == b], *blocks[b][:2])
 
     def visit(self, who: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
-        s = self.product(self.q[who], rows)
+        s = exact_product(self.q[who], rows)
         own = self.ids[who][:, None] == ids[None, :]
         s[own] = NONE
-        better = (s >= self.score[who, -1:]).any(axis=1)
+        better = (s >= np.maximum(self.score[who, -1:], self.floors[who, None])).any(axis=1)
         who, s, own = who[better], s[better], own[better]
         if not len(who):
             return
@@ -136,24 +162,24 @@ class Search:
         self.found[who] = np.take_along_axis(names, best, 1)
 
 
-def search(blocks: DataFrame, queries: DataFrame, k: int = K, most: int = QUERIES) -> DataFrame:
+def floors_of(blocks: DataFrame, queries: DataFrame, k: int = K, sample: int = 4) -> DataFrame:
+    """vec_id, v, floor of the queries, one for each id: the k-th best score in `sample` blocks (by a hash), which no better block can undercut; null if they hold fewer than k others."""
+    once = queries.groupBy("vec_id").agg(F.max("v").alias("v"))
+    few = blocks.orderBy(F.xxhash64("block")).limit(sample)
+    found = top_of(few, once.withColumn("floor", F.lit(None).cast("long")), k)
+    low = found.groupBy("query_id").agg(F.min("score").alias("floor"), F.count(F.lit(1)).alias("n")).filter(F.col("n") == k)
+    return once.join(low.select(F.col("query_id").alias("vec_id"), "floor"), "vec_id", "left")
+
+
+def top_of(blocks: DataFrame, queries: DataFrame, k: int = K, most: int = QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score.
 
-    The queries are a table in the shared folder. Each task reads it, `most` queries
+    The queries (vec_id, v, floor) are a table in the shared folder. Each task reads it, `most` queries
     at a time, for each GROUP of blocks: neither the plan, nor the driver, nor a
     task's memory grows with the number of queries.
     """
-    spark = blocks.sparkSession
-    path = fresh_path(spark, "queries")
-    queries.groupBy("vec_id").agg(F.max("v").alias("v")).write.parquet(path)
-
-    def asked() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        files, root = opened(path)
-        for info in files.get_file_info(pafs.FileSelector(root)):
-            if info.base_name.endswith(".parquet"):
-                with files.open_input_file(info.path) as f:
-                    for batch in pq.ParquetFile(f).iter_batches(most, columns=["vec_id", "v"]):
-                        yield batch.column("vec_id").to_numpy(), matrix_of(batch.column("v"))
+    path = fresh_path(blocks.sparkSession, "queries")
+    queries.write.parquet(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
@@ -163,11 +189,12 @@ def search(blocks: DataFrame, queries: DataFrame, k: int = K, most: int = QUERIE
                     vec, rows, high, low = (np.frombuffer(row[c], np.int64) for c in ("ids", "rows", "high", "low"))
                     held.append((vec, rows.reshape(-1, row["dims"]), high, low))
             while len(held) >= GROUP or batch is None and held:
-                for ids, q in asked():
-                    state = Search(ids, q, k)
+                for asked in read_rows(path, ["vec_id", "v", "floor"], most):
+                    floors = asked.column("floor").fill_null(NONE).to_numpy(zero_copy_only=False)
+                    state = Search(asked.column("vec_id").to_numpy(), matrix_of(asked.column("v")), k, floors)
                     state.add(held[:GROUP])
-                    at, nth = np.nonzero(state.found != NONE)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(state.found[at, nth]), pa.array(state.score[at, nth])], ["query_id", "vec_id", "score"])
+                    at, nth = np.nonzero((state.found != NONE) & (state.score >= floors[:, None]))
+                    yield pa.RecordBatch.from_arrays([pa.array(state.ids[at]), pa.array(state.found[at, nth]), pa.array(state.score[at, nth])], ["query_id", "vec_id", "score"])
                 held = held[GROUP:]
 
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
@@ -175,6 +202,11 @@ def search(blocks: DataFrame, queries: DataFrame, k: int = K, most: int = QUERIE
     return best.select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 
 
+def search(blocks: DataFrame, queries: DataFrame, k: int = K, most: int = QUERIES) -> DataFrame:
+    """query_id, rank, vec_id, score: a first pass over a few blocks gives every query a score that the second pass over all need not go below."""
+    return top_of(blocks, floors_of(blocks, queries, k), k, most)
+
+
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = quantised(table(spark, sf_dir, "embeddings"))
     return search(staged(blocks_of(vectors), "blocks"), vectors.filter("vec_id % 50 = 0"))
