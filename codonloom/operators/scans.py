@@ -88,6 +88,16 @@ def repeats(seqs: DataFrame, k: int = 15) -> DataFrame:
     return each.select("seq_id", "r.kmer", F.size("r.starts").cast("long").alias("count"), F.get("r.starts", F.lit(0)).alias("first"), "r.starts")
 
 
+def tandem_repeats(seqs: DataFrame, shortest: int = 2, longest: int = 6, copies: int = 3) -> DataFrame:
+    """(seq_id, start, end, motif, copies): motifs of each length that follow each other `copies` times or more, from left to right as many as there are; a span that two lengths find counts for the shorter one."""
+    each = lambda m: F.transform(spans_of(F.col("dna"), f"(.{{{m}}})\\1{{{copies - 1},}}"), lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), F.lit(m).alias("m"), F.substring(p["part"], 1, m).alias("motif")))
+    found = F.sort_array(F.flatten(F.array(*[each(m) for m in range(shortest, longest + 1)])))
+    rows = seqs.select("seq_id", F.explode(F.array(found)).alias("f"))
+    before = lambda i: F.get(F.col("f"), F.greatest(i - 1, F.lit(0)))
+    first = F.filter("f", lambda x, i: (i == 0) | (before(i)["start"] != x["start"]) | (before(i)["end"] != x["end"]))
+    return rows.select("seq_id", F.inline(first)).select("seq_id", "start", "end", "motif", ((F.col("end") - F.col("start")) / F.col("m")).cast("int").alias("copies"))
+
+
 def gc_windows(seqs: DataFrame, size: int = 60, step: int = 30) -> DataFrame:
     """(seq_id, start, gc): windows each `step`, a last one at the end; a shorter sequence is one window."""
     last = F.greatest(F.length("dna") - size, F.lit(0))

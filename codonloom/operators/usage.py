@@ -29,11 +29,19 @@ def cds_filter(seqs: DataFrame, least: int = 60) -> DataFrame:
         .when(internal_stops(F.concat("cds", F.lit("AAA"))) > 0, "internal_stop")
         .when(organellar(F.col("header")), "organellar"),
     )
-    same = Window.partitionBy(F.sha2("cds", 256), F.col("reason").isNull()).orderBy("seq_id")
-    unique = row.withColumn("reason", F.when(F.col("reason").isNull() & (F.row_number().over(same) > 1), "duplicate").otherwise(F.col("reason")))
-    gene = Window.partitionBy("gene", F.col("reason").isNull()).orderBy(F.length("cds").desc(), "seq_id")
-    shorter = F.col("reason").isNull() & F.col("gene").isNotNull() & (F.row_number().over(gene) > 1)
-    return unique.withColumn("reason", F.when(shorter, "isoform_shorter").otherwise(F.col("reason")))
+    # Ids of the first of equal sequences, and of the longest of a gene's: narrow rows are grouped, the bases stay where they are.
+    narrow = row.filter("reason is null").select("seq_id", "gene", F.sha2("cds", 256).alias("h"), F.length("cds").alias("n"))
+    firsts = narrow.groupBy("h").agg(F.min(F.struct("seq_id", "gene", "n")).alias("f")).select("f.seq_id", "f.gene", "f.n")
+    longest = longest_of(firsts).withColumn("_longest", F.lit(True))
+    marks = firsts.join(longest, "seq_id", "left").select(F.col("seq_id").alias("_first"), (F.col("gene").isNull() | F.col("_longest").isNotNull()).alias("_longest"))
+    late = F.when(F.col("_first").isNull(), "duplicate").when(~F.col("_longest"), "isoform_shorter")
+    return row.join(marks, F.col("seq_id") == F.col("_first"), "left").withColumn("reason", F.coalesce("reason", late)).drop("_first", "_longest")
+
+
+def longest_of(rows: DataFrame) -> DataFrame:
+    """seq_id of each gene's longest sequence (n), the first of equal ones; without a gene none. Summed within tasks, so a gene of any size is a row a task."""
+    best = rows.filter("gene is not null").groupBy("gene").agg(F.max(F.struct("n", (-F.col("seq_id")).alias("m"))).alias("b"))
+    return best.select((-F.col("b.m")).alias("seq_id"))
 
 
 def codon_counts(seqs: DataFrame, column: str = "cds") -> DataFrame:

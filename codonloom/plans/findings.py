@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as p
 from ..functions.codes import ASSEMBLY, HYDROPATHY, POLYA, codon_place
-from ..operators import generate, scans, usage
+from ..operators import generate, ranges, review, scans, usage
 from ..sources.corpus import SEQUENCES_SQL, sequences
 from ..streaming import events as stream
-from .queries import CODE_SQL, CODONS_SQL, COUNTS_SQL, FILTER_SQL, PROFILE_SQL, RESULTS_SQL, _count, _gc, _hits_sql, _ratio, _spans_sql, metric, pinned, profile, proteins, query, results
+from .queries import CODE_SQL, CODONS_SQL, COUNTS_SQL, FILTER_SQL, PROFILE_SQL, RESULTS_SQL, _count, _gc, _hits_sql, _ratio, _spans_sql, count_sql, held_once, metric, pinned, profile, proteins, query, results
 
 STOP_SQL = "('TAA', 'TAG', 'TGA')"
 PLAIN_CODONS = "list_transform(range(0, length(dna) // 3), lambda i: substr(dna, 3 * i + 1, 3))"
@@ -105,7 +105,7 @@ def m18(spark: SparkSession, d: str) -> DataFrame:
     return scans.rare_codon_runs(sequences(spark, d), pinned(spark, d))
 
 
-SITES = {s: f"{standard}:{enzyme}" for standard in ("golden_gate", "biobricks") for enzyme, sites in ASSEMBLY[standard].items() for s in sites}
+SITES = {s: ",".join(f"{standard}:{enzyme}" for standard, of in ASSEMBLY.items() for enzyme, sites in of.items() if s in sites) for s in sorted({s for of in ASSEMBLY.values() for sites in of.values() for s in sites})}
 OVERHANGS = {"AATG": "forward", "GCTT": "forward", "CATT": "reverse", "AAGC": "reverse"}
 
 
@@ -196,15 +196,51 @@ def a19(spark: SparkSession, d: str) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.round(F.avg("gc"), 4).alias("mean_gc"), F.round(F.median("gc"), 4).alias("median_gc"), F.min("gc").alias("min_gc"), F.max("gc").alias("max_gc"), F.round(F.stddev_pop("cai"), 4).alias("sd_cai"))
 
 
-@query("r07_review_matrix", """SELECT seq_id, method, replicate, criterion, CASE WHEN passed THEN 'PASS' WHEN criterion = 'cai' THEN 'WARN' ELSE 'FAIL' END AS status,
-  CASE WHEN NOT (gc_pass AND assembly_pass) THEN 'FAIL' WHEN cai < 0.8 THEN 'CONDITIONAL_PASS' ELSE 'PASS' END AS decision FROM (
-  SELECT *, unnest(['gc', 'sites', 'cai']) AS criterion, unnest([gc_pass, assembly_pass, cai >= 0.8]) AS passed FROM results)""", RESULTS_SQL)
+REVIEW_SQL = held_once(f"""{RESULTS_SQL},
+wins AS (SELECT DISTINCT seq_id, method, replicate, cds, s FROM (SELECT seq_id, method, replicate, cds, unnest(range(0, greatest(length(cds) - 60, 0) + 1, 30)) AS s FROM made UNION ALL SELECT seq_id, method, replicate, cds, greatest(length(cds) - 60, 0) FROM made)),
+local AS (SELECT seq_id, method, replicate, min(g) AS low, max(g) AS high FROM (SELECT seq_id, method, replicate, {_gc.format('substr(cds, CAST(s AS INT) + 1, 60)')} AS g FROM wins) GROUP BY 1, 2, 3),
+kmers AS (SELECT seq_id, method, replicate, count(*) AS repeats FROM (SELECT seq_id, method, replicate FROM made, unnest(range(1, length(cds) - 16)) AS t(i) WHERE length(cds) >= 36 GROUP BY seq_id, method, replicate, substr(cds, CAST(i AS INT), 18) HAVING count(*) > 1) GROUP BY 1, 2, 3),
+observed AS (SELECT seq_id, method, replicate, r.cai, {_gc.format('m.cds')} AS overall, low, high, r.sites, coalesce(repeats, 0) AS repeats,
+    coalesce(list_max(list_transform(regexp_extract_all(m.cds, 'A+|C+|G+|T+'), lambda x: length(x))), 0) AS run, {" + ".join(count_sql("m.cds", x) for x in ("AATAAA", "GTAAGT", "ATTTA"))} AS motifs
+  FROM made m JOIN results r USING (seq_id, method, replicate) JOIN local USING (seq_id, method, replicate) LEFT JOIN kmers USING (seq_id, method, replicate)),
+matrix AS (SELECT seq_id, method, replicate, criterion, mode, low, high, CASE WHEN mode = 'ignored' THEN 'IGNORED' WHEN passed THEN 'PASS' WHEN mode = 'required' THEN 'FAIL' ELSE 'WARN' END AS result FROM (
+  SELECT seq_id, method, replicate, 'cai' AS criterion, 'preferred' AS mode, cai AS low, cai AS high, cai >= 0.8 AS passed FROM observed
+  UNION ALL SELECT seq_id, method, replicate, 'overall_gc', 'required', overall, overall, overall BETWEEN 40 AND 47 FROM observed
+  UNION ALL SELECT seq_id, method, replicate, 'local_gc', 'preferred', low, high, low >= 30 AND high <= 70 FROM observed
+  UNION ALL SELECT seq_id, method, replicate, 'type_iis', 'required', sites, sites, sites = 0 FROM observed
+  UNION ALL SELECT seq_id, method, replicate, 'repeats', 'preferred', repeats, repeats, repeats <= 0 FROM observed
+  UNION ALL SELECT seq_id, method, replicate, 'homopolymers', 'preferred', run, run, run <= 6 FROM observed
+  UNION ALL SELECT seq_id, method, replicate, 'forbidden_motifs', 'ignored', motifs, motifs, motifs = 0 FROM observed)),
+decided AS (SELECT *, CASE WHEN required_failures > 0 THEN 'FAIL' WHEN preferred_warnings > 0 THEN 'CONDITIONAL_PASS' ELSE 'PASS' END AS decision FROM (
+  SELECT seq_id, method, replicate, count(*) FILTER (WHERE result = 'FAIL') AS required_failures, count(*) FILTER (WHERE result = 'WARN') AS preferred_warnings,
+    coalesce(string_agg(criterion, ', ' ORDER BY list_position(['cai', 'overall_gc', 'local_gc', 'type_iis', 'repeats', 'homopolymers', 'forbidden_motifs'], criterion)) FILTER (WHERE result IN ('FAIL', 'WARN')) || ' require review.', 'All active acceptance criteria passed.') AS explanation FROM matrix GROUP BY 1, 2, 3))""")
+KEYS = ("seq_id", "method", "replicate")
+
+
+def reviewed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The benchmark's candidates under the default criteria with overrides; one override cannot stand."""
+    changed = [("overall_gc", "required", 40.0, 47.0, None, None), ("homopolymers", None, None, 6.0, None, None), ("forbidden_motifs", "ignored", None, None, None, None), ("cai", "blocking", None, None, None, None)]
+    rules, _ = review.criteria(spark, spark.createDataFrame(changed, review.CRITERIA))
+    return review.review(results(spark, d), rules, KEYS)
+
+
+@query("r07_review_matrix", "SELECT seq_id, method, replicate, criterion, mode, round(low, 6) AS low, round(high, 6) AS high, result FROM matrix", REVIEW_SQL)
 def r07(spark: SparkSession, d: str) -> DataFrame:
-    """GC and sites are required, CAI is preferred."""
-    decision = F.when(~(F.col("gc_pass") & F.col("assembly_pass")), "FAIL").when(F.col("cai") < 0.8, "CONDITIONAL_PASS").otherwise("PASS")
-    checks = F.create_map(F.lit("gc"), F.col("gc_pass"), F.lit("sites"), F.col("assembly_pass"), F.lit("cai"), F.col("cai") >= 0.8)
-    rows = results(spark, d).select("seq_id", "method", "replicate", decision.alias("decision"), F.explode(checks).alias("criterion", "passed"))
-    return rows.select("seq_id", "method", "replicate", "criterion", F.when(F.col("passed"), "PASS").when(F.col("criterion") == "cai", "WARN").otherwise("FAIL").alias("status"), "decision")
+    return reviewed(spark, d)[0].withColumns({c: F.round(c, 6) for c in ("low", "high")})
+
+
+@query("r07_review_decisions", "SELECT * FROM decided", REVIEW_SQL)
+def r07_decisions(spark: SparkSession, d: str) -> DataFrame:
+    return reviewed(spark, d)[1]
+
+
+@query("r08_dispositions", """SELECT seq_id, method, replicate, decision, disposition, CASE WHEN disposition IS NULL OR decision = 'FAIL' AND disposition = 'accept' AND reason IS NULL THEN NULL WHEN decision = 'FAIL' AND disposition = 'accept' THEN 'MANUALLY_ACCEPTED' WHEN disposition = 'accept' THEN 'ACCEPTED' ELSE 'REJECTED' END AS final_state
+  FROM (SELECT *, CASE seq_id % 4 WHEN 0 THEN 'accept' WHEN 1 THEN 'accept' WHEN 2 THEN 'reject' END AS disposition, CASE WHEN seq_id % 4 = 1 THEN 'as agreed' END AS reason FROM decided)""", REVIEW_SQL)
+def r08(spark: SparkSession, d: str) -> DataFrame:
+    decisions = reviewed(spark, d)[1]
+    kind = F.col("seq_id") % 4
+    said = decisions.filter(kind < 3).select(*KEYS, F.when(kind < 2, " Accept ").otherwise("reject").alias("disposition"), F.when(kind == 1, "as agreed").otherwise(" ").alias("reason"))
+    return review.disposed(decisions, said, KEYS)[0].drop("reason")
 
 
 # Groups, splits, sets.
@@ -219,10 +255,11 @@ SPLIT_SQL = """split AS (SELECT *, CASE WHEN r <= n * 70 // 100 THEN 'train' WHE
 
 
 def split(seqs: DataFrame, seed: int = 320) -> DataFrame:
-    """70/10/20 inside each gene, by hash order; floors, the rest goes to test."""
-    order = Window.partitionBy("gene").orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col("seq_id").cast("string"))), "seq_id")
-    rows = seqs.withColumn("r", F.row_number().over(order)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("gene")))
-    return rows.withColumn("split", F.expr("CASE WHEN r <= n * 70 div 100 THEN 'train' WHEN r <= n * 70 div 100 + n * 10 div 100 THEN 'val' ELSE 'test' END"))
+    """70/10/20 inside each gene, by hash order; floors, the rest goes to test. Ranks are taken of narrow rows, the others meet them by id."""
+    narrow = seqs.select("seq_id", "gene", F.md5(F.concat(F.lit(f"{seed}|"), F.col("seq_id").cast("string"))).alias("_o"))
+    ranks = ranges.numbered(narrow, "gene", ["_o", "seq_id"])
+    named = ranks.select("seq_id", F.expr("CASE WHEN r <= n * 70 div 100 THEN 'train' WHEN r <= n * 70 div 100 + n * 10 div 100 THEN 'val' ELSE 'test' END").alias("split"))
+    return seqs.join(named, "seq_id")
 
 
 @query("w06_stratified_split", "SELECT seq_id, split FROM split", f"{SEQUENCES_SQL}, {SPLIT_SQL}")
@@ -230,11 +267,11 @@ def w06(spark: SparkSession, d: str) -> DataFrame:
     return split(sequences(spark, d)).select("seq_id", "split")
 
 
-@query("a25_split_report", "SELECT split, count(*) AS n, CAST(sum(length(dna) // 3) AS BIGINT) AS codons, round(sum(length(regexp_replace(dna, '[^GC]', '', 'g'))) * 100.0::DOUBLE / sum(length(dna)), 6) AS gc, count(*) FILTER (WHERE length(dna) % 3 <> 0) AS bad_lengths FROM split GROUP BY 1", f"{SEQUENCES_SQL}, {SPLIT_SQL}")
+@query("a25_split_report", "SELECT split, count(*) AS n, CAST(sum(length(dna) // 3) AS BIGINT) AS codons, round(sum(length(regexp_replace(dna, '[^GC]', '', 'g'))) * 100.0::DOUBLE / sum(length(dna)), 6) AS gc, count(*) FILTER (WHERE length(dna) % 3 <> 0) AS bad_lengths, CAST(sum(len(list_filter(range(0, length(dna) // 3 - 1), lambda i: substr(dna, 3 * i + 1, 3) IN ('TAA', 'TAG', 'TGA')))) AS BIGINT) AS premature_stops FROM split GROUP BY 1", f"{SEQUENCES_SQL}, {SPLIT_SQL}")
 def a25(spark: SparkSession, d: str) -> DataFrame:
     gc = F.sum(F.length(F.regexp_replace("dna", "[^GC]", ""))) * F.lit(100.0) / F.sum(F.length("dna"))
     return split(sequences(spark, d)).groupBy("split").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.expr("length(dna) div 3")).alias("codons"), F.round(gc, 6).alias("gc"), F.count(F.when(F.length("dna") % 3 != 0, 1)).alias("bad_lengths"))
+        F.count(F.lit(1)).alias("n"), F.sum(F.expr("length(dna) div 3")).alias("codons"), F.round(gc, 6).alias("gc"), F.count(F.when(F.length("dna") % 3 != 0, 1)).alias("bad_lengths"), F.sum(p.internal_stops(col("dna")).cast("long")).alias("premature_stops"))
 
 
 @query("u02_split_overlaps", "SELECT a.split AS a, b.split AS b, count(*) AS shared FROM (SELECT DISTINCT dna, split FROM split) a JOIN (SELECT DISTINCT dna, split FROM split) b ON a.dna = b.dna AND a.split < b.split GROUP BY 1, 2", f"{SEQUENCES_SQL}, {SPLIT_SQL}")

@@ -148,12 +148,12 @@ def a07(spark: SparkSession, d: str) -> DataFrame:
     return means.join(some, "gene").select("gene", F.round(F.when(enc.isNotNull(), F.least(F.lit(61.0), F.greatest(F.lit(20.0), enc))), 6).alias("enc"))
 
 
-@query("a20_identity_summary", """SELECT count(*) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS sd, min(value) AS low, max(value) AS high, round(avg((value >= 3)::INT) * 100, 6) AS pct_above_3 FROM ident""",
+@query("a20_identity_summary", """SELECT count(*) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS sd, min(value) AS low, max(value) AS high, round(avg((value >= 90)::INT) * 100, 6) AS pct_above_90, round(avg((value >= 95)::INT) * 100, 6) AS pct_above_95, round(avg((value >= 99)::INT) * 100, 6) AS pct_above_99 FROM ident""",
        f"{SEQUENCES_SQL}, ident AS (SELECT seq_id, round(coalesce(len(list_filter(range(0, length(dna) // 3), lambda i: substr(dna, 3 * i + 1, 3) = substr(reverse(translate(dna, 'ACGT', 'TGCA')), 3 * i + 1, 3))) * 100.0::DOUBLE / nullif(length(dna) // 3, 0), 0.0::DOUBLE), 6) AS value FROM seqs)")
 def a20(spark: SparkSession, d: str) -> DataFrame:
     v = F.col("value")
     rows = sequences(spark, d).select(F.round(same_codons(F.col("dna"), p.reverse_complement(F.col("dna"))), 6).alias("value"))
-    return rows.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(v), 6).alias("mean"), F.round(F.stddev_pop(v), 6).alias("sd"), F.min(v).alias("low"), F.max(v).alias("high"), F.round(F.avg((v >= 3).cast("int")) * 100, 6).alias("pct_above_3"))
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(v), 6).alias("mean"), F.round(F.stddev_pop(v), 6).alias("sd"), F.min(v).alias("low"), F.max(v).alias("high"), *[F.round(F.avg((v >= k).cast("int")) * 100, 6).alias(f"pct_above_{k}") for k in (90, 95, 99)])
 
 
 @query("a22_panel_audit", f"SELECT split_part(gene, '_', 1) AS profile, count(*) AS n, round(avg({_gc.format('dna')}), 6) AS mean_gc, min(length(dna))::INTEGER AS shortest, max(length(dna))::INTEGER AS longest FROM seqs GROUP BY 1")
@@ -206,9 +206,14 @@ def r16(spark: SparkSession, d: str) -> DataFrame:
     return lines(spark, d).filter(~F.col("l").rlike(f"(?i){EXCUSED}")).select("doc_id", "line", F.explode(hit).alias("family"))
 
 
-@query("r17_parameter_audit", "SELECT m AS value, count(DISTINCT doc_id) AS documents, count(*) AS hits FROM (SELECT DISTINCT doc_id, line, m FROM (SELECT doc_id, line, unnest(regexp_extract_all(l, '[0-9]+[.][0-9]+')) AS m FROM lines)) GROUP BY 1", _lines_sql())
+#: Numbers that a register knows, and what excuses a line from the audit.
+REGISTERED, ALLOWED = ("0.0", "1.0", "2.0"), "version|example"
+
+
+@query("r17_parameter_audit", f"SELECT m AS value, CASE WHEN m IN {REGISTERED} THEN 'registered' ELSE 'unregistered' END AS status, count(DISTINCT doc_id) AS documents, count(*) AS hits FROM (SELECT DISTINCT doc_id, line, m FROM (SELECT doc_id, line, unnest(regexp_extract_all(l, '[0-9]+[.][0-9]+')) AS m FROM lines WHERE NOT regexp_matches(l, '{ALLOWED}', 'i'))) GROUP BY 1, 2", _lines_sql())
 def r17(spark: SparkSession, d: str) -> DataFrame:
-    """Numbers with a decimal point, each once a line: in how many documents and lines."""
-    found = lines(spark, d).select("doc_id", "line", F.explode(F.array_distinct(F.regexp_extract_all("l", F.lit("[0-9]+[.][0-9]+"), F.lit(0)))).alias("value"))
+    """Numbers with a decimal point, each once a line, of lines that nothing excuses: registered or not, in how many documents and lines."""
+    found = lines(spark, d).filter(~F.col("l").rlike(f"(?i){ALLOWED}")).select("doc_id", "line", F.explode(F.array_distinct(F.regexp_extract_all("l", F.lit("[0-9]+[.][0-9]+"), F.lit(0)))).alias("value"))
     each = found.groupBy("value", "doc_id").agg(F.count(F.lit(1)).alias("k"))
-    return each.groupBy("value").agg(F.count(F.lit(1)).alias("documents"), F.sum("k").alias("hits"))
+    status = F.when(F.col("value").isin(*REGISTERED), "registered").otherwise("unregistered")
+    return each.groupBy("value", status.alias("status")).agg(F.count(F.lit(1)).alias("documents"), F.sum("k").alias("hits"))

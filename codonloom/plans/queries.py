@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as p
 from ..functions.codes import POLYA, RESIDUES, TYPE_IIS
-from ..operators import generate, scans, usage
+from ..operators import generate, ranges, scans, usage
 from ..sources.corpus import SEQUENCES_SQL, sequences
 from ..sources.fasta import fasta_lines
 
@@ -188,8 +188,9 @@ def m21(spark: SparkSession, d: str) -> DataFrame:
 
 @query("w01_longest_isoform", "SELECT seq_id, gene FROM (SELECT *, row_number() OVER (PARTITION BY gene ORDER BY length(dna) DESC, seq_id) AS r FROM seqs) WHERE r = 1 OR gene IS NULL")
 def w01(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("gene").orderBy(F.length("dna").desc(), "seq_id")
-    return sequences(spark, d).withColumn("r", F.row_number().over(w)).filter("r = 1 or gene is null").select("seq_id", "gene")
+    rows = sequences(spark, d).select("seq_id", "gene", F.length("dna").alias("n"))
+    lone = rows.filter("gene is null").select("seq_id", "gene")
+    return rows.join(usage.longest_of(rows), "seq_id", "left_semi").select("seq_id", "gene").unionByName(lone)
 
 
 @query("w02_dedup", "SELECT min(seq_id) AS seq_id, count(*) AS copies FROM seqs GROUP BY dna")
@@ -242,10 +243,11 @@ def held_once(ctes: str) -> str:
 
 
 def count_sql(text: str, motif: str) -> str:
-    """Occurrences, overlapping ones too, without a list of places. A motif that can overlap itself is counted by its last letter after the rest of it."""
-    if any(motif.startswith(motif[-k:]) for k in range(1, len(motif))):
-        marked = f"replace({text}, '{motif[:-1]}', '#')"
-        return f"(length({marked}) - length(replace({marked}, '#{motif[-1]}', '#')))"
+    """Occurrences, overlapping ones too, without a list of places. Where a motif ends as it begins, that letter is doubled in the text, so that none overlap any more."""
+    x = motif[0]
+    if motif[-1] == x and not any(motif.startswith(motif[-k:]) for k in range(2, len(motif))):
+        doubled, inner = f"replace({text}, '{x}', '{x}{x}')", x + motif[1:-1].replace(x, x + x) + x
+        return f"(length({doubled}) - length(replace({doubled}, '{inner}', ''))) // {len(inner)}"
     return f"(length({text}) - length(replace({text}, '{motif}', ''))) // {len(motif)}"
 
 
@@ -294,7 +296,7 @@ def a18(spark: SparkSession, d: str) -> DataFrame:
 
 @query("w05_expression_quintiles", "SELECT seq_id, CAST(ntile(5) OVER (PARTITION BY gene ORDER BY tpm, seq_id) AS INTEGER) AS bin FROM seqs")
 def w05(spark: SparkSession, d: str) -> DataFrame:
-    return sequences(spark, d).select("seq_id", F.ntile(5).over(Window.partitionBy("gene").orderBy("tpm", "seq_id")).alias("bin"))
+    return ranges.numbered(sequences(spark, d).select("seq_id", "gene", "tpm"), "gene", ["tpm", "seq_id"]).select("seq_id", ranges.tile(5).alias("bin"))
 
 
 @query("s04_batch_fasta", "SELECT '>' || header || chr(10) || coalesce(array_to_string(list_transform(range(0, (length(dna) + 79) // 80), lambda i: substr(dna, 80 * i + 1, 80)), chr(10)), '') AS value FROM seqs")
