@@ -199,7 +199,8 @@ def a19(spark: SparkSession, d: str) -> DataFrame:
 REVIEW_SQL = held_once(f"""{RESULTS_SQL},
 wins AS (SELECT DISTINCT seq_id, method, replicate, cds, s FROM (SELECT seq_id, method, replicate, cds, unnest(range(0, greatest(length(cds) - 60, 0) + 1, 30)) AS s FROM made UNION ALL SELECT seq_id, method, replicate, cds, greatest(length(cds) - 60, 0) FROM made)),
 local AS (SELECT seq_id, method, replicate, min(g) AS low, max(g) AS high FROM (SELECT seq_id, method, replicate, {_gc.format('substr(cds, CAST(s AS INT) + 1, 60)')} AS g FROM wins) GROUP BY 1, 2, 3),
-kmers AS (SELECT seq_id, method, replicate, count(*) AS repeats FROM (SELECT seq_id, method, replicate FROM made, unnest(range(1, length(cds) - 16)) AS t(i) WHERE length(cds) >= 36 GROUP BY seq_id, method, replicate, substr(cds, CAST(i AS INT), 18) HAVING count(*) > 1) GROUP BY 1, 2, 3),
+kmers AS (SELECT seq_id, method, replicate, len(list_distinct(list_filter(s, lambda x, i: i > 1 AND s[i - 1] = x))) AS repeats FROM (
+  SELECT seq_id, method, replicate, list_sort(list_transform(range(1, length(cds) - 16), lambda i: substr(cds, CAST(i AS INT), 18))) AS s FROM made WHERE length(cds) >= 36)),
 observed AS (SELECT seq_id, method, replicate, r.cai, {_gc.format('m.cds')} AS overall, low, high, r.sites, coalesce(repeats, 0) AS repeats,
     coalesce(list_max(list_transform(regexp_extract_all(m.cds, 'A+|C+|G+|T+'), lambda x: length(x))), 0) AS run, {" + ".join(count_sql("m.cds", x) for x in ("AATAAA", "GTAAGT", "ATTTA"))} AS motifs
   FROM made m JOIN results r USING (seq_id, method, replicate) JOIN local USING (seq_id, method, replicate) LEFT JOIN kmers USING (seq_id, method, replicate)),
