@@ -344,14 +344,19 @@ def buckets(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, clashes
 
 
 def spared(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The bucket rows (key, a) without those that a node may leave out: in each band as many of its fullest buckets as it has spares left."""
+    """The bucket rows (key, a) without those that a node may leave out: in each band as many of its fullest buckets as it has spares left. A node meets its spares once, with its full buckets in a list."""
     size = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > HOT)
     sized = rows.join(size, "key", "left")
-    band = F.col("key").bitwiseAND(F.lit(3)).cast("int")
-    spares = F.expr("shiftrightunsigned(spares, 16 * cast(key & 3 AS int)) & 65535")
-    rank = F.row_number().over(Window.partitionBy("a", "band").orderBy(F.desc("size"), "key"))
-    hot = sized.filter("size is not null").join(nodes.select(F.col("node").alias("a"), "spares"), "a").withColumn("band", band).withColumn("left", spares)
-    return sized.filter("size is null").select("key", "a").union(hot.withColumn("rank", rank).filter("rank > left").select("key", "a"))
+    full = sized.filter("size is not null").groupBy("a").agg(F.sort_array(F.collect_list(F.struct((-F.col("size")).alias("s"), "key"))).alias("full"))
+    met = full.join(nodes.select(F.col("node").alias("a"), "spares"), "a")
+
+    def kept(band: int) -> Column:
+        own = F.filter("full", lambda x: x["key"].bitwiseAND(F.lit(3)) == band)
+        left = F.expr(f"cast(shiftrightunsigned(spares, {16 * band}) & 65535 AS int)")
+        return F.slice(own, left + 1, F.size(own))
+
+    hot = met.select(F.explode(F.transform(F.concat(*map(kept, range(4))), lambda x: x["key"])).alias("key"), "a")
+    return sized.filter("size is null").select("key", "a").union(hot)
 
 
 def fits(n: np.ndarray, m: np.ndarray, far: np.ndarray, percent: int) -> np.ndarray:
