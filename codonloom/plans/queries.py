@@ -243,9 +243,11 @@ def held_once(ctes: str) -> str:
 
 
 def count_sql(text: str, motif: str) -> str:
-    """Occurrences, overlapping ones too, without a list of places. Where a motif ends as it begins, that letter is doubled in the text, so that none overlap any more."""
+    """Occurrences, overlapping ones too. Where a motif ends with the letter that it begins with, that letter is doubled in the text, so that none overlap any more; a longer overlap needs a list of places."""
     x = motif[0]
-    if motif[-1] == x and not any(motif.startswith(motif[-k:]) for k in range(2, len(motif))):
+    if any(motif.startswith(motif[-k:]) for k in range(2, len(motif))):
+        return _count.format(text, motif)
+    if motif[-1] == x:
         doubled, inner = f"replace({text}, '{x}', '{x}{x}')", x + motif[1:-1].replace(x, x + x) + x
         return f"(length({doubled}) - length(replace({doubled}, '{inner}', ''))) // {len(inner)}"
     return f"(length({text}) - length(replace({text}, '{motif}', ''))) // {len(motif)}"
