@@ -30,7 +30,7 @@ from .common import give_back, slices, staged, table, tidy
 LENGTH, CLASS, END_ID = 2048, 16, 1
 SHARD_IDS, MEMO, LEAST_PIECE = 4 << 20, 200_000, 8
 #: Bytes of text whose different pieces are looked up together.
-TOGETHER = 6 << 20
+TOGETHER = 2 << 20
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _ARROW = pa.schema([(x.split()[0], pa.int64()) for x in SCHEMA.split(", ")])
@@ -131,7 +131,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path)
         held: list[pa.RecordBatch] = []
-        for batch in chain(slices(batches, "text", 4 << 20), [None]):
+        for batch in chain(slices(batches, "text", 1 << 20), [None]):
             if batch is not None:
                 held.append(batch)
             if held and (batch is None or sum(x.nbytes for x in held) > TOGETHER):
