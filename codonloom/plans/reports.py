@@ -12,7 +12,6 @@ from ..sources.tables import confident
 from .designs import TABLES_SQL, spelt, weights_of
 from .queries import CODONS_SQL, RESULTS_SQL, _gc, pinned, proteins, query, results
 
-KIND = (F.floor(F.col("seq_id") / 1000000) + F.col("seq_id")) % 8
 RAW_SQL = f"""raw AS (SELECT seq_id, CASE (seq_id // 1000000 + seq_id) % 8 WHEN 0 THEN lower(dna) || ' ' WHEN 1 THEN '> ' || header || chr(10) || substr(dna, 1, 60) || chr(13) || chr(10) || substr(dna, 61)
   WHEN 2 THEN aa WHEN 3 THEN aa || '*' WHEN 4 THEN substr(aa, 1, 3) || '*' || aa WHEN 5 THEN '  ' || chr(10) WHEN 6 THEN '>a' || chr(10) || dna || chr(10) || '>b' || chr(10) || dna
   ELSE 'ATG' || substr(replace(dna, 'N', 'A'), 1, CAST(length(dna) - length(dna) % 3 AS INT)) || 'TAA' END AS raw FROM seqs)"""
@@ -23,9 +22,10 @@ def raw_inputs(spark: SparkSession, d: str) -> DataFrame:
     whole = F.concat(F.lit("ATG"), F.substring(F.replace("dna", F.lit("N"), F.lit("A")), F.lit(1), F.length("dna") - F.length("dna") % 3), F.lit("TAA"))
     fasta = F.concat(F.lit("> "), "header", F.lit("\n"), F.substring("dna", 1, 60), F.lit("\r\n"), F.substring(F.col("dna"), F.lit(61), F.length("dna")))
     forms = [F.concat(F.lower("dna"), F.lit(" ")), fasta, F.col("aa"), F.concat("aa", F.lit("*")), F.concat(F.substring("aa", 1, 3), F.lit("*"), "aa"), F.lit("  \n"), F.concat(F.lit(">a\n"), "dna", F.lit("\n>b\n"), "dna")]
+    kind = (F.floor(F.col("seq_id") / 1000000) + F.col("seq_id")) % 8
     raw = whole
     for k, form in enumerate(forms):
-        raw = F.when(KIND == k, form).otherwise(raw)
+        raw = F.when(kind == k, form).otherwise(raw)
     return settled(sequences(spark, d).select("seq_id", raw.alias("raw")), "raw")
 
 
