@@ -29,8 +29,8 @@ from .common import give_back, slices, staged, table, tidy
 
 LENGTH, CLASS, END_ID = 2048, 16, 1
 SHARD_IDS, MEMO, LEAST_PIECE = 4 << 20, 200_000, 8
-#: Bytes of text whose different pieces are looked up together.
-TOGETHER = 2 << 20
+#: Bytes of text whose different pieces are looked up together: more cost less time, fewer less memory. The pipeline's workers come from other stages and still hold some.
+TOGETHER, STAGE_TOGETHER = 6 << 20, 2 << 20
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _ARROW = pa.schema([(x.split()[0], pa.int64()) for x in SCHEMA.split(", ")])
@@ -121,7 +121,7 @@ class Encoder:
             yield pa.Array.from_buffers(pa.large_binary(), len(x), [None, pa.py_buffer(2 * cuts), pa.py_buffer(ids)]).cast(pa.binary()), pa.array(np.diff(cuts), pa.int64())
 
 
-def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, path: str | None = None, together: int = TOGETHER) -> DataFrame:
     """doc_id, ids (little-endian 16-bit ids, the end id last), n."""
     if path is None:
         import public_tokenizers
@@ -131,10 +131,10 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path)
         held: list[pa.RecordBatch] = []
-        for batch in chain(slices(batches, "text", 1 << 20), [None]):
+        for batch in chain(slices(batches, "text", together * 2 // 3), [None]):
             if batch is not None:
                 held.append(batch)
-            if held and (batch is None or sum(x.nbytes for x in held) > TOGETHER):
+            if held and (batch is None or sum(x.nbytes for x in held) > together):
                 for x, found in zip(held, encoder.texts([x.column("text") for x in held])):
                     yield pa.RecordBatch.from_arrays([x.column("doc_id"), *found], ["doc_id", "ids", "n"])
                 held, x, found = [], None, None
@@ -288,4 +288,4 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack(staged(encode(docs), "encoded"))
+    return pack(staged(encode(docs, together=STAGE_TOGETHER), "encoded"))
