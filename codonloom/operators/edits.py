@@ -1,31 +1,37 @@
 """Sites taken out of coding sequences by synonymous codons, in rounds.
 
-A round makes one edit in each sequence that still has a pending hit, in the sequence's own row: of the
+A round makes one edit in a sequence that still has a pending hit: of the
 codons that the hit touches, in order, and their synonyms, by frequency, the first that breaks the hit
-and brings no new one. What cannot be edited is remembered with its reason, so later hits get their turn. Each round is
-written, and only sequences with hits left go on. Edits look at the bases around a codon alone, never at the whole text again.
+and brings no new one. What cannot be edited is remembered with its reason, so later hits get their turn. A sequence's
+rounds follow each other in its own task, so nothing is written between them.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import sys
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.codes import ASSEMBLY, STOPS, code
-from ..functions.scalar import internal_stops, normalize_dna
-from ..sources.staging import staged
+from ..functions.scalar import normalize_dna
+from . import batches
 from .scans import starts_of
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: Sites that no edit may bring in, by name and forward strand.
 BUILT_IN = {"BsaI": "GGTCTC", "BpiI": "GAAGAC", "BsmBI": "CGTCTC"}
 #: The lengths that a custom site may have.
 SHORTEST, LONGEST = 4, 12
 
 HIT = "struct<position:int,name:string,strand:string,pattern:string>"
-REMOVED = "array<struct<name:string,position:int,substitution:string>>"
-UNRESOLVED = "array<struct<name:string,position:int,strand:string,reason:string>>"
+REMOVED = ("name", "position", "substitution")
+UNRESOLVED = ("name", "position", "strand", "reason")
+NO_BASES = str.maketrans("", "", "ACGT")
 
 
 def complement(s: str) -> str:
@@ -59,11 +65,6 @@ def hits_of(s: Column, patterns: list[tuple[str, str, str]]) -> Column:
     return F.sort_array(F.flatten(F.array(*[F.transform(starts_of(s, x[2]), hit(*x)) for x in patterns]))).cast(f"array<{HIT}>")
 
 
-def editable_end(s: Column) -> Column:
-    """Where editing ends: before a last stop codon."""
-    return F.length(s) - F.when(F.substring(s, -3, 3).isin(*STOPS), 3).otherwise(0)
-
-
 def synonyms(frequencies: dict[str, float]) -> dict[str, list[str]]:
     """By codon the others of its residue, the most frequent first, equal ones by letters. Stops have none."""
     table = code()
@@ -71,70 +72,90 @@ def synonyms(frequencies: dict[str, float]) -> dict[str, list[str]]:
     return {c: [x for x in ordered if x != c and table[x] == a] for c, a in table.items() if a != "*"}
 
 
-def unfit(s: Column) -> Column:
-    """Why a sequence is not edited at all: frame, invalid_base, internal_stop; null if it is."""
-    return F.when(F.length(s) % 3 != 0, "frame").when(s.rlike("[^ACGT]"), "invalid_base").when(internal_stops(s) > 0, "internal_stop")
-
-
-def edits_of(cds: Column, hit: Column, others: dict[str, list[str]], guarded: list[tuple[str, str, str]]) -> Column:
-    """array<struct<start, codon, alt>>: the edits that break the hit and bring no new one, in the order in which they are tried."""
-    table = F.create_map(*[x for c, alts in others.items() for x in (F.lit(c), F.array(*map(F.lit, alts)) if alts else F.array().cast("array<string>"))])
-    first = hit["position"] - hit["position"] % 3
-    starts = F.filter(F.sequence(first, hit["position"] + F.length(hit["pattern"]) - 1, F.lit(3)), lambda k: k + 3 <= editable_end(cds))
+def unfit(s: str) -> str | None:
+    """Why a sequence is not edited at all: frame, invalid_base, internal_stop; None if it is."""
+    if len(s) % 3:
+        return "frame"
+    if s.translate(NO_BASES):
+        return "invalid_base"
+    inner = any(k % 3 == 0 and k < len(s) - 3 for stop in STOPS for k in found_in(s, stop))
+    return "internal_stop" if inner else None
 
-    def tried(k: Column) -> Column:
-        codon = F.substring(cds, k + 1, F.lit(3))
 
-        def brings(alt: Column, p: str) -> Column:
-            """Whether the pattern stands somewhere across the new codon where it did not stand before."""
-            low, n = F.greatest(F.lit(0), k - (len(p) - 1)), len(p)
-            left, right = F.substring(cds, low + 1, k - low), F.substring(cds, k + 4, F.lit(n - 1))
-            now, was = F.concat(left, alt, right), F.concat(left, codon, right)
-            at = lambda s, i: F.substring(s, i, F.lit(n)) == p
-            return now.contains(p) & F.exists(F.sequence(F.lit(1), F.lit(n + 2)), lambda i: at(now, i) & ~at(was, i))
+def found_in(s: str, pattern: str) -> Iterator[int]:
+    """Every place of the pattern, overlapping ones too."""
+    k = s.find(pattern)
+    while k >= 0:
+        yield k
+        k = s.find(pattern, k + 1)
 
-        span = F.substring(cds, F.least(k, hit["position"]) + 1, F.lit(LONGEST + 6))
-        low = F.least(k, hit["position"])
-        broken = lambda alt: F.substring(F.overlay(span, alt, k - low + 1, F.lit(3)), hit["position"] - low + 1, F.length(hit["pattern"])) != hit["pattern"]
-        good = lambda alt: broken(alt) & ~reduce(lambda x, y: x | y, [brings(alt, p) for p in sorted({p for _, _, p in guarded})])
-        return F.transform(F.filter(F.coalesce(table[codon], F.array().cast("array<string>")), good), lambda alt: F.struct(k.alias("start"), codon.alias("codon"), alt.alias("alt")))
 
-    return F.flatten(F.transform(starts, tried))
+def editable_end(s: str) -> int:
+    """Where editing ends: before a last stop codon."""
+    return len(s) - (3 if s[-3:] in STOPS else 0)
+
+
+def edit_of(cds: str, position: int, pattern: str, others: dict[str, list[str]], guarded: list[str]) -> tuple[int, str] | None:
+    """(start, codon) of the first edit that breaks the hit and brings no new one, by the codons that it touches and their synonyms in order."""
+
+    def brings(k: int, alt: str, p: str) -> bool:
+        """Whether the pattern stands somewhere across the new codon where it did not stand before."""
+        low, high = max(0, k - len(p) + 1), k + 2 + len(p)
+        was = cds[low:high]
+        return any(was[i : i + len(p)] != p for i in found_in(cds[low:k] + alt + cds[k + 3 : high], p))
+
+    end = min(position + len(pattern), editable_end(cds) - 2)
+    for k in range(position - position % 3, end, 3):
+        for alt in others.get(cds[k : k + 3], ()):
+            broken = not (cds[:k] + alt + cds[k + 3 :]).startswith(pattern, position)
+            if broken and not any(brings(k, alt, p) for p in guarded):
+                return k, alt
+    return None
+
+
+def edited(cds: str, own: list[tuple[str, str, str]], guarded: list[str], others: dict[str, list[str]], rounds: int) -> tuple[str, list[tuple], list[tuple]]:
+    """(cds, removed, unresolved) after at most `rounds` actions, each on the first hit that is not given up."""
+    removed, unresolved, given_up = [], [], set()
+    for k in range(rounds + 1):
+        hits = sorted((i, n, strand, p) for n, strand, p in own for i in found_in(cds, p))
+        pending = [h for h in hits if (h[1], h[0], h[2]) not in given_up]
+        if k == rounds:
+            unresolved += [(n, i, strand, "max_iter_reached") for i, n, strand, _ in pending]
+        if k == rounds or not pending:
+            break
+        i, n, strand, p = pending[0]
+        outside = i + len(p) > editable_end(cds)
+        edit = None if outside else edit_of(cds, i, p, others, guarded)
+        if edit is None:
+            given_up.add((n, i, strand))
+            unresolved.append((n, i, strand, "outside_cds" if outside else "no_synonymous_substitution"))
+        else:
+            at, alt = edit
+            removed.append((n, i, f"{cds[at : at + 3]}->{alt}"))
+            cds = cds[:at] + alt + cds[at + 3 :]
+    return cds, removed, unresolved
 
 
 def without_sites(seqs: DataFrame, sites: dict[str, str], frequencies: dict[str, float], rounds: int = 10, both: bool = True, built_in: dict[str, str] | None = None) -> DataFrame:
-    """seq_id, cds, removed, unresolved, error of (seq_id, cds): the sites edited away, at most one action a round.
+    """seq_id, cds, error, removed, unresolved of (seq_id, cds): the sites edited away, at most one action a round.
 
     Reasons of what stays: outside_cds, no_synonymous_substitution, max_iter_reached. A sequence out of frame, with other
     letters or an inner stop is left as it is, with its error. Protein and length never change.
     """
     own = patterns_of(sites, both)
-    guarded = own + [p for p in patterns_of(BUILT_IN if built_in is None else built_in) if p not in own]
+    guarded = sorted({p for _, _, p in own + patterns_of(BUILT_IN if built_in is None else built_in)})
     others = synonyms(frequencies)
-    empty = {"removed": F.array().cast(REMOVED), "unresolved": F.array().cast(UNRESOLVED)}
-    rows = seqs.select("seq_id", F.col("cds")).withColumns({"error": unfit(F.col("cds")), **empty})
-    key = lambda h: F.struct(h["name"].alias("name"), h["position"].alias("position"), h["strand"].alias("strand"))
-    known = F.transform("unresolved", key)
-    pending = F.filter(hits_of(F.col("cds"), own), lambda h: ~F.array_contains(known, key(h)))
-    done, left = [rows.filter("error is not null")], staged(rows.filter("error is null"), "edited")
-    for k in range(rounds):
-        looked = left.withColumn("hit", F.explode(F.array(F.get(pending, F.lit(0)))))
-        done.append(looked.filter("hit is null").drop("hit"))
-        h = F.col("hit")
-        outside = h["position"] + F.length(h["pattern"]) > editable_end(F.col("cds"))
-        edit = F.when(~outside, F.get(edits_of(F.col("cds"), h, others, guarded), F.lit(0)))
-        acted = looked.filter("hit is not null").withColumn("edit", F.explode(F.array(edit)))
-        e = F.col("edit")
-        cds = F.concat(F.substring(F.col("cds"), F.lit(1), e["start"]), e["alt"], F.substring(F.col("cds"), e["start"] + 4, F.length("cds")))
-        removed = F.concat("removed", F.array(F.struct(h["name"].alias("name"), h["position"].alias("position"), F.concat(e["codon"], F.lit("->"), e["alt"]).alias("substitution"))))
-        reason = F.when(outside, "outside_cds").otherwise("no_synonymous_substitution")
-        unresolved = F.concat("unresolved", F.array(F.struct(h["name"].alias("name"), h["position"].alias("position"), h["strand"].alias("strand"), reason.alias("reason"))))
-        left = staged(acted.select("seq_id", F.coalesce(cds, "cds").alias("cds"), "error", F.when(e.isNull(), F.col("removed")).otherwise(removed).alias("removed"), F.when(e.isNull(), unresolved).otherwise(F.col("unresolved")).alias("unresolved")), "edited")
-        if left.isEmpty():
-            break
-    over = F.transform(pending, lambda h: F.struct(h["name"].alias("name"), h["position"].alias("position"), h["strand"].alias("strand"), F.lit("max_iter_reached").alias("reason")))
-    done.append(left.withColumn("unresolved", F.concat("unresolved", over)))
-    return reduce(DataFrame.unionByName, done)
+
+    def run(batch: pa.RecordBatch) -> dict[str, list]:
+        rows = []
+        for s in batch.column("cds").to_pylist():
+            error = unfit(s) if s is not None else None
+            rows.append((s, error, [], []) if s is None or error else (lambda c, r, u: (c, None, r, u))(*edited(s, own, guarded, others, rounds)))
+        named = lambda k, names: [[dict(zip(names, x)) for x in r[k]] for r in rows]
+        return {"cds": [r[0] for r in rows], "error": [r[1] for r in rows], "removed": named(2, REMOVED), "unresolved": named(3, UNRESOLVED)}
+
+    kind = lambda names: pa.list_(pa.struct([(n, pa.int32() if n == "position" else pa.string()) for n in names]))
+    return batches.mapped(seqs.select("seq_id", "cds"), "cds", {"cds": pa.string(), "error": pa.string(), "removed": kind(REMOVED), "unresolved": kind(UNRESOLVED)}, run)
 
 
 def domesticated(seqs: DataFrame, standard: str, frequencies: dict[str, float], rounds: int = 100) -> DataFrame:

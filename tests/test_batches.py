@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from codonloom.functions.codes import TYPE_IIS, code
-from codonloom.operators import batches, generate
+from codonloom.operators import batches, edits, generate
 
 CODE = code()
 WEIGHTS = {c: 0.05 + random.Random(c).random() for c, a in CODE.items() if a != "*"}
@@ -74,3 +74,12 @@ def test_scores_of_made_and_of_given_sequences(spark):
 def test_sites_across_two_rows_are_none():
     held = batches.Texts.of(["GGT", "CTC", "", "AGGTCTC", None])
     assert batches.site_counts(held, [b"GGTCTC"]).tolist() == [0, 0, 0, 1, 0] and batches.sums(np.ones(13), held).tolist() == [3, 3, 0, 7, 0]
+
+
+def test_sites_are_edited_within_the_row(spark):
+    seqs = spark.createDataFrame([(1, "ATGGAATTCGAATTCTAA"), (2, None), (3, "ATGGCC" + "GAATTC" * 12 + "AAATAA")], "seq_id long, cds string")
+    done = edits.without_sites(seqs, {"EcoRI": "GAATTC"}, {c: 0.5 for c in CODE}, rounds=10)
+    assert "lambda" not in done._jdf.queryExecution().toString().lower()  # before: a written table a round
+    found = {r["seq_id"]: r for r in done.collect()}
+    assert found[1]["cds"] == "ATGGAGTTCGAGTTCTAA" and [x["position"] for x in found[1]["removed"]] == [3, 9] and found[2]["cds"] is None and found[2]["removed"] == []
+    assert len(found[3]["removed"]) == 10 and [x["reason"] for x in found[3]["unresolved"]] == ["max_iter_reached"] * 2
