@@ -69,6 +69,8 @@ def blended(high: DataFrame, empirical: DataFrame, ratio: float = 0.7) -> DataFr
     mixed = met.select("codon", "aa", (F.lit(ratio) * F.col("h") + F.lit(1 - ratio) * F.coalesce("e", "h")).alias("f"))
     by = Window.partitionBy("aa")
     total = F.sum("f").over(by)
-    rows = mixed.withColumn("frequency", F.when(total > 0, F.round(F.col("f") / total, 4)).otherwise(F.col("f")))
+    # Rounded as the scaled double, as SQL does: the decimal digits of a quotient just below a half would go down.
+    rounded = lambda x, scale: F.round(x * scale) / scale
+    rows = mixed.withColumn("frequency", F.when(total > 0, rounded(F.col("f") / total, F.lit(10000.0))).otherwise(F.col("f")))
     first = F.min(F.struct((-F.col("frequency")).alias("f"), "codon")).over(by)["codon"]
-    return rows.select("codon", "aa", "frequency", F.round(F.col("frequency") * 1000 / F.count(F.lit(1)).over(by), 1).alias("per_thousand"), first.alias("preferred"))
+    return rows.select("codon", "aa", "frequency", rounded(F.col("frequency") * 1000 / F.count(F.lit(1)).over(by), F.lit(10.0)).alias("per_thousand"), first.alias("preferred"))

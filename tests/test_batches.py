@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from codonloom.functions.codes import TYPE_IIS, code
-from codonloom.operators import batches, edits, generate
+from codonloom.operators import batches, edits, generate, scoring
 
 CODE = code()
 WEIGHTS = {c: 0.05 + random.Random(c).random() for c, a in CODE.items() if a != "*"}
@@ -83,3 +83,12 @@ def test_sites_are_edited_within_the_row(spark):
     found = {r["seq_id"]: r for r in done.collect()}
     assert found[1]["cds"] == "ATGGAGTTCGAGTTCTAA" and [x["position"] for x in found[1]["removed"]] == [3, 9] and found[2]["cds"] is None and found[2]["removed"] == []
     assert len(found[3]["removed"]) == 10 and [x["reason"] for x in found[3]["unresolved"]] == ["max_iter_reached"] * 2
+
+
+def test_blended_halves_go_up(spark):
+    """Quotients just below a half, which SQL's scaled rounding takes up."""
+    low = [k for k in range(1, 5000) if repr(k / 10000 * 1000 / 2)[-1] == "9" and k / 10000 * 1000 / 2 * 10 % 1 == 0.5][:3]
+    assert len(low) == 3
+    for k in low:
+        df = spark.createDataFrame([("AAA", "K", k / 10000), ("AAG", "K", 1 - k / 10000)], "codon string, aa string, frequency double")
+        assert {r["codon"]: r["per_thousand"] for r in scoring.blended(df, df).collect()}["AAA"] == (k * 10 // 2 + 5) // 10 / 10
