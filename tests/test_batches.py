@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from codonloom.functions.codes import TYPE_IIS, code
-from codonloom.operators import batches, edits, generate, scoring
+from codonloom.operators import batches, clusters, edits, generate, scoring
 
 CODE = code()
 WEIGHTS = {c: 0.05 + random.Random(c).random() for c, a in CODE.items() if a != "*"}
@@ -92,3 +92,21 @@ def test_blended_halves_go_up(spark):
     for k in low:
         df = spark.createDataFrame([("AAA", "K", k / 10000), ("AAG", "K", 1 - k / 10000)], "codon string, aa string, frequency double")
         assert {r["codon"]: r["per_thousand"] for r in scoring.blended(df, df).collect()}["AAA"] == (k * 10 // 2 + 5) // 10 / 10
+
+
+def test_sketches_rule_out_no_link(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("ACDEFGHIKL") for _ in range(4))
+    base = ["".join(word() for _ in range(60)) for _ in range(8)]
+    texts = base + [b[: 240 - n] + "".join(word() for _ in range(n // 4)) for b in base for n in (20, 60, 100, 160)]
+    df = spark.createDataFrame(list(enumerate(texts)), "seq_id long, aa string")
+    words = [{t[k : k + 9] for k in range(len(t) - 8)} for t in texts]
+    every = clusters.sketched(clusters.signatures(df, "aa"), "aa")
+    both = every.select(F.col("seq_id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bitsa")).crossJoin(every.select(F.col("seq_id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bitsb"))).filter("a < b")
+    rows = both.select("a", "b", "na", "nb", clusters.most_common("a", "b").alias("most")).collect()
+    common = {(r["a"], r["b"]): len(words[r["a"]] & words[r["b"]]) for r in rows}
+    assert all(r["most"] >= common[r["a"], r["b"]] for r in rows)
+    apart = [r for r in rows if common[r["a"], r["b"]] == 0]
+    assert apart and all(r["most"] < 0.5 * (r["na"] + r["nb"] - r["most"]) for r in apart)  # so their words are never sent
+    found = {tuple(r) for r in clusters.linked(df).collect()}
+    assert all(2 * common[p] >= len(words[p[0]] | words[p[1]]) for p in found) and len(found) >= 8
