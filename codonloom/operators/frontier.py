@@ -4,21 +4,28 @@ Totals are sums over residues, whose order plays no part, so a protein is the co
 residue whose best codons gain less with each further G or C (its steps fall) is taken greedily with all others of that sort:
 the frontier of all of them is one walk down their steps. Each other kind is a round: the states (protein, GC total)
 meet the ways in which all its residues can spread over its codons' GC classes, and the best state of each total stays.
-Rounds are written; going back through them rebuilds a best sequence. A protein of n residues has at most 3n + 1 states.
+In frontier() rounds are written, so that a protein of any length is many rows; best_states() does the same within a protein's row. Going back through them rebuilds a best sequence. A protein of n residues has at most 3n + 1 states.
 """
 
 from __future__ import annotations
 
+import sys
 from functools import reduce
 from math import log
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.codes import RESIDUES, code
 from ..sources.staging import staged
+from . import batches
 from .generate import GC_OF, by_letter, letter, letter_of, spelt
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 KINDS = "".join(sorted(set(RESIDUES) - {"*"}))
 #: Logarithms are whole numbers of 10**-12, so that sums do not depend on their order.
 SCALE = 10**12
@@ -116,6 +123,89 @@ def frontier(proteins: DataFrame, kinds: Kinds) -> tuple[DataFrame, dict[str, Da
     return state.select("seq_id", "n", "g", "l"), back
 
 
+#: Below every sum of scaled logarithms.
+NEVER = -(1 << 62)
+
+
+def spreads(c: Classes, n: int) -> list[tuple[int, int, int, int]]:
+    """ways() of one row as (g, l, a, b): those of the most G and C first, then of the largest a and b, so that the first of equally good ones is the one that frontier() keeps."""
+    (g0, l0, _), (g1, l1, _), (g2, l2, _) = (c + [(0, 0, "")] * 2)[:3]
+    if len(c) == 2:
+        pairs = [(a, 0) for a in range(n + 1)]
+    elif g1 - g0 == g2 - g1 == 1:
+        pairs = [(t % 2, t // 2) for t in range(2 * n + 1)]
+    else:
+        pairs = [(a, b) for b in range(n + 1) for a in range(n - b + 1)]
+    made = [((n - a - b) * g0 + a * g1 + b * g2, (n - a - b) * l0 + a * l1 + b * l2, a, b) for a, b in pairs if a + b <= n]
+    return sorted(made, key=lambda w: (-w[0], -w[2], -w[3]))
+
+
+def of_row(held: dict[str, int], classes: dict[str, Classes], steps: list[tuple[int, str, int]], kinds: list[str]) -> tuple[int, np.ndarray, list[tuple[list, int, np.ndarray, int]]]:
+    """(least total, best l by total from there on, rounds): the frontier of one protein's counts, with the classes, steps and rounds of Kinds. A round keeps its ways, the least total before it and which way each total took."""
+    greedy = [a for a in held if a not in kinds]
+    low, base = (sum(held[a] * classes[a][0][i] for a in greedy) for i in (0, 1))
+    gains = np.repeat(np.array([s[0] for s in steps], np.int64), np.array([held[s[1]] for s in steps], np.int64))
+    best, rounds = base + np.concatenate([[0], np.cumsum(gains)]).astype(np.int64), []
+    for a in kinds:
+        ways = spreads(classes[a], held[a])
+        least = ways[-1][0]
+        new = np.full(len(best) + ways[0][0] - least, NEVER, np.int64)
+        took = np.full(len(new), -1)
+        for i, (g, l, _, _) in enumerate(ways):
+            part = slice(g - least, g - least + len(best))
+            better = (best > NEVER) & (best + l > new[part])
+            new[part][better], took[part][better] = (best + l)[better], i
+        rounds.append((ways, low, took, low + least))
+        best, low = new, low + least
+    return low, best, rounds
+
+
+def best_states(proteins: DataFrame, kinds: Kinds, ranges: dict[str, tuple[float, float]]) -> DataFrame:
+    """The counted proteins, a row a range: range, feasible, g, l of under_ranges(), rest (the G and C of the greedy walk) and each round's a_ and b_.
+
+    A protein's frontier is a few arrays of at most 3n + 1 numbers, made within its row, so nothing is written or exchanged.
+    """
+    names = [c for a in kinds.rounds for c in (f"a_{a}", f"b_{a}")]
+    known, of, steps, in_rounds = kinds.known, kinds.classes, kinds.steps, kinds.rounds
+
+    def run(batch: pa.RecordBatch) -> dict[str, list]:
+        found = []
+        for row in batch.select(["n", *[f"k_{a}" for a in known]]).to_pylist():
+            low, best, rounds = of_row({a: row[f"k_{a}"] for a in known}, of, steps, in_rounds)
+            gc = np.arange(low, low + len(best)) * 100.0 / (row["n"] * 3)
+            each = []
+            for name, (least, most) in ranges.items():
+                inside = np.where((gc >= least) & (gc <= most), best, NEVER)
+                k = int(inside.argmax()) if len(inside) else 0
+                state = {"range": name, "feasible": bool(inside[k] > NEVER)}
+                if state["feasible"]:
+                    g = low + k
+                    state |= {"g": g, "l": int(best[k])}
+                    for a, (ways, before, took, start) in reversed([*zip(in_rounds, rounds)]):
+                        way = ways[took[g - start]]
+                        state |= {f"a_{a}": way[2], f"b_{a}": way[3]}
+                        g -= way[0]
+                    state["rest"] = g
+                each.append(state)
+            found.append(each)
+        return {"states": found}
+
+    state = pa.struct([("range", pa.string()), ("feasible", pa.bool_()), ("g", pa.int64()), ("l", pa.int64()), ("rest", pa.int64()), *[(c, pa.int32()) for c in names]])
+    rows = batches.mapped(counted(proteins, kinds), "aa", {"states": pa.list_(state)}, run)
+    return rows.select("*", F.inline("states")).drop("states")
+
+
+def ranges_of(proteins: DataFrame, kinds: Kinds, ranges: dict[str, tuple[float, float]]) -> DataFrame:
+    """under_ranges() of the proteins' frontiers."""
+    return best_states(proteins, kinds, ranges).select("seq_id", "range", "feasible", "g", cai_of(F.col("l"), F.col("n")).alias("cai"))
+
+
+def best_sequences(proteins: DataFrame, kinds: Kinds, low: float, high: float) -> DataFrame:
+    """seq_id, cds: a best sequence within the GC range for each protein that has one."""
+    chosen = best_states(proteins, kinds, {"": (low, high)}).filter("feasible").drop("g").withColumnRenamed("rest", "g")
+    return written(chosen, kinds)
+
+
 def cai_of(l: Column, n: Column) -> Column:
     return F.exp(l / float(SCALE) / n)
 
@@ -137,7 +227,11 @@ def rebuilt(chosen: DataFrame, back: dict[str, DataFrame], proteins: DataFrame,
     at = chosen.select("seq_id", "g")
     for a in reversed(kinds.rounds):
         at = at.join(back[a], ["seq_id", "g"]).drop("g").withColumnsRenamed({"g0": "g", "a": f"a_{a}", "b": f"b_{a}"})
-    rows = at.join(counted(proteins, kinds), "seq_id")
+    return written(at.join(counted(proteins, kinds), "seq_id"), kinds)
+
+
+def written(rows: DataFrame, kinds: Kinds) -> DataFrame:
+    """seq_id, cds of counted proteins with what the greedy walk is left with (g) and each round's spread (a_, b_)."""
     greedy = [a for a in kinds.known if a not in kinds.rounds]
     t = (F.col("g") - total([held(a) * F.lit(kinds.classes[a][0][0]) for a in greedy])).cast("int")
     taken = dict(zip(((a, k) for _, a, k in kinds.steps), kinds.taken(F.col("_t"))))

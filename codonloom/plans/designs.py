@@ -117,17 +117,13 @@ def g11(spark: SparkSession, d: str) -> DataFrame:
 @query("g13_frontier_ranges")
 def g13(spark: SparkSession, d: str) -> DataFrame:
     """Per protein and GC range the greatest CAI that any sequence of it has."""
-    states, _ = frontier.frontier(proteins(spark, d), frontier.Kinds(weights_of(spark, d)))
-    return frontier.under_ranges(states, RANGES).withColumn("cai", F.round("cai", 6))
+    return frontier.ranges_of(proteins(spark, d), frontier.Kinds(weights_of(spark, d)), RANGES).withColumn("cai", F.round("cai", 6))
 
 
 @query("g15_frontier_sequences")
 def g15(spark: SparkSession, d: str) -> DataFrame:
     """A best sequence of 40 to 47 percent GC for each protein that has one."""
-    aa, kinds = proteins(spark, d), frontier.Kinds(weights_of(spark, d))
-    states, back = frontier.frontier(aa, kinds)
-    chosen = frontier.under_ranges(states, {"40-47": RANGES["40-47"]}).filter("feasible").select("seq_id", "g")
-    return frontier.rebuilt(staged(chosen, "chosen"), back, aa, kinds)
+    return frontier.best_sequences(proteins(spark, d), frontier.Kinds(weights_of(spark, d)), *RANGES["40-47"])
 
 
 def in_frame(spark: SparkSession, d: str) -> DataFrame:

@@ -5,10 +5,11 @@ from hashlib import md5
 from math import exp, log
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from codonloom.functions.codes import TYPE_IIS, code
-from codonloom.operators import batches, clusters, edits, generate, scoring
+from codonloom.operators import batches, clusters, edits, frontier, generate, scoring
 
 CODE = code()
 WEIGHTS = {c: 0.05 + random.Random(c).random() for c, a in CODE.items() if a != "*"}
@@ -110,3 +111,16 @@ def test_sketches_rule_out_no_link(spark):
     assert apart and all(r["most"] < 0.5 * (r["na"] + r["nb"] - r["most"]) for r in apart)  # so their words are never sent
     found = {tuple(r) for r in clusters.linked(df).collect()}
     assert all(2 * common[p] >= len(words[p[0]] | words[p[1]]) for p in found) and len(found) >= 8
+
+
+@pytest.mark.parametrize("odd", [{}, {"CTA": 0.0, "CTT": 0.0, "TTG": 0.001, "TTA": 1.0, "CTG": 0.9}])
+def test_frontier_within_rows_equals_its_rounds(spark, odd):
+    """The queries of the frontier use the rows' own arrays: before, three states a residue were written for each kind of residue."""
+    kinds, rng = frontier.Kinds(WEIGHTS | odd), random.Random(6)
+    texts = ["".join(rng.choice(frontier.KINDS) for _ in range(rng.randint(1, 40))) for _ in range(8)] + ["LLLLLRRRR", "MB", "", "MAK*"]
+    df, spans = spark.createDataFrame(list(enumerate(texts)), "seq_id long, aa string"), {"a": (40.0, 47.0), "b": (0.0, 100.0), "c": (99.5, 99.6)}
+    states, back = frontier.frontier(df, kinds)
+    rows = lambda x: sorted(map(tuple, x.select("seq_id", "range", "feasible", "g", F.round("cai", 9)).collect()), key=str)
+    assert rows(frontier.ranges_of(df, kinds, spans)) == rows(frontier.under_ranges(states, spans))
+    chosen = frontier.under_ranges(states, {"a": spans["a"]}).filter("feasible").select("seq_id", "g")
+    assert sorted(map(tuple, frontier.best_sequences(df, kinds, *spans["a"]).collect())) == sorted(map(tuple, frontier.rebuilt(chosen, back, df, kinds).collect()))
