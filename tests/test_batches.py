@@ -2,6 +2,7 @@
 
 import random
 from hashlib import md5
+from itertools import groupby
 from math import exp, log
 
 import numpy as np
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codonloom.functions.codes import TYPE_IIS, code
-from codonloom.operators import batches, clusters, edits, frontier, generate, scoring
+from codonloom.operators import batches, clusters, edits, frontier, generate, review, scoring
 
 CODE = code()
 WEIGHTS = {c: 0.05 + random.Random(c).random() for c, a in CODE.items() if a != "*"}
@@ -124,3 +125,25 @@ def test_frontier_within_rows_equals_its_rounds(spark, odd):
     assert rows(frontier.ranges_of(df, kinds, spans)) == rows(frontier.under_ranges(states, spans))
     chosen = frontier.under_ranges(states, {"a": spans["a"]}).filter("feasible").select("seq_id", "g")
     assert sorted(map(tuple, frontier.best_sequences(df, kinds, *spans["a"]).collect())) == sorted(map(tuple, frontier.rebuilt(chosen, back, df, kinds).collect()))
+
+
+ODD_TEXTS = ["", "A", "ACGT" * 20, "GGTCTC" * 12, "ATATATATATCGCGCGCGA" * 4, "N" * 70 + "ACGTAC", "".join(random.Random(3).choice("ACGTN") for _ in range(400)), "CAGCAGCAGCAGAAAAAAAAACAG" * 3]
+
+
+def test_reviews_are_made_of_batches_as_of_rows(spark):
+    rules, _ = review.criteria(spark)
+    seqs = spark.createDataFrame([(i, s, 0.9) for i, s in enumerate([*ODD_TEXTS, None])], "seq_id long, cds string, cai double")
+    matrix, decisions = review.review(seqs, rules, ("seq_id",))
+    assert "lambda" not in review.measures(seqs, {r["criterion"]: r.asDict() for r in rules.collect()})._jdf.queryExecution().toString().lower()
+    got = {(r["seq_id"], r["criterion"]): (r["low"], r["high"]) for r in matrix.collect()}
+    gc = lambda s: sum(b in "GC" for b in s) * 100.0 / len(s) if s else 0.0
+    for i, s in enumerate(ODD_TEXTS):
+        last = max(len(s) - 60, 0)
+        windows = [gc(s[k : k + 60]) for k in {*range(0, last + 1, 30), last}]
+        words = [s[k : k + 18] for k in range(len(s) - 17)] if len(s) >= 36 else []
+        places = lambda ms: float(sum(s.startswith(m, k) for m in ms for k in range(len(s))))
+        run = float(max((len(list(g)) for x, g in groupby(s) if x in "ACGT"), default=0))
+        want = {"overall_gc": (gc(s),) * 2, "local_gc": (min(windows), max(windows)), "repeats": (float(sum(words.count(w) > 1 for w in set(words))),) * 2, "homopolymers": (run,) * 2,
+                "type_iis": (places([x for pair in TYPE_IIS.values() for x in pair]),) * 2, "forbidden_motifs": (places(["AATAAA", "GTAAGT", "ATTTA"]),) * 2}
+        assert {c: got[i, c] for c in want} == want
+    assert got[len(ODD_TEXTS), "repeats"] == (None, None) and decisions.count() == len(ODD_TEXTS) + 1
