@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import sys
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.codes import POLYA, STOPS, TYPE_IIS
-from ..functions.scalar import codons, gc_count, hydropathy
+from ..functions.scalar import codons, hydropathy
+from . import batches
+from .batches import Texts
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Parts that places() takes at once.
 CHUNK = 64
@@ -132,21 +140,50 @@ def sliding(rows: DataFrame, flag: Column, width: int, name: str) -> DataFrame:
 
 def gc_extremes(seqs: DataFrame, width: int = 50, low: int = 25, high: int = 75) -> DataFrame:
     """(seq_id, n_low, n_high): windows, one per base, whose GC percent is below or above; counted in the sequence's own row."""
-    counts = F.transform(windows_of(F.col("dna"), width), gc_count)
-    rows = seqs.filter(F.length("dna") >= width).select("seq_id", F.explode(F.array(counts)).alias("gc"))
-    size = lambda test: F.size(F.filter("gc", test)).cast("long")
-    return rows.select("seq_id", size(lambda g: g * 100 < low * width).alias("n_low"), size(lambda g: g * 100 > high * width).alias("n_high"))
+
+    def run(batch: pa.RecordBatch) -> dict[str, list]:
+        t = Texts.of(batch.column("dna").to_pylist())
+        gc, row = batches.window_sums(batches.is_gc(t), t, width)
+        n = len(t.lengths)
+        return {"n_low": np.bincount(row[gc * 100 < low * width], minlength=n), "n_high": np.bincount(row[gc * 100 > high * width], minlength=n)}
+
+    rows = seqs.filter(F.length("dna") >= width).select("seq_id", "dna")
+    return batches.mapped(rows, "dna", {"n_low": pa.int64(), "n_high": pa.int64()}, run, drop=("dna",))
 
 
 def dinucleotide_hotspots(seqs: DataFrame, width: int = 50, per_window: float = 0.05) -> DataFrame:
     """(seq_id, n_cpg, n_tpa): windows with more than `per_window` pairs a base; a sequence shorter than a window is one window."""
-    rows = marks(seqs, "dna", F.split("dna", ""))
-    nxt = F.lead("x").over(Window.partitionBy("seq_id").orderBy("pos"))
-    rows = rows.withColumn("pair", F.concat("x", nxt)).withColumn("size", F.least(F.col("n"), F.lit(width)))
-    both = sliding(sliding(rows, (F.col("pair") == "CG").cast("int"), width - 1, "cpg"), (F.col("pair") == "TA").cast("int"), width - 1, "tpa")
-    windows = both.filter((F.col("n") >= 2) & (F.col("pos") <= F.col("n") - F.col("size")))
-    hot = lambda c: F.count(F.when(F.coalesce(F.col(c), F.lit(0)) / F.col("size").cast("double") > per_window, 1))
-    return windows.groupBy("seq_id").agg(hot("cpg").alias("n_cpg"), hot("tpa").alias("n_tpa"))
+
+    def run(batch: pa.RecordBatch) -> dict[str, list]:
+        t = Texts.of(batch.column("dna").to_pylist())
+        n, x = len(t.lengths), t.letters
+        inner = (t.places() + 1 < np.repeat(t.lengths, t.lengths))[: max(len(x) - 1, 0)]
+        size = np.minimum(t.lengths, width)
+
+        def hot(a: str, b: str) -> np.ndarray:
+            pair = np.append((x[:-1] == ord(a)) & (x[1:] == ord(b)) & inner, False) if len(x) else np.zeros(0, bool)
+            held, row = batches.window_sums(pair, t, size - 1, size)
+            return np.bincount(row[held / size[row].astype(float) > per_window], minlength=n)
+
+        return {"n_cpg": hot("C", "G"), "n_tpa": hot("T", "A")}
+
+    rows = seqs.filter(F.length("dna") >= 2).select("seq_id", "dna")
+    return batches.mapped(rows, "dna", {"n_cpg": pa.int64(), "n_tpa": pa.int64()}, run, drop=("dna",))
+
+
+def local_gc(seqs: DataFrame, width: int = 50) -> DataFrame:
+    """seq_id, value: twice the G and C in each window of so many bases (50: percent), from left to right, separated by blanks; counted within the row."""
+    numbers = np.array([str(2 * k) for k in range(width + 1)], object)
+
+    def run(batch: pa.RecordBatch) -> dict[str, list]:
+        t = Texts.of(batch.column("dna").to_pylist())
+        gc, row = batches.window_sums(batches.is_gc(t), t, width)
+        ends = np.searchsorted(row, np.arange(len(t.lengths) + 1)).tolist()
+        words = numbers[gc].tolist()
+        return {"value": [" ".join(words[a:b]) for a, b in zip(ends, ends[1:])]}
+
+    made = batches.mapped(seqs.select("seq_id", "dna"), "dna", {"value": pa.string()}, run)
+    return made.select("seq_id", F.when(F.col("dna").isNotNull(), F.col("value")).alias("value"))
 
 
 def islands(rows: DataFrame) -> DataFrame:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.codes import codon_place
-from ..functions.scalar import codons, dinucleotide_score, gc_percent
+from ..functions.scalar import dinucleotide_score, gc_percent
 from ..sources.corpus import settled
+from .usage import log_means, log_weights
 
 #: By profile the weights of codon adaptation, GC, folding energy, dinucleotides and language model, and the GC band; null is the host's.
 PROFILES = [
@@ -37,13 +37,9 @@ def filled_weights(golden: DataFrame, working: DataFrame) -> DataFrame:
 
 def golden_cai(seqs: DataFrame, weights: DataFrame, column: str = "dna", places: int | None = 3) -> DataFrame:
     """Adds cai: the geometric mean over the codons that have a weight; others are skipped. 0 out of frame, or where none has one."""
-    by_place = F.sort_array(F.collect_list(F.struct(codon_place(F.col("codon")).alias("k"), F.ln(F.when(F.col("w") > 0, F.col("w"))).alias("l"))))
-    table = weights.agg(F.map_from_entries(by_place).alias("_t"))
-    slots = F.broadcast(table.select(F.transform(F.sequence(F.lit(1), F.lit(64)), lambda k: F.col("_t")[k]).alias("_logs")))
-    rows = settled(seqs.join(slots).withColumn("_l", F.filter(F.transform(codons(F.col(column)), lambda c: F.get("_logs", codon_place(c) - 1)), lambda x: x.isNotNull())), "_l")
-    mean = F.exp(F.aggregate("_l", F.lit(0.0), lambda t, x: t + x) / F.nullif(F.size("_l"), F.lit(0)))
-    value = F.coalesce(F.when(F.length(column) % 3 == 0, mean), F.lit(0.0))
-    return rows.withColumn("cai", value if places is None else F.round(value, places)).drop("_logs", "_l")
+    rows = log_means(seqs, log_weights(weights), True, column, skip=True)
+    value = F.when(F.length(column) % 3 == 0, F.coalesce(F.exp("_mean"), F.lit(0.0))).otherwise(0.0)
+    return rows.withColumn("cai", value if places is None else F.round(value, places)).drop("_mean")
 
 
 def composite(rows: DataFrame, table: DataFrame, column: str = "dna", fade: float = 20.0, cpg: float = 0.0, tpa: float = 1.0, mfe: Column | None = None, lm: Column | None = None) -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codonloom.functions.codes import TYPE_IIS, code
-from codonloom.operators import batches, clusters, edits, frontier, generate, review, scoring
+from codonloom.operators import batches, clusters, compare, dinucleotides, edits, frontier, generate, intake, review, scans, scoring, usage
 
 CODE = code()
 WEIGHTS = {c: 0.05 + random.Random(c).random() for c, a in CODE.items() if a != "*"}
@@ -147,3 +147,67 @@ def test_reviews_are_made_of_batches_as_of_rows(spark):
                 "type_iis": (places([x for pair in TYPE_IIS.values() for x in pair]),) * 2, "forbidden_motifs": (places(["AATAAA", "GTAAGT", "ATTTA"]),) * 2}
         assert {c: got[i, c] for c in want} == want
     assert got[len(ODD_TEXTS), "repeats"] == (None, None) and decisions.count() == len(ODD_TEXTS) + 1
+
+
+def test_window_scans_and_means_are_made_of_batches(spark):
+    seqs = spark.createDataFrame([(i, s) for i, s in enumerate(ODD_TEXTS)], "seq_id long, dna string")
+    plans = [scans.gc_extremes(seqs), scans.local_gc(seqs), scans.dinucleotide_hotspots(seqs), usage.cai(seqs, table(spark)), usage.mean_weight(seqs, table(spark), 0.001)]
+    for made in plans:
+        said = made._jdf.queryExecution().toString().lower()
+        assert "lambda" not in said and "window" not in said and "explode" not in said
+    extremes, local, hot, adapted, floored = ({r[0]: tuple(r[1:]) for r in made.collect()} for made in plans)
+    gc = lambda s: sum(b in "GC" for b in s)
+    for i, s in enumerate(ODD_TEXTS):
+        windows = [gc(s[k : k + 50]) for k in range(len(s) - 49)]
+        assert local[i] == (" ".join(str(2 * g) for g in windows),)
+        assert extremes.get(i) == ((sum(g * 100 < 1250 for g in windows), sum(g * 100 > 3750 for g in windows)) if len(s) >= 50 else None)
+        size = min(len(s), 50)
+        pairs = [[sum(s[j : j + 2] == x for j in range(k, k + size - 1)) / max(size, 1) > 0.05 for k in range(len(s) - size + 1)] for x in ("CG", "TA")]
+        assert hot.get(i) == (tuple(map(sum, pairs)) if len(s) >= 2 else None)
+        codons = [s[k : k + 3] for k in range(0, len(s) - 2, 3)]
+        sense = [WEIGHTS.get(c) for c in codons if CODE.get(c) != "*"]
+        fit = len(s) % 3 == 0 and sense and None not in sense
+        assert adapted[i][0] == pytest.approx(exp(sum(map(log, sense)) / len(sense)) if fit else 0.0)
+        assert floored[i][0] == pytest.approx(exp(sum(log(WEIGHTS.get(c, 0.001)) for c in codons) / len(codons)) if codons else 0.0)
+
+
+def test_kept_records_are_those_of_the_filter(spark):
+    rng = random.Random(9)
+    texts = ["ATG" + "".join(rng.choice(["GCT", "GAA", "CTG", "AAA"]) for _ in range(n)) + rng.choice(["TAA", ""]) for n in (30, 30, 19, 40, 41, 5, 60)]
+    rows = [(i, rng.choice(["g", "h", None]), "x", s + odd) for i, (s, odd) in enumerate((s, odd) for s in texts * 2 for odd in ("", "N", "A"))]
+    seqs = spark.createDataFrame(rows, "seq_id long, gene string, header string, dna string")
+    want = usage.cds_filter(seqs).filter("reason is null").select("seq_id", "gene", "cds")
+    assert sorted(map(str, usage.kept_cds(seqs).collect())) == sorted(map(str, want.collect())) and want.count() > 3
+    counts = {r["codon"]: r["n"] for r in usage.codon_counts(seqs, "dna").collect()}
+    assert counts == {c: sum(s[k : k + 3] == c for *_, s in rows for k in range(0, len(s), 3)) for c in CODE}
+
+
+def test_failures_weigh_rows_by_replicates(spark):
+    rows = [("a", 1, True, True, True), ("a", 1, True, False, True), ("a", 2, False, True, True), ("b", 1, True, False, False)]
+    df = spark.createDataFrame(rows, "method string, seq_id long, biological_pass boolean, gc_pass boolean, assembly_pass boolean").withColumn("multi_pass", F.expr("biological_pass and gc_pass and assembly_pass"))
+    made = generate.failures(df)
+    assert "expand" not in made._jdf.queryExecution().toString().lower()  # distinct sequences are not counted by doubled rows
+    assert {(r["method"], r["category"]): r["weight"] for r in made.collect() if r["weight"]} == {("a", "passed"): 0.666667, ("a", "gc_only"): 0.666667, ("a", "biological"): 0.666667, ("b", "gc_and_sites"): 1.0}
+
+
+def test_resamples_are_drawn_in_batches(spark):
+    rows = [(m, i, (i * k) % 3 / 2) for i in range(40) for k, m in ((1, "a"), (2, "b"))]
+    made = compare.resampled(spark.createDataFrame(rows, "method string, seq_id long, v double"), 30, 7)
+    times = {(i, r): sum(int(md5(f"boot|7|{i}|{r}".encode()).hexdigest()[:8], 16) >= p for p in compare.POISSON) for i in range(40) for r in range(30)}
+    got = {(x["method"], x["r"]): (x["s"], x["k"]) for x in made.collect()}
+    for m in "ab":
+        own = [(i, v) for n, i, v in rows if n == m]
+        assert got[m, -1] == (sum(v for _, v in own), 40)
+        assert all(got[m, r] == (sum(times[i, r] * v for i, v in own), sum(times[i, r] for i, _ in own)) for r in range(30))
+    assert "lambda" not in made._jdf.queryExecution().toString().lower() and "explode" not in made._jdf.queryExecution().toString().lower()
+
+
+def test_ramps_and_reports_are_made_of_batches(spark):
+    texts, df = proteins(spark)
+    made = generate.ramped(generate.random_synonymous(df, 1), table(spark))
+    assert all("".join(CODE[c] for c in map("".join, zip(*[iter(s)] * 3))) == texts[i] for (i, _), s in spelt(made).items())
+    report = intake.validation_report(df.withColumn("cds", F.lit("ATG" * 9)))
+    fewer = dinucleotides.fewer_pairs(df.select("seq_id", F.lit("ATG" * 9).alias("cds")), WEIGHTS, WEIGHTS)
+    assert [(r["repeats"], r["homopolymers"]) for r in report.collect()] == [(2, 0)] * len(texts)  # by threes and by sixes
+    for plan in (made, report, fewer):
+        assert "extract_all" not in plan._jdf.queryExecution().toString().lower()
