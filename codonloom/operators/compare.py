@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import Column, DataFrame, Window
+import sys
+from collections.abc import Iterator, Sequence
+from hashlib import md5
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.staging import staged
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 RATES = ("biological_pass", "assembly_pass", "gc_pass", "multi_pass")
 #: Upper bounds of the Poisson(1) distribution function, in draws of 2**32, for 0, 1, 2, ... events.
 POISSON = [round(2**32 * p) for p in (0.36787944117, 0.73575888234, 0.91969860293, 0.98101184312, 0.99634015317, 0.99940581518, 0.99991675885, 0.99998975080, 0.99999887480, 0.99999988857, 0.99999998995)]
@@ -24,10 +33,34 @@ def layer_summary(results: DataFrame, layers: dict[str, str], replicated: str =
     return means.join(F.broadcast(errors), "layer")
 
 
-def poisson(seed: int, seq_id: Column, resample: Column) -> Column:
-    """How often a resample draws a sequence: Poisson(1) by 32 bits of md5 over (seed, sequence, resample), the same for all methods, which keeps pairs together."""
-    draw = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(f"boot|{seed}"), seq_id.cast("string"), resample.cast("string"))), 1, 8), 16, 10).cast("long")
-    return sum((F.when(draw >= p, 1).otherwise(0) for p in POISSON), F.lit(0))
+def resampled(each: DataFrame, resamples: int, seed: int) -> DataFrame:
+    """method, r, s, k of each(method, seq_id, v): the sum of v and the number of sequences in each resample; r is -1 for all sequences.
+
+    A resample draws a sequence Poisson(1) times, by 32 bits of md5 over (seed, sequence, resample): the same for all
+    methods, which keeps pairs together. What leaves a task is one row a method and resample.
+    """
+    bounds, numbers, most = np.array(POISSON), [b"|%d" % r for r in range(resamples)], max(1, (1 << 20) // max(resamples, 1))
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[str, np.ndarray] = {}
+        for batch in parts:
+            for start in range(0, batch.num_rows, most):
+                part = batch.slice(start, most).to_pydict()
+                ids, at = np.unique(part["key"], return_inverse=True)
+                raw = b"".join([md5(k + r).digest()[:4] for k in (f"boot|{seed}|{x}".encode() for x in ids.tolist()) for r in numbers])
+                times = np.searchsorted(bounds, np.frombuffer(raw, ">u4").astype(np.int64), "right").reshape(len(ids), resamples)
+                method, value = np.array(part["method"]), np.array(part["v"], float)
+                for m in set(part["method"]):
+                    own = method == m
+                    k, v = times[at[own]], value[own]
+                    sums = np.array([np.append(v @ k, v.sum()), np.append(k.sum(0), len(v))])
+                    total[m] = total[m] + sums if m in total else sums
+        for m, (s, k) in total.items():
+            r = np.append(np.arange(resamples), -1)
+            yield pa.RecordBatch.from_arrays([pa.array([m] * len(r)), pa.array(r, pa.int32()), pa.array(s), pa.array(k.astype(np.int64))], ["method", "r", "s", "k"])
+
+    rows = each.select(F.col("seq_id").cast("string").alias("key"), "method", "v").mapInArrow(run, "method string, r int, s double, k long")
+    return rows.groupBy("method", "r").agg(F.sum("s").alias("s"), F.sum("k").alias("k"))
 
 
 def bootstrap(results: DataFrame, resamples: int = 1000, seed: int = 320, value: str = "multi_pass", against: dict[str, Sequence[str]] | None = None) -> DataFrame:
@@ -36,10 +69,12 @@ def bootstrap(results: DataFrame, resamples: int = 1000, seed: int = 320, value:
     Replicates are averaged by sequence. A sequence becomes `resamples` weights within its task, summed there before the
     shuffle, so what is exchanged is one row a task, method and resample, however many sequences there are.
     """
-    each = results.groupBy("method", "seq_id").agg(F.avg(F.coalesce(F.col(value), F.lit(False)).cast("double")).alias("v"))
-    observed = each.groupBy("method").agg(F.avg("v").alias("observed"))
-    drawn = each.select("method", "v", "seq_id", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("r")).select("method", "r", "v", poisson(seed, F.col("seq_id"), F.col("r")).alias("k")).filter("k > 0")
-    rates = drawn.groupBy("method", "r").agg((F.sum(F.col("k") * F.col("v")) / F.sum("k")).alias("rate"))
+    spark = results.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))  # named, so that few narrow rows are not drawn in one task
+    narrow = results.select("method", "seq_id", F.coalesce(F.col(value), F.lit(False)).cast("double").alias("v")).repartition(tasks, "seq_id")
+    sums = staged(resampled(narrow.groupBy("method", "seq_id").agg(F.avg("v").alias("v")), resamples, seed), "resamples")  # a row a method and resample, read several times
+    observed = sums.filter("r < 0").select("method", (F.col("s") / F.col("k")).alias("observed"))
+    rates = sums.filter("r >= 0 and k > 0").select("method", "r", (F.col("s") / F.col("k")).alias("rate"))
     limits = lambda c: F.percentile(c, F.array(F.lit(0.025), F.lit(0.975)))
     own = rates.groupBy("method").agg(limits("rate").alias("q")).join(observed, "method").select(F.col("method").alias("what"), "observed", F.col("q")[0].alias("lower"), F.col("q")[1].alias("upper"))
     pairs = [(m, ref) for m, refs in (against or {}).items() for ref in refs]
