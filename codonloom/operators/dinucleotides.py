@@ -1,26 +1,32 @@
 """Fewer CpG and TpA by synonymous codons: passes from left to right, each in the sequence's own row.
 
 What a codon becomes depends on the base before it (already edited), itself and the base after it (not yet edited): 1,600
-cases, listed once. A pass is a fold over codon letters that looks its case up; a pass that costs too much codon adaptation is undone.
+cases, listed once. A pass looks its cases up, codon by codon in all rows of a batch at once; a pass that costs too much codon adaptation is undone.
 """
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 from itertools import product
+from math import log
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.codes import BASES, RESIDUES, code
-from ..functions.scalar import count_of
-from ..sources.corpus import settled
+from ..functions.codes import BASES, code
+from . import batches, generate
+from .batches import Texts
 from .edits import synonyms, unfit
-from .generate import FIRST_LETTER, LETTERS, letter_of, read_codes, spelt
+from .generate import FIRST_LETTER, letter_of
+from .usage import STOP, read_places
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MODES = ("aggressive", "balanced", "cai_preserving")
-#: Codons folded at once, so that no long array is copied once a codon.
-CHUNK = 256
 
 
 def cases(frequencies: dict[str, float], targets: Sequence[str]) -> str:
@@ -34,32 +40,26 @@ def cases(frequencies: dict[str, float], targets: Sequence[str]) -> str:
     return "".join(found)
 
 
-def one_pass(codes: Column, table: str) -> Column:
-    """The codon letters after one pass over a text of codon letters."""
-    listed = F.split(F.lit(table), "")
-    first = lambda y: F.when(y == " ", 4).otherwise(F.floor((F.ascii(y) - FIRST_LETTER) / 16).cast("int"))
-
-    def step(s: Column, x: Column) -> Column:
-        new = F.get(listed, (s["before"] * 64 + F.ascii(x["own"]) - FIRST_LETTER) * 5 + first(x["next"]))
-        return F.get(F.transform(F.array(new), lambda n: F.struct(((F.ascii(n) - FIRST_LETTER) % 4).alias("before"), F.concat(s["out"], F.array(n)).alias("out"))), F.lit(0))
-
-    cut = lambda t: F.regexp_extract_all(t, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
-    following = F.concat(F.substring(codes, F.lit(2), F.length(codes)), F.lit(" "))
-    chunks = F.zip_with(cut(codes), cut(following), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    none = F.array().cast("array<string>")
-    letters = lambda c: F.zip_with(F.split(c["a"], ""), F.split(c["b"], ""), lambda a, b: F.struct(a.alias("own"), b.alias("next")))
-    folded = lambda s, c: F.aggregate(letters(c), F.struct(s["before"].alias("before"), none.alias("out")), step)
-    whole = lambda s, c: F.get(F.transform(F.array(folded(s, c)), lambda r: F.struct(r["before"].alias("before"), F.concat(s["out"], F.array(F.array_join(r["out"], ""))).alias("out"))), F.lit(0))
-    return F.array_join(F.aggregate(chunks, F.struct(F.lit(4).alias("before"), none.alias("out")), whole)["out"], "")
+def one_pass(codes: Texts, table: np.ndarray) -> Texts:
+    """The codons' places after one pass."""
+    order = np.argsort(-codes.lengths, kind="stable")
+    longest, own = codes.lengths[order], codes.letters
+    following = np.append(own[1:] // 16, 4)[: len(own)]
+    following[(codes.starts + codes.lengths - 1)[codes.lengths > 0]] = 4
+    out, before = np.zeros(len(own), np.int64), np.full(len(order), 4)
+    for k in range(int(longest[0]) if len(longest) else 0):
+        rows = order[: np.searchsorted(-longest, -k, "left")]
+        at = codes.starts[rows] + k
+        out[at] = new = table[before[rows], own[at], following[at]]
+        before[rows] = new % 4
+    return Texts(out, codes.lengths)
 
 
-def mean_adaptation(codes: Column, weights: dict[str, float]) -> Column:
-    """The geometric mean of sense codons' weights, taken from how often each weight occurs; 0 where a codon has none."""
-    stops = "".join(x for x, a in zip(LETTERS, RESIDUES) if a == "*")
-    sense = F.translate(codes, stops, "")
-    logs = F.array(*[F.ln(F.lit(float(w))) if (w := weights.get(c)) else F.lit(None).cast("double") for c in code()])
-    total = F.aggregate(F.transform(F.split(sense, ""), lambda x: F.get(logs, F.ascii(x) - FIRST_LETTER)), F.lit(0.0), lambda t, x: t + x)
-    return F.coalesce(F.when(F.length(sense) > 0, F.exp(total / F.length(sense))), F.lit(0.0))
+def mean_adaptation(codes: Texts, logs: np.ndarray) -> np.ndarray:
+    """The geometric mean of sense codons' weights; 0 where a codon has none."""
+    sense = codes.kept(~STOP[codes.letters])
+    mean = batches.sums(logs[sense.letters], sense) / np.maximum(sense.lengths, 1)
+    return np.where((sense.lengths == 0) | np.isnan(mean), 0.0, np.exp(mean))
 
 
 def fewer_pairs(
@@ -74,21 +74,38 @@ def fewer_pairs(
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {', '.join(MODES)}")
-    table = cases(frequencies, tuple(targets))
-    error = F.when(F.length("cds") == 0, "empty").otherwise(unfit(F.col("cds")))
-    rows = settled(seqs.select("seq_id", "cds", error.alias("error")).withColumn("codes", F.when(F.col("error").isNull(), read_codes(F.col("cds")))), "codes")
-    adapted = lambda c: mean_adaptation(F.col(c), weights)
-    rows = settled(rows.withColumn("first_cai", adapted("codes")), "first_cai")
-    floor = {"aggressive": F.lit(0.0), "balanced": F.lit(float(cai_floor)), "cai_preserving": F.col("first_cai") - most_drop}[mode]
-    rows = rows.withColumns({"rounds": F.lit(0), "going": F.col("error").isNull()})
-    for k in range(1, passes + 1):
-        rows = settled(rows.withColumn("tried", F.when(F.col("going"), one_pass(F.col("codes"), table))), "tried")
-        changed = F.col("going") & (F.col("tried") != F.col("codes"))
-        rows = settled(rows.withColumn("good", changed & (F.lit(mode == "aggressive") | (adapted("tried") >= floor))), "good")
-        rows = rows.select("seq_id", "cds", "error", F.when(F.col("good"), F.col("tried")).otherwise(F.col("codes")).alias("codes"), "first_cai", F.when(F.col("going"), k).otherwise(F.col("rounds")).alias("rounds"), F.coalesce("good", F.lit(False)).alias("going"))
-        rows = settled(rows, "codes")
-    counted = lambda c: sum((count_of(F.col(c), t) for t in targets), F.lit(0))
-    rows = settled(rows.withColumn("new", F.when(F.col("error").isNull(), spelt(F.col("codes"))).otherwise(F.col("cds"))), "new").withColumns({"before": counted("cds"), "after": counted("new"), "last_cai": adapted("codes")})
-    made = lambda c: F.when(F.col("error").isNull(), c)
+    table = np.array([*cases(frequencies, tuple(targets)).encode()]).reshape(5, 64, 5) - FIRST_LETTER
+    logs = np.array([log(w) if (w := weights.get(c)) else np.nan for c in code()] + [np.nan])
+    bases, pairs = generate.BASES[FIRST_LETTER : FIRST_LETTER + 64], [t.encode() for t in targets]
+
+    def run(batch: pa.RecordBatch) -> dict[str, list]:
+        texts = batch.column("cds").to_pylist()
+        error = [unfit(s) if s else "empty" for s in texts]
+        fit = np.flatnonzero([e is None for e in error])
+        codes = read_places([texts[i] for i in fit.tolist()])
+        first, rounds, left = mean_adaptation(codes, logs), np.zeros(len(fit), int), np.arange(len(fit))
+        floor = {"aggressive": np.zeros(len(fit)), "balanced": np.full(len(fit), float(cai_floor)), "cai_preserving": first - most_drop}[mode]
+        for k in range(1, passes + 1):
+            if not len(left):
+                break
+            rounds[left] = k
+            now = codes.take(left)
+            tried = one_pass(now, table)
+            good = batches.counts(tried.letters != now.letters, now) > 0
+            if mode != "aggressive":
+                good &= mean_adaptation(tried, logs) >= floor[left]
+            taken = np.zeros(len(fit), bool)
+            taken[left[good]] = True
+            codes.letters[np.repeat(taken, codes.lengths)] = tried.letters[np.repeat(good, tried.lengths)]
+            left = left[good]
+        last, new = mean_adaptation(codes, logs), list(texts)
+        for i, s in zip(fit.tolist(), batches.spelt(codes, bases).texts()):
+            new[i] = s
+        spread = lambda values, other: [by_row.get(i, other) for by_row in [dict(zip(fit.tolist(), values.tolist()))] for i in range(len(texts))]
+        before, after = (batches.site_counts(Texts.of(t), pairs) for t in (texts, new))
+        return {"_new": new, "rounds": spread(rounds, 0), "before": before, "after": after, "_first": spread(first, None), "_last": spread(last, None), "error": error}
+
+    kinds = {"_new": pa.string(), "rounds": pa.int32(), "before": pa.int32(), "after": pa.int32(), "_first": pa.float64(), "_last": pa.float64(), "error": pa.string()}
+    rows = batches.mapped(seqs.select("seq_id", "cds"), "cds", kinds, run, drop=("cds",))
     lost = F.round((F.col("before") - F.col("after")) * F.lit(100.0) / F.greatest(F.col("before"), F.lit(1)), 1)
-    return rows.select("seq_id", F.col("new").alias("cds"), "rounds", "before", "after", made(lost).alias("reduction_pct"), made(F.round("first_cai", 4)).alias("cai_before"), made(F.round("last_cai", 4)).alias("cai_after"), "error")
+    return rows.select("seq_id", F.col("_new").alias("cds"), "rounds", "before", "after", F.when(F.col("error").isNull(), lost).alias("reduction_pct"), F.round("_first", 4).alias("cai_before"), F.round("_last", 4).alias("cai_after"), "error")

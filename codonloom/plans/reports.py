@@ -9,7 +9,7 @@ from ..operators import dinucleotides, generate, intake, ranges, scoring, usage
 from ..operators.intake import AMBIGUOUS, DNA, DNA_OR_M, PROTEIN_ONLY
 from ..sources.corpus import SEQUENCES_SQL, sequences, settled
 from ..sources.tables import confident
-from .designs import TABLES_SQL, spelt, weights_of
+from .designs import TABLES_SQL, spelt
 from .queries import CODONS_SQL, RESULTS_SQL, _gc, pinned, proteins, query, results
 
 RAW_SQL = f"""raw AS (SELECT seq_id, CASE (seq_id // 1000000 + seq_id) % 8 WHEN 0 THEN lower(dna) || ' ' WHEN 1 THEN '> ' || header || chr(10) || substr(dna, 1, 60) || chr(13) || chr(10) || substr(dna, 61)
@@ -154,4 +154,6 @@ def f05(spark: SparkSession, d: str) -> DataFrame:
 @query("g20_fewer_dinucleotides")
 def g20(spark: SparkSession, d: str) -> DataFrame:
     made = spelt(generate.random_synonymous(proteins(spark, d), replicates=1))
-    return dinucleotides.fewer_pairs(settled(made, "cds"), weights_of(spark, d, "frequency"), weights_of(spark, d), mode="balanced", cai_floor=0.6)
+    rows = pinned(spark, d).collect()
+    frequencies, weights = ({r["codon"]: r[c] for r in rows if r[c] is not None} for c in ("frequency", "w"))
+    return dinucleotides.fewer_pairs(made, frequencies, weights, mode="balanced", cai_floor=0.6)
