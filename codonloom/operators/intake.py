@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import sys
+from operator import eq
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.codes import STOPS
-from ..functions.scalar import aa_identity, codons, count_of, gc_percent, internal_stops, invalid_codons, normalize_dna, translate_dna
+from ..functions.codes import RESIDUES, STOPS
+from ..functions.scalar import codons, gc_percent, internal_stops, normalize_dna, translate_dna
 from ..sources.corpus import settled
-from .review import local_gc
-from .scans import spans_of
+from . import batches, usage
+from .batches import Texts
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Letters that DNA may have, that are a protein's alone, and that any input may have; the length from which DNA is believed.
 DNA, DNA_OR_M, PROTEIN_ONLY, EVERY = "ATGCN", "ATGCM", "DEFHIKLPQRSVWY", "ACDEFGHIKLMNPQRSTVWY*"
@@ -114,6 +122,16 @@ def checked_dna(rows: DataFrame, column: str, trim: bool = False) -> DataFrame:
 
 #: Names of a report's measures, in order.
 MEASURES = ("identity", "gc", "gc_window_min", "gc_window_max", "gc_window_outliers", "first_30_gc", "first_60_gc", "first_90_gc", "internal_stops", "invalid_codons", "forbidden_motifs", "homopolymers", "repeats")
+WHOLE = MEASURES[4:5] + MEASURES[8:]
+
+
+def identity(expected: str | None, made: str) -> float | None:
+    """Equal places over the expected length, as scalar.aa_identity()."""
+    if expected is None:
+        return None
+    if made.endswith("*") and not expected.endswith("*"):
+        made = made[:-1]
+    return 0.0 if not expected else 1.0 if expected == made else sum(map(eq, expected, made)) / len(expected)
 
 
 def validation_report(
@@ -124,19 +142,33 @@ def validation_report(
 
     Repeats are tandem ones: units of each length that follow each other `copies` times or more; a span that two lengths find counts once.
     """
-    rows = settled(candidates.withColumn("_s", normalize_dna(F.coalesce(F.col(column), F.lit("")))), "_s")
-    s = F.col("_s")
-    rows = settled(rows.withColumn("_w", F.when(F.length(s) > 0, local_gc(s, window)).otherwise(F.array().cast("array<double>"))), "_w")
-    runs = F.size(F.regexp_extract_all(s, F.lit(rf"(.)\1{{{longest_run - 1},}}"), F.lit(0)))
-    units = [F.transform(spans_of(s, rf"(.{{{m}}})\1{{{copies - 1},}}"), lambda p: F.struct(p["start"], p["end"])) for m in range(shortest_unit, longest_unit + 1)]
-    hits = sum((count_of(s, m) for m in forbidden if m), F.lit(0))
-    outside = F.size(F.filter("_w", lambda g: (g < low) | (g > high)))
-    values = {
-        "identity": F.when(s == "", F.lit(0.0)).otherwise(aa_identity(F.col(protein), translate_dna(s))), "gc": gc_percent(s),
-        "gc_window_min": F.coalesce(F.array_min("_w"), F.lit(0.0)), "gc_window_max": F.coalesce(F.array_max("_w"), F.lit(0.0)), "gc_window_outliers": outside,
-        **{f"first_{k}_gc": gc_percent(F.substring(s, 1, k)) for k in (30, 60, 90)},
-        "internal_stops": internal_stops(s), "invalid_codons": F.size(invalid_codons(s)), "forbidden_motifs": hits, "homopolymers": runs, "repeats": F.size(F.array_distinct(F.flatten(F.array(*units)))),
-    }
+    patterns = [m.encode() for m in forbidden if m]
+
+    def run(batch: pa.RecordBatch) -> dict[str, list]:
+        texts, proteins = batch.column("_s").to_pylist(), batch.column("_aa").to_pylist()
+        t, codes = Texts.of(texts), usage.read_places(texts)
+        share, row = batches.window_shares(t, window)
+        ends, n = np.searchsorted(row, np.arange(len(texts))), len(texts)
+        gc, at = batches.upto(batches.is_gc(t)), t.starts
+        first = {f"first_{k}_gc": batches.percent(gc[at + np.minimum(k, t.lengths)] - gc[at], np.minimum(k, t.lengths)) for k in (30, 60, 90)}
+        made = Texts(np.frombuffer((RESIDUES + "X").encode(), np.uint8)[codes.letters], codes.lengths).texts()
+        inner = usage.STOP[codes.letters] & (codes.places() < np.repeat(codes.lengths - 1, codes.lengths))
+        of, _, length = batches.letter_runs(t)
+        spans: list[set[tuple[int, int]]] = [set() for _ in texts]
+        for unit in range(shortest_unit, longest_unit + 1):
+            for r, start, end in batches.tandems(t, unit, copies):
+                spans[r].add((start, end))
+        return {
+            "identity": [0.0 if s == "" else identity(a, m) for s, a, m in zip(texts, proteins, made)], "gc": batches.percent(batches.counts(batches.is_gc(t), t), t.lengths),
+            "gc_window_min": np.minimum.reduceat(share, ends), "gc_window_max": np.maximum.reduceat(share, ends),
+            "gc_window_outliers": np.where(t.lengths > 0, np.bincount(row[(share < low) | (share > high)], minlength=n), 0), **first,
+            "internal_stops": batches.counts(inner, codes), "invalid_codons": batches.counts(codes.letters == usage.OTHER, codes) + (t.lengths % 3 > 0),
+            "forbidden_motifs": batches.site_counts(t, patterns), "homopolymers": np.bincount(of[length >= longest_run], minlength=n), "repeats": [len(x) for x in spans],
+        }
+
+    kinds = {m: pa.int32() if m in WHOLE else pa.float64() for m in MEASURES}
+    rows = candidates.withColumns({"_s": normalize_dna(F.coalesce(F.col(column), F.lit(""))), "_aa": F.col(protein)})
+    rows, s = batches.mapped(rows, "_s", kinds, run, drop=("_aa",)), F.col("_s")
     some = lambda c: F.col(c) > 0
     motifs = F.when(some("forbidden_motifs"), "forbidden_motifs")
     kept = lambda *of: F.filter(F.array(*of), lambda x: x.isNotNull())
@@ -146,5 +178,5 @@ def validation_report(
         errors.append(motifs)
     else:
         warnings.insert(1, motifs)
-    judged = rows.withColumns(values).withColumns({"errors": kept(*errors), "warnings": kept(*warnings)})
-    return judged.withColumn("passed", F.size("errors") == 0).drop("_s", "_w")
+    judged = rows.withColumns({"errors": kept(*errors), "warnings": kept(*warnings)})
+    return judged.withColumn("passed", F.size("errors") == 0).drop("_s")
