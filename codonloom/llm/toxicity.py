@@ -30,7 +30,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain
 from math import ceil
 
 import numpy as np
@@ -55,6 +54,8 @@ PAIR_WORDS = 2_000_000
 #: Words in a shard of the model, words a task holds (of a larger model it reads the shards in turn for each batch), and labelled rows drawn for calibration.
 SHARD_WORDS, HELD_WORDS, CALIBRATION_ROWS = 1 << 20, 1 << 22, 4096
 MEMO = 200_000
+#: Bytes of text that a task counts together.
+COUNTED_BYTES = 2 << 20
 THRESHOLD = 0.3
 #: Letters of a stem.
 STEM = 5
@@ -72,11 +73,15 @@ class Hashes(dict):
         return h
 
 
+def hashed(texts: list[str | None], known: Hashes) -> tuple[np.ndarray, np.ndarray]:
+    """(words in each text, hash of every word). Of the words themselves, only one text's are held at a time."""
+    parts = [np.fromiter(map(known.__getitem__, WORDS.findall((t or "").lower())), np.int64) for t in texts]
+    return np.array([len(x) for x in parts], np.int64), np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+
 def numbered(texts: list[str | None], hashes: Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(words in each text, hash of every word of all texts, hash of the word before it: 0 at a text's start)."""
-    found = [WORDS.findall((t or "").lower()) for t in texts]
-    sizes = np.array([len(x) for x in found], np.int64)
-    word = np.fromiter(map(hashes.__getitem__, chain.from_iterable(found)), np.int64, int(sizes.sum()))
+    sizes, word = hashed(texts, hashes)
     before = np.concatenate([[0], word[:-1]]).astype(np.int64)[: len(word)]
     before[(np.cumsum(sizes) - sizes)[sizes > 0]] = 0
     return sizes, word, before
@@ -110,7 +115,7 @@ class Stems(Hashes):
 
 def stems(texts: list[str | None], known: Stems) -> np.ndarray:
     """Hash of every word's stem."""
-    return np.fromiter(chain.from_iterable(map(known.__getitem__, WORDS.findall((t or "").lower())) for t in texts), np.int64)
+    return hashed(texts, known)[1]
 
 
 def paired(before: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -124,7 +129,7 @@ def word_counts(labelled: DataFrame, of_stems: bool = False) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, known = Hashes(), Stems()
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", COUNTED_BYTES):
             sizes, word, before = numbered(batch.column("text").to_pylist(), hashes)
             if not len(word):
                 continue
@@ -148,7 +153,7 @@ def pair_counts(labelled: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", COUNTED_BYTES):
             sizes, word, before = numbered(batch.column("text").to_pylist(), hashes)
             toxic = np.repeat(np.array(batch.column("toxic").to_pylist(), np.int64), sizes)
             key, first, at = np.unique(paired(before, word), return_index=True, return_inverse=True)

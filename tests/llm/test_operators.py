@@ -35,6 +35,18 @@ def test_licenses_find_exact_and_edited_notices(spark):
     assert licenses.scan(docs(spark, [])).count() == 0
 
 
+def test_toxicity_holds_the_words_of_one_text_at_a_time():
+    import tracemalloc
+
+    texts = [" ".join("word" + "abcdefghij"[(i + k) % 10] for k in range(200)) for i in range(500)] + [None, ""]
+    tracemalloc.start()
+    sizes, word, before = toxicity.numbered(texts, toxicity.Hashes())
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 45 * len(word)  # a string for every word alone takes more
+    assert sizes.tolist() == [200] * 500 + [0, 0] and len(set(word.tolist())) == 10 and (before[:2] == [0, word[0]]).all() and before[200] == 0
+
+
 def test_toxicity_learns_words_and_keeps_odd_rows(spark):
     rng = np.random.default_rng(0)
     plain = "the of and to in is it as at by for from on or with was".split()
