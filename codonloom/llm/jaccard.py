@@ -19,7 +19,9 @@ Equal sets are one node. Links are wanted for components, so candidates of nodes
 that are joined already are not looked at again. Small buckets propose all their
 pairs; of a larger one each node first tries the hub that it meets most often, then,
 as long as a quarter of these are links, its nearest untried neighbour by sketch in another
-component, and last every untried pair that the sketches allow and that is still apart.
+component. Last comes every untried pair that the sketches allow and that is still apart:
+a bucket names the nodes that such pairs connect, not the pairs, and the sets of connected
+nodes are compared in blocks of bounded bytes, of which each gives only links that join components.
 
 Defined results: null texts and texts without words have no shingles and stand
 alone; with fewer words than a shingle the whole sequence is one; repeated rows
@@ -53,6 +55,8 @@ SPARES, GROWTH, NARROW, WIDE, CHUNK, SEEN = 0.25, 1.3, 256, 8192, 1 << 20, 1 <<
 FAN, CLASHES = 512, 10_000
 #: Links or pairs that one task may hold.
 ALONE = 200_000
+#: Bytes of sets in a block that is compared with another one in one task.
+BLOCK = 4 << 20
 #: Rounds in which each node tries its nearest neighbour, while a quarter of the trials are links; then all pairs that the sketches leave are tried.
 NEAREST = 4
 
@@ -382,18 +386,27 @@ def likely(pairs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFr
     return sized.select("a", "b", "na", "nb", "x", "y").mapInArrow(tidy(run), "a long, b long, far long")
 
 
+def connect(first: np.ndarray, these: np.ndarray) -> None:
+    """Gives all places whose first place is that of one of these the smallest of them."""
+    firsts = np.unique(first[these])
+    if len(firsts) > 1:
+        first[np.isin(first, firsts)] = firsts[0]
+
+
 def neighbours(rows: DataFrame, how: str, percent: int = PERCENT) -> DataFrame:
-    """(a, b, far): from bucket rows (key, node, comp, n, sketch, past), for the nodes outside a bucket's largest component, the nearest one in another component (`nearest`), or every such pair (`all`), past pairs aside.
+    """From bucket rows (key, node, comp, n, sketch, past), for the nodes outside a bucket's largest component, as (a, b, far) the nearest one in another component that the sketches allow (`nearest`), past pairs aside; or (`all`) as (nodes), the
+    nodes that such pairs connect, a row for each group of them: what a bucket gives grows with its nodes, not with its pairs.
 
-    A task holds one bucket; its distances are computed in blocks, and only what the sketches allow is emitted.
+    A task holds one bucket; its distances are computed in blocks.
     """
 
-    def compared(node: np.ndarray, comp: np.ndarray, n: np.ndarray, sketches: list[bytes], past: list[list[int] | None]) -> Iterator[tuple[np.ndarray, ...]]:
+    def compared(node: np.ndarray, comp: np.ndarray, n: np.ndarray, sketches: list[bytes], past: list[list[int] | None]) -> Iterator[pa.RecordBatch]:
         width = min(map(len, sketches))
         s = np.stack([unsketched(x, width) for x in sketches])
         names, size = np.unique(comp, return_counts=True)
         rest = np.flatnonzero(comp != names[np.argmax(size)])  # of two components one at least is not the largest
         step = max(1, (1 << 21) // (len(node) * s.shape[1]))
+        first, met = np.arange(len(node)), np.zeros(len(node), bool)
         for at in range(0, len(rest), step):
             i = rest[at : at + step]
             far = np.bitwise_count(s[i, None, :] ^ s[None, :, :]).sum(axis=-1, dtype=np.int64)
@@ -405,17 +418,25 @@ def neighbours(rows: DataFrame, how: str, percent: int = PERCENT) -> DataFrame:
                 b = np.argmin(np.where(ok, far, 1 << 40), axis=1)
                 a = np.flatnonzero(ok[np.arange(len(b)), b])
                 b = b[a]
-            else:
-                a, b = np.nonzero(ok)
-            yield node[i[a]], node[b], far[a, b]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (node[i[a]], node[b], far[a, b])], ["a", "b", "far"])
+                continue
+            for a, others in zip(i, ok):
+                if others.any():
+                    others[a] = True
+                    met |= others
+                    connect(first, others)
+        if how == "all" and met.any():
+            at = np.flatnonzero(met)
+            at = at[np.argsort(first[at])]
+            cuts = np.flatnonzero(np.r_[True, first[at][1:] != first[at][:-1], True])
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(node[at]))], ["nodes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def of(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             t = pa.Table.from_batches(held).combine_chunks()
             node, comp, n = (t.column(c).to_numpy() for c in ("node", "comp", "n"))
             if comp.min() != comp.max():
-                for a, b, far in compared(node, comp, n, t.column("sketch").to_pylist(), t.column("past").to_pylist()):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(far)], ["a", "b", "far"])
+                yield from compared(node, comp, n, t.column("sketch").to_pylist(), t.column("past").to_pylist())
 
         held: list[pa.RecordBatch] = []
         last = None
@@ -432,7 +453,7 @@ def neighbours(rows: DataFrame, how: str, percent: int = PERCENT) -> DataFrame:
             yield from of(held)
 
     columns = rows.select("key", "node", "comp", "n", "sketch", "past")
-    return columns.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(run), "a long, b long, far long")
+    return columns.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(run), "nodes array<long>" if how == "all" else "a long, b long, far long")
 
 
 def undirected(pairs: DataFrame) -> DataFrame:
@@ -470,6 +491,68 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT, few: boo
     return rows.repartition("a", "fan").sortWithinPartitions("a", "fan", F.col("b").asc_nulls_first()).select("a", "b", "tokens").mapInArrow(tidy(run), "a long, b long")
 
 
+def linked_within(rows: DataFrame, sets: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+    """(a, b): of rows (node, comp, n, sketch, part), the links between components of one part that are needed to join what links join there.
+
+    A part's sets are dealt to blocks of about `block` bytes, and each two blocks meet in one group; a group gives fewer links than it has nodes.
+    """
+
+    def found(node: np.ndarray, comp: np.ndarray, n: np.ndarray, sketches: list[bytes], raw: list[bytes], side: np.ndarray) -> Iterator[tuple[int, int]]:
+        width = min(map(len, sketches))
+        s = np.stack([unsketched(x, width) for x in sketches])
+        token = np.unique(np.frombuffer(b"".join(raw), np.uint64), return_inverse=True)[1].astype(np.int32)
+        ends = np.cumsum([len(x) // 8 for x in raw])
+        own = np.zeros(int(token.max()) + 1, np.int64)
+        names, at, size = np.unique(comp, return_inverse=True, return_counts=True)
+        top = np.argmax(size)
+        rest, first = np.flatnonzero(at != top), np.arange(len(names))
+        for k in rest:
+            apart = (first[at] != first[at[k]]) & ((at == top) | (np.arange(len(node)) > k))
+            if side.any():
+                apart &= side != side[k]
+            c = np.flatnonzero(apart)
+            c = c[fits(n[k], n[c], np.bitwise_count(s[k] ^ s[c]).sum(axis=-1, dtype=np.int64), percent)]
+            if not len(c):
+                continue
+            mine = token[ends[k] - n[k] : ends[k]]
+            own[mine] = 1
+            for some in np.split(c, np.flatnonzero(np.diff(np.cumsum(n[c]) >> 20)) + 1):  # about a million shingles together
+                both = np.add.reduceat(own[np.concatenate([token[ends[j] - n[j] : ends[j]] for j in some])], np.cumsum(n[some]) - n[some])
+                for j in some[100 * both >= percent * (n[k] + n[some] - both)]:
+                    if first[at[j]] != first[at[k]]:
+                        connect(first, np.isin(np.arange(len(first)), (at[j], at[k])))
+                        yield node[k], node[j]
+            own[mine] = 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def of(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            t = pa.Table.from_batches(held)
+            t = t.take(np.unique(t.column("node").to_numpy(), return_index=True)[1])  # copies in several tasks gave their set several times
+            node, comp, n, block, i, j = (t.column(c).to_numpy() for c in ("node", "comp", "n", "block", "i", "j"))
+            side = (block == j) & (i != j)
+            pairs = list(found(node, comp, n, t.column("sketch").to_pylist(), t.column("tokens").to_pylist(), side)) if comp.min() != comp.max() else []
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("part", "i", "j"))))
+            cuts = [k for k in range(len(keys)) if not k or keys[k] != keys[k - 1]]
+            for at, end in zip(cuts, [*cuts[1:], len(keys)]):
+                if held and keys[at] != last:
+                    yield of(held)
+                    held = []
+                held.append(batch.slice(at, end - at))
+                last = keys[at]
+        if held:
+            yield of(held)
+
+    blocks = rows.groupBy("part").agg(F.ceil(F.sum("n") * 8 / block).alias("blocks"))
+    each = rows.join(blocks, "part").withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    met = each.select("part", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "comp", "n", "sketch").join(sets, "node")
+    return met.repartition("part", "i", "j").sortWithinPartitions("part", "i", "j").mapInArrow(tidy(run), "a long, b long")
+
+
 def alone(links: DataFrame) -> DataFrame:
     """components() of at most ALONE links, in one task."""
 
@@ -597,9 +680,21 @@ def grouped(docs: DataFrame, ngram: int, percent: int, mark: Column | None = Non
             known = nodes.select("node", "n", "sketch")
             known = known.withColumn("past", F.lit(None).cast("array<long>")) if past is None else known.join(small_side(staged(past, "past")), "node", "left")
             near = neighbours(rows.withColumnRenamed("a", "node").join(known, "node"), how, percent)
-            if how == "nearest":  # over all of a node's buckets
-                near = near.groupBy("a").agg(F.min(F.struct("far", "b")).alias("best")).select("a", "best.b")
-            near = undirected(near)
+            if how == "all":
+                parts = staged(near.select(F.array_min("nodes").alias("a"), F.explode("nodes").alias("b")).filter("a <> b").distinct(), "parts")
+                if n_parts := parts.count():
+                    part = staged(alone(parts) if n_parts <= ALONE else components(parts), "part").withColumnRenamed("comp", "part")
+                    apart = nodes.select("node", "n", "sketch", "doc_id").join(small_side(part), "node")
+                    apart = apart.withColumn("comp", F.col("node")) if comps is None else apart.join(small_side(comps), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+                    apart = staged(apart, "apart")
+                    sets = set_table(docs, apart.select("doc_id", "node"), ngram, clashes)
+                    fresh = staged(linked_within(apart.drop("doc_id"), sets, percent), "verified")
+                    if found_now := fresh.count():
+                        links.append(fresh)
+                        n_links += found_now
+                        comps = staged(alone(reduce(DataFrame.union, links)), "labels") if n_links <= ALONE else joined(comps, fresh)
+                break
+            near = undirected(near.groupBy("a").agg(F.min(F.struct("far", "b")).alias("best")).select("a", "best.b"))  # over all of a node's buckets
         pairs = staged(near.select("a", "b"), "pairs")
         merged, n_pairs = False, pairs.count()
         if n_pairs:
@@ -615,7 +710,7 @@ def grouped(docs: DataFrame, ngram: int, percent: int, mark: Column | None = Non
                 merged = 4 * found_now >= n_pairs
         if how == "nearest":
             left -= 1
-        how = None if how == "all" or how == "nearest" and not n_pairs else "nearest" if how == "hubs" or merged and left else "all"
+        how = None if how == "nearest" and not n_pairs else "nearest" if how == "hubs" or merged and left else "all"
     if comps is None:
         return feats, every.select("node", F.col("node").alias("comp"), "doc_id")
     return feats, every.join(comps, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "doc_id")

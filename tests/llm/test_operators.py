@@ -480,6 +480,64 @@ def test_jaccard_verifies_few_pairs_of_a_large_loose_group(spark, monkeypatch):
     assert sum(counted) < 4000
 
 
+def test_jaccard_bucket_names_nodes_and_not_their_pairs(spark):
+    # 300 nodes alike by sketch, each a component of its own, and one of another sketch: one group, not a row a pair
+    rows = [(1, i, i, 100, bytearray(32), [7] if i == 3 else None) for i in range(300)] + [(1, 900, 900, 100, bytearray(b"\xff" * 32), None)]
+    table = spark.createDataFrame(rows, "key long, node long, comp long, n long, sketch binary, past array<long>")
+    got = jaccard.neighbours(table, "all", 80).collect()
+    assert [sorted(r["nodes"]) for r in got] == [list(range(300))]
+
+
+@pytest.mark.parametrize("block", [1 << 20, 6000, 500])
+def test_jaccard_links_within_parts_equal_brute_force(spark, block):
+    rng = np.random.default_rng(17)
+    sets = {}
+    for part in range(2):
+        base = rng.choice(2**60, 60, replace=False).astype(np.uint64)
+        for i in range(60):
+            own = rng.choice(2**60, int(rng.integers(3, 12)), replace=False).astype(np.uint64)
+            sets[part * 100 + i] = np.unique(np.concatenate([base[rng.permutation(60)[: 60 - int(rng.integers(0, 6))]], own]))
+    tokens, sizes = np.concatenate(list(sets.values())), np.array([len(x) for x in sets.values()])
+    sketches = dict(zip(sets, jaccard.sketches_of(tokens, sizes, 80)))
+    comp = {i: i - i % 3 if i < 20 else i for i in sets}
+    rows = spark.createDataFrame([(i, comp[i], len(x), bytearray(sketches[i]), i // 100) for i, x in sets.items()], "node long, comp long, n long, sketch binary, part long")
+    table = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in sets.items()] * 2, "node long, tokens binary")
+    got = [(r["a"], r["b"]) for r in jaccard.linked_within(rows, table, 80, block).collect()]
+    links = {(i, j) for i in sets for j in sets if i < j and i // 100 == j // 100 and 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))}
+    assert {(min(p), max(p)) for p in got} <= links and (block < 1 << 20 or len(got) < len(sets) < len(links))
+
+    def parts(pairs):
+        low = dict(comp)
+        for _ in low:
+            for a, b in pairs:
+                x, y = low[a], low[b]
+                low = {k: min(x, y) if v in (x, y) else v for k, v in low.items()} if x != y else low
+        return low
+
+    assert parts(got) == parts(links) and 2 < len(set(parts(got).values())) < len(set(comp.values()))
+
+
+def test_jaccard_ends_equal_brute_force_near_the_limit(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "NEAREST", 0)
+    monkeypatch.setattr(jaccard, "BLOCK", 4000)
+    rng = np.random.default_rng(19)
+    texts = []
+    for group in range(3):
+        for i in range(60):  # copies differ in 9 to 14 of 120 shingles each: some pairs link, more just do not
+            copy = [f"g{group}w{k}" for k in range(124)]
+            for k in rng.choice(range(124), int(rng.integers(2, 4)), replace=False):
+                copy[k] = f"e{i}x{k}"
+            texts.append(" ".join(copy))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    low = list(range(len(texts)))
+    pairs = [(j, i) for i in range(len(texts)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    for a, b in pairs * 3:
+        x, y = sorted((low[a], low[b]))
+        low = [x if v == y else v for v in low]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.join(docs(spark, texts), 5, 80).collect()}
+    assert got == dict(enumerate(low))
+
+
 def test_jaccard_leaves_a_common_passage_out_of_its_buckets(spark):
     passage = " ".join(f"p{i}" for i in range(60))
     texts = [passage + " " + " ".join(f"d{i}x{j}" for j in range(140)) for i in range(600)]
