@@ -211,3 +211,24 @@ def test_ramps_and_reports_are_made_of_batches(spark):
     assert [(r["repeats"], r["homopolymers"]) for r in report.collect()] == [(2, 0)] * len(texts)  # by threes and by sixes
     for plan in (made, report, fewer):
         assert "extract_all" not in plan._jdf.queryExecution().toString().lower()
+
+
+def test_sequence_usage_exchanges_no_row_of_its_own_id(spark):
+    rng = random.Random(23)
+    rows = [(i, "".join(rng.choice("ACGTN") for _ in range(rng.choice((0, 2, 3, 50, 301))))) for i in range(40)] + [(None, "ACGACGT"), (5, "ACGACG"), (None, "ACG"), (5, "TTT"), (90, None), (91, "A\nC\u00e9\U0001f600G")]
+    seqs = spark.createDataFrame(rows, "seq_id long, dna string")
+    counts = {}
+    for i, t in rows:
+        for k in range(0, len(t or "") - 2, 3):
+            key = (i, t[k : k + 3])
+            counts[key] = counts.get(key, 0) + 1
+    totals = {}
+    for (i, _), n in counts.items():
+        totals[i] = totals.get(i, 0) + n
+    got = usage.sequence_usage(seqs).collect()
+    assert len(got) == len(counts) and {(r["seq_id"], r["codon"]): (r["n"], r["frequency"]) for r in got} == {k: (n, n / totals[k[0]]) for k, n in counts.items()}
+    top = usage.top_codons(seqs, 2).collect()
+    want = {(i, c): counts[i, c] for i in totals for c in sorted((c for j, c in counts if j == i), key=lambda c: (-counts[i, c], c))[:2]}
+    assert len(top) == len(want) and {(r["seq_id"], r["codon"]): r["n"] for r in top} == want
+    alone = usage.sequence_usage(seqs.filter("seq_id < 5"))
+    assert "Exchange" not in alone._jdf.queryExecution().executedPlan().toString()
