@@ -13,7 +13,7 @@ from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.staging import deleted, fresh_path, scratch, shared_dir, staged  # noqa: F401
+from ..sources.staging import deleted, dropped_shuffles, fresh_path, scratch, shared_dir, staged  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

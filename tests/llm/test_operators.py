@@ -166,6 +166,56 @@ def test_toxicity_counts_all_rows_that_do_not_calibrate(spark, monkeypatch):
     assert 50 < seen[-1] < 150 and len(seen) == len(found) + 1
 
 
+def test_toxicity_looks_up_pairs_by_shuffles_as_in_held_tables(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    letters = ["".join("abcdefghij"[int(c)] for c in str(i)) for i in range(300)]
+    texts = [" ".join(rng.choice(letters[: 30 + i], 1 + i)) + (" foul deed" if i % 3 == 0 else "") for i in range(200)] + [None, "", "new words alone", "!", "foul deed", "foul deed"]
+    table = docs(spark, texts, extra=True).repartition(3)
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(200)], "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(toxicity, "ASKED_BYTES", 2000)
+    monkeypatch.setattr(toxicity, "GROUPS", 7)
+    monkeypatch.setattr(toxicity, "SHARD_WORDS", 64)
+    found = []
+    for most in (1 << 40, 0):
+        monkeypatch.setattr(toxicity, "HELD_PAIRS", most)
+        scorer = toxicity.fit(table, labels)
+        assert (scorer.groups is None) == (most > 0) and (scorer.evidence.pairs_path is None) == (most == 0)
+        rows = {r["doc_id"]: r["x"] for r in toxicity.measured(table, scorer.evidence, scorer.groups).collect()}
+        found.append((rows, {r["doc_id"]: r["score"] for r in toxicity.score(table, scorer).collect()}))
+    (held, held_scores), (dealt, dealt_scores) = found
+    assert len(held) == len(dealt) == len(texts)
+    for i in held:
+        assert dealt[i] == pytest.approx(held[i], abs=1e-6) and dealt_scores[i] == pytest.approx(held_scores[i], abs=1e-4)
+
+
+def test_toxicity_counts_every_pair_and_calibrates_on_every_row_of_fold_3(spark, monkeypatch):
+    letters = ["".join("abcdefghij"[int(c)] for c in f"{i:05}") for i in range(30_000)]
+    table = docs(spark, letters[:20_000] + [" ".join(letters[20_000 + k :: 100] * 600) for k in range(100)])
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(20_100)], "doc_id long, quality int, toxic int")
+    seen = {}
+    monkeypatch.setattr(toxicity, "logistic", lambda *rows: seen.update(n=len(rows[0]) if isinstance(rows[0], np.ndarray) else rows[0].count()))
+    monkeypatch.setattr(toxicity, "pair_counts", lambda drawn: seen.update(held=drawn.count()), raising=False)
+    counted = toxicity.counted_groups
+    monkeypatch.setattr(toxicity, "counted_groups", lambda *a: seen.setdefault("groups", counted(*a)))
+    toxicity.fit(table, labels)
+    folds = [zlib.crc32(str(i).encode()) % 4 for i in range(20_100)]
+    assert "held" not in seen and seen["n"] == folds.count(3) > 4500
+    single, long = sum(f < 2 for f in folds[:20_000]), sum(f < 2 for f in folds[20_000:])
+    assert long * 60_000 > 2_500_000 and seen["groups"].counts.agg(F.sum("n")).first()[0] == single + 101 * long
+
+
+def test_toxicity_fits_by_sums_as_on_all_rows_at_once(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(3, 2, (500, 4))
+    y = (rng.random(500) < 1 / (1 + np.exp(-(x - 3) @ [1.0, -0.5, 0.2, 0.0]))).astype(int)
+    rows = spark.createDataFrame([(v.tolist(), int(t)) for v, t in zip(x, y)], "x array<double>, toxic int").repartition(5)
+    centre, scale, w = toxicity.logistic(rows)
+    z = np.c_[(x - x.mean(0)) / (x.std(0) + 1e-9), np.ones(500)]
+    slope = z.T @ (y - 1 / (1 + np.exp(-z @ w))) - 1e-2 * w
+    assert centre == pytest.approx(x.mean(0)) and scale == pytest.approx(x.std(0)) and np.abs(slope).max() < 1e-5
+    assert toxicity.logistic(rows.filter("toxic = 1")) is None and toxicity.logistic(rows.limit(0)) is None
+
+
 def test_toxicity_stage_drops_what_the_query_predicts(spark, tmp_path, monkeypatch):
     spark.createDataFrame([(0, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     table = docs(spark, ["some text", "other text"])
