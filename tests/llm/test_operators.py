@@ -225,6 +225,22 @@ def test_toxicity_stage_drops_what_the_query_predicts(spark, tmp_path, monkeypat
         assert toxicity.stage(spark, table, str(tmp_path)).count() == 2 * (1 - predicted)
 
 
+def test_toxicity_stage_and_query_agree_where_pairs_are_looked_up_by_shuffles(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(toxicity, "HELD_PAIRS", 0)
+    rng = np.random.default_rng(8)
+    plain = "the of and to in is it as at by for from on or with was".split()
+    texts = [" ".join(rng.choice(plain, 40)) + (" vile scum" if i % 4 == 0 else "") for i in range(200)]
+    table = docs(spark, [*texts, *ODD], extra=True)
+    table = table.union(table.limit(3))
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(200)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    rows = toxicity.score(table, toxicity.fit(table, labels)).collect()
+    kept = toxicity.stage(spark, table, str(tmp_path))
+    assert kept.columns == table.columns and 20 < sum(r["predicted"] for r in rows) < 100
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(r["doc_id"] for r in rows if not r["predicted"])
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_mixing_meets_targets_and_bounds(spark):
     texts = [" ".join(["w"] * (1 + i % 50)) for i in range(600)] + ODD
     rows = mixing.mix(docs(spark, texts, extra=True), block_words=4, docs_per_shard=100).collect()
