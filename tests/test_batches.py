@@ -1,5 +1,6 @@
 """Steps over Arrow batches against plain computations, residue by residue."""
 
+import os
 import random
 from hashlib import md5
 from itertools import groupby
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from codonloom.functions.codes import TYPE_IIS, code
 from codonloom.operators import batches, clusters, compare, dinucleotides, edits, frontier, generate, intake, review, scans, scoring, usage
+from codonloom.sources import staging
 
 CODE = code()
 WEIGHTS = {c: 0.05 + random.Random(c).random() for c, a in CODE.items() if a != "*"}
@@ -114,6 +116,26 @@ def test_sketches_rule_out_no_link(spark):
     assert all(2 * common[p] >= len(words[p[0]] | words[p[1]]) for p in found) and len(found) >= 8
 
 
+def test_clusters_leave_only_themselves(spark, monkeypatch):
+    """In rounds the same clusters are found, and what was made on the way is gone: before, every step's tables and shuffles stayed on the disk."""
+    rng = random.Random(9)
+    base = ["".join(rng.choice("ACDEFGHIKL") for _ in range(120)) for _ in range(12)]
+    texts = base + [b[:100] + b[::-1][:n] for b in base for n in (5, 20)] + [b[:60] for b in base] + base[:3] + ["ÄÖ" + base[0], "MK", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "seq_id long, aa string").repartition(5)
+    folder = staging.shared_dir(spark).removeprefix("file://")
+    found, before = [], set(os.listdir(folder))
+    for few in (clusters.FEW, 0):
+        monkeypatch.setattr(clusters, "FEW", few)
+        found.append({tuple(r) for r in clusters.clustered(df).collect()})
+    assert found[0] == found[1] and 12 <= len({c for _, c in found[0]}) < 20
+    assert all(name.startswith("clusters-") for name in set(os.listdir(folder)) - before)
+    signed = {r["seq_id"]: r for r in clusters.signatures(df, "aa").collect()}
+    words = clusters.word_hashes(texts, clusters.WORD)
+    for t in (clusters.once(words), clusters.minimizers(words, clusters.SPAN)):
+        kind = "words" if len(t.letters) == len(clusters.once(words).letters) else "keys"
+        assert [t.take(np.array([i])).letters.tolist() for i in signed] == [sorted(r[kind]) for r in signed.values()]
+
+
 @pytest.mark.parametrize("odd", [{}, {"CTA": 0.0, "CTT": 0.0, "TTG": 0.001, "TTA": 1.0, "CTG": 0.9}])
 def test_frontier_within_rows_equals_its_rounds(spark, odd):
     """The queries of the frontier use the rows' own arrays: before, three states a residue were written for each kind of residue."""
