@@ -75,6 +75,35 @@ def test_scores_of_made_and_of_given_sequences(spark):
     assert found[1]["cai"] == 0.0 and found[3]["cai"] is None and found[3]["sites"] is None and found[4]["cai"] == 0.0 and found[6]["sites"] == 2 and found[2]["identity"] == 0.5
 
 
+def test_draws_hash_blocks_together(spark, monkeypatch):
+    """Before: a call of md5 for every eight residues."""
+    keys, lengths = [b"a|1", b"", b"k" * 40, b"k" * 52, b"k" * 53, b"k" * 70, b"steered|320|7000001|49"], np.array([1, 0, 9, 170, 30, 9, 9000])
+    plain = [int(md5(k + b"|%d" % (i // 8)).hexdigest()[4 * (i % 8) :][:4], 16) for k, n in zip(keys, lengths.tolist()) for i in range(n)]
+    assert batches.draws(keys, lengths).tolist() == plain and batches.draws([], lengths[:0]).tolist() == []
+    monkeypatch.setattr(batches, "md5", None)
+    assert batches.draws(keys[:3], lengths[:3]).tolist() == plain[:10]
+
+
+def test_sites_of_codon_letters_are_those_of_their_bases():
+    rng, sites = random.Random(4), [x.encode() for pair in TYPE_IIS.values() for x in pair] + [b"GGTCTC", b"AAAAA"]
+    held = batches.Texts.of(["".join(rng.choice(generate.LETTERS) for _ in range(n)) for n in (0, 1, 2, 3, 2000, 5)] + [generate.letter_of("AAA") * 4, generate.NO_CODON * 3])
+    bases = batches.spelt(held, generate.BASES)
+    table = batches.site_table(sites, generate.WORDS)
+    assert batches.codon_sites(held, generate.NUMBERS, table).tolist() == batches.site_counts(bases, sites).tolist()
+
+
+def test_attempts_made_together_or_given_up_change_nothing(spark, monkeypatch):
+    """Before: an attempt with a site was made to its end, one round of attempts at a time."""
+    rng, weights = random.Random(12), table(spark)
+    texts = ["".join(rng.choice("ACDEFGHIKLMNPQRSTVWY") for _ in range(n)) for n in (900, 700, 400, 400, 60, 3)] + ["", "MB"]
+    df = spark.createDataFrame(list(enumerate(texts)), "seq_id long, aa string").coalesce(1)
+    run = lambda n: spelt(generate.steered_clean(df, weights, attempts=n))
+    found, steps = run(6), batches.steered
+    monkeypatch.setattr(generate, "WORTH", 0)
+    monkeypatch.setattr(batches, "steered", lambda *a: steps(*a[:6]))
+    assert run(6) == found and all(len(v) == 3 * len(texts[i]) for (i, _), v in found.items() if v is not None)
+
+
 def test_sites_across_two_rows_are_none():
     held = batches.Texts.of(["GGT", "CTC", "", "AGGTCTC", None])
     assert batches.site_counts(held, [b"GGTCTC"]).tolist() == [0, 0, 0, 1, 0] and batches.sums(np.ones(13), held).tolist() == [3, 3, 0, 7, 0]
