@@ -116,6 +116,20 @@ def test_one_scoring_for_several_tables(spark):
     assert generate.score(given, weights, bases=False).collect() == generate.score(given, weights).drop("cds").collect()
 
 
+def test_plain_bases_are_reviewed_as_they_are(spark):
+    """Before: every sequence was rewritten letter by letter, and letters were sorted to be numbered."""
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("ACGT") for _ in range(300)) + "ACGTTGCAACGTTGCAACGTT" * 2 for _ in range(4)]
+    odd = [" ".join([t[:50].lower(), t[50:].replace("T", "u") + "\n"]) for t in texts]
+    rules, _ = review.criteria(spark)
+    known = {r["criterion"]: r.asDict() for r in rules.collect()}
+    rows = lambda ts: spark.createDataFrame([(i, 0.5, t) for i, t in enumerate(ts)], "seq_id long, cai double, cds string").coalesce(1)
+    seen = [[r["seen"] for r in review.measures(rows(ts), known).orderBy("seq_id").collect()] for ts in (texts, odd)]
+    assert seen[0] == seen[1] and all(x[4]["high"] > 0 for x in seen[0])
+    plan = review.measures(rows(texts), known)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" in plan and batches.words(batches.Texts.of(["ACCA", "N"]), 2).tolist()[0] != batches.words(batches.Texts.of(["ACCA", "N"]), 2).tolist()[1]
+
+
 def test_sites_across_two_rows_are_none():
     held = batches.Texts.of(["GGT", "CTC", "", "AGGTCTC", None])
     assert batches.site_counts(held, [b"GGTCTC"]).tolist() == [0, 0, 0, 1, 0] and batches.sums(np.ones(13), held).tolist() == [3, 3, 0, 7, 0]
