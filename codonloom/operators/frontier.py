@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from ..functions.codes import RESIDUES, code
 from ..sources.staging import staged
 from . import batches
-from .generate import GC_OF, by_letter, letter, letter_of, spelt
+from .batches import Texts
+from .generate import BASES, GC_OF, by_letter, letter, letter_of, spelt
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -170,9 +171,10 @@ def best_states(proteins: DataFrame, kinds: Kinds, ranges: dict[str, tuple[float
 
     def run(batch: pa.RecordBatch) -> dict[str, list]:
         found = []
-        for row in batch.select(["n", *[f"k_{a}" for a in known]]).to_pylist():
-            low, best, rounds = of_row({a: row[f"k_{a}"] for a in known}, of, steps, in_rounds)
-            gc = np.arange(low, low + len(best)) * 100.0 / (row["n"] * 3)
+        held = zip(*[batch.column(f"k_{a}").to_pylist() for a in known]) if known else [()] * batch.num_rows
+        for n, counts in zip(batch.column("n").to_pylist(), held):
+            low, best, rounds = of_row(dict(zip(known, counts)), of, steps, in_rounds)
+            gc = np.arange(low, low + len(best)) * 100.0 / (n * 3)
             each = []
             for name, (least, most) in ranges.items():
                 inside = np.where((gc >= least) & (gc <= most), best, NEVER)
@@ -201,9 +203,32 @@ def ranges_of(proteins: DataFrame, kinds: Kinds, ranges: dict[str, tuple[float,
 
 
 def best_sequences(proteins: DataFrame, kinds: Kinds, low: float, high: float) -> DataFrame:
-    """seq_id, cds: a best sequence within the GC range for each protein that has one."""
-    chosen = best_states(proteins, kinds, {"": (low, high)}).filter("feasible").drop("g").withColumnRenamed("rest", "g")
-    return written(chosen, kinds)
+    """seq_id, cds: a best sequence within the GC range for each protein that has one. The codons are put in place as written() does, over the letters of a batch at once."""
+    chosen = best_states(proteins, kinds, {"": (low, high)}).filter("feasible")
+    known, of, steps, in_rounds = kinds.known, kinds.classes, kinds.steps, kinds.rounds
+    greedy, bases = [a for a in known if a not in in_rounds], BASES
+
+    def run(batch: pa.RecordBatch) -> dict[str, list]:
+        aa, column = Texts.of(batch.column("aa").to_pylist()), lambda c: batch.column(c).to_numpy()
+        held = {a: column(f"k_{a}").astype(np.int64) for a in known}
+        left = column("rest") - sum(held[a] * of[a][0][0] for a in greedy)
+        taken = {}
+        for _, a, k in steps:
+            taken[a, k] = np.maximum(0, np.minimum(left, held[a]))
+            left = left - held[a]
+        codes, row = np.zeros(len(aa.letters), np.uint8), aa.rows()
+        for a in known:
+            own = np.flatnonzero(aa.letters == ord(a))
+            at, letters = row[own], [ord(x) for _, _, x in of[a]]
+            place = np.arange(len(own)) - np.searchsorted(at, at)  # which of its kind in the row
+            third = column(f"b_{a}") if a in in_rounds else taken.get((a, 2), np.zeros(batch.num_rows, np.int64))
+            second = third + (column(f"a_{a}") if a in in_rounds else taken.get((a, 1), np.zeros(batch.num_rows, np.int64)) - third)
+            made = np.where(place < second[at], letters[min(1, len(letters) - 1)], letters[0])
+            codes[own] = np.where((place < third[at]) & (len(letters) > 2), letters[-1], made)
+        return {"cds": batches.spelt(Texts(codes, aa.lengths), bases).texts()}
+
+    rows = chosen.select("seq_id", "aa", "rest", *[f"k_{a}" for a in known], *[c for a in in_rounds for c in (f"a_{a}", f"b_{a}")])
+    return batches.mapped(rows, "aa", {"cds": pa.string()}, run, drop=tuple(rows.columns[1:]))
 
 
 def cai_of(l: Column, n: Column) -> Column:

@@ -130,6 +130,17 @@ def test_plain_bases_are_reviewed_as_they_are(spark):
     assert "RLIKE" in plan and batches.words(batches.Texts.of(["ACCA", "N"]), 2).tolist()[0] != batches.words(batches.Texts.of(["ACCA", "N"]), 2).tolist()[1]
 
 
+@pytest.mark.parametrize("odd", [{}, {"CTA": 0.0, "CTT": 0.0, "TTG": 0.001, "TTA": 1.0, "CTG": 0.9}])
+def test_best_sequences_are_written_over_batches(spark, odd):
+    """Before: a step of a lambda for every residue."""
+    kinds, (_, df) = frontier.Kinds(WEIGHTS | odd), proteins(spark)
+    made = frontier.best_sequences(df, kinds, 40.0, 60.0)
+    chosen = frontier.best_states(df, kinds, {"": (40.0, 60.0)}).filter("feasible").drop("g").withColumnRenamed("rest", "g")
+    found = sorted(map(tuple, made.collect()))
+    assert found and found == sorted(map(tuple, frontier.written(chosen, kinds).collect()))
+    assert "lambda" not in made._jdf.queryExecution().toString().lower()
+
+
 def test_sites_across_two_rows_are_none():
     held = batches.Texts.of(["GGT", "CTC", "", "AGGTCTC", None])
     assert batches.site_counts(held, [b"GGTCTC"]).tolist() == [0, 0, 0, 1, 0] and batches.sums(np.ones(13), held).tolist() == [3, 3, 0, 7, 0]
